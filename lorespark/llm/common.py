@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch of texts; a batch of the longest texts must fit into a Python worker.
 TEXT_BATCH_ROWS = 256
@@ -60,6 +61,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def extended(schema: T.StructType, **more: str) -> T.StructType:
+    """A schema with further columns of the named types."""
+    return T.StructType([*schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in more.items())])
+
+
 def numbered(df: DataFrame, key: str, out: str, name: str) -> DataFrame:
     """Adds the long column ``out``: 0, 1, 2, ... without gaps within each value of the int column ``key``.
 
@@ -69,7 +75,7 @@ def numbered(df: DataFrame, key: str, out: str, name: str) -> DataFrame:
     """
     import pandas as pd
 
-    schema = df.schema.add("_task", "int").add(out, "long")
+    schema = extended(df.schema, _task="int", **{out: "bigint"})
 
     def count(batches):
         from pyspark import TaskContext

@@ -90,5 +90,5 @@ def queries():
 
 
 def oracle_sql():
-    found = {"op1_near_dedup": oracles.OP1, "op6_ann": oracles.OP6}
+    found = {"op1_near_dedup": oracles.OP1}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
