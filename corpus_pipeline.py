@@ -1,13 +1,54 @@
-"""Corpus pipeline: quality classifier, near-dedup, PII redaction, packing."""
+"""Corpus pipeline: quality classifier, near-dedup, PII redaction, packing.
+
+Each stage takes what its predecessor kept. All but the last return the columns of ``documents``; the last returns the batches.
+Rows that repeat a doc_id pass the first stage each; near-dedup keeps one row of each group, so ids are unique from there on.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import functions as F
+
+from lorespark.llm.common import stored, table
+from lorespark.llm.near_dedup import near_duplicates
+from lorespark.llm.packing import pack
+from lorespark.llm.pii import redact
+from lorespark.llm.quality import THRESHOLD, scored, train
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the factorisation machine rejects go."""
+    model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored(docs, model, docs.columns).where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each near-duplicate group stays: the one of the smallest doc_id."""
+    kept = near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = docs.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in rest if c != "text"])).alias("_row"))
+    return one.join(kept, "doc_id", "left_semi").select(*["doc_id" if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+
+
+def pii(spark, docs, sf_dir):
+    """Base and discovered personal data is replaced by its kind in brackets."""
+    return redact(docs)
+
+
+def packing(spark, docs, sf_dir):
+    """Every document gets its place in a batch of its length bucket."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
+#: A trained model and dynamic programming are beyond SQL; tests/llm/ holds brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages on ``documents``, each written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
