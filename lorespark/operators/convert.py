@@ -372,7 +372,7 @@ def converted(name: str, data: bytes, limit: int = TEXT_LIMIT) -> tuple:
 def convert_files(files: DataFrame) -> DataFrame:
     """Files (name, content) with RESULT's columns. Plain text is decoded in the JVM; the rest goes to Python in small batches."""
     how = T.format_of("name")
-    plain = files.where(how == "verbatim").select("name", T.ingested(F.decode("content", F.lit("UTF-8"))).alias("text"))
+    plain = files.where(how == "verbatim").select("name", T.ingested(F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
     plain = plain.select("name", "text", F.lit("unparsed").alias("structure"), F.lit(False).alias("truncated"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("error"))
     names = [x.split()[0] for x in RESULT.split(", ")]
 

@@ -20,9 +20,9 @@ def windowed(events: DataFrame, window: str, key: str, slide: str | None = None,
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet files of a folder, or one file, as a stream."""
+    """Parquet files of a folder, or one file, as a stream (a stream takes a single file only as a pattern)."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_end(spark: SparkSession, path: str, window: str, key: str) -> DataFrame:
