@@ -2,6 +2,7 @@
 
 Each stage takes what its predecessor kept. All but the last return the columns of ``documents``; the last returns the batches.
 Rows that repeat a doc_id pass the first stage each; near-dedup keeps one row of each group, so ids are unique from there on.
+Rows without a doc_id are in no group and stay.
 """
 
 from __future__ import annotations
@@ -12,23 +13,23 @@ from lorespark.llm.common import stored, table
 from lorespark.llm.near_dedup import near_duplicates
 from lorespark.llm.packing import pack
 from lorespark.llm.pii import redact
-from lorespark.llm.quality import THRESHOLD, scored, train
+from lorespark.llm.quality import accepted, train
 
 
 def quality(spark, docs, sf_dir):
     """Documents that the factorisation machine rejects go."""
-    model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored(docs, model, docs.columns).where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    return accepted(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark, docs, sf_dir):
     """One document of each near-duplicate group stays: the one of the smallest doc_id."""
-    kept = near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = docs.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in rest if c != "text"])).alias("_row"))
-    return one.join(kept, "doc_id", "left_semi").select(*["doc_id" if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    kept = near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    known = docs.where("doc_id is not null")
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        one = known.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row"))
+        known = one.select(*["doc_id" if c == "doc_id" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return known.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pii(spark, docs, sf_dir):

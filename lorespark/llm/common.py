@@ -30,6 +30,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Stands for a missing id inside Python stages, where integers can't be null.
+NO_ID = -(2**63)
+
+
+def id_column(name: str = "doc_id"):
+    """An id as a long that is never null; ``with_nulls`` undoes it."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID)).alias(name)
+
+
+def with_nulls(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.when(F.col(name) != NO_ID, F.col(name)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read from there: its lineage ends, and a lost
     executor loses nothing of it."""
@@ -73,26 +86,26 @@ def numbered(df: DataFrame, key: str, out: str, name: str) -> DataFrame:
     Each task counts its own rows while they stream by; the rows are written with those local numbers,
     and the tasks' totals (tasks x keys rows) give the offsets. No key's rows ever meet in one task.
     """
-    import pandas as pd
-
     schema = extended(df.schema, _task="int", **{out: "bigint"})
 
     def count(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), {}
-        for pdf in batches:
-            keys = pdf[key].to_numpy()
+        for batch in batches:
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
             order = np.argsort(keys, kind="stable")
-            firsts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]]) if len(keys) else []
+            firsts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]]) if len(keys) else np.empty(0, np.int64)
             local = np.empty(len(keys), np.int64)
-            for i, j in zip(firsts, np.r_[firsts[1:], len(keys)] if len(keys) else []):
+            for i, j in zip(firsts, np.r_[firsts[1:], len(keys)]):
                 k = int(keys[order[i]])
                 local[order[i:j]] = np.arange(j - i) + seen.get(k, 0)
                 seen[k] = seen.get(k, 0) + int(j - i)
-            yield pdf.assign(**{"_task": np.int32(task), out: pd.array(local, dtype="int64")})
+            more = [pa.array(np.full(len(keys), task, np.int32)), pa.array(local)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_task", out])
 
-    rows = stored(df.mapInPandas(count, schema), name)
+    rows = stored(df.mapInArrow(count, schema), name)
     counts = rows.groupBy("_task", key).agg((F.max(out) + 1).alias("_n"))
     from pyspark.sql import Window
 

@@ -8,7 +8,7 @@ being 1 - d / (l1 + l2) for the edit distance d that counts a replacement as two
 common (all of them, where a side has fewer) it's 0.
 
 Null and empty texts have the fingerprint ``4::``; two of them are alike (1), and either is unlike any other text (0). Rows
-that repeat a doc_id follow one another by text. A lone row is its own next. Other columns are left out.
+that repeat a doc_id follow one another by text; those without one come first. A lone row is its own next. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored, text_batches
+from .common import id_column, shuffle_partitions, stored, text_batches, with_nulls
 from .words import mix
 
 WINDOW = 7
@@ -139,7 +139,7 @@ def fingerprints_and_edits(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     text_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(id_column(), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
@@ -173,4 +173,4 @@ def fingerprints_and_edits(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(got, columns=_NAMES)
 
     ends = tails.join(pairs, "_task").join(heads, "_next").select("doc_id", "_tail", "fingerprint", "_head", "_print").mapInPandas(finish, _OUT)
-    return done.where("_head is null and _tail is null").select(*_NAMES).unionByName(ends)
+    return with_nulls(done.where("_head is null and _tail is null").select(*_NAMES).unionByName(ends))

@@ -155,12 +155,11 @@ def redact(docs: DataFrame) -> DataFrame:
     Only rows that can hold a span (a digit or an @) meet the table of spans; the others pass unchanged. ``n_chars``, where
     there is such a column, follows the new text.
     """
-    key = ["doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")]
     able = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
-    spans = find_spans(docs.where(able)).where("size(spans) > 0").dropDuplicates(["doc_id", "_text"]).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "spans")
-    spans = stored(spans, "pii-redactions")
-    rows = docs.where(able).withColumn("_key", F.struct(*key))
-    rows = rows.join(spans, (F.col("_key.doc_id") == F.col("_id")) & (F.col("_key._text") == F.col("_hash")), "left")
+    spans = find_spans(docs.where(able)).where("size(spans) > 0").dropDuplicates(["doc_id", "_text"])
+    spans = stored(spans.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "spans"), "pii-redactions")
+    rows = docs.where(able).select(F.struct(*docs.columns).alias("_all"), "text", F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_key"))
+    rows = rows.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
     merged = F.expr("""aggregate(array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind))), cast(array() as array<struct<start:bigint,end:bigint,kind:string>>),
         (a, x) -> CASE WHEN size(a) > 0 AND x.start < element_at(a, -1).end
             THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'kind', element_at(a, -1).kind)))
@@ -168,7 +167,9 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_cut", merged)
     parts = F.expr("""concat(transform(_cut, (x, i) -> concat(substring(text, cast(CASE WHEN i = 0 THEN 0 ELSE _cut[i - 1].end END + 1 as int), cast(x.start - CASE WHEN i = 0 THEN 0 ELSE _cut[i - 1].end END as int)), '[', upper(x.kind), ']')),
         array(substring(text, cast(element_at(_cut, -1).end + 1 as int))))""")
-    rows = rows.withColumn("text", F.when(F.size("_cut") > 0, F.array_join(parts, "")).otherwise(F.col("text")))
+    new = F.when(F.size("_cut") > 0, F.array_join(parts, "")).otherwise(F.col("text"))
+    rows = rows.withColumn("_new", new)
+    kept = {c: F.col(f"_all.`{c}`") for c in docs.columns} | {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return docs.where(~able).unionByName(rows.select(*docs.columns))
+        kept["n_chars"] = F.when(F.size("_cut") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(kept["n_chars"])
+    return docs.where(~able).unionByName(rows.select(*[c.alias(n) for n, c in kept.items()]))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import extended, text_batches
+from .common import id_column, text_batches, with_nulls
 
 MAX_TRAIN = 12_000
 WORD_SLOTS = 1 << 15
@@ -140,31 +140,46 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN):
     return fit(inputs, got["label"].to_numpy(np.float32))
 
 
-def scored(docs: DataFrame, model, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` and the double column ``_score``. The model (about 1.2 MB, fixed) is broadcast."""
+def _scores(texts: list, model) -> np.ndarray:
+    if model is None or not texts:
+        return np.full(len(texts), 0.5)
+    f = [features(t) for t in texts]
+    starts = np.r_[0, np.cumsum([len(i) for i, _ in f])[:-1]]
+    raw = fm_scores(np.concatenate([i for i, _ in f]), np.concatenate([x for _, x in f]), starts, *model)
+    return 1 / (1 + np.exp(-np.clip(raw.astype(np.float64), -30, 30)))
+
+
+def scored(docs: DataFrame, model) -> DataFrame:
+    """(doc_id, score) of each row of ``docs`` (doc_id, text). The model (about 1.2 MB, fixed) is broadcast."""
     spark = docs.sparkSession
     text_batches(spark)
-    if model is None:
-        return docs.select(*columns, F.lit(0.5).alias("_score"))
     held = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        w0, w, v = held.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            f = [features(t) for t in pdf["_text"]]
-            starts = np.r_[0, np.cumsum([len(i) for i, _ in f])[:-1]]
-            raw = fm_scores(np.concatenate([i for i, _ in f]), np.concatenate([x for _, x in f]), starts, w0, w, v)
-            yield pdf[columns].assign(_score=1 / (1 + np.exp(-np.clip(raw.astype(np.float64), -30, 30))))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": _scores(list(pdf["text"]), held.value)})
+
+    return with_nulls(docs.select(id_column(), "text").mapInPandas(run, "doc_id long, score double"))
+
+
+def accepted(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least the threshold, with all their columns as they are."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column("text").to_pylist(), held.value) >= threshold))
 
-    kept = docs.select(*columns)
-    return docs.select(*columns, F.col("text").alias("_text")).mapInPandas(run, extended(kept.schema, _score="double"))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = scored(docs, train(docs, labels, max_train), ["doc_id"])
+    out = scored(docs, train(docs, labels, max_train))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -26,10 +26,9 @@ PRECISION = 12
 
 
 def size_class(size):
-    """A column's size rounded down to PRECISION + 1 significant bits."""
-    bits = F.length(F.bin(size))
-    drop = F.greatest(bits - F.lit(PRECISION + 1), F.lit(0))
-    return F.expr("shiftleft(shiftright(_size, _drop), _drop)") if size is None else (size - F.pmod(size, F.pow(F.lit(2.0), drop).cast("long")))
+    """A size rounded down to PRECISION + 1 significant bits."""
+    drop = F.greatest(F.length(F.bin(size)) - F.lit(PRECISION + 1), F.lit(0))
+    return size - F.pmod(size, F.pow(F.lit(2.0), drop).cast("long"))
 
 
 def schedule(classes: list[tuple[float, int]], shards: int) -> list[np.ndarray]:

@@ -116,7 +116,7 @@ def test_labels_of_other_rows_are_never_read(spark, tables):
     _, docs, labels = tables
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     few = docs.where("doc_id < 40")
-    scores = lambda x: [r["score"] for r in quality.scored(few, quality.train(docs, x), ["doc_id"]).selectExpr("doc_id", "_score as score").orderBy("doc_id").collect()]
+    scores = lambda x: [r["score"] for r in quality.scored(few, quality.train(docs, x)).orderBy("doc_id").collect()]
     assert scores(labels) == scores(flipped)
 
 
