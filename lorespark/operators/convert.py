@@ -381,8 +381,10 @@ def convert_files(files: DataFrame) -> DataFrame:
             rows = [(n, *converted(n, bytes(c))) for n, c in zip(pdf["name"], pdf["content"])]
             yield pd.DataFrame(rows, columns=["name", *names])
 
-    other = files.where(F.coalesce(how != "verbatim", F.lit(True))).select("name", "content").mapInPandas(run, f"name string, {RESULT}")
-    return plain.unionByName(other)
+    from lorespark.operators.pdf import convert_pdfs
+
+    other = files.where(~F.coalesce(how.isin("verbatim", "pdf"), F.lit(False))).select("name", "content").mapInPandas(run, f"name string, {RESULT}")
+    return plain.unionByName(other).unionByName(convert_pdfs(files))
 
 
 def convert_html(rows: DataFrame, key: str, column: str) -> DataFrame:
