@@ -8,15 +8,17 @@ similarity whether a text has three words or a million.
 Registers are banded; documents that share a band's key are candidates. Work per bucket stays bounded:
 
 1. equal sets are one representative from here on, however many copies there are;
-2. each member of a bucket is compared with the bucket's centre (a star, not all pairs), the similarity is estimated
-   from the registers less the collisions that compression makes, and what may reach the threshold is
-   confirmed on the full sets;
+2. each member of a bucket is compared with the bucket's centre, the member that meets most others in its buckets (a star,
+   not all pairs), the similarity is estimated from the registers less the collisions that compression makes,
+   and what may reach the threshold is confirmed on the full sets;
 3. only members that are still in different components are paired within their buckets, which is exact: a link
-   inside one component can't change any component.
+   inside one component can't change any component. A pair meets only if the shingles that each has in common with any other
+   component leave the threshold within reach, so that a large group of copies edited in many ways doesn't give all its pairs.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8^ROWS)^BANDS, below 1e-6.
 Null, empty and blank texts have empty sets and are linked with nothing. Rows that repeat a doc_id are one document,
-linked by the least of their texts; each row keeps its own count. Other columns of the input are left out.
+linked by the least of their texts; each row keeps its own count. Rows without a doc_id have no component and are kept.
+Other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from .common import components, discard, stored, text_batches
+from .common import components, discard, id_column, stored, text_batches, with_nulls
 from .words import mix, shingles
 
 BANDS, ROWS = 40, 5
@@ -99,7 +101,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 rows.append((i, len(h), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, r.tobytes(), np.array(keys, np.uint64).astype(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", "regs", "bands"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>")
+    return with_nulls(docs.select(id_column(), "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>"))
 
 
 def _estimated(pairs: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
@@ -144,6 +146,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
+def _in_common(placed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(rep, home, s, h): how many shingles of each document (rep, component, home) documents of another component have too,
+    and how many of these its home lacks."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.drop(columns="text").assign(g=[shingles(t, k).astype(np.int64) for t in pdf["text"]])
+
+    rows = placed.join(texts, "rep").select("rep", "component", "home", "text").mapInPandas(run, "rep long, component long, home long, g array<long>")
+    rows = stored(rows, "near-shingles").select("rep", "component", "home", F.explode("g").alias("g"))
+    several = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
+    homes = placed.select("home").distinct().join(texts.select(F.col("rep").alias("home"), "text"), "home")
+    homes = homes.select(F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("component"), "home", "text").mapInPandas(run, "rep long, component long, home long, g array<long>")
+    homes = homes.select("home", F.explode("g").alias("g"), F.lit(1).alias("in_home"))
+    shared = rows.join(several, "g").join(homes, ["home", "g"], "left")
+    return shared.groupBy("rep", "home").agg(F.count("*").alias("s"), F.count_if(F.col("in_home").isNull()).alias("h"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text).
 
@@ -152,42 +172,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = every_row = stored(sketches(docs, k), "near-sketches")
+    docs = docs.where("doc_id is not null")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
         sk = stored(sketches(docs, k), "near-sketches")
-    full = sk.where("n > 0")
+    full = sk.where("n > 0 and doc_id is not null")
     groups = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = stored(full.select("doc_id", "d1", "d2").join(groups, ["d1", "d2"]).select("doc_id", "rep", "d1", "d2"), "near-members")
     reps = stored(full.join(groups, ["d1", "d2"]).where("doc_id = rep").select("rep", "n", "regs", "bands"), "near-reps")
 
-    rows = reps.select(F.explode("bands").alias("key"), "rep", "n")
-    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("centre")).where("c > 1").select("key", "centre")
+    rows = reps.select(F.posexplode("bands").alias("band", "key"), "rep", "n")
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     buckets = stored(rows.join(shared, "key"), "near-buckets")
-    near = "100 * least(na, nb) >= {p} * greatest(na, nb)".format(p=percent)
-
-    used = buckets.select("rep").distinct()
-    regs = stored(reps.select("rep", "regs").join(used, "rep"), "near-regs")
-    texts = stored(docs.join(used, docs.doc_id == used.rep, "inner").select("rep", "text"), "near-texts")
-
-    sizes = buckets.select(F.col("rep").alias("centre"), F.col("n").alias("nb")).distinct()
-    star = buckets.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre"), F.col("n").alias("na")).distinct()
-    star = star.join(sizes, "centre").select("a", F.col("centre").alias("b"), "na", "nb").where(near)
+    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+
+    used = buckets.groupBy("rep").agg(F.sum("c").alias("met"), F.first("n").alias("n"))
+    used = stored(used, "near-used")
+    regs = stored(reps.select("rep", "regs").join(used.select("rep"), "rep"), "near-regs")
+    texts = stored(docs.join(used, docs.doc_id == used.rep).select("rep", "text"), "near-texts")
+
+    placed = buckets.select("key", "rep", "n").join(used.select("rep", "met"), "rep")
+    centres = placed.groupBy("key").agg(F.max(F.struct("met", -F.col("rep"), "n")).alias("m")).select("key", (-F.col("m.col2")).alias("b"), F.col("m.n").alias("nb"), F.col("m.met").alias("met_b"))
+    placed = placed.join(centres, "key")
+    homes = placed.groupBy("rep").agg(F.max(F.struct("met_b", -F.col("b"))).alias("m")).select("rep", (-F.col("m.col2")).alias("home"))
+    homes = stored(homes, "near-homes")
+    star = placed.where("rep <> b").select(F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb").where(near).distinct()
     links = stored(_confirmed(_estimated(star, regs, percent), texts, k, percent), "near-links")
     comp = stored(components(links, "near-star"), "near-comp")
 
     placed = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = stored(placed.join(open_, "key").where("rep <> centre").select("key", "rep", "n", "component"), "near-open")
-    x = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    cross = x.join(y, "key").where("ca < cb").where(near).select("a", "b", "na", "nb").distinct()
+    opened = stored(placed.join(open_, "key").select("key", "band", "rep", "n", "component"), "near-open")
+    common = stored(_in_common(opened.select("rep", "component").distinct().join(homes, "rep"), texts, k), "near-common")
+    rest = opened.join(common, "rep").where(f"100 * s >= {percent} * n").join(reps.select("rep", "bands"), "rep")
+    side = lambda x: rest.select("key", *[F.col(c).alias(c + x) for c in ("rep", "n", "component", "home", "s", "h")], F.slice("bands", F.lit(1), F.col("band")).alias("earlier" + x))
+    #: At most so many shingles can be in common: within the home of both, and beside it.
+    most = "CASE WHEN homea = homeb THEN least(sa - ha, sb - hb) + least(ha, hb) ELSE least(sa, sb) END"
+    reach = f"componenta < componentb AND {near} AND 100 * ({most}) >= {percent} * (na + nb - ({most})) AND NOT arrays_overlap(earliera, earlierb)"
+    cross = side("a").join(side("b"), "key").where(reach).select(F.col("repa").alias("a"), F.col("repb").alias("b"), "na", "nb")
     more = stored(_confirmed(_estimated(cross, regs, percent), texts, k, percent), "near-more")
 
     own = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     every = links.unionByName(more).unionByName(own)
     final = stored(components(every, "near-all"), "near-final")
-    for x in (member, reps, buckets, regs, texts, links, comp, rest, more):
-        discard(x)
+    for done in (member, reps, buckets, used, homes, regs, texts, links, comp, opened, common, more):
+        discard(done)
     out = every_row.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).select("doc_id", "n_shingles", "component_id", "kept")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept")
