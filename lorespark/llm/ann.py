@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROJECTED = 8
-CONFIDENCE = 0.985
-LEAF = 64
+CONFIDENCE = 0.97
+LEAF = 128
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 1_024
 
@@ -68,28 +68,32 @@ def search_block(ids, vectors, query_ids, queries, norm2: float, k: int) -> list
     for d in range(PROJECTED):
         a = asked[:, d : d + 1]
         gap += np.maximum(np.maximum(low[:, d] - a, a - high[:, d]), 0) ** 2
-    placed = points[order]
-    found = []
-    step = max(1, len(leaves) // 16)
+    placed, ends = points[order], starts + sizes
+    found, step = [], max(1, len(leaves) // 16)
     for q, qid, g, spot in zip(queries, query_ids, gap, asked):
         visit = np.argsort(g, kind="stable")
-        q2, best_score, best = float(q @ q), np.empty(0), np.empty(0, np.int64)
+        q2, seen, rows = float(q @ q), np.empty(0), np.empty(0, np.int64)
         for at in range(0, len(visit), step):
-            if len(best) >= k:
-                true2 = max(norm2 + q2 - 2 * best_score[k - 1], 1e-12)
-                # copies of the k-th lie at its projected distance: ties are never cut
-                reach = ((placed[best[k - 1]] - spot) ** 2).sum() * (1 + 1e-9)
+            if len(seen) > k:  # a place more than k, for the query's own row
+                kth = len(seen) - k - 1
+                last = int(np.argpartition(seen, kth)[kth])
+                true2 = max(norm2 + q2 - 2 * seen[last], 1e-12)
+                # copies of that row lie at its projected distance: ties are never cut
+                reach = ((placed[rows[last]] - spot) ** 2).sum() * (1 + 1e-9)
                 if g[visit[at]] > reach and chi_square_cdf(g[visit[at]] / true2) >= CONFIDENCE:
                     break
-            rows = np.concatenate([np.arange(starts[s], starts[s] + sizes[s]) for s in visit[at : at + step]])
-            rows = rows[own[rows] != qid]
-            score, rows = np.r_[best_score, (vec[rows] * q).sum(axis=1)], np.r_[best, rows]
-            if len(score) > 4 * k:
-                part = score >= np.partition(score, len(score) - k)[len(score) - k]
-                score, rows = score[part], rows[part]
-            top = np.lexsort((own[rows], -score))[:k]
-            best_score, best = score[top], rows[top]
-        found += [(int(qid), int(own[i]), float(s)) for i, s in zip(best, best_score)]
+                keep = seen >= seen[last] - 1e-9 * (norm2 + q2)
+                seen, rows = seen[keep], rows[keep]
+            some = visit[at : at + step]
+            seen = np.concatenate([seen, *[vec[starts[s] : ends[s]] @ q for s in some]])
+            rows = np.concatenate([rows, *[np.arange(starts[s], ends[s]) for s in some]])
+        rows = rows[own[rows] != qid]
+        if len(rows) > k:
+            rough = vec[rows] @ q
+            rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9 * (norm2 + q2)]
+        score = (vec[rows] * q).sum(axis=1)  # the same order of additions for every row, so equal vectors tie
+        best = np.lexsort((own[rows], -score))[:k]
+        found += [(int(qid), int(i), float(s)) for i, s in zip(own[rows[best]], score[best])]
     return found
 
 

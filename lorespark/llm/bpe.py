@@ -18,6 +18,7 @@ import os
 import re
 import tempfile
 import unicodedata
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -25,11 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import discard, id_column, stored, text_batches, with_nulls
 
 LEXICON_WORDS = 65_536
 #: Distinct whitespace-delimited pieces whose encodings a worker remembers; beyond it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
+_NEVER = 1 << 60
 #: White space of the tokenizers library's \s (Unicode White_Space).
 _SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -53,10 +55,12 @@ class WordBpe:
         self.names = {i: t for t, i in self.vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
-        self.merges = {}
+        #: Rank of each pair of ids, and the id that each rank makes.
+        self.merges, self.made = {}, []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.merges[self.vocab[a], self.vocab[b]] = rank
+            self.made.append(self.vocab[a + b])
         symbols = byte_symbols()
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.suffix] for s in symbols]
@@ -66,9 +70,9 @@ class WordBpe:
 
     def words(self, piece: str) -> list[str]:
         """Normalised words of a piece; lower-casing is by character, as the library does it."""
-        s = unicodedata.normalize("NFC", piece)
+        s = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
         s = s.lower() if "Σ" not in s else "".join(map(str.lower, s))
-        return self.pattern.findall(s)
+        return [s] if s.isalpha() else self.pattern.findall(s)
 
     def merge(self, word: str) -> list[int]:
         """Token ids of one word by merging the adjacent pair of least rank until none is left."""
@@ -76,46 +80,37 @@ class WordBpe:
         ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         if len(ids) > 512:
             return self._merge_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best, new = None, 0
-            for pair in zip(ids, ids[1:]):
-                m = merges.get(pair)
-                if m is not None and (best is None or m[0] < best):
-                    best, new, left, right = m[0], m[1], *pair
-            if best is None:
-                break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if ids[i] == left and i + 1 < n and ids[i + 1] == right:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        find, made = self.merges.get, self.made
+        ranks = [find(pair, _NEVER) for pair in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) < _NEVER:
+            i = ranks.index(rank)
+            ids[i] = new = made[rank]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = find((new, ids[i + 1]), _NEVER)
+            if i:
+                ranks[i - 1] = find((ids[i - 1], new), _NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges through a heap, for words of any length in n log n steps."""
         import heapq
 
-        n, merges = len(ids), self.merges
+        n, find = len(ids), self.merges.get
         nxt, prv, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        heap = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := find((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = nxt[i]
             if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], alive[j], nxt[i] = new, False, nxt[j]
+            ids[i], alive[j], nxt[i] = self.made[rank], False, nxt[j]
             if nxt[j] >= 0:
                 prv[nxt[j]] = i
             for x in (prv[i], i):
-                if x >= 0 and nxt[x] >= 0 and (m := merges.get((ids[x], ids[nxt[x]]))):
-                    heapq.heappush(heap, (m[0], x, m[1], ids[x], ids[nxt[x]]))
+                if x >= 0 and nxt[x] >= 0 and (rank := find((ids[x], ids[nxt[x]]))) is not None:
+                    heapq.heappush(heap, (rank, x, ids[x], ids[nxt[x]]))
         return [t for t, ok in zip(ids, alive) if ok]
 
 
@@ -247,6 +242,7 @@ class Encoder:
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon):
         self.bpe, self.lexicon, self.known = bpe, lexicon, {}
+        self.shared = {i: i for i in bpe.names}  # one object for each id, however many pieces hold it
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
@@ -258,7 +254,7 @@ class Encoder:
         found = self.lexicon.find([w.encode("utf-8", "replace") for w in words])
         ids = {w: self.lexicon.of(i) if i >= 0 else self.bpe.merge(w) for w, i in zip(words, found.tolist())}
         for p, s in zip(new, split):
-            self.known[p] = [t for w in s for t in ids[w]]
+            self.known[p] = tuple(self.shared[t] for w in s for t in ids[w])
 
     def pieces(self, text: str) -> list[str]:
         return _SPLIT.split(text) if _ODD_SPACE.search(text) else text.split()
@@ -274,11 +270,34 @@ class Encoder:
         return [[i for x in part for p in x for i in (known[p] if p not in special else (special[p],))] for part in parts]
 
 
+_encoders: dict = {}
+
+
+def _encoder(key: str, make) -> Encoder:
+    """One encoder for each Python worker and job: what it has learnt serves the worker's next tasks."""
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = make()
+    return _encoders[key]
+
+
 def frequent_words(docs: DataFrame, limit: int) -> list[str]:
-    """The ``limit`` most frequent words of all texts, ties by the word."""
+    """The ``limit`` most frequent words of all texts, ties by the word.
+
+    The counts of counts give the least count that can matter, so that only about ``limit`` words ever leave the executors.
+    """
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
-    counts = docs.select(word).where("word <> ''").groupBy("word").count()
-    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(limit).collect()]
+    counts = stored(docs.select(word).where("word <> ''").groupBy("word").count().where("count > 1"), "bpe-words")
+    least, seen = 2, 0
+    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():
+        least, seen = r["count"], seen + r["n"]
+        if seen >= limit:
+            break
+    over = [r["word"] for r in counts.where(F.col("count") > least).orderBy(F.desc("count"), "word").collect()]
+    rest = counts.where(F.col("count") == least).select("word").orderBy("word").limit(max(0, limit - len(over)))
+    out = over + [r["word"] for r in rest.collect()]
+    discard(counts)
+    return out
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
@@ -290,12 +309,15 @@ def encode_decode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON
     bpe = WordBpe(spec)
     image = compile_lexicon({w.encode(): bpe.merge(w) for word in frequent_words(docs, lexicon_words) for w in bpe.words(word)})
     #: The vocabulary file and at most lexicon_words words, whatever the corpus holds.
-    shared = spark.sparkContext.broadcast((spec, image))
+    shared, key = spark.sparkContext.broadcast((spec, image)), uuid.uuid4().hex
 
     def run(batches):
-        own = WordBpe(shared.value[0])
-        encoder = Encoder(own, Lexicon(shared.value[1]))
-        number, name = {i: str(i) for i in own.names}, own.names
+        def make():
+            spec, image = shared.value
+            return Encoder(WordBpe(spec), Lexicon(image))
+
+        encoder = _encoder(key, make)
+        number, name = {i: str(i) for i in encoder.bpe.names}, encoder.bpe.names
         for pdf in batches:
             rows = encoder.encode([t or "" for t in pdf["text"]])
             sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
@@ -306,4 +328,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON
                 "decoded_sha256": [sha(" ".join(map(name.__getitem__, r))) for r in rows],
             })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_nulls(docs.select(id_column(), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

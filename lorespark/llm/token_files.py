@@ -9,7 +9,7 @@ Shards hold ranges of doc_id in ascending order (rows that repeat a doc_id follo
 as one row's binary value of a Parquet table: its commit protocol keeps exactly one copy of every file however many
 executors are lost, on any file system that Spark writes to.
 
-Null and empty texts are encoded as the end id alone. An empty table gives no shards and no rows.
+Null and empty texts are encoded as the end id alone. Documents without an id come first. An empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import json
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import shuffle_partitions, text_batches
+from .common import id_column, shuffle_partitions, text_batches, with_nulls
 
 MAGIC = b"WMTOKEN1"
 #: The word pattern of byte-level BPE vocabularies of this kind (fixed value).
@@ -181,17 +182,21 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known, self.starts, self.ids, self.used = {}, [0], np.empty(1 << 20, np.uint32), 0
+        self.known, self.starts, self.ids, self.used = {}, np.zeros(REMEMBERED + 1, np.int64), np.empty(1 << 20, np.uint32), 0
 
     def _learn(self, pieces: list[str]) -> None:
-        for p in pieces:
-            got = self.piece(p)
-            if self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(got)), np.uint32)])
-            self.ids[self.used : self.used + len(got)] = got
-            self.used += len(got)
-            self.known[p] = len(self.starts) - 1
-            self.starts.append(self.used)
+        if not pieces:
+            return
+        got = [self.piece(p) for p in pieces]
+        flat, n = np.fromiter((i for x in got for i in x), np.uint32), len(self.known)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
+        while n + len(got) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts[n + 1 : n + 1 + len(got)] = self.used + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+        self.used += len(flat)
+        self.known.update(zip(pieces, range(n, n + len(got))))
 
     def pieces(self, text: str) -> list[str]:
         if self.loose.search(text):
@@ -206,7 +211,7 @@ class PieceEncoder:
             self._reset()
         known = self.known
         self._learn(list({p for x in parts if x for p in x if p not in known}))
-        starts = np.array(self.starts)
+        starts = self.starts
         out = []
         for t, x in zip(texts, parts):
             if x is None:
@@ -220,18 +225,24 @@ class PieceEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> PieceEncoder:
+    """One encoder for each Python worker: what it has learnt serves the worker's next tasks."""
+    return PieceEncoder(vocabulary)
+
+
 def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard_bytes: int = SHARD_BYTES) -> str:
     """Writes the table (shard, n_docs, n_tokens, file) of all rows of ``docs`` (doc_id, text) to ``path``."""
     spark = docs.sparkSession
     text_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(id_column(), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, total // shard_bytes, min(shuffle_partitions(spark), total // (shard_bytes // 8)))
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, ids, names = PieceEncoder(vocabulary), [], []
+        encoder, ids, names = _encoder(vocabulary), [], []
         for pdf in batches:
             for i, got in zip(pdf["doc_id"], encoder.encode(list(pdf["text"]))):
                 names.append(i)
@@ -263,4 +274,4 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"shard": np.full(len(crc), shard, np.int32), "doc_id": f.doc_ids, "start": starts, "n_tokens": f.ends - starts, "ids_crc32": np.array(crc, np.int64)})
 
     docs = files.select("shard", "file").mapInPandas(run, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    return docs.join(firsts, "shard").select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return with_nulls(docs.join(firsts, "shard")).select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
