@@ -24,6 +24,8 @@ RESULT = "text string, structure string, truncated boolean, failed boolean, erro
 TEXT_LIMIT = 16 * 1024 * 1024
 JSON_FENCE_LIMIT = 8 * 1024
 JSON_DEPTH = 32
+#: What stands for an image of a word-processor file (fixed value).
+IMAGE = "![图片]()"
 
 
 # In the JVM
@@ -311,8 +313,10 @@ def xlsx_to_markdown(data: bytes) -> str:
 _HEADING_STYLE = re.compile(r"^(?:heading|标题|標題|見出し|见出し)\s*([1-6])$", re.I)
 
 
-def docx_to_markdown(data: bytes) -> str:
-    """Headings by outline level or style name, list items, tables and paragraphs; images become their mark."""
+def docx_to_markdown(data: bytes) -> tuple[str, bool]:
+    """Headings by outline level or style name, list items, tables and paragraphs; images become their mark.
+
+    The second value tells whether a paragraph has a style that says nothing here, so that a heading may have been lost."""
     tag = lambda e: e.tag.rpartition("}")[2]
     val = lambda e: next((v for k, v in e.attrib.items() if k.endswith("}val")), None)
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -329,9 +333,9 @@ def docx_to_markdown(data: bytes) -> str:
         body = next(e for e in _xml(z, "word/document.xml") if tag(e) == "body")
 
     def said(p) -> str:
-        return "".join({"t": e.text or "", "tab": "\t", "br": "\n", "drawing": "[image]"}.get(tag(e), "") for e in p.iter())
+        return "".join({"t": e.text or "", "tab": "\t", "br": "\n", "drawing": IMAGE}.get(tag(e), "") for e in p.iter())
 
-    out = []
+    out, lost = [], False
     for e in body:
         if tag(e) == "tbl":
             rows = [[" ".join(said(p) for p in c.iter() if tag(p) == "p").strip() for c in r if tag(c) == "tc"] for r in e.iter() if tag(r) == "tr"]
@@ -339,16 +343,17 @@ def docx_to_markdown(data: bytes) -> str:
         elif tag(e) == "p" and (text := said(e).strip()):
             style = next((val(s) for s in e.iter() if tag(s) == "pStyle"), None)
             listed = any(tag(s) == "numPr" for s in e.iter())
+            lost |= style is not None and style not in levels and not listed
             out.append("#" * levels[style] + " " + text if style in levels else "- " + text if listed else text)
     if not out:
         raise ValueError("the document has no text")
-    return "\n\n".join(out) + "\n"
+    return "\n\n".join(out) + "\n", lost
 
 
 def converted(name: str, data: bytes, limit: int = TEXT_LIMIT) -> tuple:
     """A row of RESULT for one file; whatever goes wrong with it is said in the row."""
     ext = name.rpartition(".")[2].lower()
-    stem = re.split(r"[\\/]", name)[-1].rpartition(".")[0]
+    stem, lost = re.split(r"[\\/]", name)[-1].rpartition(".")[0], False
     try:
         how = T.FORMATS.get(ext)
         if how in (None, "pdf"):
@@ -356,7 +361,7 @@ def converted(name: str, data: bytes, limit: int = TEXT_LIMIT) -> tuple:
         if how == "xlsx":
             text = xlsx_to_markdown(data)
         elif how == "docx":
-            text = docx_to_markdown(data)
+            text, lost = docx_to_markdown(data)
         else:
             text = data.decode("utf-8", "replace").removeprefix("﻿")
             text = {"html": html_to_markdown, "csv": lambda t: csv_to_markdown(t, stem), "json": json_to_markdown}.get(how, lambda t: t)(text)
@@ -366,7 +371,8 @@ def converted(name: str, data: bytes, limit: int = TEXT_LIMIT) -> tuple:
     except (ValueError, KeyError, TypeError, StopIteration, AttributeError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as e:
         return None, None, False, True, str(e) or type(e).__name__
     kept = cap_bytes(text, limit)
-    return kept, grade_text(kept), kept != text, False, None
+    grade = grade_text(kept)
+    return kept, "inferred" if lost and grade == "structured" else grade, kept != text, False, None
 
 
 def convert_files(files: DataFrame) -> DataFrame:

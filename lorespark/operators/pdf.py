@@ -1,8 +1,8 @@
 """Text-layer PDF files to Markdown.
 
 ``runs_of`` reads positioned text from a file's content streams (Flate or plain, simple fonts, ToUnicode maps); scans and encrypted files are refused
-with what to do about them. Layout is inferred from geometry: lines, columns, headings by size, tables by aligned cells. What is inferred
-is never graded ``structured``.
+with what to do about them. A file that tags its text is laid out by its tags; else layout is inferred from geometry: lines, columns, headings by
+size, tables by aligned cells. What is inferred is never graded ``structured``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from itertools import groupby
 from typing import NamedTuple
 
 import pandas as pd
@@ -23,6 +24,10 @@ from lorespark.operators.convert import RESULT, TEXT_LIMIT, cap_bytes, grade_tex
 PAGES, SECONDS = 1000, 120.0
 HEADING_SIZES, HEADING_CHARS = 6, 40
 TABLE_ROWS = (3, 200)
+#: Tags of marked content that lay out a page (fixed values).
+HEADING_TAGS = {"H": 1, "H1": 1, "H2": 2, "H3": 3, "H4": 4, "H5": 5, "H6": 6}
+TABLE_TAGS = frozenset(("Table", "TR", "TH", "TD"))
+BLOCK_TAGS = frozenset((*HEADING_TAGS, *TABLE_TAGS, "P", "L", "LI", "LBody"))
 
 
 class Run(NamedTuple):
@@ -32,6 +37,7 @@ class Run(NamedTuple):
     width: float
     size: float
     text: str
+    tag: str = ""
 
 
 class Refused(ValueError):
@@ -105,7 +111,7 @@ def _objects(data: bytes) -> dict[int, bytes]:
 
 
 def _page_runs(page: int, content: bytes, fonts: dict[bytes, dict]) -> list[Run]:
-    runs, stack, font, size, lead = [], [], {}, 0.0, 0.0
+    runs, stack, font, size, lead, marks = [], [], {}, 0.0, 0.0, []
     line = at = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
     def move(x, y):
@@ -117,7 +123,7 @@ def _page_runs(page: int, content: bytes, fonts: dict[bytes, dict]) -> list[Run]
         text, scale = _decoded(raw, font), (at[2] ** 2 + at[3] ** 2) ** 0.5 * size
         width = sum(1.0 if _WIDE.match(ch) else 0.5 for ch in text) * scale
         if text.strip():
-            runs.append(Run(page, at[4], at[5], width, scale, text))
+            runs.append(Run(page, at[4], at[5], width, scale, text, next((x for x in reversed(marks) if x != "Document"), "")))
         at = (*at[:4], at[4] + width, at[5])
 
     for m in _TOKEN.finditer(content):
@@ -131,6 +137,10 @@ def _page_runs(page: int, content: bytes, fonts: dict[bytes, dict]) -> list[Run]
                 line = at = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
             elif t == b"Tf":
                 font, size = fonts.get(stack[-2][1:], {}), number(-1)
+            elif t in (b"BMC", b"BDC"):
+                marks.append(stack[0][1:].decode("latin-1") if stack else "")
+            elif t == b"EMC":
+                del marks[-1:]
             elif t == b"TL":
                 lead = number(-1)
             elif t in (b"Td", b"TD"):
@@ -258,7 +268,32 @@ def _table(lines: list[list[Run]], at: int) -> int:
     return n if n >= TABLE_ROWS[0] else 0
 
 
+def _tagged(runs: list[Run]) -> str:
+    """Blocks as the file's own tags tell them: headings by level, lines of table cells as tables, paragraphs."""
+    blocks: list[str] = []
+    for page in sorted({r.page for r in runs}):
+        kinds = []
+        for line in lines_of([r for r in runs if r.page == page]):
+            tag = next((r.tag for r in line if r.tag in BLOCK_TAGS), "")
+            kinds.append(("heading" if tag in HEADING_TAGS else "table" if tag in TABLE_TAGS else "text", tag, line))
+        for kind, group in groupby(kinds, key=lambda x: x[0]):
+            lines = [(tag, line) for _, tag, line in group]
+            if kind == "heading":
+                blocks += ["#" * HEADING_TAGS[tag] + " " + line_text(line) for tag, line in lines]
+            elif kind == "table":
+                blocks.append(pipe_table([[c for _, c in _cells(line)] for _, line in lines]))
+            else:
+                blocks.append("\n".join(line_text(line) for _, line in lines))
+    return "\n\n".join(blocks) + ("\n" if blocks else "")
+
+
+def is_tagged(runs: list[Run]) -> bool:
+    return any(r.tag in BLOCK_TAGS for r in runs)
+
+
 def pdf_to_markdown(runs: list[Run]) -> str:
+    if is_tagged(runs):
+        return _tagged(runs)
     body, blocks = body_size(runs), []
     sizes = sorted({round(r.size * 4) / 4 for r in runs if r.size > body + 0.5}, reverse=True)[:HEADING_SIZES]
     for page in sorted({r.page for r in runs}):
@@ -305,7 +340,7 @@ def converted_pdf(data: bytes) -> tuple:
         return None, None, cut, True, "no text was found; the file may be a scan, so recognise its text first"
     kept = cap_bytes(text, TEXT_LIMIT)
     level = grade_text(kept)
-    return kept, "inferred" if level == "structured" else level, cut or kept != text, cut, "a limit cut the document short" if cut else None
+    return kept, "inferred" if level == "structured" and not is_tagged(runs) else level, cut or kept != text, cut, "a limit cut the document short" if cut else None
 
 
 def convert_pdfs(files: DataFrame) -> DataFrame:

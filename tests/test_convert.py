@@ -66,7 +66,10 @@ def test_docx():
     p = lambda s, t: f'<w:p><w:pPr><w:pStyle w:val="{s}"/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
     body = f"<w:document {W}><w:body>{p('b', 'Top')}{p('a', 'Sub')}{p('z', 'Text')}<w:tbl><w:tr><w:tc>{p('z', 'h')}</w:tc></w:tr></w:tbl></w:body></w:document>"
     data = _zip(**{"word__styles.xml": styles, "word__document.xml": body})
-    assert C.docx_to_markdown(data) == "# Top\n\n## Sub\n\nText\n\n| h |\n| --- |\n"
+    assert C.docx_to_markdown(data)[0] == "# Top\n\n## Sub\n\nText\n\n| h |\n| --- |\n"
+    assert C.docx_to_markdown(data)[1] is True and C.converted("x.docx", data)[1] == "inferred"  # style z says nothing, so a heading may be lost
+    image = f"<w:document {W}><w:body>{p('b', 'Top')}<w:p><w:r><w:drawing/></w:r></w:p></w:body></w:document>"
+    assert C.docx_to_markdown(_zip(**{"word__styles.xml": styles, "word__document.xml": image})) == ("# Top\n\n![图片]()\n", False)
 
 
 def test_xlsx():

@@ -57,3 +57,12 @@ def test_files(spark):
     df = spark.createDataFrame([(n, bytearray(c)) for n, c in rows], "name string, content binary")
     got = {r["name"]: r for r in P.convert_pdfs(df).collect()}
     assert set(got) == {"a.pdf", "b.PDF"} and got["a.pdf"]["structure"] == "inferred" and got["a.pdf"]["text"].startswith("# T\n") and got["b.PDF"]["failed"]
+
+
+def test_tags():
+    draw = lambda tag, x, y, t: b"/%s <</MCID 0>> BDC BT /F1 10 Tf 1 0 0 1 %d %d Tm (%s) Tj ET EMC\n" % (tag, x, y, t)
+    body = draw(b"H2", 50, 700, b"Small heading") + draw(b"P", 50, 680, b"some text") + draw(b"Span", 50, 668, b"goes on")
+    body += b"".join(draw(b"TD", x, y, b"c%d%d" % (x, y)) for y in (640, 626) for x in (50, 200))
+    runs = P._page_runs(1, b"/Document BMC " + body + b"EMC", {})
+    assert P.is_tagged(runs) and {r.tag for r in runs} == {"H2", "P", "Span", "TD"}
+    assert P.pdf_to_markdown(runs) == "## Small heading\n\nsome text\ngoes on\n\n| c50640 | c200640 |\n| --- | --- |\n| c50626 | c200626 |\n"
