@@ -142,3 +142,54 @@ def endpoint(url) -> Column:
     """The embeddings endpoint of a base address: trailing slashes go, the path is added once."""
     base = F.regexp_replace(F.trim(_col(url)), "/+$", "")
     return F.when(base.endswith("/embeddings"), base).otherwise(F.concat(base, F.lit("/embeddings")))
+
+
+def doc_id_of(path) -> Column:
+    """The document id that a source path's file stem is; empty where the stem isn't one."""
+    stem = F.regexp_replace(F.regexp_extract(_col(path), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return F.when(stem.startswith("doc_"), stem).otherwise(F.lit(""))
+
+
+def relative_path(root, path) -> Column:
+    """A path below ``root`` without it, parts joined by slashes; any other path as it is."""
+    slashed = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
+    base = F.concat(F.regexp_replace(slashed(_col(root)), "/+$", ""), F.lit("/"))
+    return F.when(slashed(_col(path)).startswith(base), F.substring(slashed(_col(path)), F.length(base) + 1, F.length(_col(path)))).otherwise(_col(path))
+
+
+def stamp(iso) -> Column:
+    """``YYYY-MM-DD HH:MM`` of an ISO stamp, a dash for none."""
+    shown = F.replace(F.substring(_col(iso), 1, 16), F.lit("T"), F.lit(" "))
+    return F.when(F.coalesce(_col(iso), F.lit("")) == "", "—").otherwise(shown)
+
+
+def build_error(message) -> Column:
+    """A failure's text with what to do about it, where the store's own words don't say."""
+    m = _col(message)
+    return (
+        F.when(m.rlike("(?i)collection is closed"), F.lit("the index was closed by a build that was stopped; submit the build again"))
+        .when(m.rlike("(?i)can't lock|internal_error.*lock"), F.lit("the index is in use by another build; try again shortly"))
+        .otherwise(m)
+    )
+
+
+def is_wide(text) -> Column:
+    """Whether a text holds a character that counts as a token of its own."""
+    return F.coalesce(_col(text).rlike(f"[{WIDE}]"), F.lit(False))
+
+
+def hit_line(rank, band, score, name, line, start, end, text) -> Column:
+    """A hit as one numbered line: band and score, place, character range, 300 characters of text."""
+    place = F.format_string("%d. [%s %.2f] %s:%d (chars %d-%d) ", _col(rank), _col(band), _col(score), _col(name), _col(line), _col(start), _col(end))
+    return F.concat(place, preview(text, 300))
+
+
+def parsed_hits(text) -> Column:
+    """Array of structs (rank, band, score, name, line, char_start, char_end, doc_id) of the lines that ``hit_line`` made."""
+    shape = r"(?m)^(\d+)\.\s+\[(\w+)\s+([\d.]+)\]\s+(.+?):(\d+)\s+\(chars (\d+)-(\d+)\)"
+    found = F.regexp_extract_all(_col(text), F.lit(shape), 0)
+    part = lambda x, i: F.regexp_extract(x, shape, i)
+    return F.transform(found, lambda x: F.struct(
+        part(x, 1).cast("int").alias("rank"), part(x, 2).alias("band"), part(x, 3).cast("double").alias("score"), part(x, 4).alias("name"),
+        part(x, 5).cast("int").alias("line"), part(x, 6).cast("int").alias("char_start"), part(x, 7).cast("int").alias("char_end"), doc_id_of(part(x, 4)).alias("doc_id"),
+    ))

@@ -159,3 +159,41 @@ def progress(log: DataFrame, key: str = "job") -> DataFrame:
 
 def overview(views: DataFrame) -> DataFrame:
     return views.agg(F.coalesce(F.sum("documents"), F.lit(0)).cast("long").alias("documents"), F.count_if(F.col("status") == "ready").alias("ready"), F.count("*").alias("collections"))
+
+
+def build_records(views: DataFrame) -> DataFrame:
+    """(at, collection, chunks, status) of every collection that was ever built, the latest first."""
+    rows = views.where("built_at is not null")
+    return rows.select(F.col("built_at").alias("at"), "collection", "chunks", "status").orderBy(F.desc("at"), "collection")
+
+
+def document_list(documents: DataFrame) -> DataFrame:
+    """What a list of documents shows, the largest id first; unknown chunk counts stay null."""
+    shown = [c for c in ("doc_id", "name", "bytes", "status", "chunks", "error", "structure") if c in documents.columns]
+    return documents.select(*shown, T.extension("name").alias("extension")).orderBy(F.desc("doc_id"))
+
+
+def matching(rows: DataFrame, status: str = "all", text: str = "", columns: tuple[str, ...] = ("name",)) -> DataFrame:
+    """Rows of a status (``all``: any) whose ``columns`` hold the text, case and outer blanks aside."""
+    needle = text.strip().lower()
+    rows = rows if status == "all" else rows.where(F.col("status") == status)
+    if not needle:
+        return rows
+    holds = F.lit(False)
+    for c in columns:
+        holds = holds | F.coalesce(F.contains(F.lower(c), F.lit(needle)), F.lit(False))
+    return rows.where(holds)
+
+
+def first_preview(chunks: DataFrame, n: int = 8) -> DataFrame:
+    """The first n chunks of the first document that has any, by one aggregate and a pruned scan."""
+    first = chunks.agg(F.min("doc_id").alias("doc_id"))
+    rows = chunks.where(F.col("ordinal") < n).join(F.broadcast(first), "doc_id", "left_semi")
+    return rows.select("doc_id", "ordinal", "tokens", "overlap_tokens", T.preview("text", 80).alias("snippet"), "char_start", "char_end")
+
+
+def inspection(documents: DataFrame, collections: DataFrame, snapshots: DataFrame, key: str = "collection") -> DataFrame:
+    """One row of a read-only report for each collection: counts by status, chunks recorded and served, documents not served."""
+    missing = not_served(documents, collections, key).groupBy(key).agg(F.count("*").alias("not_served"))
+    rows = view(collections, summary(documents, key), key).join(reconcile(documents, snapshots, key).select(key, "served", "difference"), key, "left")
+    return rows.join(missing, key, "left").withColumn("not_served", F.coalesce("not_served", F.lit(0)))

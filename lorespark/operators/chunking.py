@@ -241,3 +241,15 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     found = F.regexp_extract_all(T.normalize_newlines("text"), F.lit(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*"), 0)
     kept = F.filter(found, lambda p: p.rlike(r"\S"))
     return docs.select("doc_id", F.posexplode(kept).alias("ordinal", "text")).withColumn("tokens", T.token_estimate("text"))
+
+
+def register_chunk_function(spark, name: str = "chunk") -> None:
+    """A table function for SQL: ``SELECT d.doc_id, c.* FROM docs d, LATERAL chunk(d.text, 'heading', 512, 64, 1) c``."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType=CHUNK)
+    class Chunk:
+        def eval(self, text: str, mode: str, chunk_tokens: int, overlap_tokens: int, min_chunk_tokens: int):
+            yield from chunks_of(text or "", Config(mode, chunk_tokens, overlap_tokens, min_chunk_tokens))[0]
+
+    spark.udtf.register(name, Chunk)

@@ -203,3 +203,46 @@ SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.0f B', n) WHEN n < 1048576 THEN
 INCREMENTAL = "SELECT count(*) AS rows, sum(CASE WHEN l.quality = 0 THEN 2 ELSE 1 END * length(text))::BIGINT AS size FROM documents d LEFT JOIN labels l USING (doc_id)"
 
 STREAM_COUNTS = "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS hits FROM events GROUP BY 1, 2"
+
+# Lists and reports
+
+BUILD_RECORDS = f"WITH {_RECORDS}, {_VIEW} SELECT c.built_at AS at, c.collection, v.chunks, v.status FROM collections c JOIN views v USING (collection) WHERE c.built_at IS NOT NULL"
+
+DOCUMENT_LIST = f"WITH {_RECORDS} SELECT doc_id, name, bytes, status, chunks, structure, 'md' AS extension FROM records"
+
+FILTER_DOCUMENTS = f"WITH {_RECORDS} SELECT doc_id, name FROM records WHERE status = 'ready' AND contains(lower(name), 'src1/')"
+
+FILTER_COLLECTIONS = f"WITH {_RECORDS}, {_VIEW} SELECT collection, name FROM views WHERE contains(lower(name), 'src1') OR contains(lower(collection), 'src1')"
+
+INSPECTION = f"""WITH {_RECORDS}, {_VIEW}, s AS (SELECT source AS collection, count(*) AS served FROM documents GROUP BY 1),
+missing AS (SELECT r.collection, count(*) AS n FROM records r JOIN collections c USING (collection)
+  WHERE c.built_at IS NULL OR TIMESTAMP '2024-01-05' > c.built_at OR coalesce(r.chunks, 0) = 0 GROUP BY 1)
+SELECT v.collection, v.status, t.documents, t.ready, t.pending, t.failed, t.chunks, s.served, t.chunks - s.served AS difference, coalesce(m.n, 0) AS not_served
+FROM views v JOIN summaries t USING (collection) JOIN s USING (collection) LEFT JOIN missing m USING (collection)"""
+
+FIRST_PREVIEW = f"""WITH f AS (SELECT min(doc_id) AS doc_id FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, unnest(range(0, least(8, ceil(length(text) / 700)::BIGINT))) AS k, text FROM documents JOIN f USING (doc_id))
+SELECT doc_id, k AS ordinal, {_estimate('substring(text, k * 700 + 1, 800)')} AS tokens, k * 700 AS char_start, least(k * 700 + 800, length(text))::BIGINT AS char_end FROM c"""
+
+CHUNK_COUNTS = f"WITH {_RANGES} SELECT doc_id, count(*) AS chunks FROM chunks GROUP BY doc_id"
+
+SOURCE_PATHS = """SELECT doc_id, 'store/' || source || '/doc_' || doc_id || '.v1.md' AS path, 'doc_' || doc_id || '.v1' AS found, '' AS other FROM documents"""
+
+STAMPS = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events"
+
+HIT_LINES = """SELECT doc_id, 3 AS rank, 'fair' AS band, round(0.5 + doc_id % 50 / 100, 2) AS score, source || '/doc_' || doc_id || '.md' AS name, (doc_id + 1)::INTEGER AS line,
+  10 AS char_start, n_chars::INTEGER AS char_end, 'doc_' || doc_id AS found FROM documents"""
+
+WIDE_TEXTS = r"SELECT doc_id, regexp_matches(coalesce(text, ''), '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{2EBEF}]') AS wide FROM documents"
+
+BUILD_ERRORS = """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'the index was closed by a build that was stopped; submit the build again'
+  WHEN 1 THEN 'the index is in use by another build; try again shortly' ELSE 'event ' || event_id END AS message FROM events"""
+
+STREAM_SLIDING = """WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT (day - to_days(k::INTEGER))::TIMESTAMP AS window_start, event_type, sum(n)::BIGINT AS hits FROM d, range(0, 7) r(k) GROUP BY 1, 2"""
+
+QUANTIZED_CODES = """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT id, v, list_max(list_transform(v, lambda x: abs(x))) AS m FROM v)
+SELECT id, len(v)::INTEGER AS size, list_sum(list_transform(v, lambda x: round(x / (m / 127.0))))::BIGINT AS int8, list_sum(list_transform(v, lambda x: round(x / (m / 7.0))))::BIGINT AS int4 FROM s"""
+
+DENSE_ALL_CELLS = f"WITH {_DENSE.format(n=5)} SELECT query_id, rank, id, round(score, 6) AS score FROM dense WHERE rank <= 8"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
-from lorespark.operators import catalog, chunking, convert, embed, evidence, lines, retrieval
+from lorespark.operators import catalog, chunking, convert, embed, evidence, lines, retrieval, vector_index
 from lorespark.plans import oracle as O
 
 QUERIES: dict = {}
@@ -451,3 +451,143 @@ def stream_window_counts(spark, sf_dir):
     from lorespark.streaming import hits
 
     return hits.run_to_end(spark, f"{sf_dir}/events.parquet", "1 day", "event_type")
+
+
+# Lists and reports
+
+
+def _views(spark, sf_dir):
+    return catalog.view(_collections(spark, sf_dir), catalog.summary(_records(spark, sf_dir)))
+
+
+@query(O.BUILD_RECORDS)
+def build_records(spark, sf_dir):
+    return catalog.build_records(_views(spark, sf_dir))
+
+
+@query(O.DOCUMENT_LIST)
+def document_list(spark, sf_dir):
+    return catalog.document_list(_records(spark, sf_dir))
+
+
+@query(O.FILTER_DOCUMENTS)
+def filter_documents(spark, sf_dir):
+    return catalog.matching(_records(spark, sf_dir), "ready", " SRC1/ ").select("doc_id", "name")
+
+
+@query(O.FILTER_COLLECTIONS)
+def filter_collections(spark, sf_dir):
+    return catalog.matching(_views(spark, sf_dir), "all", "Src1", ("name", "collection")).select("collection", "name")
+
+
+@query(O.INSPECTION)
+def inspection(spark, sf_dir):
+    records = _records(spark, sf_dir).withColumn("built_at", F.lit("2024-01-05").cast("timestamp"))
+    served = _docs(spark, sf_dir).groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("chunks"))
+    return catalog.inspection(records, _collections(spark, sf_dir), served).drop("name", "built_at")
+
+
+@query(O.FIRST_PREVIEW)
+def first_preview(spark, sf_dir):
+    """Windows laid every 700 characters, 800 long, of the first document that has any."""
+    docs = _docs(spark, sf_dir).where("length(text) > 0").select("doc_id", "text", F.posexplode(F.sequence(F.lit(0), F.ceil(F.length("text") / 700) - 1)).alias("ordinal", "_k"))
+    piece = F.substring("text", (F.col("_k") * 700 + 1).cast("int"), F.lit(800))
+    chunks = docs.select(
+        "doc_id", F.col("ordinal").cast("long").alias("ordinal"), piece.alias("text"), T.token_estimate(piece).alias("tokens"), F.lit(0).alias("overlap_tokens"),
+        (F.col("_k") * 700).cast("long").alias("char_start"), F.least(F.col("_k") * 700 + 800, F.length("text")).cast("long").alias("char_end"),
+    )
+    return catalog.first_preview(chunks).drop("snippet", "overlap_tokens")
+
+
+@query(O.CHUNK_COUNTS)
+def chunks_by_document(spark, sf_dir):
+    return _ranges(spark, sf_dir)[1].groupBy("doc_id").agg(F.count("*").alias("chunks"))
+
+
+# Functions
+
+
+@query(O.SOURCE_PATHS)
+def source_paths(spark, sf_dir):
+    absolute = F.concat(F.lit("/work/store/"), "source", F.lit("/doc_"), "doc_id", F.lit(".v1.md"))
+    path = T.relative_path(F.lit("/work/"), absolute)
+    return _docs(spark, sf_dir).select("doc_id", path.alias("path"), T.doc_id_of(path).alias("found"), T.doc_id_of(F.concat("source", F.lit("/readme.md"))).alias("other"))
+
+
+@query(O.STAMPS)
+def stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.stamp(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("shown"))
+
+
+@query(O.HIT_LINES)
+def hit_lines(spark, sf_dir):
+    """Hits rendered as lines and read back."""
+    score = F.lit(0.5) + F.col("doc_id") % 50 / 100
+    rows = _docs(spark, sf_dir).select("doc_id", "n_chars", "text", score.alias("score"), F.concat("source", F.lit("/doc_"), "doc_id", F.lit(".md")).alias("name"))
+    line = T.hit_line(F.lit(3), F.lit("fair"), "score", "name", (F.col("doc_id") + 1).cast("int"), F.lit(10), F.col("n_chars").cast("int"), F.coalesce("text", F.lit("")))
+    found = rows.select("doc_id", T.parsed_hits(line)[0].alias("h"))
+    return found.select("doc_id", "h.rank", "h.band", "h.score", "h.name", "h.line", "h.char_start", "h.char_end", F.col("h.doc_id").alias("found"))
+
+
+@query(O.WIDE_TEXTS)
+def wide_texts(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.is_wide("text").alias("wide"))
+
+
+@query(O.BUILD_ERRORS)
+def build_errors(spark, sf_dir):
+    n = F.col("event_id") % 3
+    said = F.when(n == 0, "Collection is CLOSED now").when(n == 1, "can't lock the index").otherwise(F.concat(F.lit("event "), "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", T.build_error(said).alias("message"))
+
+
+@query(O.STREAM_SLIDING)
+def stream_sliding_hits(spark, sf_dir):
+    """Hits of the seven days from each day on, from a stream run to its end."""
+    from lorespark.streaming import hits
+
+    return hits.run_to_end(spark, f"{sf_dir}/events.parquet", "7 days", "event_type", "1 day")
+
+
+# Vector indexes
+
+
+@query(O.QUANTIZED_CODES)
+def quantized_codes(spark, sf_dir):
+    """Sums of each vector's INT8 and INT4 codes."""
+    vectors, _ = _chunks(spark, sf_dir)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    eight = vector_index.encoded(vectors.where("vector is not null"), "INT8").select("id", "size", total("codes").alias("int8"))
+    four = vector_index.encoded(vectors.where("vector is not null"), "INT4")
+    whole = vector_index.decoded(four, "INT4").join(four.select("id", "scale"), "id")
+    return eight.join(whole.select("id", total(F.transform("vector", lambda x: F.round(x / F.col("scale")).cast("long"))).alias("int4")), "id")
+
+
+@query()
+def quantized_int4_topk(spark, sf_dir):
+    vectors, _ = _chunks(spark, sf_dir)
+    return vector_index.rescored(vectors, _probes(spark, sf_dir, 5), 8, "INT4", 16).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query()
+def quantized_fp16_topk(spark, sf_dir):
+    vectors, _ = _chunks(spark, sf_dir)
+    return vector_index.rescored(vectors, _probes(spark, sf_dir, 5), 8, "FP16").select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(O.DENSE_ALL_CELLS)
+def cells_all_topk(spark, sf_dir):
+    """Search over k-means cells with every cell probed: the exact answer."""
+    vectors, _ = _chunks(spark, sf_dir)
+    model = vector_index.fit_cells(vectors, sample=20_000)
+    hits = vector_index.probed(vector_index.celled(vectors, model), model, _probes(spark, sf_dir, 5), 8, vector_index.LISTS)
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query()
+def cells_topk(spark, sf_dir):
+    """Three of ten cells probed; recall against exact search is tested."""
+    vectors, _ = _chunks(spark, sf_dir)
+    model = vector_index.fit_cells(vectors, sample=20_000)
+    hits = vector_index.probed(vector_index.celled(vectors, model), model, _probes(spark, sf_dir, 5), 8)
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))

@@ -25,10 +25,10 @@ def stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_end(spark: SparkSession, path: str, window: str, key: str) -> DataFrame:
+def run_to_end(spark: SparkSession, path: str, window: str, key: str, slide: str | None = None) -> DataFrame:
     """What a stream over all files now at ``path`` counts: it's stopped when nothing is left to read."""
     name = "hits_" + uuid.uuid4().hex
-    out = windowed(stream(spark, path), window, key)
+    out = windowed(stream(spark, path), window, key, slide)
     where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hits-")
     q = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()

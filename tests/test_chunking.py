@@ -2,7 +2,7 @@ import time
 
 import pytest
 
-from lorespark.operators.chunking import Config, chunk_documents, chunks_of, tokens_of
+from lorespark.operators.chunking import Config, chunk_documents, chunks_of, register_chunk_function, tokens_of
 
 SMALL = Config("heading", 200, 12, 5)
 
@@ -100,3 +100,12 @@ def test_documents(spark):
     docs = spark.createDataFrame([(1, "a" * 900, "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, chunk_id string")
     got = chunk_documents(docs, Config("fixed", 100, 10, 1)).orderBy("ordinal").collect()
     assert [r["chunk_id"] for r in got] == ["1#0", "1#1", "1#2"] and {r["doc_id"] for r in got} == {1}
+
+
+def test_table_function(spark):
+    docs = spark.createDataFrame([(1, "# A\n\nbody " * 60), (2, None), (3, "plain")], "doc_id long, text string")
+    docs.createOrReplaceTempView("texts_to_chunk")
+    register_chunk_function(spark)
+    got = spark.sql("SELECT d.doc_id, c.* FROM texts_to_chunk d, LATERAL chunk(d.text, 'heading', 50, 5, 1) c").collect()
+    want = chunk_documents(docs, Config("heading", 50, 5, 1)).collect()
+    assert sorted((r["doc_id"], r["ordinal"], r["text"], r["char_start"]) for r in got) == sorted((r["doc_id"], r["ordinal"], r["text"], r["char_start"]) for r in want) and len(got) > 2
