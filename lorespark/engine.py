@@ -1,20 +1,25 @@
 """The public surface: collections, uploads, builds, search and citations over one root folder.
 
-``<root>/<collection>/meta`` is a small JSON record, ``documents`` and ``chunks`` are snapshots (``sources.snapshots``). What a
-caller does wrong comes back as data (``ok``, ``reason``), it isn't raised by ``search``.
+``<root>/<collection>/meta`` is a small JSON record, ``documents`` and ``chunks`` are snapshots (``sources.snapshots``), ``sources``
+holds uploads as they came, ``log`` what builds said. What a caller does wrong comes back as data (``ok``, ``reason``), it isn't
+raised by ``search``.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import threading
+import uuid
 from datetime import datetime, timezone
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
 from lorespark.operators import catalog, chunking, convert, embed, evidence, lines, retrieval
+from lorespark.sources import files as stored_files
 from lorespark.sources import snapshots
 
 TOKENIZER = "words-and-pairs-1"
@@ -43,6 +48,7 @@ def validated(settings: dict) -> dict:
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str, embedder: embed.EmbedFn = embed.bigram_embedder, dimension: int = embed.DIMENSION, quota: int | None = None):
         self.spark, self.root, self.embedder, self.dimension, self.quota = spark, root.rstrip("/"), embedder, dimension, quota
+        self._jobs: dict[str, dict] = {}
 
     # Catalog
 
@@ -100,6 +106,18 @@ class KnowledgeBase:
             docs = docs.unionByName(d)
         return catalog.view(self.collections(), catalog.summary(docs))
 
+    def builds(self) -> DataFrame:
+        """Collections that were ever built, the latest first."""
+        return catalog.build_records(self.overview())
+
+    def embedding_info(self) -> dict:
+        return {"dimension": self.dimension, "embedder": getattr(self.embedder, "__name__", type(self.embedder).__name__)}
+
+    @staticmethod
+    def quantizer_options() -> list[dict]:
+        """Each quantizer with the bytes that a component takes and its compression."""
+        return [{"value": k, "bytes": v, "compression": 4 / v} for k, v in catalog.QUANTIZERS.items()]
+
     # Documents
 
     _DOCUMENT = "doc_id string, name string, text string, bytes long, status string, chunks long, structure string, converter string, error string, at string"
@@ -109,6 +127,15 @@ class KnowledgeBase:
         found = snapshots.read(self.spark, self._at(collection, "documents"))
         return self.spark.createDataFrame([], self._DOCUMENT) if found is None else found
 
+    def list_documents(self, collection: str, status: str = "all", text: str = "") -> DataFrame:
+        """Documents without their texts, the largest id first; of one status, or whose name holds a text."""
+        return catalog.document_list(catalog.matching(self.documents(collection), status, text))
+
+    def chunk_count(self, collection: str, doc_id: str) -> int:
+        """How many chunks of a document are served."""
+        chunks = snapshots.read(self.spark, self._at(collection, "chunks"))
+        return 0 if chunks is None else chunks.where(F.col("doc_id") == doc_id).count()
+
     def add(self, collection: str, files: DataFrame) -> DataFrame:
         """Takes files (name, content); gives (name, doc_id, reason), reason null for those taken. Converted texts are kept, bad documents are kept as failed."""
         self._known(collection)
@@ -122,15 +149,21 @@ class KnowledgeBase:
                 return judged.select("name", F.lit(None).cast("string").alias("doc_id"), F.coalesce("reason", F.lit(f"over the quota by {over} bytes")).alias("reason"))
         now = F.lit(self._now())
         taken = judged.where("reason is null")
-        text = convert.convert_files(taken.select("name", "content"))
-        rows = taken.drop("content", "reason").join(text, "name").select(
-            T.fnv1a_id("name", now).alias("doc_id"), "name", "text", "bytes", F.when(F.col("failed"), "failed").otherwise("pending").alias("status"), F.lit(None).cast("long").alias("chunks"),
-            "structure", F.when(T.format_of("name") != "verbatim", T.format_of("name")).alias("converter"), "error", now.alias("at"),
-        )
+        taken.select(T.fnv1a_id("name", now).alias("doc_id"), "name", "bytes", "content", now.alias("at")).write.mode("append").parquet(self._at(collection, "sources"))
         before = self.documents(collection)
+        rows = self._parsed(taken.select("name", "bytes", "content", T.fnv1a_id("name", now).alias("doc_id"), now.alias("at")))
         snapshots.publish(self.spark, self._at(collection, "documents"), before.unionByName(rows.select(before.columns)))
         return judged.select("name", F.when(F.col("reason").isNull(), T.fnv1a_id("name", now)).alias("doc_id"), "reason")
 
+    @staticmethod
+    def _parsed(taken: DataFrame) -> DataFrame:
+        """Document records of files (doc_id, name, bytes, content, at)."""
+        text = convert.convert_files(taken.select("name", "content"))
+        return taken.drop("content").join(text, "name").select(
+            "doc_id", "name", "text", "bytes", F.when(F.col("failed"), "failed").otherwise("pending").alias("status"), F.lit(None).cast("long").alias("chunks"),
+            "structure", F.when(T.format_of("name") != "verbatim", T.format_of("name")).alias("converter"), "error", "at",
+        )
+
     def remove(self, collection: str, doc_ids: list[str]) -> None:
         gone = self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")
         for what in ("documents", "chunks"):
@@ -157,14 +190,17 @@ class KnowledgeBase:
     def build(self, collection: str, config: chunking.Config = chunking.Config(), full: bool = False) -> dict:
         """Chunks and embeds what isn't served yet, publishes, and marks the documents; gives mode, reason, documents and chunks."""
         meta, docs = self._known(collection), self.documents(collection)
-        parser = docs.where("status <> 'failed'").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("converter", F.lit("verbatim")))), ",").alias("p")).first()["p"]
-        wanted = {"index": {"metric": "cosine", "dimension": self.dimension}, "chunking": vars(config), "tokenizer": TOKENIZER, "parser": parser}
+        wanted = self._wanted(docs, config)
         served = snapshots.current(self.spark, self._at(collection, "chunks"))
         viable, reason = (False, "a full build was asked for") if full else snapshots.viability(served, wanted)
         pending = docs.where("status <> 'failed'") if not viable else catalog.pending_documents(docs, True).where("status <> 'failed'")
         if viable and pending.isEmpty():
             return {"mode": "none", "reason": "nothing to embed", "documents": 0, "chunks": served["rows"]}
         chunks = chunking.chunk_documents(pending.where(F.col("text").rlike(r"\S")).select("doc_id", "text"), config)
+        if self.quota is not None:
+            used, planned = self.usage(collection).first()["used"], chunks.count() * self.dimension * 4
+            if used + planned > self.quota:
+                return {"mode": "refused", "reason": f"over the quota by {used + planned - self.quota} bytes", "documents": 0, "chunks": served.get("rows", 0)}
         fresh = embed.embedded(chunks, self.embedder, self.dimension)
         at = self._at(collection, "chunks")
         done = snapshots.upsert(self.spark, at, fresh, "doc_id", pending.select("doc_id"), **wanted) if viable else snapshots.publish(self.spark, at, fresh, **wanted)
@@ -173,7 +209,107 @@ class KnowledgeBase:
         marked = docs.join(counts, "doc_id", "left").withColumn("chunks", F.when(F.col("status") != "failed", F.coalesce("n", F.lit(0)))).withColumn("status", F.when(F.col("status") != "failed", "ready").otherwise("failed"))
         snapshots.publish(self.spark, self._at(collection, "documents"), marked.select(docs.columns))
         self._save(collection, meta | {"built_at": self._now()})
-        return {"mode": "incremental" if viable else "full", "reason": reason, "documents": n, "chunks": done["rows"]}
+        out = {"mode": "incremental" if viable else "full", "reason": reason, "documents": n, "chunks": done["rows"]}
+        self._say(collection, "info", f"{out['mode']} build: {n} documents embedded, {done['rows']} chunks served")
+        return out
+
+    def build_plan(self, collection: str, config: chunking.Config = chunking.Config()) -> dict:
+        """Whether a build may inherit chunks and why not, and how many documents and bytes it would embed."""
+        docs = self.documents(collection)
+        viable, reason = snapshots.viability(snapshots.current(self.spark, self._at(collection, "chunks")), self._wanted(docs, config))
+        pending = (catalog.pending_documents(docs, True) if viable else docs).where("status <> 'failed'")
+        return {"mode": "incremental" if viable else "full", "reason": reason} | catalog.scope(pending).first().asDict()
+
+    def stored_strategy(self, collection: str) -> dict | None:
+        """What the served chunks were made with; None before the first build."""
+        served = snapshots.current(self.spark, self._at(collection, "chunks"))
+        return {k: served.get(k) for k in ("index", "chunking", "tokenizer", "parser")} if served else None
+
+    def estimate_cost(self, collection: str, config: chunking.Config, quantizer: str = "INT8") -> DataFrame:
+        """Cost of the whole collection under a policy: the plan's row for all documents."""
+        chunks = chunking.chunk_documents(self.documents(collection).where("status <> 'failed'").select("doc_id", "text"), config)
+        return catalog.cost(chunking.plan_totals(chunks).where("doc_id is null"), self.dimension, quantizer)
+
+    def reparse_all(self, collection: str, config: chunking.Config = chunking.Config()) -> dict:
+        """Converts every upload anew and builds in full."""
+        known = self.documents(collection).select("doc_id")
+        uploads = self.spark.read.parquet(self._at(collection, "sources")).join(known, "doc_id", "left_semi")
+        rows = [self._parsed(uploads.where(F.col("at") == r["at"])) for r in uploads.select("at").distinct().collect()]  # one for each call of add
+        every = rows[0]
+        for r in rows[1:]:
+            every = every.unionByName(r)
+        snapshots.publish(self.spark, self._at(collection, "documents"), every)
+        return self.build(collection, config, full=True)
+
+    def _wanted(self, docs: DataFrame, config: chunking.Config) -> dict:
+        parser = docs.where("status <> 'failed'").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("converter", F.lit("verbatim")))), ",").alias("p")).first()["p"]
+        return {"index": {"metric": "cosine", "dimension": self.dimension}, "chunking": vars(config), "tokenizer": TOKENIZER, "parser": parser}
+
+    # Builds in the background
+
+    def start_build(self, collection: str, config: chunking.Config = chunking.Config(), full: bool = False) -> bool:
+        """Builds in a thread of its own under a job group; False where one is running already."""
+        self._known(collection)
+        if self.build_status(collection).get("running"):
+            return False
+        job = {"group": uuid.uuid4().hex, "running": True, "ok": None, "result": None, "error": None, "started_at": self._now(), "settled_at": None, "lock": threading.Lock()}
+        self._jobs[collection] = job
+
+        def work() -> None:
+            self.spark.sparkContext.setJobGroup(job["group"], f"build of {collection}", interruptOnCancel=True)
+            try:
+                job["result"], job["ok"] = self.build(collection, config, full), True
+            except Exception as e:  # noqa: BLE001  the caller asks for it by build_status
+                said = re.findall(r"^(?:\w+\.)*\w*(?:Error|Exception): .+", str(e), re.M) or [str(e).strip().split("\n")[0] or type(e).__name__]
+                shown = self.spark.range(1).select(T.build_error(F.lit(said[-1]))).first()[0] if not job.get("cancelled") else "cancelled"
+                job["error"], job["ok"] = shown, False
+                self._say(collection, "error", shown)
+            job["settled_at"], job["running"] = self._now(), False
+
+        job["thread"] = InheritableThread(target=work, daemon=True)
+        job["thread"].start()
+        return True
+
+    def build_status(self, collection: str) -> dict:
+        """running, ok, result, error and times of the last background build; empty where there was none."""
+        job = self._jobs.get(collection, {})
+        return {k: job[k] for k in ("running", "ok", "result", "error", "started_at", "settled_at")} if job else {}
+
+    def cancel_build(self, collection: str) -> bool:
+        """Stops a running build's Spark jobs; what was served stays served."""
+        job = self._jobs.get(collection)
+        if not job or not job["running"]:
+            return False
+        job["cancelled"] = True
+        self.spark.sparkContext.cancelJobGroup(job["group"])
+        return True
+
+    def wait_for_build(self, collection: str, seconds: float | None = None) -> dict:
+        job = self._jobs.get(collection)
+        if job:
+            job["thread"].join(seconds)
+        return self.build_status(collection)
+
+    _LOG = "at string, level string, message string"
+
+    def _say(self, collection: str, level: str, message: str) -> None:
+        stored_files.append_log(self.spark.createDataFrame([(self._now(), level, message)], self._LOG).coalesce(1), self._at(collection, "log"))
+
+    def log(self, collection: str, n: int = stored_files.LOG_TAIL) -> DataFrame:
+        """The last things that builds said, the oldest first."""
+        return stored_files.tail_log(self.spark, self._at(collection, "log"), self._LOG, "at", n)
+
+    def inspect(self) -> DataFrame:
+        """A read-only report: one row for each collection (``catalog.inspection``) with its bytes on disk."""
+        docs, served = None, []
+        for c in self.ids():
+            one = self.documents(c).withColumn("collection", F.lit(c)).withColumn("built_at", F.col("at"))
+            docs = one if docs is None else docs.unionByName(one)
+            served.append((c, snapshots.current(self.spark, self._at(c, "chunks")).get("rows", 0), stored_files.measure(self.spark, self._at(c))[0]))
+        if docs is None:
+            docs = self.spark.createDataFrame([], f"{self._DOCUMENT}, collection string, built_at string")
+        counts = self.spark.createDataFrame(served, "collection string, chunks long, disk_bytes long")
+        return catalog.inspection(docs, self.collections(), counts).join(counts.select("collection", "disk_bytes"), "collection", "left")
 
     # Search
 
@@ -225,10 +361,27 @@ class KnowledgeBase:
         out |= {"ok": bool(rows), "reason": None if rows else "empty_result", "hits": rows, "below_floor": s["below_floor"] if s else 0, "fts_only_hits": s["fts_only_hits"] if s else 0}
         return out | {"summary": self.rendered(rows, out["below_floor"])}
 
+    def embed_query(self, text: str) -> list[float]:
+        return [float(x) for x in self.embedder([text])[0]]
+
+    def retrieve(self, collection: str, query: str, topk: int = 8, min_score: float = 0.0, candidates: int = 100) -> dict:
+        """A search for diagnosis: no floor unless asked for, whatever the collection's settings; with the seconds that its parts took and the version that was read."""
+        import time
+
+        self._known(collection)
+        start = time.perf_counter()
+        self.embed_query(query)
+        embedded = time.perf_counter()
+        hits, stats = self.hits(collection, query, topk=max(1, min(50, topk)), min_score=max(0.0, min(1.0, min_score)), candidates=max(20, min(1000, candidates)), mode="hybrid")
+        rows, s = [r.asDict() for r in hits.collect()], stats.first()
+        end = time.perf_counter()
+        version = snapshots.current(self.spark, self._at(collection, "chunks")).get("version")
+        return {"hits": rows, "mode": s["mode"] if s else "dense", "below_floor": s["below_floor"] if s else 0, "version": version, "embed_s": embedded - start, "search_s": end - embedded}
+
     @staticmethod
     def rendered(hits: list[dict], below_floor: int) -> str:
         """Numbered hits with 300 characters of each."""
-        shown = [f"{i}. [{h['band']} {h['match_score']:.4f}] {h['name']}:{h['line']} {re.sub(r'\s+', ' ', h['text']).strip()[:300]}" for i, h in enumerate(hits, 1)]
+        shown = [f"{i}. [{h['band']} {h['match_score']:.4f}] {h['name']}:{h['line']} (chars {h['char_start']}-{h['char_end']}) {re.sub(r'\s+', ' ', h['text']).strip()[:300]}" for i, h in enumerate(hits, 1)]
         note = [f"{below_floor} more hits are below the score floor."] if below_floor else []
         return "\n".join([*shown, *note]) or "Nothing was found."
 

@@ -27,7 +27,7 @@ def test_life_of_a_collection(spark, tmp_path):
         asked.extend(texts)
         return embed.bigram_embedder(texts)
 
-    kb = KnowledgeBase(spark, str(tmp_path), embed.bigram_embedder, quota=10_000)
+    kb = KnowledgeBase(spark, str(tmp_path), embed.bigram_embedder, quota=100_000)
     c = kb.create("Agent Book")
     assert spark.range(1).select(T.is_collection_id(F.lit(c))).first()[0] and kb.ids() == [c]
     with pytest.raises(ValueError):
@@ -55,10 +55,47 @@ def test_life_of_a_collection(spark, tmp_path):
     assert kb.citation("kb://no") is None
     kb.remove(c, [doc])
     assert kb.documents(c).count() == 3 and not any(h["name"] == "e.md" for h in kb.search("roses", c, topk=50)["hits"])
-    over = kb.add(c, files(spark, [("big.txt", "x" * 20_000)])).first()["reason"]
+    over = kb.add(c, files(spark, [("big.txt", "x" * 200_000)])).first()["reason"]
     assert over.startswith("over the quota")
     assert kb.overview().first()["status"] == "failed"
     kb.rename(c, "Other")
     assert kb.collections().first()["name"] == "Other"
     kb.delete(c)
     assert kb.ids() == []
+
+
+def test_builds_in_the_background_and_reports(spark, tmp_path):
+    import threading
+
+    kb = KnowledgeBase(spark, str(tmp_path), embed.bigram_embedder)
+    c = kb.create("Night Shift")
+    kb.add(c, files(spark, [("a.md", "# One\n\nAlpha text here."), ("b.html", "<h1>Two</h1><p>Beta text.")]))
+    assert kb.build_plan(c, CONFIG)["mode"] == "full" and kb.build_plan(c, CONFIG)["documents"] == 2 and kb.stored_strategy(c) is None
+    assert kb.build_status(c) == {} and kb.cancel_build(c) is False
+    assert kb.estimate_cost(c, CONFIG).first()["chunks"] == 2 and kb.embedding_info()["dimension"] == embed.DIMENSION
+    assert {o["value"]: o["compression"] for o in kb.quantizer_options()} == {"none": 1, "FP16": 2, "INT8": 4, "INT4": 8}
+
+    gate = threading.Event()
+    work, kb.build = kb.build, lambda *a: (gate.wait(60), work(*a))[1]
+    assert kb.start_build(c, CONFIG) is True and kb.start_build(c, CONFIG) is False
+    gate.set()
+    done = kb.wait_for_build(c, 120)
+    kb.build = work
+    assert done["ok"] is True and done["running"] is False and done["result"]["chunks"] == 2
+    assert kb.stored_strategy(c)["chunking"]["chunk_tokens"] == 60 and kb.build_plan(c, CONFIG) == {"mode": "incremental", "reason": "unchanged", "documents": 0, "bytes": 0}
+    assert [r["name"] for r in kb.list_documents(c, "ready", "A.M").collect()] == ["a.md"] and "text" not in kb.list_documents(c).columns
+    doc = kb.documents(c).where("name = 'a.md'").first()["doc_id"]
+    assert kb.chunk_count(c, doc) == 1 and kb.chunk_count(c, "doc_none") == 0
+    assert kb.builds().first()["collection"] == c and "full build" in kb.log(c).collect()[-1]["message"]
+    found = kb.retrieve(c, "beta text")
+    assert len(found["hits"]) == 2 and found["version"] == 1 and found["hits"][0]["name"] == "b.html"
+    report = kb.inspect().first()
+    assert (report["documents"], report["served"], report["difference"], report["not_served"]) == (2, 2, 0, 0) and report["disk_bytes"] > 0
+    assert kb.reparse_all(c, CONFIG)["mode"] == "full" and kb.documents(c).where("status = 'ready'").count() == 2
+
+    kb.embedder = lambda texts: (_ for _ in ()).throw(ValueError("Collection is closed"))
+    kb.start_build(c, CONFIG, True)
+    failed = kb.wait_for_build(c, 120)
+    assert failed["ok"] is False and failed["error"].startswith("the index was closed") and kb.log(c).collect()[-1]["level"] == "error"
+    tight = KnowledgeBase(spark, str(tmp_path), embed.bigram_embedder, quota=1000)
+    assert tight.build(c, CONFIG, True)["mode"] == "refused"
