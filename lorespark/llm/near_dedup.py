@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
+from xxhash import xxh3_128_intdigest
 
 from .common import components, discard, id_column, stored, text_batches, with_nulls
 from .words import mix, shingles
@@ -35,34 +35,60 @@ from .words import mix, shingles
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
+#: Sets whose registers are filled together.
+SKETCHED = 64
 #: Estimates this far below the threshold still go to the exact check (5 standard deviations).
 SLACK = 0.145
 _SALT = mix(np.arange(1, 200_000, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def registers(h: np.ndarray, m: int = REGISTERS) -> np.ndarray:
-    """m compressed minima (uint16) of a set of well mixed 64-bit hashes."""
-    regs, empty, at, big = np.zeros(m, np.uint16), np.ones(m, bool), 0, np.uint64(m)
-    low32 = np.uint64(0xFFFFFFFF)
-    while empty.any():
-        rounds = 1 if at == 0 else min(400, max(1, 2 * m // len(h)))
-        g = h[None, :] if at == 0 else mix(h[None, :] ^ _SALT[at : at + rounds, None])
-        which = np.repeat(np.arange(at, at + rounds, dtype=np.uint32), len(h))
-        g = g.ravel()
-        bucket = (((g >> np.uint64(32)) * big + (((g & low32) * big) >> np.uint64(32))) >> np.uint64(32)).astype(np.int32)
-        value = g * big
-        order = np.arange(len(g)) if at == 0 else np.lexsort((value, which, bucket))
-        b = bucket[order]
-        first = order[np.flatnonzero(np.r_[True, b[1:] != b[:-1]])]
-        first = first[empty[bucket[first]]]
-        v = value[first] | np.uint64(1)
+def registers(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
+    """m compressed minima (uint16) of each of some sets of well mixed, sorted 64-bit hashes, none empty; all sets are filled together."""
+    n, sizes = len(sets), np.array([len(h) for h in sets], np.int64)
+    regs, empty = np.zeros(n * m, np.uint16), np.ones(n * m, bool)
+    if not n:
+        return regs.reshape(0, m)
+    flat, starts = np.concatenate(sets), np.r_[0, np.cumsum(sizes)[:-1]]
+    low32, big = np.uint64(0xFFFFFFFF), np.uint64(m)
+
+    def bucket(g):
+        return (((g >> np.uint64(32)) * big + (((g & low32) * big) >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
+
+    def fill(place, value, which):
+        v = value | np.uint64(1)
         zeros = (64 - np.frexp(v.astype(np.float64))[1]).clip(0, 63).astype(np.uint64)
         top = (v << zeros << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-        reg = ((zeros << np.uint64(MANTISSA)) | top).astype(np.uint16)
-        regs[bucket[first]] = reg ^ (which[first] * np.uint32(0x9E35)).astype(np.uint16)
-        empty[bucket[first]] = False
-        at += rounds
-    return regs
+        regs[place] = ((zeros << np.uint64(MANTISSA)) | top).astype(np.uint16) ^ (which.astype(np.uint32) * np.uint32(0x9E35)).astype(np.uint16)
+        empty[place] = False
+
+    place = np.repeat(np.arange(n) * m, sizes) + bucket(flat)
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])  # hashes are sorted, so a bucket's least comes first
+    fill(place[first], flat[first] * big, np.zeros(len(first), np.int64))
+    rounds, at = np.clip(2 * m // sizes, 1, 400), np.ones(n, np.int64)
+    while len(todo := np.flatnonzero(empty.reshape(n, m).any(axis=1))):
+        each = sizes[todo] * rounds[todo]
+        k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        doc = np.repeat(todo, each)
+        which = at[doc] + k // sizes[doc]
+        g = mix(flat[starts[doc] + k % sizes[doc]] ^ _SALT[which])
+        place = doc * m + bucket(g)
+        some = np.flatnonzero(empty[place])
+        place, which, value = place[some], which[some], g[some] * big
+        order = np.lexsort((value, which, place))
+        first = order[np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])] if len(order) else order
+        fill(place[first], value[first], which[first])
+        at[todo] += rounds[todo]
+    return regs.reshape(n, m)
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A 64-bit key (int64) of each band's registers and its number, for rows of registers."""
+    r = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)), r.shape[:2])
+    for i in range(0, ROWS, 4):
+        part = sum((r[:, :, i + j] << np.uint64(16 * j) for j in range(min(4, ROWS - i))), np.zeros_like(key))
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + part)
+    return key.astype(np.int64)
 
 
 def _collisions() -> np.ndarray:
@@ -89,17 +115,19 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for i, t in zip(pdf["doc_id"], pdf["text"]):
-                h = shingles(t, k)
-                if not len(h):
-                    rows.append((i, 0, 0, 0, None, None))
-                    continue
-                d = xxh3_128_intdigest(h.tobytes())
-                r = registers(h)
-                keys = [xxh3_64_intdigest(r[b * ROWS : b * ROWS + ROWS].tobytes(), b) for b in range(BANDS)]
-                rows.append((i, len(h), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, r.tobytes(), np.array(keys, np.uint64).astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", "regs", "bands"])
+            sets = [shingles(t, k) for t in pdf["text"]]
+            full = [i for i, h in enumerate(sets) if len(h)]
+            regs, bands = np.full(len(sets), None, object), np.full(len(sets), None, object)
+            for at in range(0, len(full), SKETCHED):
+                some = full[at : at + SKETCHED]
+                made = registers([sets[i] for i in some])
+                for i, r, key in zip(some, made, band_keys(made)):
+                    regs[i], bands[i] = r.tobytes(), key
+            digests = [xxh3_128_intdigest(h.tobytes()) if len(h) else 2**127 + 2**63 for h in sets]
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"], "n": np.array([len(h) for h in sets], np.int64), "d1": np.array([(d >> 64) - 2**63 for d in digests], np.int64),
+                "d2": np.array([(d & (2**64 - 1)) - 2**63 for d in digests], np.int64), "regs": regs, "bands": bands,
+            })
 
     return with_nulls(docs.select(id_column(), "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>"))
 

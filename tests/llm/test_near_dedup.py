@@ -4,7 +4,12 @@ import numpy as np
 
 from lorespark.llm import near_dedup as N
 from lorespark.llm.common import components
-from lorespark.llm.words import shingles, words
+from lorespark.llm import words as W
+from lorespark.llm.words import shingles
+
+
+def words(text):
+    return text.encode().lower().split() if text else []
 
 
 def brute(rows, k, percent):
@@ -84,7 +89,7 @@ def test_registers_estimate_similarity():
                 x = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
                 a, b = np.unique(x[:n]), np.unique(np.r_[x[:both], x[n : 2 * n - both]])
                 true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-                ra, rb = N.registers(a)[None], N.registers(b)[None]
+                ra, rb = np.split(N.registers([a, b]), 2)
                 got.append(N.estimate(ra, rb, np.array([len(a)]), np.array([len(b)]), chance)[0] - true)
             assert abs(np.mean(got)) < 0.05
 
@@ -94,6 +99,23 @@ def test_shingles():
     assert shingles("A\tb\x0bC d", 4).tolist() == shingles("a b c d", 4).tolist() != shingles("a b c\xa0d", 4).tolist()
 
 
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    text = " ".join(["word" * 200, "Éa", "x\ty", "z" * 700] * 40) + "  end"
+    whole = W.word_hashes(text)
+    assert len(whole) == len(words(text)) and len(np.unique(whole)) == len(set(words(text)))
+    monkeypatch.setattr(W, "PIECE", 50)
+    assert W.word_hashes(text).tolist() == whole.tolist() and len(W.word_hashes(" " * 400)) == 0 and len(W.word_hashes("a" * 400)) == 1
+
+
+def test_registers_of_many_sets_are_those_of_each():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 2, 3, 50, 199, 200, 1000, 5000, 1)]
+    many = N.registers(sets)
+    assert all((N.registers([h])[0] == r).all() for h, r in zip(sets, many)) and N.registers([]).shape == (0, N.REGISTERS)
+    keys = N.band_keys(many)
+    assert keys.shape == (9, N.BANDS) and len(np.unique(keys)) == keys.size and (N.band_keys(many[3:4]) == keys[3]).all()
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
