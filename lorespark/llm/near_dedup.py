@@ -205,9 +205,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
         sk = stored(sketches(docs, k), "near-sketches")
     full = sk.where("n > 0 and doc_id is not null")
-    groups = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = stored(full.select("doc_id", "d1", "d2").join(groups, ["d1", "d2"]).select("doc_id", "rep", "d1", "d2"), "near-members")
-    reps = stored(full.join(groups, ["d1", "d2"]).where("doc_id = rep").select("rep", "n", "regs", "bands"), "near-reps")
+    #: Written first, so that the join below has shuffles of its own and Spark can split a large group of copies.
+    groups = stored(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-groups")
+    member = stored(full.select("doc_id", "d1", "d2").join(groups.where("copies > 1"), ["d1", "d2"]).select("doc_id", "rep"), "near-members")
+    reps = stored(full.join(groups.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "n", "regs", "bands"), "near-reps")
 
     rows = reps.select(F.posexplode("bands").alias("band", "key"), "rep", "n")
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -243,7 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     own = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     every = links.unionByName(more).unionByName(own)
     final = stored(components(every, "near-all"), "near-final")
-    for done in (member, reps, buckets, used, homes, regs, texts, links, comp, opened, common, more):
+    for done in (groups, member, reps, buckets, used, homes, regs, texts, links, comp, opened, common, more):
         discard(done)
     out = every_row.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
