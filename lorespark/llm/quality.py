@@ -8,7 +8,7 @@ The model is fitted on at most MAX_TRAIN labelled rows (those with the least has
 driver's memory) with numpy; every document is scored. Labels, lang, source and doc_id are never inputs.
 
 Null and empty texts have only the empty-length input and get that score. Labels that are null are left out; a
-document with several labels takes the largest. Rows are scored one by one, so repeated rows repeat their score.
+document with several labels takes the largest, one with several texts is learnt by the least of them. Rows are scored one by one, so repeated rows repeat their score.
 Without any labels every score is 0.5.
 """
 
@@ -132,10 +132,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["_label"], "idx": [x for x, _ in f], "val": [x for _, x in f]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    #: One text for each chosen id, however often the id is repeated, so that what comes to the driver stays bounded.
+    rows = rows.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
     got = rows.mapInPandas(run, "doc_id long, label int, idx array<int>, val array<float>").toPandas()
     if not len(got):
         return None
-    got = got.assign(n=got["idx"].map(len)).sort_values(["doc_id", "n"], kind="stable").head(max_train)
+    got = got.sort_values("doc_id", kind="stable")
     inputs = [(np.asarray(i, np.int32), np.asarray(x, np.float32)) for i, x in zip(got["idx"], got["val"])]
     return fit(inputs, got["label"].to_numpy(np.float32))
 
