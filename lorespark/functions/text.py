@@ -163,14 +163,19 @@ def stamp(iso) -> Column:
     return F.when(F.coalesce(_col(iso), F.lit("")) == "", "—").otherwise(shown)
 
 
+#: What a store says of itself, and what to do about it (the phrases are fixed values).
+BUILD_ERRORS = (
+    ("collection is closed", "the index was closed by a build that was stopped; submit the build again"),
+    ("can't lock", "the index is in use by another build; try again shortly"),
+)
+
+
 def build_error(message) -> Column:
-    """A failure's text with what to do about it, where the store's own words don't say."""
-    m = _col(message)
-    return (
-        F.when(m.rlike("(?i)collection is closed"), F.lit("the index was closed by a build that was stopped; submit the build again"))
-        .when(m.rlike("(?i)can't lock|internal_error.*lock"), F.lit("the index is in use by another build; try again shortly"))
-        .otherwise(m)
-    )
+    """A failure's text; what to do about it, where the store's own words don't say."""
+    out = _col(message)
+    for phrase, advice in BUILD_ERRORS:
+        out = F.when(F.contains(F.lower(_col(message)), F.lit(phrase)), F.lit(advice)).otherwise(out)
+    return out
 
 
 def is_wide(text) -> Column:
@@ -186,7 +191,7 @@ def hit_line(rank, band, score, name, line, start, end, text) -> Column:
 
 def parsed_hits(text) -> Column:
     """Array of structs (rank, band, score, name, line, char_start, char_end, doc_id) of the lines that ``hit_line`` made."""
-    shape = r"(?m)^(\d+)\.\s+\[(\w+)\s+([\d.]+)\]\s+(.+?):(\d+)\s+\(chars (\d+)-(\d+)\)"
+    shape = r"(?m)^([0-9]+)\. \[([a-z]+) ([0-9.]+)\] (.*?):([0-9]+) \(chars ([0-9]+)-([0-9]+)\) "
     found = F.regexp_extract_all(_col(text), F.lit(shape), 0)
     part = lambda x, i: F.regexp_extract(x, shape, i)
     return F.transform(found, lambda x: F.struct(
