@@ -115,6 +115,17 @@ def numbered(df: DataFrame, key: str, out: str, name: str) -> DataFrame:
     return joined.withColumn(out, F.col(out) + F.col("_before")).select(*df.columns, out)
 
 
+#: Parts that the links of one node are dealt into where each meets a fact about the node.
+SALTS = 16
+
+
+def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (a, b) with the column m of ``least`` (a, m); a hot node's edges go to SALTS tasks, each with a copy of its one row."""
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    copies = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["a", "_salt"])
+
+
 def _distinct_edges(e: DataFrame) -> DataFrame:
     return e.where("a <> b").distinct()
 
@@ -123,7 +134,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b: long); component is the least node reachable.
 
     Large star and small star alternate until nothing changes; each round is written to the shared
-    folder. Links of one node are joined, not gathered, so that Spark can split a hot one.
+    folder. Links of one node are joined, not gathered, and dealt over several tasks, so that a hot one doesn't fill a task.
     """
     e = stored(_distinct_edges(edges.select("a", "b")), name)
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -131,10 +142,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = _distinct_edges(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = _distinct_edges(_beside(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        small = _beside(down, least).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = stored(_distinct_edges(small), name)
         discard(e)
         e, now = new, mark(new)

@@ -241,11 +241,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     cross = side("a").join(side("b"), "key").where(reach).select(F.col("repa").alias("a"), F.col("repb").alias("b"), "na", "nb")
     more = stored(_confirmed(_estimated(cross, regs, percent), texts, k, percent), "near-more")
 
-    own = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    every = links.unionByName(more).unionByName(own)
-    final = stored(components(every, "near-all"), "near-final")
-    for done in (groups, member, reps, buckets, used, homes, regs, texts, links, comp, opened, common, more):
+    #: Copies follow their representative; only representatives have links.
+    final = stored(components(links.unionByName(more), "near-all"), "near-final").withColumnRenamed("node", "rep")
+    for done in (groups, reps, buckets, used, homes, regs, texts, links, comp, opened, common, more):
         discard(done)
-    out = every_row.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
+    out = every_row.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    out = out.join(final, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept")
