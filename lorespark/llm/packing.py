@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import discard, numbered, stored
 
 BUCKETS = 12
 BUDGET = 16_384
@@ -65,12 +65,14 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, columns:
     spark = docs.sparkSession
     words = F.when(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == "", 0).otherwise(F.size(F.split(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), " +")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(words, F.lit(0)) + 1).cast("long").alias("length"), *columns)
+    rows = stored(rows, "packing-lengths")  # texts are read once; the histogram and the batches need only lengths
     ends = [int(x) for x in _ends(rows, buckets)]
     #: At most ``buckets`` boundaries.
     bucket = sum((F.when(F.col("_class") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0)).cast("int")
     boundary = F.element_at(F.array(*[F.lit(e).cast("long") for e in ends or [1]]), F.col("bucket") + 1)
-    rows = rows.withColumn("_class", length_class(F.col("length"))).withColumn("bucket", bucket).drop("_class")
+    lengths, rows = rows, rows.withColumn("_class", length_class(F.col("length"))).withColumn("bucket", bucket).drop("_class")
     out = numbered(rows, "bucket", "_at", "packing").withColumn("boundary", boundary)
+    discard(lengths)
     per = F.greatest(F.floor(F.lit(budget) / F.col("boundary")), F.lit(1)).cast("long")
     out = out.withColumn("batch", F.floor(F.col("_at") / per).cast("long")).withColumn("place", (F.col("_at") % per).cast("int"))
     return out.select("doc_id", "length", "bucket", "boundary", "batch", "place", (F.col("boundary") - F.col("length")).alias("padding"), *columns)
