@@ -15,7 +15,6 @@ Null and empty texts are encoded as the end id alone. Documents without an id co
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from functools import lru_cache
@@ -35,8 +34,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLOCK = 1 << 16
 #: Text bytes that a shard is meant to hold.
 SHARD_BYTES = 8 << 20
-#: Distinct pieces whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
 
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -156,79 +153,40 @@ class TokenFile:
         return values
 
 
-class PieceEncoder:
+class TextEncoder:
     """Ids of whole texts by byte-level BPE, equal to those of the tokenizers library.
 
-    A space before a visible character always starts a new word of the vocabulary's pattern, so texts are cut there and each distinct
-    piece is encoded once, by tiktoken from the same vocabulary (an id is its merge's rank). Texts that hold a special token go to the
-    tokenizers library whole.
+    Texts are encoded by tiktoken from the same vocabulary (an id is its merge's rank); those that hold a special token go to the
+    tokenizers library, which is loaded when the first one comes.
     """
 
     def __init__(self, vocabulary: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.no_truncation()
-        self.whole.no_padding()
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.vocabulary, self.special, self.whole = vocabulary, [x["content"] for x in spec["added_tokens"]], None
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
-        self.piece = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.loose = re.compile(r" (?:\s|\Z)")
-        self.cut = re.compile(r" (?=\S)")
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known, self.starts, self.ids, self.used = {}, np.zeros(REMEMBERED + 1, np.int64), np.empty(1 << 20, np.uint32), 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        if not pieces:
-            return
-        got = [self.piece(p) for p in pieces]
-        flat, n = np.fromiter((i for x in got for i in x), np.uint32), len(self.known)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
-        while n + len(got) >= len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[n + 1 : n + 1 + len(got)] = self.used + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
-        self.used += len(flat)
-        self.known.update(zip(pieces, range(n, n + len(got))))
-
-    def pieces(self, text: str) -> list[str]:
-        if self.loose.search(text):
-            first, *rest = self.cut.split(text)
-        else:
-            first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if first else [" " + x for x in rest]
+        self.plain = tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _with_specials(self, text: str) -> list[int]:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.vocabulary)
+            self.whole.no_truncation()
+            self.whole.no_padding()
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [None if any(s in t for s in self.special) else self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self._reset()
-        known = self.known
-        self._learn(list({p for x in parts if x for p in x if p not in known}))
-        starts = self.starts
-        out = []
-        for t, x in zip(texts, parts):
-            if x is None:
-                out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32))
-                continue
-            k = np.fromiter(map(known.__getitem__, x), np.int64, len(x))
-            size = starts[k + 1] - starts[k]
-            total = int(size.sum())
-            place = np.arange(total) + np.repeat(starts[k] - np.r_[0, np.cumsum(size)[:-1]] if len(k) else k, size)
-            out.append(self.ids[place])
-        return out
+        return [np.array(self._with_specials(t) if any(s in t for s in self.special) else self.plain(t), np.uint32) for t in texts]
 
 
 @lru_cache(maxsize=1)
-def _encoder(vocabulary: str) -> PieceEncoder:
-    """One encoder for each Python worker: what it has learnt serves the worker's next tasks."""
-    return PieceEncoder(vocabulary)
+def _encoder(vocabulary: str) -> TextEncoder:
+    """One encoder for each Python worker."""
+    return TextEncoder(vocabulary)
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard_bytes: int = SHARD_BYTES) -> str:
