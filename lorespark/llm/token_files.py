@@ -15,6 +15,7 @@ Null and empty texts are encoded as the end id alone. Documents without an id co
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -34,6 +35,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLOCK = 1 << 16
 #: Text bytes that a shard is meant to hold.
 SHARD_BYTES = 8 << 20
+#: White space that tiktoken isn't given in one run: its matcher keeps a place to return to for each character, a million at most.
+LONG_RUN = 100_000
+_long_run = re.compile(r"(?<!\s)\s{%d}" % LONG_RUN).search
 
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -156,8 +160,8 @@ class TokenFile:
 class TextEncoder:
     """Ids of whole texts by byte-level BPE, equal to those of the tokenizers library.
 
-    Texts are encoded by tiktoken from the same vocabulary (an id is its merge's rank); those that hold a special token go to the
-    tokenizers library, which is loaded when the first one comes.
+    Texts are encoded by tiktoken from the same vocabulary (an id is its merge's rank); those that hold a special token or LONG_RUN
+    characters of white space in a row go to the tokenizers library, which is loaded when the first one comes.
     """
 
     def __init__(self, vocabulary: str):
@@ -170,7 +174,7 @@ class TextEncoder:
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.plain = tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _with_specials(self, text: str) -> list[int]:
+    def _whole(self, text: str) -> list[int]:
         if self.whole is None:
             from tokenizers import Tokenizer
 
@@ -180,7 +184,7 @@ class TextEncoder:
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self._with_specials(t) if any(s in t for s in self.special) else self.plain(t), np.uint32) for t in texts]
+        return [np.array(self._whole(t) if any(s in t for s in self.special) or (len(t) >= LONG_RUN and _long_run(t)) else self.plain(t), np.uint32) for t in texts]
 
 
 @lru_cache(maxsize=1)

@@ -69,6 +69,15 @@ def test_files(spark, docs, tmp_path):
     assert sorted(map(tuple, W.read_documents(spark, path).collect())) == sorted(want)
 
 
+def test_long_white_space(spark, tmp_path):
+    t, n = tokenizer(BYTE), 1_200_000
+    texts = [" " * n + "a", "a" + " " * n, "x" + "\n \t" * (n // 3) + "\xa0y", " " * (W.LONG_RUN - 1) + "b", " " * W.LONG_RUN + "b", "ab" * n]
+    assert [x.tolist() for x in W.TextEncoder(BYTE).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string").selectExpr("doc_id", f"concat(repeat(' ', {n}), coalesce(text, '')) text")
+    got = {r["doc_id"]: r["n_tokens"] for r in W.read_documents(spark, W.write_shards(df, str(tmp_path / "long"), BYTE, 2)).collect()}
+    assert got == {i: len(t.encode(" " * n + x, add_special_tokens=False).ids) + 1 for i, x in ((1, "a"), (2, ""))}
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n, top in ((1, 1), (10, 2), (70_000, 300), (140_001, 50_257), (500, 70_000)):
