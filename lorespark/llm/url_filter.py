@@ -5,7 +5,8 @@ search; so are the words of the path. Word frequencies come from the visible tex
 model over these words scores urls that no rule fits: its classes are seeded by SEEDS (a url whose words hold one of them counts
 as unwanted), and its counts come from all pages.
 
-The words that the search knows (at most VOCABULARY) and those that the model weighs (at most VOCABULARY) bound what is broadcast.
+Neither the words that the search knows nor those that the model weighs are limited: substrings of the distinct names meet the
+words by a join, and so do the pages' words their weights. What is most frequent (HOT keys) is looked up by broadcast instead.
 Rules are a list kept by the caller and are broadcast too: some thousands, not a table that grows with the data.
 
 A url that is null or has no ``://`` has an empty host and path, no words, and is allowed. Repeated urls and pages are judged each.
@@ -17,7 +18,6 @@ from __future__ import annotations
 import math
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +33,9 @@ RULES = [
 ]
 #: Words that mark unwanted sites.
 SEEDS = frozenset("casino bets betting poker pills viagra porn xxx loans ads track".split())
-VOCABULARY = 50_000
 LONGEST = 24
-_REMEMBERED = 200_000
+#: Keys whose facts are broadcast in a join, the most frequent ones, so that no task gets all rows of one; it decides no result.
+HOT = 10_000
 
 
 def parsed(url):
@@ -69,21 +69,17 @@ class RuleBook:
 
 
 class Segmenter:
-    """Splits runs of letters into the likeliest words of a unigram model."""
+    """Splits runs of letters into the likeliest words of a unigram model.
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    ``counts`` need hold only the words that are substrings of the names to be split; ``total`` counts all words.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) or 1
         self.cost = {w: -math.log(c / total) for w, c in counts.items()}
-        self.unknown, self.known = math.log(total), {}
+        self.unknown = math.log(total)
 
     def split(self, name: str) -> list[str]:
-        if name not in self.known:
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-            self.known[name] = self._viterbi(name)
-        return self.known[name]
-
-    def _viterbi(self, name: str) -> list[str]:
         best, back = [0.0], [0]
         for j in range(1, len(name) + 1):
             at, least = j - 1, math.inf
@@ -100,50 +96,89 @@ class Segmenter:
             j = back[j]
         return words[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        return [w for part in re.findall(r"[^\W\d_]+", f"{host} {path.lower()}") for w in self.split(part)]
+
+def names_of(host: str, path: str) -> list[str]:
+    return re.findall(r"[^\W\d_]+", f"{host} {path.lower()}")
 
 
-def word_counts(pages: DataFrame, limit: int) -> dict[str, int]:
-    """The most frequent words of the pages' visible text, with the seeds at least as frequent as the rarest kept."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, count) of all words of the pages' visible text."""
     text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*+>", " "))
     words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("word")).where(F.length("word").between(2, LONGEST))
-    found = {r["word"]: r["count"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(limit).collect()}
-    least = min(found.values(), default=1)
-    return found | {w: max(least, found.get(w, 0)) for w in SEEDS}
+    return words.groupBy("word").count()
+
+
+def _looked_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (key, n, ...), which has one row for each key of ``rows``; n rows hold the key."""
+    hot = stored(facts.orderBy(F.desc("n"), key).limit(HOT), "url-hot")
+    keys = F.broadcast(hot.select(key))
+    rest = rows.join(keys, key, "left_anti").join(facts.join(keys, key, "left_anti"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(name, n, words) of ``names`` (id, name, n) by all words of ``counts``, with the seeds at least as frequent as the rarest word."""
+    found = {r["word"]: r["count"] for r in counts.where(F.col("word").isin(*SEEDS)).collect()}
+    all_words = counts.agg(F.sum("count").alias("total"), F.min("count").alias("least")).first()
+    seeds = {w: max(all_words["least"] or 1, found.get(w, 0)) for w in SEEDS}
+    total = (all_words["total"] or 0) - sum(found.values()) + sum(seeds.values())
+
+    runs = names.select("id", F.explode(F.array_distinct(F.split("name", "[^a-z]+"))).alias("run")).where(F.length("run") >= 2)
+    starts = runs.select("id", "run", F.explode(F.sequence(F.lit(1), F.length("run") - 1)).alias("i"))
+    ends = starts.select("id", "run", "i", F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("run") - F.col("i") + 1))).alias("k"))
+    parts = ends.select("id", F.expr("substring(run, i, k)").alias("word"))
+    facts = stored(parts.groupBy("word").agg(F.count("*").alias("n")).join(counts, "word", "left"), "url-parts")
+    known = _looked_up(parts, facts, "word").where(F.col("count").isNotNull())
+    own = known.groupBy("id").agg(F.collect_set(F.struct("word", "count")).alias("own"))
+
+    def cut(batches):
+        for pdf in batches:
+            words = [Segmenter({r["word"]: r["count"] for r in (() if o is None else o)} | seeds, total).split(name) for name, o in zip(pdf["name"], pdf["own"])]
+            yield pdf[["name", "n"]].assign(words=words)
+
+    return names.join(own, "id", "left").select("name", "n", "own").mapInPandas(cut, "name string, n long, words array<string>")
+
+
+def _in_order(column: str):
+    """All values of a column of a group, by their place."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("at", column))), lambda x: x[column])
 
 
 def judge_urls(pages: DataFrame, rules) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url, html)."""
     spark = pages.sparkSession
-    words = spark.sparkContext.broadcast((word_counts(pages, VOCABULARY), list(rules)))
+    own = spark.sparkContext.broadcast(list(rules))
 
     def read(batches):
-        counts, own = words.value
-        book, cut = RuleBook(own), Segmenter(counts)
+        book = RuleBook(own.value)
         for pdf in batches:
             ruled = [book.find(h, p) for h, p in zip(pdf["host"], pdf["path"])]
-            yield pdf.assign(rule=[r for r, _ in ruled], ruled=[v for _, v in ruled], tokens=[cut.tokens(h, p) for h, p in zip(pdf["host"], pdf["path"])])
+            yield pdf.assign(rule=[r for r, _ in ruled], ruled=[v for _, v in ruled], names=[names_of(h, p) for h, p in zip(pdf["host"], pdf["path"])])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), *parsed(F.col("url")))
-    rows = stored(rows.mapInPandas(read, "page_id long, host string, path string, rule string, ruled string, tokens array<string>"), "url-tokens")
+    rows = rows.mapInPandas(read, "page_id long, host string, path string, rule string, ruled string, names array<string>")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "url-names")
+
+    held = rows.select("row", F.posexplode("names").alias("at", "name"))
+    names = stored(held.groupBy("name").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "url-distinct")
+    segments = stored(segmented(names, stored(word_counts(pages), "url-words")), "url-segments")
+    tokens = _looked_up(held, segments, "name").groupBy("row").agg(F.flatten(_in_order("words")).alias("tokens"))
+    rows = rows.drop("names").join(tokens, "row", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    rows = stored(rows, "url-tokens")
 
     seeds = F.array(*[F.lit(w) for w in sorted(SEEDS)])
     marked = rows.withColumn("bad", F.arrays_overlap("tokens", seeds))
     docs = {r["bad"]: r["n"] for r in marked.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     per = marked.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    per = stored(per, "url-weights")
     totals = per.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("kinds")).first()
-    top = per.orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(VOCABULARY).collect()
     bad, good, kinds = (totals["bad"] or 0), (totals["good"] or 0), totals["kinds"] + 1
-    weigh = lambda b, g: math.log((b + 1) / (bad + kinds)) - math.log((g + 1) / (good + kinds))
     prior = math.log((docs.get(True, 0) + 1) / (docs.get(False, 0) + 1))
-    model = spark.sparkContext.broadcast((prior, weigh(0, 0), {r["token"]: weigh(r["bad"], r["good"]) for r in top}))
-
-    def judge(batches):
-        prior, other, weights = model.value
-        for pdf in batches:
-            odds = [prior + sum(weights.get(w, other) for w in tokens) for tokens in pdf["tokens"]]
-            verdict = [r if r is not None else "block" if o > 0 else "allow" for r, o in zip(pdf["ruled"], odds)]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "host": pdf["host"], "path": pdf["path"], "rule": pdf["rule"], "verdict": verdict})
-
-    return rows.mapInPandas(judge, "page_id long, host string, path string, rule string, verdict string")
+    weight = F.log((F.col("bad") + 1) / (bad + kinds)) - F.log((F.col("good") + 1) / (good + kinds))
+    facts = per.select("token", (F.col("bad") + F.col("good")).alias("n"), weight.alias("weight"))
+
+    #: Summed in the order of the url, so that a sum doesn't depend on how rows are dealt.
+    open_ = rows.where(F.col("ruled").isNull()).select("row", F.posexplode("tokens").alias("at", "token"))
+    odds = _looked_up(open_, facts, "token").groupBy("row").agg(F.aggregate(_in_order("weight"), F.lit(0.0), lambda a, x: a + x).alias("odds"))
+    model = F.when(prior + F.coalesce("odds", F.lit(0.0)) > 0, "block").otherwise("allow")
+    return rows.join(odds, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", model).alias("verdict"))

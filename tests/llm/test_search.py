@@ -1,7 +1,10 @@
 """Fingerprints, nearest neighbours, url filters."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -131,6 +134,31 @@ def test_urls(spark):
     assert U.judge_urls(df.limit(0), U.RULES).count() == 0
 
 
+def test_urls_by_brute_force(spark, monkeypatch):
+    """More words than any limit: every one counts, whether it is looked up by broadcast or by a join."""
+    monkeypatch.setattr(U, "HOT", 20, raising=False)
+    rng = random.Random(4)
+    code = lambda i: "".join("bcdfghjklm"[int(c)] for c in f"{i:05d}")
+    common, rare = [code(i) for i in range(51_000)], ["quiet", "garden", "lamp", "stone", "é", "x"]
+    urls = ["http://" + "-".join(common) + "/q", "http://" + "-".join(common) + "/q", "http://casino/", "http://poker-lamp/"]
+    urls += [f"http://{''.join(rng.choice(rare) for _ in range(3))}.info/{rng.choice(['', 'win', 'casino', 'lampbets'])}{rng.choice(rare)}" for _ in range(60)]
+    html = "<p>" + " ".join(common * 2) + "</p> quiet garden lamp lamp win " + "win" * 9
+    df = spark.createDataFrame([(i, u, html if i == 0 else "stone") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(3)
+
+    counts = Counter(w for w in [*common * 2, *"quiet garden lamp lamp win".split(), *["stone"] * (len(urls) - 1)])
+    seeded = counts | {w: max(counts[w], 1) for w in U.SEEDS}
+    cut = U.Segmenter(seeded)
+    tokens = [[w for name in re.findall(r"[^\W\d_]+", u.split("://")[1]) for w in ([name] if name in counts and len(name) == 5 else cut.split(name))] for u in urls]
+    bad = [not U.SEEDS.isdisjoint(t) for t in tokens]
+    of = {b: Counter(w for t, x in zip(tokens, bad) if x == b for w in t) for b in (True, False)}
+    kinds, sums = len(of[True] | of[False]) + 1, {b: sum(of[b].values()) for b in of}
+    weigh = lambda w: math.log((of[True][w] + 1) / (sums[True] + kinds)) - math.log((of[False][w] + 1) / (sums[False] + kinds))
+    prior = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 1))
+    want = {i: "block" if prior + sum(map(weigh, t)) > 0 else "allow" for i, t in enumerate(tokens)}
+    assert {r["page_id"]: r["verdict"] for r in U.judge_urls(df, []).collect()} == want
+    assert want[2] == "block" and "allow" in want.values()
+
+
 def test_segmentation():
     s = U.Segmenter({"cheap": 50, "pills": 40, "chea": 1, "p": 1, "the": 500, "garden": 30})
     assert s.split("cheappills") == ["cheap", "pills"] and s.split("thegarden") == ["the", "garden"] and "".join(s.split("zzzz")) == "zzzz"
