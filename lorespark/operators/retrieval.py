@@ -1,7 +1,8 @@
 """Hybrid retrieval: dense and full-text candidates, rank fusion, floor, cap, bands.
 
-``queries`` frames hold a handful of rows (what one caller asks); they are broadcast. ``chunks`` are never collected
-or broadcast: each is scored where it lies, and only the best of each partition are shuffled.
+``queries`` frames of a handful of rows (what one caller asks) are broadcast; larger ones are dealt into blocks, each of which meets
+every block of the chunks. ``chunks`` are never collected or broadcast: with few queries each is scored where it lies, and only the best
+of each partition are shuffled.
 """
 
 from __future__ import annotations
@@ -14,14 +15,34 @@ from lorespark.functions import text as T
 RRF_K = 60
 FTS_ONLY_SCORE = 0.2
 K1, B = 1.2, 0.75
-#: Query rows that may be broadcast; more are joined by blocks of their own choosing.
+#: Query rows that may be broadcast; more are joined by blocks of about so many queries and ROW_BLOCK rows.
 MAX_QUERIES = 10_000
+ROW_BLOCK = 16_384
+
+
+def _is_few(queries: DataFrame) -> bool:
+    return queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
 
 
 def _few(queries: DataFrame) -> DataFrame:
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; ask in batches")
-    return F.broadcast(queries)
+    """``queries`` for a join by query_id: broadcast where they are few."""
+    return F.broadcast(queries) if _is_few(queries) else queries
+
+
+def met(rows: DataFrame, queries: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (with id) joined with ``queries`` (with query_id) on columns of both.
+
+    Many queries are dealt into blocks by their ids, and so are the rows: a pair of blocks is a join key, so that no key of ``on`` gathers in one task.
+    """
+    if _is_few(queries):
+        return rows.join(F.broadcast(queries), on)
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    own = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    n, m = blocks(rows, ROW_BLOCK), blocks(queries, MAX_QUERIES)
+    dealt = rows.withColumn("_row", own("id", n)).withColumn("_query", each(m))
+    asked = queries.withColumn("_query", own("query_id", m)).withColumn("_row", each(n))
+    return dealt.join(asked, [*on, "_row", "_query"]).drop("_row", "_query")
 
 
 def ranked(df: DataFrame, by: list, k: int, key: str = "query_id", name: str = "rank") -> DataFrame:
@@ -34,9 +55,9 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Scores are match scores, 1 - distance clamped to 0..1; vectors of another length than the query's are left out.
     """
-    q = _few(queries.select("query_id", F.col("vector").cast("array<double>").alias("q")))
-    pairs = chunks.select("id", F.col("vector").cast("array<double>").alias("v")).join(q, F.size("v") == F.size("q"))
-    scored = pairs.select("query_id", "id", T.match_score(1 - T.cosine("v", "q")).alias("score"))
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).withColumn("_size", F.size("q"))
+    v = chunks.select("id", F.col("vector").cast("array<double>").alias("v")).withColumn("_size", F.size("v"))
+    scored = met(v, q, ["_size"]).select("query_id", "id", T.match_score(1 - T.cosine("v", "q")).alias("score"))
     return ranked(scored, [F.desc(F.round("score", 9)), "id"], k)
 
 
@@ -49,16 +70,21 @@ def postings(chunks: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k chunks (id, text) of the best BM25 score for each query (query_id, text); any term may match.
 
-    One pass gives every chunk's length; only the queries' terms are exploded.
+    One pass gives every chunk's length; only the queries' terms are exploded, or all where the queries are many.
     """
-    terms = _few(queries.select("query_id", F.explode(F.array_distinct(T.search_tokens("text"))).alias("term")))
+    terms = queries.select("query_id", F.explode(F.array_distinct(T.search_tokens("text"))).alias("term"))
     tokens = chunks.select("id", T.search_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    wanted = terms.agg(F.collect_set("term").alias("wanted"))
-    hits = tokens.crossJoin(F.broadcast(wanted)).select("id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: F.array_contains(F.col("wanted"), t))).alias("term"))
+    few = _is_few(terms)
+    if few:
+        wanted = terms.agg(F.collect_set("term").alias("wanted"))
+        hits = tokens.crossJoin(F.broadcast(wanted)).select("id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: F.array_contains(F.col("wanted"), t))).alias("term"))
+    else:
+        hits = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     tf = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(terms, "term").join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))
+    pairs = tf.join(F.broadcast(terms), "term").join(F.broadcast(df), "term") if few else met(tf, terms.join(df, "term"), ["term"])
+    scored = pairs.crossJoin(F.broadcast(corpus))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     total = scored.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
-from lorespark.operators import embed, retrieval
+from lorespark.operators import embed, retrieval, vector_index
 
 
 def hits(spark, rows):
@@ -72,3 +72,38 @@ def test_embedders_agree(spark):
         return "ok"
 
     assert embed.with_retry(flaky, sleep=lambda s: None) == "ok"
+
+
+def test_many_queries_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    words = "apple pie plum tart fig cake".split()
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3 + i % 2)], " ".join(rng.choice(words) for _ in range(6))) for i in range(90)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>, text string")
+    q = v.where("id % 2 = 0 or id < 9").select(F.col("id").alias("query_id"), "vector", F.substring("text", 1, 8).alias("text"))
+    model = vector_index.fit_cells(v.where("id % 2 = 0"), lists=4)
+    cells = vector_index.celled(v.where("id % 2 = 0"), model)
+    asked = {
+        "dense": lambda: retrieval.dense(v, q, 7), "bm25": lambda: retrieval.bm25(v, q, 7), "hybrid": lambda: retrieval.hybrid(v, q, 7, 0.2), "rescored": lambda: retrieval.rescored(v, q, 7),
+        "int4": lambda: vector_index.rescored(v, q, 7, "INT4"), "probed": lambda: vector_index.probed(cells, model, q.where("query_id % 2 = 0"), 7, 2),
+    }
+    rounded = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(sorted(df.columns)).collect())
+    few = {name: rounded(ask()) for name, ask in asked.items()}
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 10)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 20, raising=False)
+    assert {name: rounded(ask()) for name, ask in asked.items()} == few and all(few.values())
+
+
+def test_more_queries_than_are_broadcast(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, vector array<double>")
+    q = spark.range(retrieval.MAX_QUERIES + 1).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), (F.col("id") % 5).cast("double")).alias("vector"))
+    got = retrieval.dense(v, q, 1)
+    assert got.count() == retrieval.MAX_QUERIES + 1 and got.where("id <> query_id % 5").count() == 0
+
+
+def test_searches_ask_with_every_twentieth_id(spark):
+    from lorespark.plans import registry
+
+    dir = "/root/testdata/sf0.001"
+    want = {r[0] for r in registry.table(spark, dir, "embeddings").where("vec_id % 20 = 0").select("vec_id").collect()}
+    for name in ("quantized_int4_topk", "quantized_fp16_topk", "cells_topk"):
+        assert {r[0] for r in registry.queries()[name](spark, dir).select("query_id").distinct().collect()} == want, name
