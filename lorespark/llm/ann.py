@@ -10,8 +10,8 @@ Rows are dealt into blocks of about BLOCK_ROWS, queries into blocks of about BLO
 each query's best of all blocks are ranked at the end. Every row is indexed; nothing is sampled.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors whose
-length differs from the query's. Rows that repeat a vec_id are candidates each; a query's own id is never its
-candidate. Fewer candidates than k: all of them.
+length differs from the query's. Nor do rows without a vec_id. Rows that repeat a vec_id are candidates each, but one of them
+asks, the one of the least vector; a query's own id is never its candidate. Fewer candidates than k: all of them.
 """
 
 from __future__ import annotations
@@ -108,7 +108,8 @@ def search(rows: DataFrame, every: int, k: int) -> DataFrame:
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
     deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(int(n))).cast("int")
     data = rows.select("size", deal(blocks, 1).alias("block"), cells(askers).alias("asker"), "vec_id", "v")
-    asked = rows.where(F.col("vec_id") % every == 0).select("size", cells(blocks).alias("block"), deal(askers, 2).alias("asker"), "vec_id", "v")
+    one = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("size", F.size("v"))
+    asked = one.select("size", cells(blocks).alias("block"), deal(askers, 2).alias("asker"), "vec_id", "v")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         got = []

@@ -112,6 +112,18 @@ def test_few_vectors(spark):
     assert A.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), 20, 20).count() == 0
 
 
+def test_repeated_query_id(spark):
+    """One row of an id asks: a copy takes no places, and lists of different vectors aren't mixed."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(1, 60)]
+    rows += [rows[19], (0, [1.0, 2.0, 0.0, 0.0]), (0, [-3.0, 0.5, 1.0, 0.0]), (0, [1.0, 2.0, 0.0, 0.0]), (None, [9.0, 9.0, 9.0, 9.0])]
+    got = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20).collect()
+    for q in (0, 20, 40):
+        v = np.array(min(x for i, x in rows if i == q))
+        want = sorted((-float((np.array(x) * v).sum()), i) for i, x in rows if i is not None and i != q)[:20]
+        assert sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q) == [(n, i) for n, (_, i) in enumerate(want, 1)]
+
+
 def test_chi_square():
     x = np.random.default_rng(1).chisquare(8, 200_000)
     for at in (2.0, 7.3, 15.5):
