@@ -4,8 +4,8 @@ Inputs of a row are its hashed words, structure statistics in logarithmic bins a
 metadata). The score is sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]): the
 sum-of-squares identity makes all pairwise interactions linear in the number of inputs.
 
-The model is fitted on at most MAX_TRAIN labelled rows (those with the least hashes of their ids; a bound on the
-driver's memory) with numpy; every document is scored. Labels, lang, source and doc_id are never inputs.
+The model is fitted with numpy on a bounded sample of labelled rows: those with the least hashes of their ids, at most MAX_TRAIN rows
+with MAX_INPUTS inputs in all (two bytes each on the driver). Every document is scored. Labels, lang, source and doc_id are never inputs.
 
 Null and empty texts have only the empty-length input and get that score. Labels that are null are left out; a
 document with several labels takes the largest, one with several texts is learnt by the least of them. Rows are scored one by one, so repeated rows repeat their score.
@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import id_column, text_batches, with_nulls
+from .common import discard, id_column, stored, text_batches, with_nulls
 
+#: Bounds of the training sample: rows, and inputs of all rows together (32 MB).
 MAX_TRAIN = 12_000
+MAX_INPUTS = 16_000_000
 WORD_SLOTS = 1 << 15
 BINS = 16
 STATS = 17
@@ -87,18 +89,27 @@ def fm_scores(idx: np.ndarray, val: np.ndarray, starts: np.ndarray, w0: float, w
     return w0 + np.add.reduceat(w[idx] * val, starts) + 0.5 * (s**2 - np.add.reduceat(vx**2, starts, axis=0)).sum(axis=1)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.08, shrink: float = 1e-5, seed: int = 7):
-    """(w0, w, v) by AdaGrad on the logistic loss."""
+def _values(sizes: np.ndarray) -> np.ndarray:
+    """Values of the inputs of rows laid end to end, as ``features`` gives them: a row's words first, its STATS bins last."""
+    ends = np.cumsum(sizes)
+    val = np.repeat((1 / np.sqrt(np.maximum(1, sizes - STATS))).astype(np.float32), sizes)
+    val[(ends[:, None] - np.arange(1, STATS + 1)).ravel()] = 0.5
+    return val
+
+
+def fit(slots: np.ndarray, ends: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.08, shrink: float = 1e-5, seed: int = 7):
+    """(w0, w, v) by AdaGrad on the logistic loss, from rows' slots laid end to end and where each row ends."""
     rng = np.random.default_rng(seed)
     w0, w, v = 0.0, np.zeros(SLOTS, np.float32), rng.normal(0, 0.02, (SLOTS, FACTORS)).astype(np.float32)
     g0, gw, gv = 1e-6, np.full(SLOTS, 1e-6, np.float32), np.full((SLOTS, FACTORS), 1e-6, np.float32)
+    firsts = np.r_[0, ends[:-1]]
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(ends))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            sizes = np.array([len(rows[i][0]) for i in part])
+            sizes = ends[part] - firsts[part]
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
-            idx, val = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part])
+            idx, val = np.concatenate([slots[firsts[i] : ends[i]] for i in part]).astype(np.int32), _values(sizes)
             vx = v[idx] * val[:, None]
             s = np.add.reduceat(vx, starts, axis=0)
             raw = w0 + np.add.reduceat(w[idx] * val, starts) + 0.5 * (s**2 - np.add.reduceat(vx**2, starts, axis=0)).sum(axis=1)
@@ -118,8 +129,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
     return w0, w, v
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN):
-    """The model (w0, w, v) from at most ``max_train`` labelled rows outside the held-out fifth; None without labels."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_inputs: int = MAX_INPUTS):
+    """The model (w0, w, v) from a bounded sample of the labelled rows outside the held-out fifth; None without labels.
+
+    Executors make the inputs; the driver streams them, two bytes each, into one array of at most ``max_inputs``.
+    """
     text_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("_label"))
@@ -128,18 +142,31 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN):
 
     def run(batches):
         for pdf in batches:
-            f = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["_label"], "idx": [x for x, _ in f], "val": [x for _, x in f]})
+            slots = [features(t)[0].astype("<u2") for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["_label"], "n": np.fromiter(map(len, slots), np.int64, len(slots)), "slots": [x.tobytes() for x in slots]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     #: One text for each chosen id, however often the id is repeated, so that what comes to the driver stays bounded.
     rows = rows.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
-    got = rows.mapInPandas(run, "doc_id long, label int, idx array<int>, val array<float>").toPandas()
-    if not len(got):
+    rows = stored(rows.mapInPandas(run, "doc_id long, label int, n long, slots binary").withColumn("_hash", F.xxhash64("doc_id")), "quality-inputs")
+    kept, room = 0, max_inputs
+    sizes = [(r["doc_id"], r["_hash"], r["n"], r["label"]) for r in rows.select("doc_id", "_hash", "n", "label").orderBy("_hash", "doc_id").toLocalIterator()]
+    while kept < len(sizes) and sizes[kept][2] <= room:
+        room -= sizes[kept][2]
+        kept += 1
+    if not kept:
+        discard(rows)
         return None
-    got = got.sort_values("doc_id", kind="stable")
-    inputs = [(np.asarray(i, np.int32), np.asarray(x, np.float32)) for i, x in zip(got["idx"], got["val"])]
-    return fit(inputs, got["label"].to_numpy(np.float32))
+    sizes = sorted(sizes[:kept])
+    ends = np.cumsum([n for _, _, n, _ in sizes])
+    place = {i: at for at, (i, _, _, _) in enumerate(sizes)}
+    slots, y = np.empty(int(ends[-1]), np.uint16), np.array([x for _, _, _, x in sizes], np.float32)
+    for r in rows.select("doc_id", "slots").toLocalIterator():
+        if (at := place.get(r["doc_id"])) is not None:
+            own = np.frombuffer(r["slots"], "<u2")
+            slots[ends[at] - len(own) : ends[at]] = own
+    discard(rows)
+    return fit(slots, ends, y)
 
 
 def _scores(texts: list, model) -> np.ndarray:

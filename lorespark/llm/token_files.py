@@ -221,7 +221,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files at ``path``."""
-    text_batches(spark, 4)  # files are some megabytes each
+    text_batches(spark)
     files = spark.read.parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     #: One small row for each shard.

@@ -109,6 +109,26 @@ def test_quality_on_held_out(spark, tables):
     assert set(quality.score_quality(rows, labels.limit(0)).toPandas()["score"]) == {0.5}
 
 
+def test_training_sample_is_bounded_by_inputs(spark, tables):
+    """Rows go into the sample in order of their ids' hashes until the next one would pass the bound."""
+    from pyspark.sql import functions as F
+
+    _, docs, labels = tables
+    known = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("quality").isNotNull())
+    order = [r["doc_id"] for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    text = dict(docs.select("doc_id", "text").collect())
+    sizes = np.cumsum([len(quality.features(text[i])[0]) for i in order])
+    few = labels.where(F.col("doc_id").isin(order[:40]))
+    for one, other in zip(quality.train(docs, labels, max_inputs=int(sizes[39])), quality.train(docs, few)):
+        assert np.array_equal(one, other)
+    assert quality.train(docs, labels, max_inputs=1) is None
+
+
+def test_values_of_inputs():
+    rows = [quality.features(t) for t in (None, "a b a", "w " * 50)]
+    assert np.array_equal(quality._values(np.array([len(i) for i, _ in rows])), np.concatenate([x for _, x in rows]))
+
+
 def test_labels_of_other_rows_are_never_read(spark, tables):
     """Scores don't change when the held-out labels do."""
     from pyspark.sql import functions as F
