@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def wide_pattern() -> re.Pattern:
+    """One character of WIDE, for Python."""
+    return re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), WIDE) + "]")
+
+
 def token_estimate(text) -> Column:
     """Wide characters, plus a quarter of all others rounded up."""
     text = _col(text)
@@ -90,13 +97,15 @@ def preview(text, chars: int) -> Column:
 
 
 def format_bytes(n) -> Column:
-    """B to TB in steps of 1024, with one decimal below ten."""
+    """B to TB in steps of 1024, with one decimal below ten, halves rounded up; nothing, less and what isn't a number are ``0 B``."""
     n, out = _col(n).cast("double"), None
     for i, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
         value = n / 1024.0**i
-        shown = F.when((value < 10) & F.lit(i > 0), F.format_string("%.1f " + unit, value)).otherwise(F.format_string("%.0f " + unit, value))
+        tenths = F.floor(value * 10 + 0.5).cast("long")
+        short = F.concat((F.floor(tenths / 10)).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))
+        shown = F.concat(F.when((value < 10) & F.lit(i > 0), short).otherwise(F.floor(value + 0.5).cast("long").cast("string")), F.lit(" " + unit))
         out = shown if out is None else F.when(n < 1024.0 ** (i + 1), shown).otherwise(out)
-    return out
+    return F.when((n <= 0) | F.isnan(n) | (n == float("inf")), "0 B").otherwise(out)
 
 
 def fnv1a_id(name, seed) -> Column:

@@ -23,7 +23,7 @@ from lorespark.functions import text as T
 MODES = ("heading", "paragraph", "fixed")
 CHUNK = "ordinal int, text string, tokens long, char_start long, char_end long, overlap_tokens long, heading string"
 
-_WIDE = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿＀-￯\U00020000-\U0002ebef]")
+_WIDE = T.wide_pattern()
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 _HEADING = re.compile(r"(#{1,6})\s+(.*)")
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*")
@@ -201,7 +201,8 @@ def chunks_of(text: str, c: Config) -> tuple[list[tuple], int]:
 
 def chunk_documents(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """(doc_id, chunk_id, ordinal, text, tokens, char_start, char_end, overlap_tokens, heading, discarded) of each chunk of
-    ``docs`` (doc_id, text); ``discarded`` is the document's. A document without chunks gives no rows; null texts count as empty."""
+    ``docs`` (doc_id, text); ``discarded`` is the document's. A document without chunks gives no rows; null texts count as empty, and
+    a null doc_id stays null beside any other."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     names = [x.split()[0] for x in CHUNK.split(", ")]
 
@@ -213,8 +214,9 @@ def chunk_documents(docs: DataFrame, config: Config = Config()) -> DataFrame:
                 out += [(doc, *r, dropped) for r in rows]
             yield pd.DataFrame(out, columns=["doc_id", *names, "discarded"])
 
-    rows = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {doc_type}, {CHUNK}, discarded long")
-    return rows.withColumn("chunk_id", F.concat_ws("#", F.col("doc_id").cast("string"), "ordinal"))
+    #: As text: pandas would turn whole numbers beside a null into doubles.
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, f"doc_id string, {CHUNK}, discarded long")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(doc_type)).withColumn("chunk_id", F.concat_ws("#", F.col("doc_id").cast("string"), "ordinal"))
 
 
 def plan_totals(chunks: DataFrame) -> DataFrame:

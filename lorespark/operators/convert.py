@@ -10,7 +10,10 @@ import csv
 import io
 import json
 import re
+import signal
+import threading
 import zipfile
+from contextlib import contextmanager
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -32,8 +35,8 @@ IMAGE = "![图片]()"
 
 
 def stripped_html(html) -> Column:
-    """HTML without comments, scripts and styles."""
-    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    """HTML without comments, scripts and styles, at any depth; an unclosed one ends with the text."""
+    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\z)", "")
 
 
 def is_unsafe_url(url) -> Column:
@@ -219,9 +222,36 @@ class _Markdown(HTMLParser):
             (self.pre[1] if self.pre is not None else self.line).append(data)
 
 
+#: What shows nothing, to its end or the text's; a start never goes past the next one, so that many unclosed ones cost no more than the text's length.
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Seconds that a document may take.
+SECONDS = 60.0
+
+
+@contextmanager
+def time_limit(seconds: float):
+    """Raises a TimeoutError in what takes longer; a timer needs the main thread, which is where a Python worker runs."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise TimeoutError(f"the document took more than {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def html_to_markdown(html: str) -> str:
     parser = _Markdown()
-    parser.feed(re.sub("\r\n?", "\n", html))
+    html = _HIDDEN.sub("", re.sub("\r\n?", "\n", html))
+    end = html.rfind(">") + 1  # no tag begins behind the last one's end
+    parser.feed(html[:end] + html[end:].replace("<", "&lt;"))
     parser.close()
     parser.flush()
     out = []
@@ -358,17 +388,18 @@ def converted(name: str, data: bytes, limit: int = TEXT_LIMIT) -> tuple:
         how = T.FORMATS.get(ext)
         if how in (None, "pdf"):
             return None, None, False, True, f"no converter for .{ext}"
-        if how == "xlsx":
-            text = xlsx_to_markdown(data)
-        elif how == "docx":
-            text, lost = docx_to_markdown(data)
-        else:
-            text = data.decode("utf-8", "replace").removeprefix("﻿")
-            text = {"html": html_to_markdown, "csv": lambda t: csv_to_markdown(t, stem), "json": json_to_markdown}.get(how, lambda t: t)(text)
+        with time_limit(SECONDS):
+            if how == "xlsx":
+                text = xlsx_to_markdown(data)
+            elif how == "docx":
+                text, lost = docx_to_markdown(data)
+            else:
+                text = data.decode("utf-8", "replace").removeprefix("﻿")
+                text = {"html": html_to_markdown, "csv": lambda t: csv_to_markdown(t, stem), "json": json_to_markdown}.get(how, lambda t: t)(text)
         text = re.sub("\r\n?", "\n", text)
         if how != "verbatim" and not text.strip():
             return None, None, False, True, "nothing was left of the document"
-    except (ValueError, KeyError, TypeError, StopIteration, AttributeError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as e:
+    except (ValueError, KeyError, TypeError, StopIteration, AttributeError, TimeoutError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as e:
         return None, None, False, True, str(e) or type(e).__name__
     kept = cap_bytes(text, limit)
     grade = grade_text(kept)
@@ -394,12 +425,22 @@ def convert_files(files: DataFrame) -> DataFrame:
 
 
 def convert_html(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, text, structure) of a column of HTML."""
+    """(key, text, structure) of a column of HTML; both are null for a page that takes longer than SECONDS."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
-            text = [html_to_markdown(h or "") for h in pdf[column]]
-            yield pd.DataFrame({key: pdf[key], "text": text, "structure": [grade_text(t) for t in text]})
+            text = [_in_time(h) for h in pdf["_html"]]
+            yield pd.DataFrame({"_key": pdf["_key"], "text": text, "structure": [None if t is None else grade_text(t) for t in text]})
+
+    #: Keys go as text: pandas would turn whole numbers beside a null into doubles.
+    out = rows.select(F.col(key).cast("string").alias("_key"), F.col(column).alias("_html")).mapInPandas(run, "_key string, text string, structure string")
+    return out.select(F.col("_key").cast(kind).alias(key), "text", "structure")
 
-    return rows.select(key, column).mapInPandas(run, f"{key} {kind}, text string, structure string")
+
+def _in_time(html: str | None) -> str | None:
+    try:
+        with time_limit(SECONDS):
+            return html_to_markdown(html or "")
+    except TimeoutError:
+        return None

@@ -6,7 +6,6 @@ import time
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,15 +68,19 @@ def embedded(chunks: DataFrame, embed: EmbedFn, dimension: int, batch: int = BAT
     schema = T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType(), False))])
 
     def run(batches):
-        for pdf in batches:
+        import pyarrow as pa
+
+        for rows in batches:
             vectors = []
-            texts = [t or "" for t in pdf["text"]]
+            texts = [t or "" for t in rows.column("text").to_pylist()]
             for i in range(0, len(texts), batch):
                 part = texts[i : i + batch]
                 got = with_retry(lambda part=part: embed(part))
                 if len(got) != len(part) or any(len(v) != dimension for v in got):
                     raise ValueError(f"the embedder must give {dimension} components for each text")
                 vectors += [np.asarray(v, np.float32) for v in got]
-            yield pdf.assign(vector=pd.Series(vectors, index=pdf.index, dtype=object))
+            flat = np.concatenate(vectors) if vectors else np.empty(0, np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * dimension, pa.int32()), pa.array(flat, pa.float32()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, "vector"])
 
-    return chunks.mapInPandas(run, schema)
+    return chunks.mapInArrow(run, schema)

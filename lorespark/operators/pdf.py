@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as T
 from lorespark.operators.convert import RESULT, TEXT_LIMIT, cap_bytes, grade_text, pipe_table
 
+#: Limits and thresholds of the layout (fixed values): pages and seconds; sizes that make headings, and their most characters; a table's
+#: rows; steps of a size in a point; what joins a line and parts a paragraph, in sizes.
 PAGES, SECONDS = 1000, 120.0
 HEADING_SIZES, HEADING_CHARS = 6, 40
 TABLE_ROWS = (3, 200)
+SIZE_STEPS, SAME_LINE, NEW_PARAGRAPH = 4, 0.5, 1.8
 #: Tags of marked content that lay out a page (fixed values).
 HEADING_TAGS = {"H": 1, "H1": 1, "H2": 2, "H3": 3, "H4": 4, "H5": 5, "H6": 6}
 TABLE_TAGS = frozenset(("Table", "TR", "TH", "TD"))
@@ -205,7 +208,7 @@ def lines_of(runs: list[Run]) -> list[list[Run]]:
     """Runs of one page as lines, top down, left to right; a run joins a line while it's within half a size of the line's first."""
     out: list[list[Run]] = []
     for r in sorted(runs, key=lambda r: (-r.y, r.x)):
-        if out and abs(out[-1][0].y - r.y) <= max(0.5, min(out[-1][0].size, r.size) / 2):
+        if out and abs(out[-1][0].y - r.y) <= max(0.5, min(out[-1][0].size, r.size) * SAME_LINE):
             out[-1].append(r)
         else:
             out.append([r])
@@ -216,7 +219,7 @@ def body_size(runs: list[Run]) -> float:
     """The size of most characters, in quarter points."""
     seen: Counter = Counter()
     for r in runs:
-        seen[round(r.size * 4) / 4] += len(r.text.strip())
+        seen[round(r.size * SIZE_STEPS) / SIZE_STEPS] += len(r.text.strip())
     return min((s for s, n in seen.items() if n == max(seen.values())), default=0.0)
 
 
@@ -295,7 +298,7 @@ def pdf_to_markdown(runs: list[Run]) -> str:
     if is_tagged(runs):
         return _tagged(runs)
     body, blocks = body_size(runs), []
-    sizes = sorted({round(r.size * 4) / 4 for r in runs if r.size > body + 0.5}, reverse=True)[:HEADING_SIZES]
+    sizes = sorted({round(r.size * SIZE_STEPS) / SIZE_STEPS for r in runs if r.size > body + 0.5}, reverse=True)[:HEADING_SIZES]
     for page in sorted({r.page for r in runs}):
         lines = lines_of([r for r in runs if r.page == page])
         tables = any(_table(lines, i) for i in range(len(lines)))
@@ -303,9 +306,9 @@ def pdf_to_markdown(runs: list[Run]) -> str:
             i, paragraph = 0, []
             while i < len(column):
                 n, text = _table(column, i), line_text(column[i])
-                size = round(max(r.size for r in column[i]) * 4) / 4
+                size = round(max(r.size for r in column[i]) * SIZE_STEPS) / SIZE_STEPS
                 heading = size in sizes and len(text) <= HEADING_CHARS
-                apart = bool(paragraph) and column[i - 1][0].y - column[i][0].y > 1.8 * column[i][0].size
+                apart = bool(paragraph) and column[i - 1][0].y - column[i][0].y > NEW_PARAGRAPH * column[i][0].size
                 if paragraph and (n or heading or apart):
                     blocks.append("\n".join(paragraph))
                     paragraph = []

@@ -109,3 +109,9 @@ def test_table_function(spark):
     got = spark.sql("SELECT d.doc_id, c.* FROM texts_to_chunk d, LATERAL chunk(d.text, 'heading', 50, 5, 1) c").collect()
     want = chunk_documents(docs, Config("heading", 50, 5, 1)).collect()
     assert sorted((r["doc_id"], r["ordinal"], r["text"], r["char_start"]) for r in got) == sorted((r["doc_id"], r["ordinal"], r["text"], r["char_start"]) for r in want) and len(got) > 2
+
+
+def test_ids_beside_a_null(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "one text"), (None, "another text")], "doc_id long, text string")
+    got = {r["text"]: (r["doc_id"], r["chunk_id"]) for r in chunk_documents(docs, Config("fixed", 50, 0, 0)).collect()}
+    assert got == {"one text": (2**60 + 1, f"{2**60 + 1}#0"), "another text": (None, "0")}

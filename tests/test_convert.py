@@ -1,4 +1,6 @@
 import io
+import random
+import time
 import zipfile
 
 import pytest
@@ -6,25 +8,53 @@ from pyspark.sql import functions as F
 
 from lorespark.operators import convert as C
 
-GRADES = [
-    ("# T\n\nText.\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n```ts\nx\n```", "structured"),
-    ("T\n====\n\nbody", "flat-text"), ("# T\n\n    indented\n", "inferred"), ("# T\n\n| a | b |\n| 1 | 2 |\n", "inferred"),
-    ("# T\r\n\r\nbody\r\n", "flat-text"), ("just prose", "flat-text"), ("", "flat-text"), ("# T\n\nbody\n\n## U\n\nmore\n", "inferred"),
-    ("# H\n\n```\nx\n", "inferred"), ("```\n# not a heading\n```\n", "flat-text"), ("# H\n\n| --- | --- |\n| --- | --- |\n", "inferred"),
-    ("# H\n\n| : |\n| --- |\n| a |\n", "inferred"), ("# H\n\n~~~\nx\n~~~", "structured"),
-]
+
+def graded(rng):
+    """A document of random blocks in random order, and the grade that the rule gives for what was put in."""
+    word = lambda: "".join(rng.choice("klmopqu") for _ in range(rng.randint(2, 7)))
+    fence = rng.choice(["~~~", "```", "```sql"])
+    blocks = {
+        "prose": f"{word()} {word()}\n{word()}.",
+        "heading": "#" * rng.randint(1, 6) + f" {word()}",
+        "no heading": rng.choice([f"#{word()}", f"{'#' * 7} {word()}", f"{word()}\n---", f" # {word()}"]),
+        "fence": f"{fence}\n{word()}\n{fence[:3]}",
+        "fenced heading": f"{fence}\n# {word()}\n{fence[:3]}",
+        "table": f"| {word()} | {word()} |\n|:--|---:|\n| {word()} | |",
+        "no rule": f"| {word()} |\n| {word()} |",
+        "no header": "| : | - |\n| --- | --- |",
+    }
+    chosen = rng.sample(list(blocks), rng.randint(0, 5))
+    parts = [blocks[c] for c in chosen]
+    if rng.random() < 0.15:  # an open fence hides what follows
+        at = rng.randint(0, len(parts))
+        cut, after = chosen[:at], chosen[at:]
+        if not any(c in ("fence", "fenced heading") for c in after):
+            parts.insert(at, fence)
+            heads = "heading" in cut
+        else:
+            heads = "heading" in chosen
+    else:
+        heads = "heading" in chosen
+    text = "\n\n".join(parts)
+    if rng.random() < 0.1:
+        return text + "\r\n", "flat-text"
+    full = bool({"fence", "fenced heading", "table"} & set(chosen))
+    return text, "flat-text" if not heads else "structured" if full else "inferred"
 
 
 def test_grades_agree(spark):
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GRADES)], "doc_id long, text string")
-    assert [r["structure"] for r in C.grade(rows).orderBy("doc_id").collect()] == [g for _, g in GRADES]
-    assert [C.grade_text(t) for t, _ in GRADES] == [g for _, g in GRADES]
+    rng = random.Random(11)
+    cases = [("", "flat-text"), *(graded(rng) for _ in range(400))]
+    assert {g for _, g in cases} == {"flat-text", "inferred", "structured"}
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert [r["structure"] for r in C.grade(rows).orderBy("doc_id").collect()] == [g for _, g in cases]
+    assert [C.grade_text(t) for t, _ in cases] == [g for _, g in cases]
 
 
 def test_html():
     html = (
         '<!DOCTYPE html><html><head><title>no</title><script>var a="</p>";</script><style>p{}</style></head><body><!-- c --><h1>A <b>b</h1>'
-        '<p>one<p>two <a href="JaVaScript:x()">bad</a> <a href="&#106;avascript:y">worse</a> <a href="http://k/">good</a><img src="data:x" alt="i">'
+        '<p>one<p>two <a href="JaVaScript:x()">bad</a> <a href="vbs&#x63;ript&colon;y">worse</a> <a href="http://k/">good</a><img src="data:x" alt="i">'
         '<ul><li>x<li>y</ul><table><tr><th>h1<th>h|2</tr><tr><td>1<td>2</table><pre><code class="language-ts">let a\n  = 1</code></pre></body></html>'
     )
     got = C.html_to_markdown(html)
@@ -97,3 +127,30 @@ def test_unsafe(spark):
     urls = ["javascript:x", " \tJavaScript:x", "data:a", "vbscript:", "http://x", "/a:b", None]
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select(C.is_unsafe_url(F.col("u")).alias("x"))
     assert [r["x"] for r in rows.collect()] == [True, True, True, True, False, False, False]
+
+
+def test_unclosed_parts_cost_no_more_than_their_length(spark):
+    start = time.perf_counter()
+    for part in ("<!--", "<script>", "<style x", "<!-- a --><b>"):
+        C.html_to_markdown("<p>kept</p>" + part * 60_000)
+    assert time.perf_counter() - start < 20
+    assert C.html_to_markdown("<p>kept</p><!-- a <!-- b <p>gone</p>") == "kept\n"
+    with pytest.raises(TimeoutError), C.time_limit(0.2):
+        while True:
+            pass
+    rows = spark.createDataFrame([("a<div><style>p{}</style>b<!-- x</div>",), ("<!--" * 50_000,), ("a<script>1</script\n>b",)], "h string")
+    assert [r[0] for r in rows.select(C.stripped_html("h")).collect()] == ["a<div>b", "", "ab"]
+
+
+def test_keys_beside_a_null(spark):
+    rows = spark.createDataFrame([(2**60 + 1, "<p>a</p>"), (None, "<p>b</p>"), (7, None)], "page_id long, html string")
+    got = {r["text"]: r["page_id"] for r in C.convert_html(rows, "page_id", "html").collect()}
+    assert got == {"a\n": 2**60 + 1, "b\n": None, "": 7}
+
+
+def test_bytes(spark):
+    from lorespark.functions.text import format_bytes
+
+    sizes = {-5: "0 B", 0: "0 B", 1: "1 B", 1023: "1023 B", 1024: "1.0 KB", 1587: "1.5 KB", 1588: "1.6 KB", 10239: "10.0 KB", 10240: "10 KB", 10752: "11 KB", 9 * 2**40: "9.0 TB", 5000 * 2**40: "5000 TB", None: None}
+    rows = spark.createDataFrame(list(enumerate(sizes)), "i int, n long").orderBy("i").select(format_bytes("n").alias("s"))
+    assert [r["s"] for r in rows.collect()] == list(sizes.values())
