@@ -1,17 +1,24 @@
 """Approximate nearest neighbours by inner product.
 
-Vectors of norm at most M get one more component, sqrt(M^2 - |x|^2), and queries a zero: the nearest by distance is then
-the largest inner product. A few Gaussian (2-stable) projections give points of PROJECTED dimensions, for
-which |projected|^2 / |true|^2 follows a chi-square law. A kd-tree over the projected points of a block cuts it into leaves;
-a query visits leaves in order of their distance and verifies their vectors exactly, until the chi-square
-test holds: a vector nearer than the k-th found so far would have been seen already with probability CONFIDENCE.
-
-Rows are dealt into blocks of about BLOCK_ROWS, queries into blocks of about BLOCK_QUERIES; a task has one of each, and
-each query's best of all blocks are ranked at the end. Every row is indexed; nothing is sampled.
-
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors whose
-length differs from the query's. Nor do rows without a vec_id. Rows that repeat a vec_id are candidates each, but one of them
-asks, the one of the least vector; a query's own id is never its candidate. Fewer candidates than k: all of them.
+Vectors of norm at most M get one more component, sqrt(M^2 - |x|^2), and queries a zero: the nearest by distance is then the largest
+inner product. Gaussian (2-stable) projections give points of PROJECTED dimensions, for which |projected|^2 / |true|^2 follows
+a chi-square law. The projection of the added component, which all distances share, is scaled to keep its length.
+
+1. Equal vectors are one row from here on, with the ids that can be among the nearest of any query (at most 2k + 1 distinct ones).
+2. A kd-tree over the projected points, fitted on a sample of SAMPLE rows at most, has leaves of about LEAF_ROWS rows. Every row is put
+   into its leaf; leaves of more than BLOCK_ROWS rows are dealt into blocks. The leaves' boxes and counts are a small table, at most a
+   row for each LEAF_SAMPLE rows of the sample.
+3. Queries, one for each distinct vector, go in rounds to the leaves nearest to their projected points: to one leaf, then to FURTHER times as
+   many as before. A task has one block of rows and at most about BLOCK_QUERIES queries, verifies rows exactly in order of projected distance, and
+   stops by the chi-square test: a vector nearer than the k-th found would have been seen already with probability CONFIDENCE. What was
+   found is written after each round, and a query goes on only to leaves that the same test leaves open.
+
+So each query and row is sent once for each leaf and round in which they meet, which is what the data leaves open, not rows times queries.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors whose length differs from the
+query's. Nor do rows without a vec_id. Rows that repeat a vec_id are candidates each, but one of them asks, the one of the least
+vector; a query's own id is never its candidate. Fewer candidates than k: all of them. Products that overflow are infinite and tie;
+those that aren't a number rank as minus infinity. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +30,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTED = 8
-CONFIDENCE = 0.97
-LEAF = 128
+from .common import NO_ID, discard, stored
+
+PROJECTED = 16
+CONFIDENCE = 0.87
+SAMPLE = 65_536
+#: Rows that a leaf is meant to hold, and the least rows of the sample that it's fitted on.
+LEAF_ROWS, LEAF_SAMPLE = 4_096, 8
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 1_024
+FURTHER = 4
 
 
 def chi_square_cdf(x: np.ndarray, m: int = PROJECTED) -> np.ndarray:
@@ -36,88 +48,265 @@ def chi_square_cdf(x: np.ndarray, m: int = PROJECTED) -> np.ndarray:
     return 1 - np.exp(-half) * sum(half**i / math.factorial(i) for i in range(m // 2))
 
 
-def kd_leaves(points: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
-    """Rows of each leaf of a kd-tree that halves the widest side at the median."""
-    leaves, todo = [], [np.arange(len(points))]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= leaf:
-            leaves.append(rows)
-            continue
-        p = points[rows]
-        order = np.argsort(p[:, int(np.argmax(p.max(0) - p.min(0)))], kind="stable")
-        todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
-    return leaves
-
-
-def search_block(ids, vectors, query_ids, queries, norm2: float, k: int) -> list[tuple[int, int, float]]:
-    """(query_id, vec_id, score) of the best k found in one block for each query of one block."""
-    size = vectors.shape[1]
-    if not len(ids) or not len(query_ids):
-        return []
-    lifted = np.column_stack([vectors, np.sqrt(np.maximum(norm2 - (vectors**2).sum(1), 0))])
-    gauss = np.random.default_rng(size).standard_normal((size + 1, PROJECTED))
-    points, asked = lifted @ gauss, queries @ gauss[:size]
-    leaves = kd_leaves(points)
-    order, sizes = np.concatenate(leaves), np.array([len(x) for x in leaves])
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    low = np.minimum.reduceat(points[order], starts)
-    high = np.maximum.reduceat(points[order], starts)
-    vec, own = vectors[order], ids[order]
-    gap = np.zeros((len(asked), len(leaves)))
-    for d in range(PROJECTED):
-        a = asked[:, d : d + 1]
-        gap += np.maximum(np.maximum(low[:, d] - a, a - high[:, d]), 0) ** 2
-    placed, ends = points[order], starts + sizes
-    found, step = [], max(1, len(leaves) // 16)
-    for q, qid, g, spot in zip(queries, query_ids, gap, asked):
-        visit = np.argsort(g, kind="stable")
-        q2, seen, rows = float(q @ q), np.empty(0), np.empty(0, np.int64)
-        for at in range(0, len(visit), step):
-            if len(seen) > k:  # a place more than k, for the query's own row
-                kth = len(seen) - k - 1
-                last = int(np.argpartition(seen, kth)[kth])
-                true2 = max(norm2 + q2 - 2 * seen[last], 1e-12)
-                # copies of that row lie at its projected distance: ties are never cut
-                reach = ((placed[rows[last]] - spot) ** 2).sum() * (1 + 1e-9)
-                if g[visit[at]] > reach and chi_square_cdf(g[visit[at]] / true2) >= CONFIDENCE:
-                    break
-                keep = seen >= seen[last] - 1e-9 * (norm2 + q2)
-                seen, rows = seen[keep], rows[keep]
-            some = visit[at : at + step]
-            seen = np.concatenate([seen, *[vec[starts[s] : ends[s]] @ q for s in some]])
-            rows = np.concatenate([rows, *[np.arange(starts[s], ends[s]) for s in some]])
-        rows = rows[own[rows] != qid]
-        if len(rows) > k:
-            rough = vec[rows] @ q
-            rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9 * (norm2 + q2)]
-        score = (vec[rows] * q).sum(axis=1)  # the same order of additions for every row, so equal vectors tie
-        best = np.lexsort((own[rows], -score))[:k]
-        found += [(int(qid), int(i), float(s)) for i, s in zip(own[rows[best]], score[best])]
-    return found
+def reach(confidence: float = CONFIDENCE, m: int = PROJECTED) -> float:
+    """The chi-square value of that probability: beyond so many true squared distances the search stops."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square_cdf(mid, m) < confidence else (low, mid)
+    return high
+
+
+class Space:
+    """The projection of vectors of one size; ``scale`` keeps squares of large components finite, ``norm2`` is M^2 after scaling."""
+
+    def __init__(self, size: int, scale: float, norm2: float):
+        self.scale, self.norm2 = scale, norm2
+        self.gauss = np.random.default_rng(size).standard_normal((size + 1, PROJECTED))
+        self.gauss[size] *= math.sqrt(PROJECTED) / np.linalg.norm(self.gauss[size])
+
+    def rows(self, v: np.ndarray) -> np.ndarray:
+        v = v / self.scale
+        lift = np.sqrt(np.maximum(self.norm2 - (v**2).sum(axis=1), 0))
+        return np.column_stack([v, lift]) @ self.gauss
+
+    def queries(self, q: np.ndarray) -> np.ndarray:
+        return (q / self.scale) @ self.gauss[:-1]
+
+    def distance2(self, q2: float, score: float) -> float:
+        """The true squared distance, after scaling, that a score means for a query of squared length q2."""
+        return max(self.norm2 + q2 - 2 * (score / self.scale / self.scale), 1e-12)
+
+
+class Tree:
+    """A kd-tree as arrays; the widest side is halved at the median. Leaves are numbered from 0."""
+
+    def __init__(self, points: np.ndarray, leaf: int):
+        self.side, self.at, self.left, self.right, self.leaf = [], [], [], [], []
+        leaves, todo = 0, [(np.arange(len(points)), self._node())]
+        while todo:
+            rows, node = todo.pop()
+            p = points[rows]
+            spread = p.max(axis=0) - p.min(axis=0) if len(p) else np.zeros(1)
+            if len(rows) < 2 * leaf or not spread.max() > 0:
+                self.leaf[node] = leaves
+                leaves += 1
+                continue
+            side = int(spread.argmax())
+            x = p[:, side]
+            cut = np.median(x)
+            cut = cut if cut < x.max() else x[x < x.max()].max()
+            self.side[node], self.at[node] = side, float(cut)
+            self.left[node], self.right[node] = self._node(), self._node()
+            todo += [(rows[x <= cut], self.left[node]), (rows[x > cut], self.right[node])]
+        self.side, self.at, self.left, self.right, self.leaf = (np.array(x) for x in (self.side, self.at, self.left, self.right, self.leaf))
+
+    def _node(self) -> int:
+        for part, x in ((self.side, 0), (self.at, 0.0), (self.left, -1), (self.right, -1), (self.leaf, -1)):
+            part.append(x)
+        return len(self.leaf) - 1
+
+    def find(self, points: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), np.int64)
+        open_ = np.flatnonzero(self.leaf[node] < 0)
+        while len(open_):
+            n = node[open_]
+            node[open_] = np.where(points[open_, self.side[n]] <= self.at[n], self.left[n], self.right[n])
+            open_ = open_[self.leaf[node[open_]] < 0]
+        return self.leaf[node]
+
+
+def gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of points (n x d) from boxes (m x d)."""
+    out = np.zeros((len(points), len(low)))
+    for d in range(points.shape[1]):
+        x = points[:, d : d + 1]
+        out += np.maximum(np.maximum(low[:, d] - x, x - high[:, d]), 0) ** 2
+    return out
+
+
+def _scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = v @ q
+    return np.where(np.isnan(s), -np.inf, s)
+
+
+def verified(space: Space, v: np.ndarray, points: np.ndarray, q: np.ndarray, spot: np.ndarray, kth: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows, their rough scores, how many were verified) of one block for one query: all that can be among the best k of those
+    that the stopping test lets be seen. ``kth`` is the k-th best score so far, minus infinity for none."""
+    p = ((points - spot) ** 2).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        q2 = float(((q / space.scale) ** 2).sum())
+    limit = REACH * space.distance2(q2, kth) if kth > -np.inf else np.inf
+    order = np.flatnonzero(p < limit) if limit < np.inf else np.arange(len(p))
+    order = order[np.argsort(p[order], kind="stable")]
+    ahead = p[order]
+    seen, at, step, end = np.empty(0), 0, max(64, 2 * k), len(order)
+    while at < end:
+        seen = np.concatenate([seen, _scores(v[order[at : at + step]], q)])
+        at = len(seen)
+        step = max(64, at // 8)
+        if at >= k:
+            best = max(kth, np.partition(seen, at - k)[at - k])
+            if best > -np.inf:
+                # copies of one distance lie together: ties are never cut
+                end = int(np.searchsorted(ahead, REACH * space.distance2(q2, best) * (1 + 1e-9), "right"))
+    rows = order[:at]
+    if at > k:
+        least = np.partition(seen, at - k)[at - k]
+        finite = np.abs(seen[np.isfinite(seen)])
+        keep = seen >= least - 1e-9 * (finite.max() if len(finite) else 0.0)
+        rows, seen = rows[keep], seen[keep]
+    return rows, seen, at
+
+
+def best_of(rows: np.ndarray, v: np.ndarray, ids: list, q: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
+    """The first k (vec_id, score) of some rows: the largest score first, then the smaller id; never ``own``."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = (v[rows] * q).sum(axis=1)  # the same order of additions for every row, so equal vectors tie
+    score = np.where(np.isnan(score), -np.inf, score)
+    each = sorted((-float(s), int(i)) for r, s in zip(rows, score) for i in ids[r] if i != own)
+    return [(i, -s) for s, i in each[:k]]
+
+
+REACH = reach()
+
+
+def _matrix(column) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
 
 
 def search(rows: DataFrame, every: int, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest of each row whose vec_id is divisible by ``every``."""
-    v = F.col("embedding")
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
+    """(query_id, rank, vec_id, score, verified) of the k nearest of each row whose vec_id is divisible by ``every``; ``verified`` counts the
+    distinct vectors that the query was compared with."""
+    spark = rows.sparkSession
+    kind = rows.schema["embedding"].dataType.simpleString()
+    made = []
+
+    def kept(df, name):
+        made.append(stored(df, name))
+        return made[-1]
+
+    def dropped(df):
+        made.remove(df)
+        discard(df)
+
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     fit = "vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
-    rows = rows.where(fit).withColumn("size", F.size("v"))
-    facts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2")).first()
-    blocks, askers, norm2 = 1 + facts["n"] // BLOCK_ROWS, 1 + facts["q"] // BLOCK_QUERIES, float(facts["norm2"] or 0)
-    cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
-    deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(int(n))).cast("int")
-    data = rows.select("size", deal(blocks, 1).alias("block"), cells(askers).alias("asker"), "vec_id", "v")
-    one = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("size", F.size("v"))
-    asked = one.select("size", cells(blocks).alias("block"), deal(askers, 2).alias("asker"), "vec_id", "v")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        got = []
+    each = kept(rows.where(fit).groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("c")), "ann-rows")
+
+    #: A query's own id takes at most k places of a vector's list, so the first 2k + 1 places leave k for any query.
+    near = each.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= 2 * k + 1)
+    ids = F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "c"))), lambda x: F.array_repeat(x["vec_id"], x["c"]))), 1, 2 * k + 1)
+    data = kept(near.groupBy("v").agg(ids.alias("ids")).withColumn("size", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "ann-data")
+
+    #: One vector for each asking id. Ids of one vector ask together; an id of several vectors asks for itself, without any of them.
+    asks = each.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("several"), F.max("c").alias("c"))
+    asks = kept(asks.select("vec_id", "v", F.when((F.col("several") > 1) | (F.col("c") > 1), F.col("vec_id")).otherwise(NO_ID).alias("own")), "ann-asks")
+    queries = kept(asks.select("v", "own").distinct().withColumn("size", F.size("v")).withColumn("q", F.monotonically_increasing_id()), "ann-queries")
+    members = asks.join(queries.select("v", "own", "q"), ["v", "own"]).select(F.col("vec_id").alias("query_id"), "q")
+
+    scales = data.groupBy("size").agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).cast("double").alias("scale"))
+    length2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("scale")) * (x / F.col("scale")))
+    facts = {r["size"]: (r["n"], r["scale"], r["norm2"]) for r in data.join(F.broadcast(scales), "size").groupBy("size", "n", "scale").agg(F.max(length2).alias("norm2")).collect()}
+    spaces = lambda size: Space(size, *facts[size][1:])
+
+    def project(batches):
+        for pdf in batches:
+            for size, part in pdf.groupby("size"):
+                p = spaces(size).rows(_matrix(part["v"]))
+                yield pd.DataFrame({"size": part["size"].to_numpy(), "p": list(p)})
+
+    #: At most SAMPLE rows of PROJECTED numbers come to the driver.
+    some = data.select("size", "v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).mapInPandas(project, "size int, p array<double>").toArrow().to_pandas()
+    total = sum(n for n, _, _ in facts.values())
+    leaf = max(LEAF_SAMPLE, math.ceil(LEAF_ROWS / 2 * min(1.0, SAMPLE / max(1, total))))
+    trees = {s: Tree(np.stack(part["p"].to_numpy()), leaf) for s, part in some.groupby("size")} if len(some) else {}
+    held = spark.sparkContext.broadcast(trees)
+
+    def place(batches):
+        for pdf in batches:
+            for size, part in pdf.groupby("size"):
+                p = spaces(size).rows(_matrix(part["v"]))
+                found = held.value[size].find(p) if size in held.value else np.zeros(len(part), np.int64)
+                yield part.assign(p=list(p), leaf=found.astype(np.int32))
+
+    placed = kept(data.mapInPandas(place, f"v {kind}, ids array<long>, size int, row long, p array<double>, leaf int"), "ann-placed")
+    sides = [f(F.col("p")[i]).alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i in range(PROJECTED)]
+    leaves = placed.groupBy("size", "leaf").agg(F.count("*").alias("n"), *sides).orderBy("size", "leaf").toPandas()
+    cells = {}
+    for size, part in leaves.groupby("size"):
+        low, high = (part[[f"{n}{i}" for i in range(PROJECTED)]].to_numpy(float) for n in ("low", "high"))
+        cells[size] = (part["leaf"].to_numpy(), -(-part["n"].to_numpy() // BLOCK_ROWS), low, high)
+    boxes, most = spark.sparkContext.broadcast(cells), max((len(c[0]) for c in cells.values()), default=0)
+    blocks = spark.createDataFrame([(int(s), int(a), int(b)) for s, c in cells.items() for a, b in zip(c[0], c[1])], "size int, leaf int, blocks int")
+
+    def route(first: int, last: int):
+        """Queries with the leaves of the first-th to last-th place in the order of their distance, as far as the test leaves them open."""
+
+        def run(batches):
+            for pdf in batches:
+                for size, part in pdf.groupby("size"):
+                    if size not in boxes.value:
+                        continue
+                    space, (leaf, _, low, high) = spaces(size), boxes.value[size]
+                    v = _matrix(part["v"])
+                    gap = gaps(space.queries(v), low, high)
+                    order = np.argsort(gap, axis=1, kind="stable")[:, first:last]
+                    gap = np.take_along_axis(gap, order, axis=1)
+                    with np.errstate(over="ignore"):
+                        q2 = ((v / space.scale) ** 2).sum(axis=1)
+                    limit = np.array([REACH * space.distance2(a, s) * (1 + 1e-9) if s > -np.inf else np.inf for a, s in zip(q2, part["kth"])])
+                    at, place = np.nonzero(gap <= limit[:, None])
+                    yield part[["q", "own", "v", "kth", "size"]].iloc[at].assign(leaf=leaf[order[at, place]].astype(np.int32))
+
+        return run
+
+    def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
         if len(left) and len(right):
-            got = search_block(left["vec_id"].to_numpy(), np.array(left["v"].tolist()), right["vec_id"].to_numpy(), np.array(right["v"].tolist()), norm2, k)
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            space, v, points, ids = spaces(int(key[0])), _matrix(left["v"]), _matrix(left["p"]), left["ids"].tolist()
+            asked = _matrix(right["v"])
+            for q, own, kth, x, spot in zip(right["q"], right["own"], right["kth"], asked, space.queries(asked)):
+                open_ = np.arange(len(ids)) if own == NO_ID else np.array([r for r, i in enumerate(ids) if (i != own).any()], np.int64)
+                #: One place more than k, for the own id of a query that asks together with others.
+                found, _, n = verified(space, v[open_], points[open_], x, spot, kth, k + 1) if len(open_) else (open_, None, 0)
+                out += [(q, i, s, 0) for i, s in best_of(open_[found], v, ids, x, own, k + 1)]
+                out.append((q, NO_ID, 0.0, n))
+        return pd.DataFrame(out, columns=["q", "vec_id", "score", "verified"]).astype({"q": "int64", "vec_id": "int64", "score": "float64", "verified": "int64"})
+
+    found, first, last = None, 0, 1
+    while first < most:
+        state = queries.withColumn("kth", F.lit(-math.inf))
+        if found is not None:
+            state = queries.join(found.where(F.col("rank") == k + 1).select("q", F.col("score").alias("_s")), "q", "left").withColumn("kth", F.coalesce("_s", F.lit(-math.inf)))
+        routed = kept(state.select("q", "own", "v", "kth", "size").mapInPandas(route(first, last), f"q long, own long, v {kind}, kth double, size int, leaf int"), "ann-routed")
+        if routed.isEmpty():
+            break
+        #: A row for each leaf: how many tasks its queries are dealt over.
+        wanted = routed.groupBy("size", "leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("askers")).join(F.broadcast(blocks), ["size", "leaf"])
+        upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        spread = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+        left = placed.join(F.broadcast(wanted), ["size", "leaf"]).select("size", "leaf", spread("row", F.col("blocks")).alias("block"), upto(F.col("askers")).alias("asker"), "ids", "v", "p")
+        right = routed.join(F.broadcast(wanted), ["size", "leaf"]).select("size", "leaf", upto(F.col("blocks")).alias("block"), spread("q", F.col("askers")).alias("asker"), "q", "own", "kth", "v")
+        key = ["size", "leaf", "block", "asker"]
+        new = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "q long, vec_id long, score double, verified long")
+        new = kept(new, "ann-new")
+        every_hit = new if found is None else new.unionByName(found.select("q", "vec_id", "score", "verified"))
+        best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        hits = every_hit.where(F.col("vec_id") != NO_ID).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+        counts = every_hit.groupBy("q").agg(F.sum("verified").alias("_v"))
+        now = kept(hits.drop("verified").join(counts, "q").select("q", "vec_id", "score", F.when(F.col("rank") == 1, F.col("_v")).otherwise(0).alias("verified"), "rank"), "ann-found")
+        for done in (routed, new, *([found] if found is not None else [])):
+            dropped(done)
+        found, first, last = now, last, last * (FURTHER + 1)
 
-    key = ["size", "block", "asker"]
-    near = data.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
+    if found is None:
+        found = spark.createDataFrame([], "q long, vec_id long, score double, verified long, rank int")
+    out = members.join(found.join(found.groupBy("q").agg(F.sum("verified").alias("_v")), "q").drop("verified", "rank"), "q").where(F.col("vec_id") != F.col("query_id"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.col("_v").alias("verified"))
+    out = stored(out, "ann-neighbours")
+    for done in made:
+        discard(done)
+    return out

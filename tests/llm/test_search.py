@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from lorespark.llm import ann as A
 from lorespark.llm import ctph as C
@@ -88,8 +89,9 @@ def brute(rows, k, every=20):
 
 
 def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(A, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(A, "BLOCK_ROWS", 70)
     monkeypatch.setattr(A, "BLOCK_QUERIES", 10)
+    monkeypatch.setattr(A, "LEAF_ROWS", 100)
     rows = vectors()
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     got, want = {}, brute(rows, 20)
@@ -124,10 +126,86 @@ def test_repeated_query_id(spark):
         assert sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q) == [(n, i) for n, (_, i) in enumerate(want, 1)]
 
 
+def answers(got):
+    out = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return out
+
+
+def test_one_id_with_a_third_of_the_rows(spark, monkeypatch):
+    """Neither copies of one vector nor rows of one id gather in a task or take the places of others."""
+    monkeypatch.setattr(A, "LEAF_ROWS", 100)
+    rng = np.random.default_rng(8)
+    some = lambda: [float(x) for x in rng.normal(size=6)]
+    hot = some()
+    rows = [(i, some()) for i in range(1, 200)] + [(40, some()) for _ in range(150)] + [(60, hot)] * 60 + [(300 + i, hot) for i in range(120)]
+    got = answers(A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20).collect())
+    queries = sorted({i for i, _ in rows if i % 20 == 0})
+    assert sorted(got) == queries
+    missed = 0
+    for q in queries:
+        v = np.array(min(x for i, x in rows if i == q))
+        want = sorted((-float((np.array(x) * v).sum()), i) for i, x in rows if i != q)[:20]
+        assert len(got[q]) == 20 and q not in [i for i, _ in got[q]]
+        missed += 20 - len({(round(s, 9)) for _, s in got[q]} & {round(-s, 9) for s, _ in want}) if len({s for s, _ in want}) == 20 else got[q] != [(i, -s) for s, i in want]
+    assert missed <= 0.1 * 20 * len(queries)
+    assert [i for i, _ in got[320]] == [60] * 20
+
+
+def test_huge_components(spark):
+    """Squares beyond a double's range: products that overflow are infinite and tie by id, all others keep their order."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) * 1e200 for x in rng.normal(size=4)]) for i in range(40)] + [(100 + i, [float(x) for x in rng.normal(size=4)]) for i in range(40)]
+    got = answers(A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20).collect())
+    for q in (0, 20):
+        v = np.array(rows[q][1])
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = [(float((np.array(x) * v).sum()), i) for i, x in rows if i != q]
+        want = sorted((-s if s == s else math.inf, i) for s, i in score)[:20]
+        infinite = [i for s, i in want if s == -math.inf]
+        assert [i for i, s in got[q] if s == math.inf] == infinite and len(got[q]) == 20
+
+
+def test_recall_and_share(spark):
+    """On the test table, whose vectors are spread evenly, and on clusters; the share that is compared is well below one on the latter."""
+    rng = np.random.default_rng(10)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    centres = rng.normal(size=(300, 32))
+    clusters = (centres[rng.integers(0, 300, 40_000)] + 0.3 * rng.normal(size=(40_000, 32))).astype(np.float32)
+    made = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(clusters)), "embedding": clusters.tolist()}), "vec_id long, embedding array<float>")
+    for df, most in ((table, 0.85), (made, 0.3)):
+        known = {r["vec_id"]: r["embedding"] for r in df.where("embedding is not null").select("vec_id", "embedding").collect()}
+        ids, v = np.array(list(known)), np.array(list(known.values()), float)
+        got = A.search(df, 20, 20).toPandas()
+        hit = asked = 0
+        for q in ids[ids % 20 == 0][:400]:
+            s = v @ v[np.flatnonzero(ids == q)[0]]
+            s[ids == q] = -np.inf
+            hit += len(set(ids[np.argsort(-s)[:20]]) & set(got.loc[got["query_id"] == q, "vec_id"]))
+            asked += 20
+        share = got.groupby("query_id")["verified"].first().mean() / len(ids)
+        print(f"recall {hit / asked:.3f}, share {share:.3f}")
+        assert hit >= 0.93 * asked and share < most
+
+
 def test_chi_square():
-    x = np.random.default_rng(1).chisquare(8, 200_000)
-    for at in (2.0, 7.3, 15.5):
+    x = np.random.default_rng(1).chisquare(A.PROJECTED, 200_000)
+    for at in (6.0, 14.3, 25.5):
         assert abs((x <= at).mean() - A.chi_square_cdf(at)) < 0.005
+    assert abs(A.chi_square_cdf(A.REACH) - A.CONFIDENCE) < 1e-9
+
+
+def test_tree():
+    p = np.random.default_rng(2).normal(size=(1000, 3))
+    p[:400] = p[0]
+    tree = A.Tree(p, 20)
+    leaf = tree.find(p)
+    assert sorted(set(leaf)) == list(range(max(leaf) + 1)) and len(set(leaf[:400])) == 1 and np.bincount(leaf[400:]).max() < 60
+    low, high = (np.array([f(p[leaf == i], axis=0) for i in range(max(leaf) + 1)]) for f in (np.min, np.max))
+    gap = A.gaps(p, low, high)
+    assert (gap[np.arange(1000), leaf] == 0).all() and gap.max() > 0
+    assert A.Tree(np.zeros((0, 3)), 5).find(p).max() == 0
 
 
 def test_urls(spark):
