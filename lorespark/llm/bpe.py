@@ -6,6 +6,9 @@ word's path add up to its index into the table of ids. The driver compiles it on
 memory-maps the image and looks up all new words of a batch at once. Words that it lacks are merged exactly
 by the vocabulary's merge ranks, so the lexicon changes speed, never ids.
 
+Texts are normalised and cut into words by Python's Unicode tables. Where these differ from the tokenizers library's, which is of another
+Unicode version (``odd_characters``), a piece of text that holds such a character is normalised and cut by the library.
+
 Null texts count as empty. Empty texts have no ids. Rows are encoded one by one, whole, with no truncation.
 """
 
@@ -45,10 +48,56 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _library(spec: dict):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_str(json.dumps(spec))
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+def odd_characters(spec: dict) -> str:
+    """The characters that the tokenizers library may normalise or classify otherwise than Python does, as ranges of a character class.
+
+    These are all that Python's tables don't assign, and of those that they do, what differs when the library is asked for each
+    (the ends of the two large private planes stand for them).
+    """
+    library, own = _library(spec), WordBpe(spec)
+    assigned = [c for c in range(0x80, 0xF0000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    assigned += [0xF0000, 0xFFFFD, 0x100000, 0x10FFFD]
+    unlike = lambda s: library.normalizer.normalize_str(s) != own.normalised(s)
+    odd = np.ones(0x110000, bool)
+    odd[[*range(0x80), *assigned]] = odd[0xD800:0xE000] = odd[0xF0000:0xFFFFE] = odd[0x100000:0x10FFFE] = False
+    for at in range(0, len(assigned), 1 << 14):
+        some = assigned[at : at + (1 << 14)]
+        text = "".join(f" a{chr(c)}!" for c in some)
+        start, end = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        for _, (i, j) in library.pre_tokenizer.pre_tokenize_str(text):
+            start[i:j], end[i:j] = i, j
+        places = np.arange(len(some)) * 4 + 2
+        theirs = np.where(end[places] == 0, 0, np.where(start[places] < places, 1, np.where(end[places] == places + 1, 2, 3)))
+        for c, kind in zip(some, theirs.tolist()):
+            x = chr(c)
+            mine = 0 if x in _SPACE else 1 if own.letter(x) else 2 if own.number(x) else 3
+            odd[c] = mine != kind or (mine > 0 and unlike(x)) or (mine == 1) != x.isalpha()
+            if unicodedata.combining(x):
+                odd[c] |= unlike(f"e{x}\u0334") or unlike(f"e{x}\u0301")  # marks are sorted by their classes
+            elif unlike(parts := unicodedata.normalize("NFD", x)):
+                odd[[ord(p) for p in parts if p > "\x7f"]] = True
+    edges = np.flatnonzero(np.diff(np.r_[False, odd, False]))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
 class WordBpe:
-    """The vocabulary file: word pattern, merge ranks, special tokens."""
+    """The vocabulary file: word pattern, merge ranks, special tokens. ``odd`` is what ``odd_characters`` gave."""
+
+    letter, number = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, odd: str = ""):
+        self.spec, self.library = spec, None
+        self.odd = re.compile(f"[{odd}]").search if odd else lambda _: None
+        self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -70,10 +119,18 @@ class WordBpe:
 
     def words(self, piece: str) -> list[str]:
         """Normalised words of a piece; lower-casing is by character, as the library does it."""
-        s = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
-        s = s.lower() if "Σ" not in s else "".join(map(str.lower, s))
+        if not piece.isascii() and self.odd(piece):
+            self.library = self.library or _library(self.spec)
+            cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+            return [bytes(map(self.byte_of.__getitem__, w)).decode("utf-8", "replace") for w, _ in cut]
+        s = self.normalised(piece)
         return [s] if s.isalpha() else self.pattern.findall(s)
 
+    @staticmethod
+    def normalised(piece: str) -> str:
+        s = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
+        return s.lower() if "Σ" not in s else "".join(map(str.lower, s))
+
     def merge(self, word: str) -> list[int]:
         """Token ids of one word by merging the adjacent pair of least rank until none is left."""
         raw = word.encode("utf-8", "replace")
@@ -306,15 +363,16 @@ def encode_decode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON
     text_batches(spark)
     with open(vocabulary, encoding="utf-8") as f:
         spec = json.load(f)
-    bpe = WordBpe(spec)
+    odd = odd_characters(spec)
+    bpe = WordBpe(spec, odd)
     image = compile_lexicon({w.encode(): bpe.merge(w) for word in frequent_words(docs, lexicon_words) for w in bpe.words(word)})
     #: The vocabulary file and at most lexicon_words words, whatever the corpus holds.
-    shared, key = spark.sparkContext.broadcast((spec, image)), uuid.uuid4().hex
+    shared, key = spark.sparkContext.broadcast((spec, odd, image)), uuid.uuid4().hex
 
     def run(batches):
         def make():
-            spec, image = shared.value
-            return Encoder(WordBpe(spec), Lexicon(image))
+            spec, odd, image = shared.value
+            return Encoder(WordBpe(spec, odd), Lexicon(image))
 
         encoder = _encoder(key, make)
         number, name = {i: str(i) for i in encoder.bpe.names}, encoder.bpe.names

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -41,6 +42,19 @@ def test_encode_decode(docs):
     assert sorted(map(tuple, B.encode_decode(docs, WORD, 50).collect())) == sorted(want)
 
 
+def test_every_character():
+    """Classes, cases, compositions and the order of marks are the library's, whatever Unicode version Python has."""
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    b, t = B.WordBpe(spec, B.odd_characters(spec)), tokenizer(WORD)
+    encoder = B.Encoder(b, B.Lexicon(B.compile_lexicon({b"the": b.merge("the")})))
+    points = [c for c in [*range(0x3400), *range(0xA000, 0xAC10), *range(0xD700, 0xD800), *range(0xE000, 0xE010), *range(0xF8F0, 0x20000), *range(0x2A600, 0x2B900), *range(0xE0000, 0xE0200), 0x4E00, 0xF0000, 0x10FFFD] if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b {chr(c)}{chr(c)}1 e{chr(c)}\u0301" for c in points[i : i + 16]) for i in range(0, len(points), 16)]
+    for at in range(0, len(texts), 1000):
+        some = texts[at : at + 1000]
+        assert encoder.encode(some) == [x.ids for x in t.encode_batch(some, add_special_tokens=False)]
+
+
 def test_empty(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert B.encode_decode(none, WORD).count() == 0
