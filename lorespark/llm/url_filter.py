@@ -2,15 +2,20 @@
 
 Host names are cut at dots, hyphens and digits, and each run of letters is split into words by a unigram Viterbi
 search; so are the words of the path. Word frequencies come from the visible text of all pages. A multinomial naive Bayes
-model over these words scores urls that no rule fits: its classes are seeded by SEEDS (a url whose words hold one of them counts
-as unwanted), and its counts come from all pages.
+model over these words scores urls that no rule fits.
+
+There are no labelled urls, so a url is taken as unwanted for training where its words hold one of SEEDS. The word that gave the label is left out of
+that url's counts (with two seeds or more each is labelled by another), so that the model learns what stands beside the seeds, not the list: a seed
+by itself weighs nothing, and words that keep unwanted company weigh without any seed. Counts are smoothed by each word's
+share of all counts, so that rare words weigh little either way.
 
 Neither the words that the search knows nor those that the model weighs are limited: substrings of the distinct names meet the
-words by a join, and so do the pages' words their weights. What is most frequent (HOT keys) is looked up by broadcast instead.
-Rules are a list kept by the caller and are broadcast too: some thousands, not a table that grows with the data.
+words by a join (words of more than LONGEST letters by their first LONGEST), and so do the pages' words their weights. What is most
+frequent (HOT keys) is looked up by broadcast instead. Rules are a list kept by the caller and are broadcast too: some thousands,
+not a table that grows with the data.
 
-A url that is null or has no ``://`` has an empty host and path, no words, and is allowed. Repeated urls and pages are judged each.
-With no pages there are no rows. Other columns are left out.
+A url that is null or has no ``://`` has an empty host and path, no words, and is allowed. Repeated urls and pages are judged each, also those
+without a page_id. With no pages there are no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, id_column, stored, with_nulls
 
 #: (verdict, host, path): the rules of the query (fixed values).
 RULES = [
@@ -31,9 +36,12 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Words that mark unwanted sites.
+#: Words that mark a url as unwanted in training.
 SEEDS = frozenset("casino bets betting poker pills viagra porn xxx loans ads track".split())
+#: Letters of the substrings that are looked up whole.
 LONGEST = 24
+#: Counts that smoothing adds to a class for each distinct word.
+SMOOTHING = 0.25
 #: Keys whose facts are broadcast in a join, the most frequent ones, so that no task gets all rows of one; it decides no result.
 HOT = 10_000
 
@@ -71,23 +79,28 @@ class RuleBook:
 class Segmenter:
     """Splits runs of letters into the likeliest words of a unigram model.
 
-    ``counts`` need hold only the words that are substrings of the names to be split; ``total`` counts all words.
+    ``counts`` need hold only the words that are substrings of the names to be split; ``total`` counts all words. A word that isn't
+    known may have any length and costs more with each letter. Of equally likely splits the one whose last word is longest is taken.
     """
 
     def __init__(self, counts: dict[str, int], total: int | None = None):
         total = (sum(counts.values()) if total is None else total) or 1
         self.cost = {w: -math.log(c / total) for w, c in counts.items()}
-        self.unknown = math.log(total)
+        self.unknown, self.letter = math.log(total), 2.3
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
 
     def split(self, name: str) -> list[str]:
         best, back = [0.0], [0]
+        open_, start = math.inf, 0  # the least cost of an unknown word that ends here, and where it starts
         for j in range(1, len(name) + 1):
-            at, least = j - 1, math.inf
-            for i in range(max(0, j - LONGEST), j):
-                word = name[i:j]
-                cost = best[i] + self.cost.get(word, self.unknown + 2.3 * len(word))
-                if cost < least:
-                    at, least = i, cost
+            fresh = best[j - 1] + self.unknown
+            open_, start = (open_ + self.letter, start) if open_ <= fresh else (fresh + self.letter, j - 1)
+            least, at = open_, start
+            for n in self.lengths:
+                if n <= j and (cost := self.cost.get(name[j - n : j])) is not None:
+                    whole = best[j - n] + cost
+                    if whole < least or (whole == least and j - n < at):
+                        least, at = whole, j - n
             best.append(least)
             back.append(at)
         words, j = [], len(name)
@@ -104,7 +117,7 @@ def names_of(host: str, path: str) -> list[str]:
 def word_counts(pages: DataFrame) -> DataFrame:
     """(word, count) of all words of the pages' visible text."""
     text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*+>", " "))
-    words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("word")).where(F.length("word").between(2, LONGEST))
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 2)
     return words.groupBy("word").count()
 
 
@@ -123,13 +136,16 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     seeds = {w: max(all_words["least"] or 1, found.get(w, 0)) for w in SEEDS}
     total = (all_words["total"] or 0) - sum(found.values()) + sum(seeds.values())
 
-    runs = names.select("id", F.explode(F.array_distinct(F.split("name", "[^a-z]+"))).alias("run")).where(F.length("run") >= 2)
+    runs = names.select("id", F.explode(F.array_distinct(F.split("name", r"[^\p{L}]+"))).alias("run")).where(F.length("run") >= 2)
     starts = runs.select("id", "run", F.explode(F.sequence(F.lit(1), F.length("run") - 1)).alias("i"))
     ends = starts.select("id", "run", "i", F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("run") - F.col("i") + 1))).alias("k"))
     parts = ends.select("id", F.expr("substring(run, i, k)").alias("word"))
     facts = stored(parts.groupBy("word").agg(F.count("*").alias("n")).join(counts, "word", "left"), "url-parts")
-    known = _looked_up(parts, facts, "word").where(F.col("count").isNotNull())
-    own = known.groupBy("id").agg(F.collect_set(F.struct("word", "count")).alias("own"))
+    known = _looked_up(parts, facts, "word").where(F.col("count").isNotNull()).select("id", "word", "count")
+    long = counts.where(F.length("word") > LONGEST).select(F.left("word", F.lit(LONGEST)).alias("head"), F.col("word").alias("whole"), "count")
+    heads = starts.where(F.length("run") - F.col("i") >= LONGEST).withColumn("head", F.expr(f"substring(run, i, {LONGEST})"))
+    longer = heads.join(long, "head").where("substring(run, i, length(whole)) = whole").select("id", F.col("whole").alias("word"), "count")
+    own = known.unionByName(longer).groupBy("id").agg(F.collect_set(F.struct("word", "count")).alias("own"))
 
     def cut(batches):
         for pdf in batches:
@@ -144,10 +160,33 @@ def _in_order(column: str):
     return F.transform(F.array_sort(F.collect_list(F.struct("at", column))), lambda x: x[column])
 
 
-def judge_urls(pages: DataFrame, rules) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url, html)."""
-    spark = pages.sparkSession
-    own = spark.sparkContext.broadcast(list(rules))
+def weighed(rows: DataFrame) -> tuple[DataFrame, float]:
+    """((token, n, weight), prior) of the naive Bayes model of ``rows`` (tokens); weights are logarithms of odds for ``block``."""
+    seeds = F.array(*[F.lit(w) for w in sorted(SEEDS)])
+    rows = rows.withColumn("held", F.array_intersect("tokens", seeds)).withColumn("bad", F.size("held") > 0)
+    docs = {r["bad"]: r["n"] for r in rows.groupBy("bad").agg(F.count("*").alias("n")).collect()}
+    each = rows.select("bad", F.when(F.size("held") == 1, F.col("held")[0]).alias("label"), F.explode("tokens").alias("token"))
+    counts = F.coalesce(F.col("token") != F.col("label"), F.lit(True))
+    per = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("bad") & counts).alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    per = stored(per, "url-weights")
+    sums = per.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("kinds")).first()
+    bad, good, kinds = ((sums[c] or 0) for c in ("bad", "good", "kinds"))
+    counted, added = F.col("bad") + F.col("good"), SMOOTHING * kinds
+    share = counted * (added / max(1, bad + good))
+    weight = F.log((F.col("bad") + share) / (bad + added)) - F.log((F.col("good") + share) / (good + added))
+    return per.select("token", "n", F.when(counted > 0, weight).otherwise(0.0).alias("weight")), math.log((docs.get(True, 0) + 1) / (docs.get(False, 0) + 1))
+
+
+def scored(rows: DataFrame, facts: DataFrame, prior: float) -> DataFrame:
+    """(row, odds) of each of ``rows`` (row, tokens) that has tokens, with facts about each of them."""
+    tokens = rows.select("row", F.posexplode("tokens").alias("at", "token"))
+    #: Summed in the order of the url, so that a sum doesn't depend on how rows are dealt.
+    return _looked_up(tokens, facts, "token").groupBy("row").agg(F.aggregate(_in_order("weight"), F.lit(prior), lambda a, x: a + x).alias("odds"))
+
+
+def tokenized(pages: DataFrame, rules) -> DataFrame:
+    """(row, page_id, host, path, rule, ruled, tokens) of every row of ``pages`` (page_id, url, html)."""
+    own = pages.sparkSession.sparkContext.broadcast(list(rules))
 
     def read(batches):
         book = RuleBook(own.value)
@@ -155,30 +194,24 @@ def judge_urls(pages: DataFrame, rules) -> DataFrame:
             ruled = [book.find(h, p) for h, p in zip(pdf["host"], pdf["path"])]
             yield pdf.assign(rule=[r for r, _ in ruled], ruled=[v for _, v in ruled], names=[names_of(h, p) for h, p in zip(pdf["host"], pdf["path"])])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), *parsed(F.col("url")))
+    rows = pages.select(id_column("page_id"), *parsed(F.col("url")))
     rows = rows.mapInPandas(read, "page_id long, host string, path string, rule string, ruled string, names array<string>")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "url-names")
+    rows = stored(with_nulls(rows, "page_id").withColumn("row", F.monotonically_increasing_id()), "url-names")
 
     held = rows.select("row", F.posexplode("names").alias("at", "name"))
     names = stored(held.groupBy("name").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "url-distinct")
-    segments = stored(segmented(names, stored(word_counts(pages), "url-words")), "url-segments")
+    counts = stored(word_counts(pages), "url-words")
+    segments = stored(segmented(names, counts), "url-segments")
     tokens = _looked_up(held, segments, "name").groupBy("row").agg(F.flatten(_in_order("words")).alias("tokens"))
-    rows = rows.drop("names").join(tokens, "row", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-    rows = stored(rows, "url-tokens")
+    out = stored(rows.drop("names").join(tokens, "row", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))), "url-tokens")
+    for done in (rows, names, counts, segments):
+        discard(done)
+    return out
 
-    seeds = F.array(*[F.lit(w) for w in sorted(SEEDS)])
-    marked = rows.withColumn("bad", F.arrays_overlap("tokens", seeds))
-    docs = {r["bad"]: r["n"] for r in marked.groupBy("bad").agg(F.count("*").alias("n")).collect()}
-    per = marked.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
-    per = stored(per, "url-weights")
-    totals = per.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("kinds")).first()
-    bad, good, kinds = (totals["bad"] or 0), (totals["good"] or 0), totals["kinds"] + 1
-    prior = math.log((docs.get(True, 0) + 1) / (docs.get(False, 0) + 1))
-    weight = F.log((F.col("bad") + 1) / (bad + kinds)) - F.log((F.col("good") + 1) / (good + kinds))
-    facts = per.select("token", (F.col("bad") + F.col("good")).alias("n"), weight.alias("weight"))
 
-    #: Summed in the order of the url, so that a sum doesn't depend on how rows are dealt.
-    open_ = rows.where(F.col("ruled").isNull()).select("row", F.posexplode("tokens").alias("at", "token"))
-    odds = _looked_up(open_, facts, "token").groupBy("row").agg(F.aggregate(_in_order("weight"), F.lit(0.0), lambda a, x: a + x).alias("odds"))
-    model = F.when(prior + F.coalesce("odds", F.lit(0.0)) > 0, "block").otherwise("allow")
+def judge_urls(pages: DataFrame, rules) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url, html)."""
+    rows = tokenized(pages, rules)
+    odds = scored(rows.where(F.col("ruled").isNull()), *weighed(rows))
+    model = F.when(F.col("odds") > 0, "block").otherwise("allow")
     return rows.join(odds, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", model).alias("verdict"))

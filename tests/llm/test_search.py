@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from lorespark.llm import ann as A
 from lorespark.llm import ctph as C
@@ -212,15 +213,23 @@ def test_urls(spark):
     urls = [
         "http://www.Example.COM/en/12?x#y", "https://example.com/en/7", "http://a.example.net/de/8/x", "http://b.example.net/de/9", "//no/scheme", None, "",
         "ftp://x.org/es/", "http://com/en/", "http://notcom/en/", "http://example.com", "http://h?://en/", "http://win-casino.example.info/fr/1", "http://quietgarden.example.info/fr/1", "http://\nh/\np",
+        *[f"http://{s}-win.{i}.net/{s}" for i, s in enumerate(["poker", "pills", "loans"] * 9)], *[f"http://garden{i}.info/quiet/{w}" for i, w in enumerate(["stone", "lamp"] * 30)], "http://garden.info/poker", "http://win.net/", "http://garden.info/" + "señal" * 900,
     ]
-    html = "<p>quiet garden quiet garden free <script>x</script> casino win example info fr</p>"
+    html = "<p>quiet garden quiet garden free <script>x</script> casino win example info fr señal</p>"
     df = spark.createDataFrame([(i, u, html if i % 2 else None, "q") for i, u in enumerate(urls)] + [(0, urls[0], None, "q")], "page_id long, url string, html string, rule string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge_urls(df, U.RULES).collect()}
+    df = df.unionByName(spark.createDataFrame([(2**60 + 1, "http://www.e.net/de/", None, "q"), (None, "http://none.net/de/", None, "q")], df.schema)).coalesce(1)
+    every = U.judge_urls(df, U.RULES).collect()
+    assert len(every) == df.count() and {r["host"] for r in every if r["page_id"] in (2**60 + 1, None)} == {"www.e.net", "none.net"}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in every}
+    assert got[2**60 + 1][0] == "www.e.net" and got[None][0] == "none.net"
+    #: A seed in clean company is let in, what stands beside seeds is blocked without any.
+    last = len(urls) - 3
+    assert [got[last + i][3] for i in range(3)] == ["allow", "block", "allow"]
     assert got[0] == ("www.example.com", "/en/12", "com/en/", "block") and got[1] == ("example.com", "/en/7", "example.com/en/7", "allow")
     assert got[2] == ("a.example.net", "/de/8/x", "example.net/de/8", "block") and got[3] == ("b.example.net", "/de/9", "net/de/", "allow")
     assert all(got[i][:3] == ("", "", None) and got[i][3] == "allow" for i in (4, 5, 6))
     assert got[7] == ("x.org", "/es/", "org/es/", "block") and got[8][2] == "com/en/" and got[9][2] is None and got[10] == ("example.com", "", None, "allow")
-    assert got[11][:2] == ("h", "") and got[14][:2] == ("\nh", "/\np") and got[12][3] == "block" and got[13][3] == "allow"
+    assert got[11][:2] == ("h", "") and got[14][:2] == ("\nh", "/\np") and got[12][3] == "block" and got[13][3] == "allow" and all(got[15 + i][3] == "block" for i in range(27)) and all(got[42 + i][3] == "allow" for i in range(60))
     assert U.judge_urls(df.limit(0), U.RULES).count() == 0
 
 
@@ -235,18 +244,41 @@ def test_urls_by_brute_force(spark, monkeypatch):
     html = "<p>" + " ".join(common * 2) + "</p> quiet garden lamp lamp win " + "win" * 9
     df = spark.createDataFrame([(i, u, html if i == 0 else "stone") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(3)
 
-    counts = Counter(w for w in [*common * 2, *"quiet garden lamp lamp win".split(), *["stone"] * (len(urls) - 1)])
+    counts = Counter(w for w in [*common * 2, *"quiet garden lamp lamp win".split(), "win" * 9, *["stone"] * (len(urls) - 1)])
     seeded = counts | {w: max(counts[w], 1) for w in U.SEEDS}
     cut = U.Segmenter(seeded)
     tokens = [[w for name in re.findall(r"[^\W\d_]+", u.split("://")[1]) for w in ([name] if name in counts and len(name) == 5 else cut.split(name))] for u in urls]
-    bad = [not U.SEEDS.isdisjoint(t) for t in tokens]
-    of = {b: Counter(w for t, x in zip(tokens, bad) if x == b for w in t) for b in (True, False)}
-    kinds, sums = len(of[True] | of[False]) + 1, {b: sum(of[b].values()) for b in of}
-    weigh = lambda w: math.log((of[True][w] + 1) / (sums[True] + kinds)) - math.log((of[False][w] + 1) / (sums[False] + kinds))
-    prior = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 1))
+    seeds = [U.SEEDS & set(t) for t in tokens]
+    of = {True: Counter(), False: Counter()}
+    for t, s in zip(tokens, seeds):
+        of[bool(s)].update(w for w in t if len(s) != 1 or w not in s)
+    kinds, sums, total = len({w for t in tokens for w in t}), {b: sum(of[b].values()) for b in of}, of[True] + of[False]
+    added = U.SMOOTHING * kinds
+    share = {w: n * added / sum(total.values()) for w, n in total.items()}
+    weigh = lambda w: 0.0 if w not in total else math.log((of[True][w] + share[w]) / (sums[True] + added)) - math.log((of[False][w] + share[w]) / (sums[False] + added))
+    prior = math.log((sum(map(bool, seeds)) + 1) / (len(seeds) - sum(map(bool, seeds)) + 1))
     want = {i: "block" if prior + sum(map(weigh, t)) > 0 else "allow" for i, t in enumerate(tokens)}
     assert {r["page_id"]: r["verdict"] for r in U.judge_urls(df, []).collect()} == want
-    assert want[2] == "block" and "allow" in want.values()
+    assert set(want.values()) == {"block", "allow"} and any((want[i] == "block") != bool(s) for i, s in enumerate(seeds))
+
+
+def test_held_out_hosts(spark):
+    """Hosts that the model hasn't seen, made of words that stand beside seeds elsewhere or don't."""
+    rng = random.Random(5)
+    bad, good = ["win", "free", "cheap", "fast", "hot"], ["stone", "lamp", "river", "garden", "quiet"]
+    host = lambda words: "".join(rng.sample(words, 2))
+    rows = [(f"http://{host(bad)}-{rng.choice(['casino', 'bets', 'pills', 'loans'])}{i}.net/{rng.choice(good)}", True, True) for i in range(60)]
+    rows += [(f"http://{host(good)}{i}.net/{rng.choice(good + ['win'])}", False, True) for i in range(240)]
+    rows += [(f"http://{host(bad)}x{i}.net/{rng.choice(good)}", True, False) for i in range(40)] + [(f"http://{host(good)}x{i}.net/{rng.choice(good)}", False, False) for i in range(40)]
+    html = "<p>" + " ".join(bad + good) * 3 + "</p>"
+    df = spark.createDataFrame([(i, u, html if i == 0 else "") for i, (u, _, _) in enumerate(rows)], "page_id long, url string, html string")
+    tokens = U.tokenized(df, [])
+    facts, prior = U.weighed(tokens.where(F.col("page_id") < 300))
+    known = {r["token"] for r in facts.select("token").collect()}
+    odds = U.scored(tokens.where(F.col("page_id") >= 300).withColumn("tokens", F.filter("tokens", lambda t: t.isin(*known))), facts, prior)
+    got = {r["page_id"]: r["odds"] > 0 for r in tokens.join(odds, "row").collect()}
+    right = sum(got[i] == rows[i][1] for i in got)
+    assert len(got) == 80 and right >= 76
 
 
 def test_segmentation():
@@ -254,6 +286,31 @@ def test_segmentation():
     assert s.split("cheappills") == ["cheap", "pills"] and s.split("thegarden") == ["the", "garden"] and "".join(s.split("zzzz")) == "zzzz"
 
 
+def test_segmentation_by_brute_force():
+    """Every split of short names; words longer than LONGEST are found in names that hold them."""
+    rng = random.Random(6)
+    counts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 5))): rng.randint(1, 50) for _ in range(12)}
+    s = U.Segmenter(counts)
+    cost = lambda w: s.cost.get(w, s.unknown + s.letter * len(w))
+
+    def splits(name):
+        return [[]] if not name else [[name[:i], *rest] for i in range(1, len(name) + 1) for rest in splits(name[i:])]
+
+    for _ in range(60):
+        name = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
+        got = s.split(name)
+        assert "".join(got) == name and abs(sum(map(cost, got)) - min(sum(map(cost, x)) for x in splits(name))) < 1e-9
+    assert s.split("c" * 200) == ["c" * 200]
+
+
+def test_long_words(spark):
+    word = "abcdefghij" * 6
+    names = spark.createDataFrame([(1, f"quiet{word}lamp", 1), (2, word[:30], 1), (3, "é" * 5000, 1)], "id long, name string, n long")
+    counts = spark.createDataFrame([(word, 40), (word[:31], 30), ("quiet", 9), ("lamp", 9), ("é" * 30, 5)], "word string, count long")
+    got = {r["name"]: r["words"] for r in U.segmented(names, counts).collect()}
+    assert got[f"quiet{word}lamp"] == ["quiet", word, "lamp"] and got[word[:30]] == [word[:30]] and set(got["é" * 5000]) == {"é" * 30, "é" * 20} - set() or "".join(got["é" * 5000]) == "é" * 5000
+
+
 def test_rules_by_brute_force():
     rng, book = random.Random(1), U.RuleBook(U.RULES)
     for _ in range(2000):
