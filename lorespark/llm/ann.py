@@ -38,7 +38,7 @@ SAMPLE = 65_536
 #: Rows that a leaf is meant to hold, and the least rows of the sample that it's fitted on.
 LEAF_ROWS, LEAF_SAMPLE = 4_096, 8
 BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 1_024
+BLOCK_QUERIES = 4_096
 FURTHER = 4
 
 
