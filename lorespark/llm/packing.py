@@ -1,8 +1,9 @@
 """Packing: length buckets of least padding, token-budget batches inside each.
 
-A length is the text's count of words plus one for the end mark. The global histogram of lengths (exact up to
-EXACT_LENGTHS, beyond it rounded up to one part in 64: a bounded number of values) goes to the driver, where
-dynamic programming over the sorted lengths finds the bucket boundaries whose padding is least. A bucket's batches
+A length is the text's count of tokens, by the given vocabulary's encoder, plus one for the end mark. The global histogram of exact lengths goes
+to the driver: n tokens in all have at most sqrt(2 n) distinct lengths (some 7 million at 100 TB), two numbers each. Dynamic
+programming over the sorted lengths finds the bucket boundaries whose padding is least; since the best start of a bucket never moves
+back as its end moves on, divide and conquer takes each bucket's row in n log n steps. A bucket's batches
 take ``budget // boundary`` rows each (one, where a single row is longer than the budget); only a bucket's last batch may be short.
 
 Null and empty texts have length 1. Repeated rows are packed as rows; no rows give no batches. Ties between equally good
@@ -14,19 +15,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, numbered, stored
+from .common import discard, extended, numbered, stored, text_batches
+from .token_files import _encoder
 
 BUCKETS = 12
 BUDGET = 16_384
-EXACT_LENGTHS = 1024
 
 
-def length_class(length):
-    """The length up to EXACT_LENGTHS; beyond it the next multiple of a step that keeps one part in 64."""
-    step = F.pow(F.lit(2.0), F.length(F.bin(length)) - F.lit(7)).cast("long")
-    return F.when(length <= EXACT_LENGTHS, length).otherwise(F.ceil(length / step) * step).cast("long")
-
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The upper ends of at most ``buckets`` buckets of sorted distinct lengths with the least total padding.
@@ -36,18 +33,13 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     n = len(lengths)
     if not n:
         return []
-    rows, tokens = np.r_[0, np.cumsum(counts)].astype(np.float64), np.r_[0, np.cumsum(counts * lengths)].astype(np.float64)
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    rows, tokens = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * lengths)]
     least = lengths * rows[1:] - tokens[1:]
     froms = []
     for _ in range(1, min(buckets, n)):
-        new, source = np.empty(n), np.zeros(n, np.int64)
-        before = np.r_[0.0, least[:-1]]  # what lies below i
-        for j in range(n):
-            total = before[: j + 1] + lengths[j] * (rows[j + 1] - rows[: j + 1]) - (tokens[j + 1] - tokens[: j + 1])
-            source[j] = int(total.argmin())
-            new[j] = total[source[j]]
+        least, source = _next_row(np.r_[0, least[:-1]] + tokens[:-1], lengths, rows, tokens)
         froms.append(source)
-        least = new
     ends, j = [], n - 1
     for source in [*reversed(froms), np.zeros(n, np.int64)]:
         if j < 0:
@@ -57,27 +49,73 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return ends[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, columns: tuple[str, ...] = ()) -> DataFrame:
+#: Sums that are compared at once.
+_AT_ONCE = 1 << 22
+
+
+def _next_row(base: np.ndarray, lengths: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """min and least argmin over i <= j of base[i] + lengths[j] * (rows[j + 1] - rows[i]) - tokens[j + 1] for each j, level by level:
+    the argmins of two places bound those of all places between them."""
+    n = len(lengths)
+    value, source = np.empty(n, np.int64), np.zeros(n, np.int64)
+    low, high = np.array([0]), np.array([n])  # open ranges of places
+    first, last = np.array([0]), np.array([n - 1])  # the argmins that they can have
+    while len(low):
+        mid = (low + high) // 2
+        stop = np.minimum(last, mid)
+        sizes = stop - first + 1
+        cuts = np.flatnonzero(np.r_[True, np.diff(np.cumsum(sizes) // _AT_ONCE) > 0, True])
+        for a, b in zip(cuts, cuts[1:]):
+            part, starts = sizes[a:b], np.r_[0, np.cumsum(sizes[a:b])[:-1]]
+            i = np.arange(part.sum()) - np.repeat(starts - first[a:b], part)
+            sums = base[i] - np.repeat(lengths[mid[a:b]], part) * rows[i]
+            best = np.minimum.reduceat(sums, starts)
+            hits = np.flatnonzero(sums == np.repeat(best, part))
+            source[mid[a:b]] = i[hits[np.searchsorted(hits, starts)]]
+            value[mid[a:b]] = best + lengths[mid[a:b]] * rows[mid[a:b] + 1] - tokens[mid[a:b] + 1]
+        found = source[mid]
+        low, high = np.r_[low, mid + 1], np.r_[mid, high]
+        first, last = np.r_[first, found], np.r_[found, last]
+        open_ = np.flatnonzero(low < high)
+        low, high, first, last = low[open_], high[open_], first[open_], last[open_]
+    return value, source
+
+
+def token_lengths(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, length, columns) of every row of ``docs`` (doc_id, text)."""
+    text_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, F.coalesce("text", F.lit("")).alias("_text"))
+    schema = extended(T.StructType([f for f in rows.schema.fields if f.name != "_text"]), length="bigint")
+
+    def run(batches):
+        import pyarrow as pa
+
+        encoder = _encoder(vocabulary)
+        for batch in batches:
+            texts = batch.column("_text")
+            lengths = pa.array([encoder.length(t.as_py()) + 1 for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lengths], names=[*batch.schema.names[:-1], "length"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def pack(docs: DataFrame, vocabulary: str, buckets: int = BUCKETS, budget: int = BUDGET, columns: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, length, bucket, boundary, batch, place, padding) of every row of ``docs`` (doc_id, text).
 
     ``batch`` is numbered within its bucket, ``place`` within its batch; ``columns`` of the input may follow.
     """
-    spark = docs.sparkSession
-    words = F.when(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == "", 0).otherwise(F.size(F.split(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), " +")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(words, F.lit(0)) + 1).cast("long").alias("length"), *columns)
-    rows = stored(rows, "packing-lengths")  # texts are read once; the histogram and the batches need only lengths
+    rows = stored(token_lengths(docs, vocabulary, columns), "packing-lengths")  # texts are read once; the histogram and the batches need only lengths
     ends = [int(x) for x in _ends(rows, buckets)]
     #: At most ``buckets`` boundaries.
-    bucket = sum((F.when(F.col("_class") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0)).cast("int")
+    bucket = sum((F.when(F.col("length") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0)).cast("int")
     boundary = F.element_at(F.array(*[F.lit(e).cast("long") for e in ends or [1]]), F.col("bucket") + 1)
-    lengths, rows = rows, rows.withColumn("_class", length_class(F.col("length"))).withColumn("bucket", bucket).drop("_class")
-    out = numbered(rows, "bucket", "_at", "packing").withColumn("boundary", boundary)
-    discard(lengths)
+    out = numbered(rows.withColumn("bucket", bucket), "bucket", "_at", "packing").withColumn("boundary", boundary)
+    discard(rows)
     per = F.greatest(F.floor(F.lit(budget) / F.col("boundary")), F.lit(1)).cast("long")
     out = out.withColumn("batch", F.floor(F.col("_at") / per).cast("long")).withColumn("place", (F.col("_at") % per).cast("int"))
     return out.select("doc_id", "length", "bucket", "boundary", "batch", "place", (F.col("boundary") - F.col("length")).alias("padding"), *columns)
 
 
 def _ends(rows: DataFrame, buckets: int) -> list[int]:
-    seen = rows.groupBy(length_class(F.col("length")).alias("length")).count().orderBy("length").collect()
-    return boundaries(np.array([r["length"] for r in seen], np.float64), np.array([r["count"] for r in seen], np.float64), buckets)
+    seen = rows.groupBy("length").count().orderBy("length").toArrow()
+    return boundaries(seen["length"].to_numpy(), seen["count"].to_numpy(), buckets)

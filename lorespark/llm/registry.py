@@ -72,9 +72,11 @@ def op8_pii(spark, sf_dir):
 
 def op9_packing(spark, sf_dir):
     """Every document in a batch of its length bucket."""
+    import public_tokenizers
+
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_quality(spark, sf_dir):

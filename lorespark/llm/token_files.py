@@ -183,8 +183,14 @@ class TextEncoder:
             self.whole.no_padding()
         return self.whole.encode(text, add_special_tokens=False).ids
 
+    def ids(self, text: str) -> list[int]:
+        return self._whole(text) if any(s in text for s in self.special) or (len(text) >= LONG_RUN and _long_run(text)) else self.plain(text)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self._whole(t) if any(s in t for s in self.special) or (len(t) >= LONG_RUN and _long_run(t)) else self.plain(t), np.uint32) for t in texts]
+        return [np.array(self.ids(t), np.uint32) for t in texts]
+
+    def length(self, text: str) -> int:
+        return len(self.ids(text))
 
 
 @lru_cache(maxsize=1)
