@@ -1,10 +1,10 @@
 """Sharding by longest-processing-time scheduling; the law is ``bytes``.
 
 Rows of equal text are a group and stay together. Groups, largest first, go to the least loaded shard through a heap.
-Sizes are known to the scheduler by class (exact up to 2^12 bytes, beyond it to one part in 2^12, with the class's mean
-as size), so the driver sees a bounded table of classes and counts, never the groups; a class's groups are
-interchangeable, and once loads are level a whole round of them goes one to each shard. Groups are numbered along a
-range partitioning by class, and their numbers tell their shards.
+The scheduler sees the distinct sizes of groups and how many have each, exactly: n bytes in all have at most sqrt(2 n) distinct sizes
+(some 14 million at 100 TB), two numbers each. Groups of one size are interchangeable, and once loads are level a whole round of them
+goes one to each shard. Its answer is kept as runs (how many groups in order of size, which shard). Groups are numbered along a
+range partitioning by size, and their numbers tell their shards.
 
 A null text has size 16 and no checksum, and null texts are one group (as are empty ones). Repeated rows are rows of their
 group. Fewer groups than shards leave shards empty; an empty table gives no rows. Other columns are left out.
@@ -13,6 +13,7 @@ group. Fewer groups than shards leave shards empty; an empty table gives no rows
 from __future__ import annotations
 
 import heapq
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -21,36 +22,29 @@ from pyspark.sql import functions as F
 
 from .common import discard, numbered, shuffle_partitions, stored
 
-#: Bits that a size class keeps.
-PRECISION = 12
 
-
-def size_class(size):
-    """A size rounded down to PRECISION + 1 significant bits."""
-    drop = F.greatest(F.length(F.bin(size)) - F.lit(PRECISION + 1), F.lit(0))
-    return size - F.pmod(size, F.pow(F.lit(2.0), drop).cast("long"))
-
-
-def schedule(classes: list[tuple[float, int]], shards: int) -> list[np.ndarray]:
-    """For each (size, count), largest first, how many of its groups each shard gets by the heap."""
-    heap = [(0.0, s) for s in range(shards)]
-    given = []
-    for size, count in classes:
-        got = np.zeros(shards, np.int64)
+def schedule(sizes, counts, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs (end, shard) of groups numbered in order of size, largest first: up to each end they go to its shard, by the heap rule."""
+    heap = [(0, s) for s in range(shards)]
+    ends, owners, done = array("q"), array("i"), 0
+    for size, count in zip(sizes, counts):
+        size, count, got = int(size), int(count), {}
         while count:
-            low, high = heap[0][0], max(x for x, _ in heap) if count >= shards else np.inf
-            if count >= shards and high - low <= size:
+            if count >= shards and max(heap)[0] - heap[0][0] <= size:
                 rounds = count // shards  # loads are within one size: each round gives one to each
                 heap = [(x + rounds * size, s) for x, s in heap]
-                got += rounds
+                got = {s: got.get(s, 0) + rounds for _, s in heap}
                 count -= rounds * shards
                 continue
             load, s = heap[0]
             heapq.heapreplace(heap, (load + size, s))
-            got[s] += 1
+            got[s] = got.get(s, 0) + 1
             count -= 1
-        given.append(got)
-    return given
+        for s, n in got.items():
+            done += n
+            ends.append(done)
+            owners.append(s)
+    return np.frombuffer(ends, np.int64) if ends else np.empty(0, np.int64), np.frombuffer(owners, np.int32) if owners else np.empty(0, np.int32)
 
 
 def shard(docs: DataFrame, shards: int) -> DataFrame:
@@ -65,16 +59,14 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     )
     rows = stored(rows, "shard-rows")
     groups = rows.groupBy("_text", "size").agg(F.count("*").alias("n")).select("_text", (F.col("n") * F.col("size")).alias("bytes"))
-    groups = stored(groups.withColumn("class", size_class(F.col("bytes"))), "shard-groups")
+    groups = stored(groups, "shard-groups")
 
-    classes = groups.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).orderBy(F.desc("class")).collect()
-    given = schedule([(r["bytes"] / r["n"], r["n"]) for r in classes], shards)
-    runs = [(s, int(c)) for got in given for s, c in enumerate(got) if c]
-    bounds, owner = np.cumsum([c for _, c in runs]), np.array([s for s, _ in runs], np.int32)
+    seen = groups.groupBy("bytes").agg(F.count("*").alias("n")).orderBy(F.desc("bytes")).toArrow()
+    bounds, owner = schedule(seen["bytes"].to_numpy(), seen["n"].to_numpy(), shards)
 
-    #: Numbers of the groups in order of class: written by range, so that each task's first number is known from counts.
-    order = groups.repartitionByRange(shuffle_partitions(spark), F.desc("class"), F.col("_text")).sortWithinPartitions(F.desc("class"), "_text")
-    lined = stored(order.select("_text", "class", F.spark_partition_id().alias("_task"), (F.monotonically_increasing_id() % (1 << 33)).alias("_at")), "shard-order")
+    #: Numbers of the groups in order of size: written by range, so that each task's first number is known from counts.
+    order = groups.repartitionByRange(shuffle_partitions(spark), F.desc("bytes"), F.col("_text")).sortWithinPartitions(F.desc("bytes"), "_text")
+    lined = stored(order.select("_text", F.spark_partition_id().alias("_task"), (F.monotonically_increasing_id() % (1 << 33)).alias("_at")), "shard-order")
     sizes = sorted((r["_task"], r["n"]) for r in lined.groupBy("_task").agg(F.count("*").alias("n")).collect())
     first = dict(zip((t for t, _ in sizes), np.r_[0, np.cumsum([n for _, n in sizes])[:-1]].tolist() if sizes else []))
     held = spark.sparkContext.broadcast((bounds, owner, first))

@@ -24,7 +24,7 @@ def test_operators_keep_every_row(spark, docs, tmp_path):
     outs = [
         near_dedup.near_duplicates(docs), bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), 10), sharding.shard(docs, 3), ctph.fingerprints_and_edits(docs),
         token_files.read_documents(spark, token_files.write_shards(docs, str(tmp_path / "t"), vocabulary, 2)),
-        pii.find_pii(docs), packing.pack(docs), quality.score_quality(docs, labels),
+        pii.find_pii(docs), packing.pack(docs, vocabulary), quality.score_quality(docs, labels),
     ]
     want = sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect())
     for out in outs:
@@ -45,5 +45,5 @@ def test_stages_pass_other_columns(spark, docs):
 
 def test_empty_stages(spark, docs):
     none = docs.limit(0)
-    for stage in (lambda d: quality.accepted(d, None), lambda d: corpus_pipeline.near_dedup(spark, d, ""), pii.redact, packing.pack):
+    for stage in (lambda d: quality.accepted(d, None), lambda d: corpus_pipeline.near_dedup(spark, d, ""), pii.redact, lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.json"))):
         assert stage(none).count() == 0

@@ -4,25 +4,33 @@ import heapq
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
+import public_tokenizers
 
 from lorespark.llm import packing as P
 from lorespark.llm import sharding as S
 
 
 def test_schedule_is_the_heap_rule():
+    """Exact sizes, most above eight thousand bytes and many of them a byte apart."""
     rng = random.Random(4)
-    classes = [(float(s), rng.choice([1, 2, 3, 700])) for s in sorted(rng.sample(range(16, 9000), 60), reverse=True)]
-    heap, loads = [(0.0, s) for s in range(7)], [0.0] * 7
-    for size, count in classes:
+    sizes = sorted({*rng.sample(range(16, 90_000), 60), *range(50_000, 50_040)}, reverse=True)
+    counts = [rng.choice([1, 2, 3, 700]) for _ in sizes]
+    heap, loads = [(0, s) for s in range(7)], [0] * 7
+    for size, count in zip(sizes, counts):
         for _ in range(count):
             load, s = heap[0]
             heapq.heapreplace(heap, (load + size, s))
             loads[s] += size
-    mine = [sum(size * got[s] for (size, _), got in zip(classes, S.schedule(classes, 7))) for s in range(7)]
-    assert sorted(mine) == sorted(loads) and [sum(g) for g in S.schedule(classes, 7)] == [c for _, c in classes]
+    ends, owners = S.schedule(sizes, counts, 7)
+    assert ends[-1] == sum(counts) and (np.diff(ends) > 0).all()
+    each, mine = np.repeat(sizes, counts), [0] * 7
+    for a, b, s in zip([0, *ends], ends, owners):
+        mine[s] += int(each[a:b].sum())
+    assert sorted(mine) == sorted(loads)
+    assert [len(x) for x in S.schedule([], [], 7)] == [0, 0]
 
 
 def test_shards(spark):
@@ -43,6 +51,11 @@ def test_shards(spark):
         group = list(group)
         assert [r["slot"] for r in group] == list(range(len(group)))
     assert max(loads) - min(loads) < 200
+    groups = Counter((t or ("" if t == "" else None)) for _, t, _ in rows)
+    heap = [(0, s) for s in range(8)]
+    for size in sorted((n * (len((t or "").encode()) + 16) for t, n in groups.items()), reverse=True):
+        heapq.heapreplace(heap, (heap[0][0] + size, heap[0][1]))
+    assert sorted(loads) == sorted(x for x, _ in heap)  # plain scheduling of the exact sizes
     none = S.shard(spark.createDataFrame([], "doc_id long, text string"), 4)
     assert none.count() == 0
 
@@ -63,16 +76,42 @@ def test_boundaries_are_optimal():
     assert P.boundaries(np.array([]), np.array([]), 3) == []
 
 
+def test_boundaries_of_many_lengths(monkeypatch):
+    """The quadratic recurrence on lengths far above a thousand, with equally good choices, in slices too."""
+    rng = np.random.default_rng(5)
+    for at_once in (1 << 22, 50):
+        monkeypatch.setattr(P, "_AT_ONCE", at_once)
+        for n in (1, 2, 7, 300):
+            lengths = np.unique((rng.lognormal(7, 1.5, n)).astype(np.int64) + 1)
+            counts = rng.integers(1, 4, len(lengths))
+            rows, tokens = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * lengths)]
+            least, froms = [int(x * rows[j + 1] - tokens[j + 1]) for j, x in enumerate(lengths)], []
+            for _ in range(1, min(6, len(lengths))):
+                sums = [[(0 if i == 0 else least[i - 1]) + int(x * (rows[j + 1] - rows[i]) - (tokens[j + 1] - tokens[i])) for i in range(j + 1)] for j, x in enumerate(lengths)]
+                froms.append([s.index(min(s)) for s in sums])
+                least = [min(s) for s in sums]
+            want, j = [], len(lengths) - 1
+            for source in [*reversed(froms), [0] * len(lengths)]:
+                if j >= 0:
+                    want.append(int(lengths[j]))
+                    j = source[j] - 1
+            got = P.boundaries(lengths, counts, 6)
+            assert got == want[::-1] and padding(lengths, counts, got) == least[-1]
+
+
 def test_pack(spark):
-    rng = random.Random(3)
-    texts = [" ".join(["w"] * rng.randint(0, 90)) for _ in range(400)] + [None, "", " \n\t", "a\x0bb\rc", "w " * 5000]
+    from tokenizers import Tokenizer
+
+    rng, vocabulary = random.Random(3), public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(["w"] * rng.randint(0, 90)) for _ in range(400)] + [None, "", " \n\t", "a\x0bb\rc", "w " * 5000, "w " * 3001]
     rows = [(i, t, 9) for i, t in enumerate(texts)] + [(0, texts[0], 9)]
-    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string, batch int"), 5, 500).collect()
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string, batch int"), vocabulary, 5, 500).collect()
     assert len(got) == len(rows)
+    library = Tokenizer.from_file(vocabulary)
     ends = {}
     for r in got:
         t = rows[r["doc_id"]][1] or ""
-        assert r["length"] == len(t.encode().split()) + 1 and r["padding"] == r["boundary"] - r["length"] >= 0
+        assert r["length"] == len(library.encode(t, add_special_tokens=False).ids) + 1 and r["padding"] == r["boundary"] - r["length"] >= 0
         assert ends.setdefault(r["bucket"], r["boundary"]) == r["boundary"]
     assert len(ends) <= 5 and [ends[b] for b in sorted(ends)] == sorted(ends.values())
     batches = {}
@@ -83,9 +122,4 @@ def test_pack(spark):
         assert sorted(places) == list(range(len(places))) and len(places) <= per
         last = batch == max(b for x, b in batches if x == bucket)
         assert last or len(places) == per
-    assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_length_classes(spark):
-    got = spark.range(1, 5000).select("id", P.length_class(F.col("id")).alias("c")).collect()
-    assert all(r["c"] >= r["id"] and r["c"] <= r["id"] * 65 / 64 + 1 for r in got) and all(r["c"] == r["id"] for r in got if r["id"] <= P.EXACT_LENGTHS)
+    assert P.pack(spark.createDataFrame([], "doc_id long, text string"), vocabulary).count() == 0
