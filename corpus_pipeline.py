@@ -27,7 +27,9 @@ def near_dedup(spark, docs, sf_dir):
     known = docs.where("doc_id is not null")
     if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
         rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        one = known.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row"))
+        #: As JSON, since a column may be of a type that has no order.
+        order = F.struct("text", *[F.to_json(F.struct(F.col(f"`{c}`"))) for c in rest])
+        one = known.groupBy("doc_id").agg(F.min_by(F.struct("text", *rest), order).alias("_row"))
         known = one.select(*["doc_id" if c == "doc_id" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
     return known.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
@@ -39,7 +41,9 @@ def pii(spark, docs, sf_dir):
 
 def packing(spark, docs, sf_dir):
     """Every document gets its place in a batch of its length bucket."""
-    return pack(docs)
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
