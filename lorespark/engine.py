@@ -196,7 +196,7 @@ class KnowledgeBase:
         pending = docs.where("status <> 'failed'") if not viable else catalog.pending_documents(docs, True).where("status <> 'failed'")
         if viable and pending.isEmpty():
             return {"mode": "none", "reason": "nothing to embed", "documents": 0, "chunks": served["rows"]}
-        chunks = chunking.chunk_documents(pending.where(F.col("text").rlike(r"\S")).select("doc_id", "text"), config)
+        chunks = chunking.chunk_documents(pending.where(~T.is_blank("text")).select("doc_id", "text"), config)
         if self.quota is not None:
             used, planned = self.usage(collection).first()["used"], chunks.count() * self.dimension * 4
             if used + planned > self.quota:

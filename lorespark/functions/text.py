@@ -85,6 +85,17 @@ def cosine(a, b) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
+def equals_filter(column: str, value: str) -> str:
+    """A filter in SQL for a column that equals a text, whatever quotes and backslashes the text holds."""
+    quoted = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"`{column.replace('`', '``')}` = '{quoted}'"
+
+
+def is_blank(text) -> Column:
+    """Whether a text is missing or holds nothing but white space."""
+    return ~F.coalesce(_col(text).rlike(r"\S"), F.lit(False))
+
+
 def line_of(text, offset) -> Column:
     """The number, from 1, of the line that a code-point offset is on."""
     head = F.substring(_col(text), F.lit(1), _col(offset).cast("int"))

@@ -98,6 +98,28 @@ def not_served(documents: DataFrame, collections: DataFrame, key: str = "collect
     return rows.where(F.col("_built").isNull() | (F.col("built_at") > F.col("_built")) | (F.coalesce("chunks", F.lit(0)) == 0)).drop("_built")
 
 
+def chunk_rows(rows: DataFrame) -> DataFrame:
+    """Rows as chunks are served: those without a document or a text go, missing numbers are 0."""
+    kept = rows.where("doc_id is not null and text is not null")
+    return kept.select("doc_id", "text", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("ordinal", "tokens", "char_start", "char_end")])
+
+
+def changed(now: DataFrame, recorded: DataFrame, key: str = "collection") -> DataFrame:
+    """(key, changed): whether anything of a collection's row differs from the recorded one; nulls equal nulls, a missing row is a change."""
+    rest = [c for c in now.columns if c != key]
+    side = lambda df, name: df.select(key, F.struct(*rest).alias(name), F.lit(True).alias(f"has{name}"))
+    rows = side(now, "_a").join(side(recorded, "_b"), key, "full_outer")
+    same = F.coalesce(F.col("has_a") & F.col("has_b"), F.lit(False)) & F.col("_a").eqNullSafe(F.col("_b"))
+    return rows.select(key, (~same).alias("changed"))
+
+
+def heaviest(rows: DataFrame, key: str, value: str, weight: str) -> DataFrame:
+    """(key, value): the value of most weight of each key, the least among equals."""
+    sums = rows.groupBy(key, value).agg(F.sum(weight).alias("_w"))
+    best = sums.groupBy(key).agg(F.max("_w").alias("_w"))
+    return sums.join(best, [key, "_w"]).groupBy(key).agg(F.min(value).alias(value))
+
+
 def merged_records(current: DataFrame, built: DataFrame) -> DataFrame:
     """Records after a build (doc_id, status, chunks): built ones are ready with their counts, failed ones stay so, unknown ones are added."""
     b = built.select("doc_id", F.col("status").alias("_status"), F.col("chunks").alias("_chunks"))

@@ -13,6 +13,7 @@ import re
 import signal
 import threading
 import zipfile
+from collections import Counter
 from contextlib import contextmanager
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -270,13 +271,21 @@ def pipe_table(rows: list[list], title: str | None = None) -> str:
     return "\n".join(([f"## {title}", ""] if title else []) + body)
 
 
+def _delimiter(text: str) -> str:
+    """The delimiter by which most of the first rows have the same number of cells, more than one; the one with more cells among equals."""
+    first = [x for x in text[:65_536].splitlines(keepends=True) if x.strip()][:100]
+    best, found = (0, 0), ","
+    for d in ",;\t|":
+        widths = Counter(len(r) for r in csv.reader(first, delimiter=d))
+        width, n = max(widths.items(), key=lambda x: (x[1], x[0]), default=(1, 0))
+        if width > 1 and (n, width) > best:
+            best, found = (n, width), d
+    return found
+
+
 def csv_to_markdown(text: str, title: str) -> str:
     text = text.removeprefix("﻿")
-    try:
-        dialect = csv.Sniffer().sniff(text[:4096], ",;\t|")
-    except csv.Error:
-        dialect = csv.excel
-    rows = [r for r in csv.reader(io.StringIO(text, newline=""), dialect) if any(c.strip() for c in r)]
+    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=_delimiter(text)) if any(c.strip() for c in r)]
     if not rows:
         raise ValueError("the file has no rows")
     return pipe_table([[c.replace("\r\n", "\n") for c in r] for r in rows], title)

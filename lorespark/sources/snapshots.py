@@ -6,7 +6,10 @@ written, counted and only then pointed to; readers keep what they opened. One ve
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,13 +103,26 @@ def viability(record: dict | None, wanted: dict) -> tuple[bool, str]:
 def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, int]:
     """Rows of a JSON-lines file, and how many torn lines its end had (0 or 1).
 
-    Blank lines are skipped. Only the last line may be torn, by a writer that stopped; a bad line before it raises.
+    Blank lines are skipped. Only the last line may be torn, by a writer that stopped; a bad line before it raises. Lines are read in
+    parallel; where a line's split starts and its number within it tell the order, so one aggregate finds the last.
     """
-    from pyspark.sql import Window
-
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line")).where(F.trim("line") != "")
-    rows = lines.withColumn("ok", F.expr("try_parse_json(line)").isNotNull()).withColumn("last", F.max("i").over(Window.partitionBy(F.lit(0))))
-    bad = rows.where(~F.col("ok")).groupBy().agg(F.count_if(F.col("i") < F.col("last")).alias("inner"), F.count("*").alias("all")).first()
-    if bad["inner"]:
-        raise ValueError(f"{path}: {bad['inner']} lines before the last can't be read")
-    return rows.where("ok").orderBy("i").select(F.from_json("line", schema).alias("r")).select("r.*"), int(bad["all"])
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(place.alias("i"), F.col("value").alias("line")).where(F.trim("line") != "")
+    rows = lines.withColumn("ok", F.expr("try_parse_json(line)").isNotNull())
+    bad = F.when(~F.col("ok"), F.col("i"))
+    found = rows.agg(F.max("i").alias("last"), F.min(bad).alias("first_bad"), F.count(bad).alias("n")).first()
+    if found["n"] > 1 or (found["n"] and found["first_bad"] != found["last"]):
+        raise ValueError(f"{path}: {found['n'] - (1 if found['n'] > 1 else 0) or 1} lines before the last can't be read")
+    return rows.where("ok").orderBy("i").select(F.from_json("line", schema).alias("r")).select("r.*"), int(found["n"])
+
+
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for tables between steps, ``spark.checkpoint.dir``; what only one machine sees would lose data on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="lorespark-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

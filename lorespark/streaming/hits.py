@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lorespark.sources.snapshots import scratch
 
 LATE = "7 days"
 
@@ -29,7 +31,14 @@ def run_to_end(spark: SparkSession, path: str, window: str, key: str, slide: str
     """What a stream over all files now at ``path`` counts: it's stopped when nothing is left to read."""
     name = "hits_" + uuid.uuid4().hex
     out = windowed(stream(spark, path), window, key, slide)
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hits-")
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    where = f"{scratch(spark)}/{name}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
+
+    spark.createDataFrame([], T.StructType([*out.schema.fields, T.StructField("_batch", T.IntegerType())])).write.parquet(f"{where}/rows/batch=-1")
+    #: A window's row is written anew in each batch that changes it; the last one counts.
+    out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{where}/rows/batch=*")
+    names = ("window_start", key)
+    return rows.groupBy(*names).agg(F.max_by("hits", "_batch").alias("hits"))
