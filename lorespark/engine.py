@@ -91,11 +91,17 @@ class KnowledgeBase:
     def ids(self) -> list[str]:
         fs, path = snapshots._fs(self.spark, self.root)
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(n for n in names if ID.match(n) and self._meta(n))
+        return sorted(n for n in names if ID.match(n) and fs.exists(snapshots._fs(self.spark, self._at(n, "meta"))[1]))
+
+    def _metas(self) -> list[dict]:
+        """The records of all collections, read as one table."""
+        paths = [self._at(n, "meta") for n in self.ids()]
+        found = [json.loads(r["value"]) for r in self.spark.read.text(paths, wholetext=True).collect() if r["value"].strip()] if paths else []
+        return sorted(found, key=lambda m: m["id"])
 
     def collections(self) -> DataFrame:
         """(collection, name, description, created_at, built_at), the latest first."""
-        rows = [(m["id"], m["name"], m["description"], m["created_at"], m["built_at"]) for m in map(self._meta, self.ids())]
+        rows = [(m["id"], m["name"], m["description"], m["created_at"], m["built_at"]) for m in self._metas()]
         return self.spark.createDataFrame(rows, "collection string, name string, description string, created_at string, built_at string").orderBy(F.desc("created_at"), "collection")
 
     def overview(self) -> DataFrame:
@@ -150,9 +156,8 @@ class KnowledgeBase:
         now = F.lit(self._now())
         taken = judged.where("reason is null")
         taken.select(T.fnv1a_id("name", now).alias("doc_id"), "name", "bytes", "content", now.alias("at")).write.mode("append").parquet(self._at(collection, "sources"))
-        before = self.documents(collection)
-        rows = self._parsed(taken.select("name", "bytes", "content", T.fnv1a_id("name", now).alias("doc_id"), now.alias("at")))
-        snapshots.publish(self.spark, self._at(collection, "documents"), before.unionByName(rows.select(before.columns)))
+        rows = snapshots.kept(self._parsed(taken.select("name", "bytes", "content", T.fnv1a_id("name", now).alias("doc_id"), now.alias("at"))), "parsed")
+        snapshots.update(self.spark, self._at(collection, "documents"), lambda served: rows if served is None else served.unionByName(rows.select(served.columns)))
         return judged.select("name", F.when(F.col("reason").isNull(), T.fnv1a_id("name", now)).alias("doc_id"), "reason")
 
     @staticmethod
@@ -168,10 +173,7 @@ class KnowledgeBase:
         gone = self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")
         for what in ("documents", "chunks"):
             if snapshots.current(self.spark, self._at(collection, what)):
-                served = snapshots.current(self.spark, self._at(collection, what))
-                record = {k: v for k, v in served.items() if k not in ("version", "rows")}
-                kept = snapshots.read(self.spark, self._at(collection, what)).join(gone, "doc_id", "left_anti")
-                snapshots.publish(self.spark, self._at(collection, what), kept, **record)
+                snapshots.delete(self.spark, self._at(collection, what), gone, "doc_id")
 
     def usage(self, collection: str) -> DataFrame:
         return catalog.quota(self.documents(collection), self.quota)
@@ -198,6 +200,7 @@ class KnowledgeBase:
             return {"mode": "none", "reason": "nothing to embed", "documents": 0, "chunks": served["rows"]}
         chunks = chunking.chunk_documents(pending.where(~T.is_blank("text")).select("doc_id", "text"), config)
         if self.quota is not None:
+            chunks = snapshots.kept(chunks, "chunks")
             used, planned = self.usage(collection).first()["used"], chunks.count() * self.dimension * 4
             if used + planned > self.quota:
                 return {"mode": "refused", "reason": f"over the quota by {used + planned - self.quota} bytes", "documents": 0, "chunks": served.get("rows", 0)}

@@ -49,7 +49,8 @@ def search_tokens(text) -> Column:
     """Lower-cased words; a word that holds wide characters gives its overlapping pairs instead."""
     words = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}]+"), 0)
     pairs = lambda w: F.when(F.length(w) < 2, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2))))
-    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(f"[{WIDE}]"), pairs(w)).otherwise(F.array(w))))
+    split = F.flatten(F.transform(words, lambda w: F.when(w.rlike(f"[{WIDE}]"), pairs(w)).otherwise(F.array(w))))
+    return F.when(_col(text).rlike(f"[{WIDE}]"), split).otherwise(words)
 
 
 def extension(name) -> Column:

@@ -26,6 +26,8 @@ CHUNK = "ordinal int, text string, tokens long, char_start long, char_end long,
 _WIDE = T.wide_pattern()
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 _HEADING = re.compile(r"(#{1,6})\s+(.*)")
+#: Lines that may be fences or headings.
+_MARKED = re.compile(r"^(?:#|[^\S\n]*(?:```|~~~)).*", re.M)
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*")
 _CODE = re.compile(r"^(?:```[^\n]*\n.*?(?:\n```|\Z)|~~~[^\n]*\n.*?(?:\n~~~|\Z))", re.S | re.M)
 _ROW = re.compile(r"\s*\|.*\|\s*\Z")
@@ -49,16 +51,21 @@ class Config:
             raise ValueError("overlap must be less than, and the minimum at most, the chunk's tokens")
 
 
-def tokens_of(text: str) -> int:
-    wide = len(_WIDE.findall(text))
+def _plain(text: str) -> bool:
+    """Whether a text holds no wide character, as most do."""
+    return text.isascii() or not _WIDE.search(text)
+
+
+def tokens_of(text: str, plain: bool = False) -> int:
+    wide = 0 if plain else len(_WIDE.findall(text))
     return wide + -(-(len(text) - wide) // 4)
 
 
 class _Measure:
     """Token counts of any slice of one text from running sums of its wide characters."""
 
-    def __init__(self, text: str):
-        self.wide = [0, *accumulate(map(bool, map(_WIDE.match, text)))] if _WIDE.search(text) else None
+    def __init__(self, text: str, plain: bool = False):
+        self.wide = None if plain or _plain(text) else [0, *accumulate(map(bool, map(_WIDE.match, text)))]
         self.size = len(text)
 
     def tokens(self, start: int, end: int) -> int:
@@ -74,6 +81,8 @@ class _Measure:
 
     def back(self, end: int, wanted: int) -> int:
         """The nearest start from which the slice up to ``end`` has the wanted tokens (0 if none has)."""
+        if not self.wide:
+            return max(0, end - 4 * (wanted - 1) - 1)
         starts = range(end - 1, -1, -1)
         found = bisect_right(starts, wanted - 1, key=lambda s: self.tokens(s, end))
         return starts[found] if found < len(starts) else 0
@@ -81,8 +90,9 @@ class _Measure:
 
 def _sections(text: str):
     """(start, text, heading path) of each section: a heading opens one, whatever body it has."""
-    path, opened, at, start, fenced = [], False, 0, 0, False
-    for line in text.split("\n"):
+    path, opened, start, fenced = [], False, 0, False
+    for m in _MARKED.finditer(text):
+        at, line = m.start(), m[0]
         fenced ^= bool(_FENCE.match(line))
         found = None if fenced else _HEADING.fullmatch(line)
         if found:
@@ -91,7 +101,6 @@ def _sections(text: str):
             level = len(found[1])
             path = [p for p in path if p[0] < level] + [(level, found[2].strip())]
             opened, start = True, at
-        at += len(line) + 1
     if opened or text[start:].strip():
         yield start, text[start:], " › ".join(t for _, t in path) or None
 
@@ -105,9 +114,9 @@ def _segments(text: str, mode: str):
         yield 0, text, None
 
 
-def _windows(text: str, budget: int, overlap: int):
+def _windows(text: str, budget: int, overlap: int, plain: bool = False):
     """(start, text) of windows within the budget, cut after a paragraph or sentence in their second half where there is one."""
-    m, start = _Measure(text), 0
+    m, start = _Measure(text, plain), 0
     while start < len(text):
         end = cut = max(m.furthest(start, budget), start + 1)
         if end < len(text):
@@ -151,17 +160,17 @@ def _table_windows(text: str, budget: int):
     return [x for x in out if x[1].strip()]
 
 
-def _sized(text: str, c: Config):
+def _sized(text: str, c: Config, plain: bool):
     """(start, text, heading) of pieces within the budget, before the minimum is applied."""
     for start, body, heading in _segments(text, c.mode):
-        cuts = [(m.start(), m.end()) for m in _CODE.finditer(body)] if c.preserve_code_blocks else []
+        cuts = [(m.start(), m.end()) for m in _CODE.finditer(body)] if c.preserve_code_blocks and ("```" in body or "~~~" in body) else []
         edges = sorted({0, len(body), *(e for cut in cuts for e in cut)})
         for a, b in zip(edges, edges[1:]):
             piece, code = body[a:b], (a, b) in cuts
-            if tokens_of(piece) <= c.chunk_tokens:
+            if tokens_of(piece, plain) <= c.chunk_tokens:
                 parts = [(0, piece)]
             else:
-                parts = (_table_windows(piece, c.chunk_tokens) if c.split_tables_by_row else None) or _windows(piece, c.chunk_tokens, 0 if code else c.overlap_tokens)
+                parts = (_table_windows(piece, c.chunk_tokens) if c.split_tables_by_row else None) or _windows(piece, c.chunk_tokens, 0 if code else c.overlap_tokens, plain)
             yield from ((start + a + s, w, heading) for s, w in parts)
 
 
@@ -176,10 +185,10 @@ def chunks_of(text: str, c: Config) -> tuple[list[tuple], int]:
     Small pieces that hold only headings wait for the next kept piece and lead it; at the end they stand for themselves.
     """
     text = re.sub("\r\n?", "\n", text)
-    rows, waiting, dropped = [], [], 0
-    for start, body, heading in _sized(text, c):
+    rows, waiting, dropped, plain = [], [], 0, _plain(text)
+    for start, body, heading in _sized(text, c, plain):
         end = start + len(body)
-        if tokens_of(body) < c.min_chunk_tokens:
+        if tokens_of(body, plain) < c.min_chunk_tokens:
             if _only_headings(body):
                 waiting.append((start, end, body, heading))
             else:
@@ -194,7 +203,7 @@ def chunks_of(text: str, c: Config) -> tuple[list[tuple], int]:
     out, before = [], 0
     for i, (start, end, body, heading) in enumerate(rows):
         shared = max(0, before - start) if i else 0
-        out.append((i, body, tokens_of(body), start, end, tokens_of(body[:shared]) if shared else 0, heading))
+        out.append((i, body, tokens_of(body, plain), start, end, tokens_of(body[:shared], plain) if shared else 0, heading))
         before = end
     return out, dropped
 

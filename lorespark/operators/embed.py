@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSION = 1024
 BATCH = 64
@@ -16,23 +16,38 @@ RETRIES = 3
 EmbedFn = Callable[[list[str]], list]
 
 
+def bigram_counts(text: str, dimension: int = DIMENSION) -> np.ndarray:
+    """How many places of a text fall into each bucket; a place's bucket hashes its character and the next (the last stands alone)."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    bucket = codes % dimension
+    bucket[:-1] = (bucket[:-1] * 31 + codes[1:]) % dimension
+    return np.bincount(bucket, minlength=dimension)
+
+
 def bigram_buckets(docs: DataFrame, dimension: int = DIMENSION) -> DataFrame:
-    """(doc_id, bucket, n): the sparse vector of each text; a place's bucket hashes its character and the next (the last stands alone)."""
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)(.)", "$1")
-    codes = F.transform(F.split(t, ""), lambda c: F.ascii(c).cast("long"))
-    rows = docs.where("length(text) > 0").select("doc_id", codes.alias("c"))
-    one = lambda x, i: F.when(i + 1 < F.size("c"), (x % dimension * 31 + F.get(F.col("c"), i + 1)) % dimension).otherwise(x % dimension)
-    return rows.select("doc_id", F.explode(F.transform("c", one)).alias("bucket")).groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
+    """(doc_id, buckets, counts): the sparse vector of each text that isn't empty, counted within its row: nothing is shuffled."""
+    rows = docs.where("length(text) > 0").select("doc_id", "text")
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("buckets array<int>, counts array<long>").fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [bigram_counts(t.as_py(), dimension) for t in batch.column("text")]
+            some = [np.flatnonzero(v) for v in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([x.astype(np.int32) for x in some], pa.list_(pa.int32())), pa.array([v[x] for v, x in zip(found, some)], pa.list_(pa.int64()))],
+                names=schema.names,
+            )
+
+    return rows.mapInArrow(run, schema)
 
 
 def bigram_vector(text: str, dimension: int = DIMENSION) -> np.ndarray:
     """The same vector, dense and of length one (all zeros for an empty text)."""
-    codes = np.array([ord(c) for c in text], np.int64)
-    if not len(codes):
+    if not text:
         return np.zeros(dimension, np.float32)
-    bucket = codes % dimension
-    bucket[:-1] = (bucket[:-1] * 31 + codes[1:]) % dimension
-    v = np.bincount(bucket, minlength=dimension).astype(np.float64)
+    v = bigram_counts(text, dimension).astype(np.float64)
     return (v / np.linalg.norm(v)).astype(np.float32)
 
 
@@ -63,8 +78,6 @@ def with_retry(call: Callable, retries: int = RETRIES, base: float = 0.25, most:
 
 def embedded(chunks: DataFrame, embed: EmbedFn, dimension: int, batch: int = BATCH) -> DataFrame:
     """Chunks with a ``vector`` column; texts go to ``embed`` in batches within each partition, and a wrong width raises."""
-    from pyspark.sql import types as T
-
     schema = T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType(), False))])
 
     def run(batches):

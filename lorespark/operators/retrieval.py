@@ -7,10 +7,17 @@ of each partition are shuffled.
 
 from __future__ import annotations
 
+import logging
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
+from lorespark.sources import snapshots
+
+log = logging.getLogger(__name__)
 
 RRF_K = 60
 FTS_ONLY_SCORE = 0.2
@@ -70,19 +77,22 @@ def postings(chunks: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k chunks (id, text) of the best BM25 score for each query (query_id, text); any term may match.
 
-    One pass gives every chunk's length; only the queries' terms are exploded, or all where the queries are many.
+    Only the queries' terms are kept of a text, or all where the queries are many. Texts are read when this is called.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(T.search_tokens("text"))).alias("term"))
-    tokens = chunks.select("id", T.search_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     few = _is_few(terms)
+    tokens = chunks.select("id", T.search_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     if few:
-        wanted = terms.agg(F.collect_set("term").alias("wanted"))
-        hits = tokens.crossJoin(F.broadcast(wanted)).select("id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: F.array_contains(F.col("wanted"), t))).alias("term"))
+        wanted = [r["term"] for r in terms.select("term").distinct().collect()]  # some thousands at most
+        hits = F.filter("tokens", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
     else:
-        hits = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    tf = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+        hits = F.col("tokens")
+    #: Written once, so that the texts are read and cut into words in one pass, whatever is counted of them.
+    found = snapshots.kept(tokens.select("id", F.size("tokens").alias("dl"), hits.alias("hits")), "fts")
+    corpus = found.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = found.select("id", "dl", F.explode("hits").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    #: A row for each of the queries' terms at most.
     pairs = tf.join(F.broadcast(terms), "term").join(F.broadcast(df), "term") if few else met(tf, terms.join(df, "term"), ["term"])
     scored = pairs.crossJoin(F.broadcast(corpus))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -91,6 +101,16 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(total, [F.desc("score"), "id"], k)
 
 
+def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``bm25``, or no hits where it fails: a search goes on by vectors alone, and its mode says so."""
+    try:
+        return bm25(chunks, queries, k)
+    except (PySparkException, Py4JJavaError) as e:
+        log.warning("text search failed, going on by vectors alone: %s", str(e).split("\n")[0])
+        none = chunks.sparkSession.createDataFrame([], "score double, rank long")
+        return queries.select("query_id").limit(0).crossJoin(chunks.select("id").limit(0)).crossJoin(none)
+
+
 def fuse(dense_hits: DataFrame, fts_hits: DataFrame) -> DataFrame:
     """(query_id, id, rrf, dense_rank, fts_rank, score): both lists merged by reciprocal rank.
 
@@ -111,14 +131,14 @@ def floored(hits: DataFrame, min_score: float) -> DataFrame:
 def hybrid(chunks: DataFrame, queries: DataFrame, topk: int = 8, min_score: float = 0.55, candidates: int = 100) -> DataFrame:
     """(query_id, id, rank, score, band, dense_rank, fts_rank): floor before cap, in the order of the fusion."""
     pool = max(candidates, topk)
-    hits = floored(fuse(dense(chunks, queries, pool), bm25(chunks, queries, pool)), min_score)
+    hits = floored(fuse(dense(chunks, queries, pool), text_hits(chunks, queries, pool)), min_score)
     order = [F.desc(F.round("rrf", 12)), F.coalesce("dense_rank", F.lit(2**31)), "id"]
     return ranked(hits, order, topk).select("query_id", "id", "rank", "score", T.confidence_band("score").alias("band"), "dense_rank", "fts_rank")
 
 
 def search_stats(chunks: DataFrame, queries: DataFrame, min_score: float = 0.55, candidates: int = 100) -> DataFrame:
     """(query_id, mode, below_floor, fts_only_hits) of each query that has candidates; without words to look for, the mode is dense."""
-    d, f = dense(chunks, queries, candidates), bm25(chunks, queries, candidates)
+    d, f = dense(chunks, queries, candidates), text_hits(chunks, queries, candidates)
     stats = fuse(d, f).groupBy("query_id").agg(
         F.count_if(F.col("score") < min_score).alias("below_floor"),
         F.count_if(F.col("dense_rank").isNull() & (F.col("score") >= min_score)).alias("fts_only_hits"),
@@ -127,22 +147,6 @@ def search_stats(chunks: DataFrame, queries: DataFrame, min_score: float = 0.55,
     return stats.select("query_id", F.when(F.col("_fts") > 0, "hybrid").otherwise("dense").alias("mode"), "below_floor", "fts_only_hits")
 
 
-def quantized(chunks: DataFrame) -> DataFrame:
-    """(id, scale, codes): vectors as signed bytes of the largest component's 127th part."""
-    v = F.col("vector").cast("array<double>")
-    scale = F.array_max(F.transform(v, F.abs)) / 127.0
-    return chunks.select("id", scale.alias("scale"), F.transform(v, lambda x: F.when(scale > 0, F.round(x / scale)).otherwise(0).cast("tinyint")).alias("codes"))
-
-
-def rescored(chunks: DataFrame, queries: DataFrame, k: int, oversample: int = 4) -> DataFrame:
-    """Dense search over quantized codes, the best k * oversample scored again on the vectors."""
-    codes = quantized(chunks).select("id", F.transform("codes", lambda c: c.cast("double")).alias("vector"))
-    near = dense(codes, queries, k * oversample).select("query_id", "id")
-    q = _few(queries.select("query_id", F.col("vector").cast("array<double>").alias("q")))
-    exact = near.join(chunks.select("id", F.col("vector").cast("array<double>").alias("v")), "id").join(q, "query_id")
-    return ranked(exact.select("query_id", "id", T.match_score(1 - T.cosine("v", "q")).alias("score")), [F.desc(F.round("score", 9)), "id"], k)
-
-
 def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """Hits with their document's name; a missing document keeps the hit under its id."""
     named = documents.select(F.col("doc_id").alias("id"), F.col("name").alias("_name"))

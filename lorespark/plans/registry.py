@@ -148,13 +148,14 @@ def hybrid_with_documents(spark, sf_dir):
 def quantized_topk(spark, sf_dir):
     """INT8 codes, rescored; recall against exact search is tested."""
     vectors, _ = _chunks(spark, sf_dir)
-    return retrieval.rescored(vectors, _probes(spark, sf_dir, 5), 8).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    return vector_index.rescored(vectors, _probes(spark, sf_dir, 5), 8).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query(O.HASH_EMBED_NORM)
 def hash_embedding(spark, sf_dir):
     """Bigram-hash embeddings as (bucket, count) rows: non-zero buckets and squared length of each document's vector."""
-    return embed.bigram_buckets(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("buckets"), F.sum(F.col("n") * F.col("n")).cast("long").alias("squared_length"))
+    squares = F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n * n)
+    return embed.bigram_buckets(_docs(spark, sf_dir)).select("doc_id", F.size("buckets").cast("long").alias("buckets"), squares.alias("squared_length"))
 
 
 # Tokens and chunks

@@ -2,6 +2,9 @@
 
 ``<root>/v=<n>`` holds version n; ``<root>/CURRENT`` names the one that is served and what it was made with. A version is
 written, counted and only then pointed to; readers keep what they opened. One version before the served one is kept.
+
+Writers may meet: each claims a version's number by creating a file that mustn't exist, and the pointer moves under a lock and only if the version that
+the writer began from is still served; else ``publish`` raises ``Conflict``, and ``update`` begins again from what is served by then.
 """
 
 from __future__ import annotations
@@ -10,7 +13,11 @@ import atexit
 import json
 import shutil
 import tempfile
+import time
+import uuid
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +27,47 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+class Conflict(RuntimeError):
+    """Another writer published meanwhile."""
+
+
+#: Seconds that a writer waits for the pointer's lock, and after which a lock is taken for one that its writer left behind.
+LOCK_WAIT, LOCK_STALE = 120.0, 300.0
+ATTEMPTS = 20
+
+
+def _created(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file; False where it's there already."""
+    fs, p = _fs(spark, path)
+    try:
+        fs.create(p, False).close()
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName() or fs.exists(p):
+            return False
+        raise
+    return True
+
+
+@contextmanager
+def _lock(spark: SparkSession, root: str):
+    fs, p = _fs(spark, f"{root}/LOCK")
+    until = time.monotonic() + LOCK_WAIT
+    while not _created(spark, f"{root}/LOCK"):
+        if fs.exists(p) and time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > LOCK_STALE:
+            fs.delete(p, False)
+        elif time.monotonic() > until:
+            raise TimeoutError(f"{root} stays locked")
+        time.sleep(0.1)
+    try:
+        yield
+    finally:
+        fs.delete(p, False)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small file beside its place and moves it there, so that readers see the old one or the new."""
     fs, target = _fs(spark, path)
-    temp = spark._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    temp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(temp, True)
     out.write(bytearray(text.encode()))
     out.close()
@@ -48,30 +92,51 @@ def current(spark: SparkSession, root: str) -> dict:
     return json.loads(read_text(spark, f"{root}/CURRENT") or "{}")
 
 
-def read(spark: SparkSession, root: str) -> DataFrame | None:
-    """The served version, None before the first; a version that is pointed to and missing raises when read."""
-    found = current(spark, root)
+def read(spark: SparkSession, root: str, record: dict | None = None) -> DataFrame | None:
+    """The served version (or that of ``record``), None before the first; a version that is pointed to and missing raises when read."""
+    found = current(spark, root) if record is None else record
     return spark.read.parquet(f"{root}/v={found['version']}") if found else None
 
 
-def publish(spark: SparkSession, root: str, rows: DataFrame, expected: int | None = None, **record) -> dict:
-    """Writes ``rows`` as the next version, checks its count and serves it."""
-    before = current(spark, root)
+def publish(spark: SparkSession, root: str, rows: DataFrame, expected: int | None = None, before: dict | None = None, **record) -> dict:
+    """Writes ``rows`` as the next version, checks its count and serves it, if ``before`` (now: what is served) is still served then."""
+    before = current(spark, root) if before is None else before
     version = before.get("version", 0) + 1
+    while not _created(spark, f"{root}/claims/{version}"):
+        version += 1
     path = f"{root}/v={version}"
+    fs, p = _fs(spark, path)
     rows.write.mode("overwrite").parquet(path)
     count = spark.read.parquet(path).count()
     if expected is not None and count != expected:
-        fs, p = _fs(spark, path)
         fs.delete(p, True)
-        raise ValueError(f"version {version} has {count} rows, {expected} were expected; version {version - 1} is still served")
-    found = {"version": version, "rows": count, **record}
-    write_text(spark, f"{root}/CURRENT", json.dumps(found))
-    fs, old = _fs(spark, f"{root}/v={version - 2}")
-    fs.delete(old, True)
+        raise ValueError(f"version {version} has {count} rows, {expected} were expected; what was served still is")
+    found = {"version": version, "rows": count, "previous": before.get("version"), **record}
+    with _lock(spark, root):
+        if current(spark, root).get("version") != before.get("version"):
+            fs.delete(p, True)
+            raise Conflict(f"{root}: another writer published")
+        write_text(spark, f"{root}/CURRENT", json.dumps(found))
+    if before.get("previous") is not None:
+        fs.delete(_fs(spark, f"{root}/v={before['previous']}")[1], True)
     return found
 
 
+def update(spark: SparkSession, root: str, change, keep: bool = False, **record) -> dict:
+    """Publishes what ``change`` makes of the served rows (None before the first); begins again where another writer was faster.
+
+    ``keep`` carries over what the served version's record says.
+    """
+    for _ in range(ATTEMPTS):
+        before = current(spark, root)
+        said = {k: v for k, v in before.items() if k not in ("version", "rows", "previous")} if keep else {}
+        try:
+            return publish(spark, root, change(read(spark, root, before)), before=before, **(said | record))
+        except Conflict:
+            continue
+    raise Conflict(f"{root}: other writers were faster {ATTEMPTS} times")
+
+
 def replaced(served: DataFrame, fresh: DataFrame, key: str, changed: DataFrame | None = None) -> DataFrame:
     """Served rows but those of changed keys, and the fresh rows."""
     gone = (fresh if changed is None else changed).select(key).distinct()
@@ -79,13 +144,12 @@ def replaced(served: DataFrame, fresh: DataFrame, key: str, changed: DataFrame |
 
 
 def upsert(spark: SparkSession, root: str, fresh: DataFrame, key: str, changed: DataFrame | None = None, **record) -> dict:
-    served = read(spark, root)
-    return publish(spark, root, fresh if served is None else replaced(served, fresh, key, changed), **record)
+    return update(spark, root, lambda served: fresh if served is None else replaced(served, fresh, key, changed), **record)
 
 
 def delete(spark: SparkSession, root: str, keys: DataFrame, key: str) -> dict:
     """A version without the rows of the given keys."""
-    return publish(spark, root, read(spark, root).join(keys.select(key).distinct(), key, "left_anti"))
+    return update(spark, root, lambda served: served.join(keys.select(key).distinct(), key, "left_anti"), keep=True)
 
 
 def viability(record: dict | None, wanted: dict) -> tuple[bool, str]:
@@ -126,3 +190,10 @@ def scratch(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read from there."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lorespark.operators.chunking import Config, chunk_documents
 from lorespark.sources import snapshots
@@ -11,7 +12,8 @@ from lorespark.sources import snapshots
 def publish_stream(documents: DataFrame, root: str, checkpoint: str, config: Config = Config()):
     """A running query that keeps the snapshot at ``root`` up to date with a stream of documents (doc_id, text).
 
-    A batch replaces its documents' chunks and inherits all others. The batch's number is recorded with the version, so a batch
+    A batch replaces its documents' chunks and inherits all others; of several rows of a doc_id the last counts, by a column ``at`` if there
+    is one, then by the text. The batch's number is recorded with the version, so a batch
     that is run again after a failure publishes nothing twice.
     """
 
@@ -19,7 +21,8 @@ def publish_stream(documents: DataFrame, root: str, checkpoint: str, config: Con
         spark = batch.sparkSession
         if snapshots.current(spark, root).get("batch") == number:
             return
-        latest = batch.dropDuplicates(["doc_id"])
+        order = F.struct(*(["at"] if "at" in batch.columns else []), "text")
+        latest = snapshots.kept(batch.groupBy("doc_id").agg(F.max_by("text", order).alias("text")), "ingest")
         snapshots.upsert(spark, root, chunk_documents(latest, config), "doc_id", changed=latest.select("doc_id"), batch=number)
 
     return documents.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).start()

@@ -47,14 +47,14 @@ def test_quantized_recall(spark):
     v = spark.createDataFrame(rows, "id long, vector array<double>")
     q = v.where("id < 10").select(F.col("id").alias("query_id"), "vector")
     pick = lambda d: {(r["query_id"], r["id"]) for r in d.collect()}
-    assert len(pick(retrieval.rescored(v, q, 5)) & pick(retrieval.dense(v, q, 5))) >= 48
+    assert len(pick(vector_index.rescored(v, q, 5)) & pick(retrieval.dense(v, q, 5))) >= 48
 
 
 def test_embedders_agree(spark):
     docs = spark.createDataFrame([(1, "abca é"), (2, ""), (3, "x")], "doc_id long, text string")
     sparse = {}
     for r in embed.bigram_buckets(docs).collect():
-        sparse.setdefault(r["doc_id"], {})[r["bucket"]] = r["n"]
+        sparse[r["doc_id"]] = dict(zip(r["buckets"], r["counts"]))
     for i, t in ((1, "abca é"), (3, "x")):
         v = embed.bigram_vector(t)
         n = sum(x * x for x in sparse[i].values()) ** 0.5
@@ -83,7 +83,7 @@ def test_many_queries_meet_in_blocks(spark, monkeypatch):
     model = vector_index.fit_cells(v.where("id % 2 = 0"), lists=4)
     cells = vector_index.celled(v.where("id % 2 = 0"), model)
     asked = {
-        "dense": lambda: retrieval.dense(v, q, 7), "bm25": lambda: retrieval.bm25(v, q, 7), "hybrid": lambda: retrieval.hybrid(v, q, 7, 0.2), "rescored": lambda: retrieval.rescored(v, q, 7),
+        "dense": lambda: retrieval.dense(v, q, 7), "bm25": lambda: retrieval.bm25(v, q, 7), "hybrid": lambda: retrieval.hybrid(v, q, 7, 0.2), "rescored": lambda: vector_index.rescored(v, q, 7),
         "int4": lambda: vector_index.rescored(v, q, 7, "INT4"), "probed": lambda: vector_index.probed(cells, model, q.where("query_id % 2 = 0"), 7, 2),
     }
     rounded = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(sorted(df.columns)).collect())
@@ -107,3 +107,13 @@ def test_searches_ask_with_every_twentieth_id(spark):
     want = {r[0] for r in registry.table(spark, dir, "embeddings").where("vec_id % 20 = 0").select("vec_id").collect()}
     for name in ("quantized_int4_topk", "quantized_fp16_topk", "cells_topk"):
         assert {r[0] for r in registry.queries()[name](spark, dir).select("query_id").distinct().collect()} == want, name
+
+
+def test_text_search_that_fails(spark):
+    """The search goes on by vectors alone and says so."""
+    broken = F.when(F.col("id") >= 0, F.raise_error(F.lit("no index"))).otherwise(F.lit("x"))
+    chunks = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, vector array<double>").withColumn("text", broken)
+    asked = spark.createDataFrame([(0, [1.0, 1.0], "x y")], "query_id long, vector array<double>, text string")
+    hits = retrieval.hybrid(chunks, asked, 3, 0.0).collect()
+    assert len(hits) == 3 and all(r["fts_rank"] is None for r in hits)
+    assert retrieval.search_stats(chunks, asked, 0.0).first()["mode"] == "dense"

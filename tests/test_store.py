@@ -59,3 +59,45 @@ def test_ingest_stream(spark, tmp_path):
         q.stop()
     got = {r["doc_id"]: r["text"] for r in S.read(spark, root).collect()}
     assert got[2].startswith("changed") and got[1].startswith("first")
+
+
+def test_two_writers(spark, tmp_path):
+    """Writers that meet lose nothing: the slower one begins again from what the other published."""
+    from pyspark import InheritableThread
+
+    root = str(tmp_path / "shared")
+    S.publish(spark, root, spark.range(1).withColumnRenamed("id", "doc_id"))
+    before = S.current(spark, root)
+    S.publish(spark, root, spark.range(2).withColumnRenamed("id", "doc_id"))
+    try:
+        S.publish(spark, root, spark.range(9).withColumnRenamed("id", "doc_id"), before=before)
+        raise AssertionError("a version was lost")
+    except S.Conflict:
+        assert S.current(spark, root)["rows"] == 2
+    failed = []
+
+    def write(i):
+        try:
+            for j in range(3):
+                S.upsert(spark, root, spark.range(100 * i + j, 100 * i + j + 1).withColumnRenamed("id", "doc_id"), "doc_id")
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [InheritableThread(target=write, args=(i,)) for i in (1, 2, 3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert not failed
+    assert sorted(r["doc_id"] for r in S.read(spark, root).collect()) == [0, 1, *(100 * i + j for i in (1, 2, 3) for j in range(3))]
+
+
+def test_broken_log(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "log").write_text('{"a": 1}\n{"a\n\n{"a": 2}\n')
+    with pytest.raises(ValueError):
+        S.read_log(spark, str(tmp_path / "log"), "a int")
+    (tmp_path / "torn").write_text('{"a": 1}\n\n{"a": 2}\n{"a')
+    rows, torn = S.read_log(spark, str(tmp_path / "torn"), "a int")
+    assert [r["a"] for r in rows.collect()] == [1, 2] and torn == 1
