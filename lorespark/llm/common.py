@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,22 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorespark.sources.snapshots import scratch
+
 #: Bytes of an Arrow batch of texts or files; a batch must fit into a Python worker whatever its rows hold.
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own where it is unset, as in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lorespark-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, ``spark.checkpoint.dir``."""
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: Stands for a missing id inside Python stages, where integers can't be null.
@@ -66,6 +56,15 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Characters of a text that its range of rows is chosen by, so that an id which many rows share is dealt over several tasks.
+HEAD = 64
+
+
+def in_ranges(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (doc_id, text) in order of doc_id, then text, over n partitions; only rows that repeat both id and HEAD stay in one."""
+    return rows.repartitionByRange(n, F.col("doc_id"), F.left("text", F.lit(HEAD))).sortWithinPartitions("doc_id", "text")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, shuffle_partitions, stored, text_batches, with_nulls
+from .common import id_column, in_ranges, shuffle_partitions, stored, text_batches, with_nulls
 from .words import mix
 
 WINDOW = 7
@@ -140,7 +140,7 @@ def fingerprints_and_edits(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.select(id_column(), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = in_ranges(rows, shuffle_partitions(spark))
 
     def run(batches):
         from pyspark import TaskContext

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import id_column, shuffle_partitions, text_batches, with_nulls
+from .common import id_column, in_ranges, shuffle_partitions, text_batches, with_nulls
 
 MAGIC = b"WMTOKEN1"
 #: The word pattern of byte-level BPE vocabularies of this kind (fixed value).
@@ -35,6 +35,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLOCK = 1 << 16
 #: Text bytes that a shard is meant to hold.
 SHARD_BYTES = 8 << 20
+#: Shards whose places are summed together.
+GROUP = 4096
 #: White space that tiktoken isn't given in one run: its matcher keeps a place to return to for each character, a million at most.
 LONG_RUN = 100_000
 _long_run = re.compile(r"(?<!\s)\s{%d}" % LONG_RUN).search
@@ -220,8 +222,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
             image = build(flat, np.array(names, np.int64), ends)
             yield pd.DataFrame({"shard": np.array([TaskContext.get().partitionId()], np.int32), "n_docs": [len(names)], "n_tokens": [len(flat)], "file": [image]})
 
-    files = rows.repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id", "text")
-    files.mapInPandas(run, "shard int, n_docs long, n_tokens long, file binary").write.parquet(path)
+    in_ranges(rows, int(shards)).mapInPandas(run, "shard int, n_docs long, n_tokens long, file binary").write.parquet(path)
     return path
 
 
@@ -229,9 +230,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files at ``path``."""
     text_batches(spark)
     files = spark.read.parquet(path)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    #: One small row for each shard.
-    firsts = files.select("shard", "n_tokens").withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("shard", "first")
+    #: Sums of the shards before each: within groups of GROUP shards, and over the groups, of which there are few.
+    counts = files.select("shard", "n_tokens", F.floor(F.col("shard") / GROUP).alias("group"))
+    upto = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("group").agg(F.sum("n_tokens").alias("n_tokens")).select("group", upto(Window.orderBy("group")).alias("before"))
+    firsts = counts.withColumn("within", upto(Window.partitionBy("group").orderBy("shard"))).join(groups, "group").select("shard", (F.col("within") + F.col("before")).alias("first"))
 
     def run(batches):
         for pdf in batches:
