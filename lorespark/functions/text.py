@@ -79,11 +79,19 @@ def confidence_band(score) -> Column:
     return out
 
 
-def cosine(a, b) -> Column:
-    """Cosine similarity of two arrays of doubles; null where a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(_col(x), _col(y), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
+def dot(a, b) -> Column:
+    """Inner product of two arrays of doubles."""
+    return F.aggregate(F.zip_with(_col(a), _col(b), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a, b, norm_a=None, norm_b=None) -> Column:
+    """Cosine similarity of two arrays of doubles, null where a norm is 0; norms that are known needn't be taken for each pair."""
+    both = (norm(a) if norm_a is None else _col(norm_a)) * (norm(b) if norm_b is None else _col(norm_b))
+    return F.when(both > 0, dot(a, b) / both)
 
 
 def equals_filter(column: str, value: str) -> str:

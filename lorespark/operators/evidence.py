@@ -17,18 +17,35 @@ def discarded(relaxed: DataFrame, kept: DataFrame) -> DataFrame:
     return relaxed.join(kept.select("doc_id", "char_start"), ["doc_id", "char_start"], "left_anti")
 
 
+#: Characters of a stretch of a document; what meets, meets within one, so that a long document isn't one key of a join.
+STRETCH = 4096
+
+
+def _stretch(place):
+    return F.floor(place / STRETCH)
+
+
+def _stretches(start: str, end: str):
+    """The stretches that a span lies in, its end included."""
+    return F.explode(F.sequence(_stretch(F.col(start)), _stretch(F.greatest(start, end))))
+
+
 def contained(ranges: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ranges (doc_id, start, end) that lie whole inside a chunk of their document."""
-    c = chunks.select("doc_id", "char_start", "char_end")
-    inside = (ranges.doc_id == c.doc_id) & (F.col("start") >= F.col("char_start")) & (F.col("end") <= F.col("char_end"))
+    c = chunks.select(F.col("doc_id").alias("_doc"), "char_start", "char_end", _stretches("char_start", "char_end").alias("_at"))
+    inside = (F.col("doc_id") == F.col("_doc")) & (_stretch(F.col("start")) == F.col("_at")) & (F.col("start") >= F.col("char_start")) & (F.col("end") <= F.col("char_end"))
     return ranges.join(c, inside, "left_semi")
 
 
 def overlap_lengths(ranges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc_id, covered): characters that ranges and chunks have in common, summed over the pairs that meet."""
-    c = chunks.select(F.col("doc_id").alias("_doc"), "char_start", "char_end")
-    meet = (F.col("doc_id") == F.col("_doc")) & (F.col("start") < F.col("char_end")) & (F.col("end") > F.col("char_start"))
-    pairs = ranges.join(c, meet)
+    """(doc_id, covered): characters that ranges and chunks have in common, summed over the pairs that meet.
+
+    A pair counts in the stretch where its later start lies.
+    """
+    r = ranges.select("doc_id", "start", "end", _stretches("start", "end").alias("_at"))
+    c = chunks.select("doc_id", "char_start", "char_end", _stretches("char_start", "char_end").alias("_at"))
+    once = _stretch(F.greatest("start", "char_start")) == F.col("_at")
+    pairs = r.join(c, ["doc_id", "_at"]).where(once & (F.col("start") < F.col("char_end")) & (F.col("end") > F.col("char_start")))
     return pairs.groupBy("doc_id").agg(F.sum(F.least("end", "char_end") - F.greatest("start", "char_start")).cast("long").alias("covered"))
 
 

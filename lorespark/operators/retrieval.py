@@ -62,9 +62,9 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Scores are match scores, 1 - distance clamped to 0..1; vectors of another length than the query's are left out.
     """
-    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).withColumn("_size", F.size("q"))
-    v = chunks.select("id", F.col("vector").cast("array<double>").alias("v")).withColumn("_size", F.size("v"))
-    scored = met(v, q, ["_size"]).select("query_id", "id", T.match_score(1 - T.cosine("v", "q")).alias("score"))
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).withColumns({"_size": F.size("q"), "_qn": T.norm("q")})
+    v = chunks.select("id", F.col("vector").cast("array<double>").alias("v")).withColumns({"_size": F.size("v"), "_vn": T.norm("v")})
+    scored = met(v, q, ["_size"]).select("query_id", "id", T.match_score(1 - T.cosine("v", "q", "_vn", "_qn")).alias("score"))
     return ranked(scored, [F.desc(F.round("score", 9)), "id"], k)
 
 
