@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as T
 from lorespark.operators import catalog, chunking, convert, evidence, lines
 from lorespark.plans.oracle import _estimate
-from lorespark.plans.registry import _docs, query, table
+from lorespark.plans.registry import ORACLES, _docs, query, table
 
 
 def _cut(start: str, budget: int) -> str:
@@ -54,6 +54,17 @@ _OUTLINE = """array_to_string(list_transform(string_split(text, chr(10)), lambda
 _SECTIONS = f"WITH RECURSIVE {chunks_sql(_OUTLINE, 'heading', 120, 20, 8)}"
 
 
+def _checks(budget: int, minimum: int) -> str:
+    return f"""f AS (SELECT count(*) AS n, max(tokens) AS most, min(tokens) AS least, count(*) FILTER (overlap_tokens > 0) AS sharing, count(*) FILTER (ordinal > 0) AS followers,
+  count(heading) AS headed, max(overlap_tokens) AS widest FROM chunks)
+SELECT 'chunks' AS "check", n > 0 AS ok, n AS measured FROM f UNION ALL SELECT 'budget', most <= {budget}, most FROM f UNION ALL SELECT 'minimum', least >= {minimum}, least FROM f
+UNION ALL SELECT 'overlap', followers = 0 OR sharing > 0, sharing FROM f UNION ALL SELECT 'overlap_size', widest <= {budget}, widest FROM f UNION ALL SELECT 'headings', true, headed FROM f"""
+
+
+#: Queries of ``registry`` whose SQL is the chunker's.
+ORACLES |= {"chunk_heading": f"{_MARKDOWN} SELECT * FROM chunks", "chunk_fixed": f"{_FIXED} SELECT * FROM chunks", "policy_checks": f"{_MARKDOWN}, {_checks(200, 5)}"}
+
+
 def _outline(spark, sf_dir):
     level = lambda i: F.floor((i + 1) / 5).cast("int") * 3 + F.col("doc_id")
     head = lambda i: F.concat(F.repeat(F.lit("#"), (level(i) % 4 + 1).cast("int")), F.lit(" part "), (i + 1).cast("string"))
@@ -112,10 +123,7 @@ def plan_preview(spark, sf_dir):
     return catalog.first_preview(_fixed(spark, sf_dir))
 
 
-@query(f"""{_SECTIONS}, f AS (SELECT count(*) AS n, max(tokens) AS most, min(tokens) AS least, count(*) FILTER (overlap_tokens > 0) AS sharing, count(*) FILTER (ordinal > 0) AS followers,
-  count(heading) AS headed, max(overlap_tokens) AS widest FROM chunks)
-SELECT 'chunks' AS "check", n > 0 AS ok, n AS measured FROM f UNION ALL SELECT 'budget', most <= 120, most FROM f UNION ALL SELECT 'minimum', least >= 8, least FROM f
-UNION ALL SELECT 'overlap', followers = 0 OR sharing > 0, sharing FROM f UNION ALL SELECT 'overlap_size', widest <= 120, widest FROM f UNION ALL SELECT 'headings', true, headed FROM f""")
+@query(f"{_SECTIONS}, {_checks(120, 8)}")
 def section_checks(spark, sf_dir):
     return evidence.policy_checks(_sections(spark, sf_dir), 120, 20, 8)
 
