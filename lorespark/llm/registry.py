@@ -86,11 +86,35 @@ def op10_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_clusters(spark, sf_dir):
+    """Every vector in the nearest of 8 centroids after 10 rounds."""
+    from .clustering import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of words in every document, where each tenth repeats a part of itself."""
+    from .periodic import find_runs, repeated
+
+    return find_runs(table(spark, sf_dir, "documents"), repeated)
+
+
+def op13_quality_rules(spark, sf_dir):
+    """Base rules and the isolation forest's verdict for every document."""
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    own = [op1_near_dedup, op2_bpe, op3_url_filter, op4_sharding, op5_fingerprints, op6_ann, op7_token_files, op8_pii, op9_packing, op10_quality]
+    own = [
+        op1_near_dedup, op2_bpe, op3_url_filter, op4_sharding, op5_fingerprints, op6_ann, op7_token_files, op8_pii, op9_packing, op10_quality, op11_clusters,
+        op12_periodic_runs, op13_quality_rules,
+    ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    found = {"op1_near_dedup": oracles.OP1}
+    found = {"op1_near_dedup": oracles.OP1, "op11_clusters": oracles.op11()}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

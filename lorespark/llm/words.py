@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
@@ -69,3 +71,22 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         acc ^= acc >> np.uint64(29)
     acc = np.sort(mix(acc))
     return acc[np.r_[True, acc[1:] != acc[:-1]]]
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def word_list(text: str | None) -> list[str]:
+    """A text's words as they stand: runs of anything but ``[\\x20\\x09-\\x0D]``; null: none."""
+    return _WORD.findall(text or "")
+
+
+class _Numbers(dict):
+    def __missing__(self, word):
+        v = self[word] = len(self)
+        return v
+
+
+def word_numbers(words: list[str]) -> np.ndarray:
+    """A number for each word, 0, 1, ... by first appearance, so that numbers are equal exactly where words are."""
+    return np.fromiter(map(_Numbers().__getitem__, words), np.int64, len(words))
