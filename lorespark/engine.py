@@ -1,30 +1,34 @@
 """The public surface: collections, uploads, builds, search and citations over one root folder.
 
-``<root>/<collection>/meta`` is a small JSON record, ``documents`` and ``chunks`` are snapshots (``sources.snapshots``), ``sources``
-holds uploads as they came, ``log`` what builds said. What a caller does wrong comes back as data (``ok``, ``reason``), it isn't
-raised by ``search``.
+``<root>/<collection>/store`` holds the tables ``sources`` (uploads as they came), ``documents`` and ``chunks`` with the collection's record under one commit log
+(``sources.store``): a build's chunks and its documents' states appear together, and an upload or a removal beside a running build stays. ``log`` is what builds said.
+What a caller does wrong comes back as data (``ok``, ``reason``), it isn't raised by ``search``.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import threading
 import uuid
 from datetime import datetime, timezone
 
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
 from lorespark.operators import catalog, chunking, convert, embed, evidence, lines, retrieval
 from lorespark.sources import files as stored_files
 from lorespark.sources import snapshots
+from lorespark.sources.store import Conflict, Store
 
 TOKENIZER = "words-and-pairs-1"
 DEFAULTS = {"min_score": 0.55, "topk": 8, "candidates": 100, "mode": "hybrid"}
 LIMITS = {"min_score": (0.0, 1.0), "topk": (1, 50), "candidates": (20, 1000)}
+#: Parts that a running sum over documents is taken by.
+PARTS = 1024
+#: Times that a build begins again after another one replaced what it worked on.
+BUILD_ATTEMPTS = 3
 ID = re.compile(r"^kb_[a-z][a-z0-9]{0,15}_[0-9a-f]{4}$")
 
 
@@ -57,12 +61,15 @@ class KnowledgeBase:
             raise ValueError(f"{collection!r} isn't a collection's id")
         return f"{self.root}/{collection}" + (f"/{what}" if what else "")
 
+    def _store(self, collection: str) -> Store:
+        return Store(self.spark, self._at(collection, "store"))
+
     def _meta(self, collection: str) -> dict | None:
-        return json.loads(snapshots.read_text(self.spark, self._at(collection, "meta")) or "null")
+        return self._store(collection).meta or None
 
-    def _save(self, collection: str, meta: dict) -> dict:
-        snapshots.write_text(self.spark, self._at(collection, "meta"), json.dumps(meta, ensure_ascii=False))
-        return meta
+    def _save(self, collection: str, **meta) -> dict:
+        t = self._store(collection).begin()
+        return t.commit(**meta)["meta"]
 
     @staticmethod
     def _now() -> str:
@@ -72,11 +79,12 @@ class KnowledgeBase:
         made = self.spark.range(1).select(T.collection_id(F.lit(name)).alias("id")).first()["id"]
         if self._meta(made):
             raise ValueError(f"{made} exists already")
-        self._save(made, {"id": made, "name": name, "description": description, "created_at": self._now(), "built_at": None, "settings": {}})
+        self._save(made, id=made, name=name, description=description, created_at=self._now(), built_at=None, settings={})
         return made
 
     def rename(self, collection: str, name: str) -> dict:
-        return self._save(collection, self._known(collection) | {"name": name})
+        self._known(collection)
+        return self._save(collection, name=name)
 
     def delete(self, collection: str) -> None:
         fs, path = snapshots._fs(self.spark, self._at(collection))
@@ -91,13 +99,11 @@ class KnowledgeBase:
     def ids(self) -> list[str]:
         fs, path = snapshots._fs(self.spark, self.root)
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(n for n in names if ID.match(n) and fs.exists(snapshots._fs(self.spark, self._at(n, "meta"))[1]))
+        return sorted(n for n in names if ID.match(n) and fs.exists(snapshots._fs(self.spark, self._at(n, "store/commits"))[1]))
 
     def _metas(self) -> list[dict]:
-        """The records of all collections, read as one table."""
-        paths = [self._at(n, "meta") for n in self.ids()]
-        found = [json.loads(r["value"]) for r in self.spark.read.text(paths, wholetext=True).collect() if r["value"].strip()] if paths else []
-        return sorted(found, key=lambda m: m["id"])
+        """The records of all collections: a small file for each."""
+        return [self._meta(n) for n in self.ids()]
 
     def collections(self) -> DataFrame:
         """(collection, name, description, created_at, built_at), the latest first."""
@@ -130,50 +136,88 @@ class KnowledgeBase:
 
     def documents(self, collection: str) -> DataFrame:
         self._known(collection)
-        found = snapshots.read(self.spark, self._at(collection, "documents"))
+        found = self._store(collection).read("documents")
         return self.spark.createDataFrame([], self._DOCUMENT) if found is None else found
 
+    def chunks(self, collection: str) -> DataFrame | None:
+        """The chunks that are served; None before the first build."""
+        return self._store(collection).read("chunks")
+
     def list_documents(self, collection: str, status: str = "all", text: str = "") -> DataFrame:
         """Documents without their texts, the largest id first; of one status, or whose name holds a text."""
         return catalog.document_list(catalog.matching(self.documents(collection), status, text))
 
     def chunk_count(self, collection: str, doc_id: str) -> int:
         """How many chunks of a document are served."""
-        chunks = snapshots.read(self.spark, self._at(collection, "chunks"))
-        return 0 if chunks is None else chunks.where(F.col("doc_id") == doc_id).count()
+        chunks = self._store(collection).read("chunks", keys=[doc_id])
+        return 0 if chunks is None else chunks.count()
 
     def add(self, collection: str, files: DataFrame) -> DataFrame:
-        """Takes files (name, content); gives (name, doc_id, reason), reason null for those taken. Converted texts are kept, bad documents are kept as failed."""
+        """Takes files (name, content); gives (name, doc_id, reason), reason null for those taken. Converted texts are kept, bad documents are kept as failed.
+
+        A name may repeat: each file is a document of its own. A document whose text no longer fits the quota is kept as failed, without the text.
+        """
         self._known(collection)
-        size = F.octet_length("content")
+        size, now = F.octet_length("content"), self._now()
         judged = files.select("name", "content", size.cast("long").alias("bytes"), catalog.upload_verdict("name", size).alias("reason"))
-        incoming = judged.where("reason is null").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
+        #: Written once, so that each row keeps its number.
+        rows = snapshots.kept(judged.withColumn("_row", F.monotonically_increasing_id()), "upload")
+        place = F.row_number().over(Window.partitionBy("name").orderBy("_row"))
+        seed = F.concat(F.lit(now), F.when(F.col("_place") > 1, F.concat(F.lit("#"), F.col("_place").cast("string"))).otherwise(""))
+        named = rows.select("_row", "name", "reason", place.alias("_place")).select("_row", "reason", F.when(F.col("reason").isNull(), T.fnv1a_id("name", seed)).alias("doc_id"))
+        rows = rows.drop("reason").join(named, "_row")
+        judged = rows.select("name", "doc_id", "reason")
         if self.quota is not None:
+            incoming = rows.where("reason is null").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
             used = self.usage(collection).first()["used"]
             if used + incoming > self.quota:
-                over = used + incoming - self.quota
-                return judged.select("name", F.lit(None).cast("string").alias("doc_id"), F.coalesce("reason", F.lit(f"over the quota by {over} bytes")).alias("reason"))
-        now = F.lit(self._now())
-        taken = judged.where("reason is null")
-        taken.select(T.fnv1a_id("name", now).alias("doc_id"), "name", "bytes", "content", now.alias("at")).write.mode("append").parquet(self._at(collection, "sources"))
-        rows = snapshots.kept(self._parsed(taken.select("name", "bytes", "content", T.fnv1a_id("name", now).alias("doc_id"), now.alias("at"))), "parsed")
-        snapshots.update(self.spark, self._at(collection, "documents"), lambda served: rows if served is None else served.unionByName(rows.select(served.columns)))
-        return judged.select("name", F.when(F.col("reason").isNull(), T.fnv1a_id("name", now)).alias("doc_id"), "reason")
+                return judged.select("name", F.lit(None).cast("string").alias("doc_id"), F.coalesce("reason", F.lit(f"over the quota by {used + incoming - self.quota} bytes")).alias("reason"))
+        taken = rows.where("reason is null").select("doc_id", "name", "bytes", "content", F.lit(now).alias("at"))
+        t = self._store(collection).begin()
+        t.append("sources", taken, "doc_id")
+        t.append("documents", self._admitted(self._parsed(taken), t), "doc_id")
+        t.commit()
+        return judged
+
+    def _admitted(self, parsed: DataFrame, t) -> DataFrame:
+        """Parsed documents; where their texts don't fit beside what is stored, those beyond the quota become failed, in order of the hashes of their ids."""
+        if self.quota is None:
+            return parsed
+        parsed, known = snapshots.kept(parsed, "parsed"), t.read("documents")
+        used = 0 if known is None else catalog.quota(known, self.quota).first()["used"]
+        total = parsed.agg(F.coalesce(F.sum(F.greatest(F.octet_length("text"), F.col("bytes"))), F.lit(0)).alias("n")).first()["n"]
+        if used + total <= self.quota:
+            return parsed
+        #: The running sum goes over parts by the id's hash: within each part, and over the parts' totals.
+        sizes = parsed.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("_part"), F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "bytes").alias("n"))
+        within = sizes.withColumn("_within", F.sum("n").over(Window.partitionBy("_part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+        parts = sizes.groupBy("_part").agg(F.sum("n").alias("n"))
+        before = parts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        upto = within.join(F.broadcast(before), "_part").select("doc_id", (F.col("_within") + F.col("_before")).alias("_upto"))
+        fits = F.col("_upto") + used <= self.quota
+        out = parsed.join(upto, "doc_id")
+        out = out.withColumns({"error": F.when(fits, F.col("error")).otherwise("its text is over the quota"), "status": F.when(fits, F.col("status")).otherwise("failed"), "text": F.when(fits, F.col("text"))})
+        return out.select(*parsed.columns)
 
     @staticmethod
     def _parsed(taken: DataFrame) -> DataFrame:
         """Document records of files (doc_id, name, bytes, content, at)."""
-        text = convert.convert_files(taken.select("name", "content"))
-        return taken.drop("content").join(text, "name").select(
+        #: The id goes before the name as its folder, so that files of one name keep apart.
+        text = convert.convert_files(taken.select(F.concat("doc_id", F.lit("/"), F.coalesce("name", F.lit(""))).alias("name"), "content"))
+        text = text.withColumn("doc_id", F.substring_index("name", "/", 1)).drop("name")
+        return taken.drop("content").join(text, "doc_id").select(
             "doc_id", "name", "text", "bytes", F.when(F.col("failed"), "failed").otherwise("pending").alias("status"), F.lit(None).cast("long").alias("chunks"),
             "structure", F.when(T.format_of("name") != "verbatim", T.format_of("name")).alias("converter"), "error", "at",
         )
 
     def remove(self, collection: str, doc_ids: list[str]) -> None:
+        """Takes documents, their uploads and their chunks out together."""
         gone = self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")
-        for what in ("documents", "chunks"):
-            if snapshots.current(self.spark, self._at(collection, what)):
-                snapshots.delete(self.spark, self._at(collection, what), gone, "doc_id")
+        t = self._store(collection).begin()
+        for what in ("sources", "documents", "chunks"):
+            if what in t.base["tables"]:
+                t.delete(what, gone, "doc_id")
+        t.commit()
 
     def usage(self, collection: str) -> DataFrame:
         return catalog.quota(self.documents(collection), self.quota)
@@ -190,42 +234,58 @@ class KnowledgeBase:
         return evidence.policy_checks(chunks, config.chunk_tokens, config.overlap_tokens, config.min_chunk_tokens)
 
     def build(self, collection: str, config: chunking.Config = chunking.Config(), full: bool = False) -> dict:
-        """Chunks and embeds what isn't served yet, publishes, and marks the documents; gives mode, reason, documents and chunks."""
-        meta, docs = self._known(collection), self.documents(collection)
+        """Chunks and embeds what isn't served yet, publishes, and marks the documents; gives mode, reason, documents and chunks.
+
+        What others upload meanwhile stays pending, and what they remove stays removed. If another build replaced the chunks, this one begins again.
+        """
+        for _ in range(BUILD_ATTEMPTS):
+            try:
+                return self._build(collection, config, full)
+            except Conflict as e:
+                said = e
+        raise said
+
+    def _build(self, collection: str, config: chunking.Config, full: bool) -> dict:
+        self._known(collection)
+        t = self._store(collection).begin()
+        docs, served = t.read("documents"), t.meta.get("build")
+        docs = self.spark.createDataFrame([], self._DOCUMENT) if docs is None else docs
         wanted = self._wanted(docs, config)
-        served = snapshots.current(self.spark, self._at(collection, "chunks"))
         viable, reason = (False, "a full build was asked for") if full else snapshots.viability(served, wanted)
         pending = docs.where("status <> 'failed'") if not viable else catalog.pending_documents(docs, True).where("status <> 'failed'")
+        rows = served["rows"] if served else 0
         if viable and pending.isEmpty():
-            return {"mode": "none", "reason": "nothing to embed", "documents": 0, "chunks": served["rows"]}
+            return {"mode": "none", "reason": "nothing to embed", "documents": 0, "chunks": rows}
         chunks = chunking.chunk_documents(pending.where(~T.is_blank("text")).select("doc_id", "text"), config)
         if self.quota is not None:
             chunks = snapshots.kept(chunks, "chunks")
             used, planned = self.usage(collection).first()["used"], chunks.count() * self.dimension * 4
             if used + planned > self.quota:
-                return {"mode": "refused", "reason": f"over the quota by {used + planned - self.quota} bytes", "documents": 0, "chunks": served.get("rows", 0)}
+                return {"mode": "refused", "reason": f"over the quota by {used + planned - self.quota} bytes", "documents": 0, "chunks": rows}
         fresh = embed.embedded(chunks, self.embedder, self.dimension)
-        at = self._at(collection, "chunks")
-        done = snapshots.upsert(self.spark, at, fresh, "doc_id", pending.select("doc_id"), **wanted) if viable else snapshots.publish(self.spark, at, fresh, **wanted)
-        counts = snapshots.read(self.spark, at).groupBy("doc_id").agg(F.count("*").alias("n"))
-        n = pending.count()
-        marked = docs.join(counts, "doc_id", "left").withColumn("chunks", F.when(F.col("status") != "failed", F.coalesce("n", F.lit(0)))).withColumn("status", F.when(F.col("status") != "failed", "ready").otherwise("failed"))
-        snapshots.publish(self.spark, self._at(collection, "documents"), marked.select(docs.columns))
-        self._save(collection, meta | {"built_at": self._now()})
-        out = {"mode": "incremental" if viable else "full", "reason": reason, "documents": n, "chunks": done["rows"]}
-        self._say(collection, "info", f"{out['mode']} build: {n} documents embedded, {done['rows']} chunks served")
+        part = t.upsert("chunks", fresh, "doc_id", pending.select("doc_id")) if viable else t.replace("chunks", fresh, "doc_id")
+        counts = t.written("chunks").groupBy("doc_id").agg(F.count("*").alias("n"))
+        marked = pending.join(counts, "doc_id", "left").withColumns({"chunks": F.coalesce("n", F.lit(0)).cast("long"), "status": F.lit("ready")})
+        n = t.upsert("documents", marked.select(docs.columns), "doc_id")["rows"]
+        left = 0
+        if viable:  # chunks of documents that are chunked anew go
+            left = t.read("chunks").join(pending.select("doc_id"), "doc_id", "left_anti").count()
+        version = (served or {}).get("version", 0) + 1
+        t.commit(drop_changed=True, build=wanted | {"rows": left + part["rows"], "version": version}, built_at=self._now())
+        out = {"mode": "incremental" if viable else "full", "reason": reason, "documents": n, "chunks": left + part["rows"]}
+        self._say(collection, "info", f"{out['mode']} build: {n} documents embedded, {out['chunks']} chunks served")
         return out
 
     def build_plan(self, collection: str, config: chunking.Config = chunking.Config()) -> dict:
         """Whether a build may inherit chunks and why not, and how many documents and bytes it would embed."""
         docs = self.documents(collection)
-        viable, reason = snapshots.viability(snapshots.current(self.spark, self._at(collection, "chunks")), self._wanted(docs, config))
+        viable, reason = snapshots.viability(self._known(collection).get("build"), self._wanted(docs, config))
         pending = (catalog.pending_documents(docs, True) if viable else docs).where("status <> 'failed'")
         return {"mode": "incremental" if viable else "full", "reason": reason} | catalog.scope(pending).first().asDict()
 
     def stored_strategy(self, collection: str) -> dict | None:
         """What the served chunks were made with; None before the first build."""
-        served = snapshots.current(self.spark, self._at(collection, "chunks"))
+        served = self._known(collection).get("build")
         return {k: served.get(k) for k in ("index", "chunking", "tokenizer", "parser")} if served else None
 
     def estimate_cost(self, collection: str, config: chunking.Config, quantizer: str = "INT8") -> DataFrame:
@@ -235,13 +295,11 @@ class KnowledgeBase:
 
     def reparse_all(self, collection: str, config: chunking.Config = chunking.Config()) -> dict:
         """Converts every upload anew and builds in full."""
-        known = self.documents(collection).select("doc_id")
-        uploads = self.spark.read.parquet(self._at(collection, "sources")).join(known, "doc_id", "left_semi")
-        rows = [self._parsed(uploads.where(F.col("at") == r["at"])) for r in uploads.select("at").distinct().collect()]  # one for each call of add
-        every = rows[0]
-        for r in rows[1:]:
-            every = every.unionByName(r)
-        snapshots.publish(self.spark, self._at(collection, "documents"), every)
+        self._known(collection)
+        t = self._store(collection).begin()
+        if (uploads := t.read("sources")) is not None:
+            t.upsert("documents", self._parsed(uploads), "doc_id")
+            t.commit(drop_changed=True)
         return self.build(collection, config, full=True)
 
     def _wanted(self, docs: DataFrame, config: chunking.Config) -> dict:
@@ -308,7 +366,7 @@ class KnowledgeBase:
         for c in self.ids():
             one = self.documents(c).withColumn("collection", F.lit(c)).withColumn("built_at", F.col("at"))
             docs = one if docs is None else docs.unionByName(one)
-            served.append((c, snapshots.current(self.spark, self._at(c, "chunks")).get("rows", 0), stored_files.measure(self.spark, self._at(c))[0]))
+            served.append((c, (self._known(c).get("build") or {}).get("rows", 0), stored_files.measure(self.spark, self._at(c))[0]))
         if docs is None:
             docs = self.spark.createDataFrame([], f"{self._DOCUMENT}, collection string, built_at string")
         counts = self.spark.createDataFrame(served, "collection string, chunks long, disk_bytes long")
@@ -320,8 +378,7 @@ class KnowledgeBase:
         return effective(asked, self._known(collection)["settings"])
 
     def set_settings(self, collection: str, **settings) -> dict:
-        meta = self._known(collection)
-        return self._save(collection, meta | {"settings": meta["settings"] | validated(settings)})["settings"]
+        return self._save(collection, settings=self._known(collection)["settings"] | validated(settings))["settings"]
 
     def _pick(self, wanted: str | None) -> tuple[str | None, str | None]:
         listed = self.collections()
@@ -336,7 +393,7 @@ class KnowledgeBase:
         """Hits (with document name, place and line) and the one-row statistics of a search, both lazy."""
         s = self.settings(collection, **asked)
         s["topk"] = max(1, min(50, s["topk"]))
-        chunks = snapshots.read(self.spark, self._at(collection, "chunks"))
+        chunks = self.chunks(collection)
         rows = chunks.select(F.col("chunk_id").alias("id"), "vector", "text")
         vector = [float(x) for x in self.embedder([query])[0]]
         words = query if s["mode"] == "hybrid" else ""
@@ -354,7 +411,7 @@ class KnowledgeBase:
         if not query.strip():
             return out | {"reason": "invalid_argument", "summary": "The query is empty."}
         found, reason = self._pick(collection)
-        if reason is None and not snapshots.current(self.spark, self._at(found, "chunks")):
+        if reason is None and not self._known(found).get("build"):
             reason = "empty_result"
         if reason:
             return out | {"reason": reason, "summary": f"No search was made: {reason}.", "collections": listed}
@@ -378,7 +435,7 @@ class KnowledgeBase:
         hits, stats = self.hits(collection, query, topk=max(1, min(50, topk)), min_score=max(0.0, min(1.0, min_score)), candidates=max(20, min(1000, candidates)), mode="hybrid")
         rows, s = [r.asDict() for r in hits.collect()], stats.first()
         end = time.perf_counter()
-        version = snapshots.current(self.spark, self._at(collection, "chunks")).get("version")
+        version = (self._known(collection).get("build") or {}).get("version")
         return {"hits": rows, "mode": s["mode"] if s else "dense", "below_floor": s["below_floor"] if s else 0, "version": version, "embed_s": embedded - start, "search_s": end - embedded}
 
     @staticmethod

@@ -85,7 +85,7 @@ def kb_build(spark, sf_dir):
     kb.build(name, config)
     kb.add(name, _first(docs.where("doc_id >= 40"), 60))
     kb.build(name, config)
-    served = snapshots.read(spark, kb._at(name, "chunks")).groupBy("doc_id").agg(F.count("*").alias("served"))
+    served = kb.chunks(name).groupBy("doc_id").agg(F.count("*").alias("served"))
     return kb.documents(name).join(served, "doc_id", "left").select("name", "status", "chunks", F.coalesce("served", F.lit(0)).alias("served"))
 
 

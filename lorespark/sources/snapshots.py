@@ -3,8 +3,9 @@
 ``<root>/v=<n>`` holds version n; ``<root>/CURRENT`` names the one that is served and what it was made with. A version is
 written, counted and only then pointed to; readers keep what they opened. One version before the served one is kept.
 
-Writers may meet: each claims a version's number by creating a file that mustn't exist, and the pointer moves under a lock and only if the version that
-the writer began from is still served; else ``publish`` raises ``Conflict``, and ``update`` begins again from what is served by then.
+Writers may meet: each claims a version's number by creating a file that mustn't exist, and then the one place after the version that it began from. Only one
+writer gets that place; the other's ``publish`` raises ``Conflict``, and ``update`` begins again from what is served by then. Nothing is locked, so a
+writer that stopped holds nobody up and can't come back late. ``sources.store`` keeps several tables, writes changes alone and deletes nothing under its readers.
 """
 
 from __future__ import annotations
@@ -13,57 +14,16 @@ import atexit
 import json
 import shutil
 import tempfile
-import time
 import uuid
-from contextlib import contextmanager
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.sources.store import Conflict, Store, _fs, created, read_file
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-class Conflict(RuntimeError):
-    """Another writer published meanwhile."""
-
-
-#: Seconds that a writer waits for the pointer's lock, and after which a lock is taken for one that its writer left behind.
-LOCK_WAIT, LOCK_STALE = 120.0, 300.0
 ATTEMPTS = 20
 
 
-def _created(spark: SparkSession, path: str) -> bool:
-    """Creates an empty file; False where it's there already."""
-    fs, p = _fs(spark, path)
-    try:
-        fs.create(p, False).close()
-    except Py4JJavaError as e:
-        if "FileAlreadyExists" in e.java_exception.getClass().getName() or fs.exists(p):
-            return False
-        raise
-    return True
-
-
-@contextmanager
-def _lock(spark: SparkSession, root: str):
-    fs, p = _fs(spark, f"{root}/LOCK")
-    until = time.monotonic() + LOCK_WAIT
-    while not _created(spark, f"{root}/LOCK"):
-        if fs.exists(p) and time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > LOCK_STALE:
-            fs.delete(p, False)
-        elif time.monotonic() > until:
-            raise TimeoutError(f"{root} stays locked")
-        time.sleep(0.1)
-    try:
-        yield
-    finally:
-        fs.delete(p, False)
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small file beside its place and moves it there, so that readers see the old one or the new."""
     fs, target = _fs(spark, path)
@@ -83,18 +43,25 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return None
-    rows = spark.read.text(path, wholetext=True).take(1)
-    return rows[0][0] if rows and rows[0][0].strip() else None
+    text = read_file(spark, path)
+    return text if text.strip() else None
 
 
 def current(spark: SparkSession, root: str) -> dict:
-    """The served version's record; empty before the first."""
-    return json.loads(read_text(spark, f"{root}/CURRENT") or "{}")
+    """The served version's record; empty before the first. Where a writer stopped before it moved the pointer, what comes after the pointer counts."""
+    if versions := Store(spark, root).versions():
+        return Store(spark, root).record(versions[-1])
+    found = json.loads(read_text(spark, f"{root}/CURRENT") or "{}")
+    while (after := read_text(spark, f"{root}/after/{found.get('version', 0)}")) is not None:
+        found = json.loads(after)
+    return found
 
 
 def read(spark: SparkSession, root: str, record: dict | None = None) -> DataFrame | None:
     """The served version (or that of ``record``), None before the first; a version that is pointed to and missing raises when read."""
     found = current(spark, root) if record is None else record
+    if "tables" in found:  # a store of several tables serves its rows
+        return Store(spark, root).read("rows", found)
     return spark.read.parquet(f"{root}/v={found['version']}") if found else None
 
 
@@ -102,7 +69,7 @@ def publish(spark: SparkSession, root: str, rows: DataFrame, expected: int | Non
     """Writes ``rows`` as the next version, checks its count and serves it, if ``before`` (now: what is served) is still served then."""
     before = current(spark, root) if before is None else before
     version = before.get("version", 0) + 1
-    while not _created(spark, f"{root}/claims/{version}"):
+    while not created(spark, f"{root}/claims/{version}", ""):
         version += 1
     path = f"{root}/v={version}"
     fs, p = _fs(spark, path)
@@ -112,11 +79,10 @@ def publish(spark: SparkSession, root: str, rows: DataFrame, expected: int | Non
         fs.delete(p, True)
         raise ValueError(f"version {version} has {count} rows, {expected} were expected; what was served still is")
     found = {"version": version, "rows": count, "previous": before.get("version"), **record}
-    with _lock(spark, root):
-        if current(spark, root).get("version") != before.get("version"):
-            fs.delete(p, True)
-            raise Conflict(f"{root}: another writer published")
-        write_text(spark, f"{root}/CURRENT", json.dumps(found))
+    if not created(spark, f"{root}/after/{before.get('version', 0)}", json.dumps(found)):
+        fs.delete(p, True)
+        raise Conflict(f"{root}: another writer published")
+    write_text(spark, f"{root}/CURRENT", json.dumps(found))
     if before.get("previous") is not None:
         fs.delete(_fs(spark, f"{root}/v={before['previous']}")[1], True)
     return found

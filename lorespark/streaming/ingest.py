@@ -1,4 +1,4 @@
-"""Document ingestion as a stream: each micro-batch is chunked and published as a new snapshot version."""
+"""Document ingestion as a stream: each micro-batch is chunked and committed to a store."""
 
 from __future__ import annotations
 
@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 from lorespark.operators.chunking import Config, chunk_documents
 from lorespark.sources import snapshots
+from lorespark.sources.store import Store
 
 
 def publish_stream(documents: DataFrame, root: str, checkpoint: str, config: Config = Config()):
-    """A running query that keeps the snapshot at ``root`` up to date with a stream of documents (doc_id, text).
+    """A running query that keeps the chunks in the store at ``root`` (table ``rows``) up to date with a stream of documents (doc_id, text).
 
-    A batch replaces its documents' chunks and inherits all others; of several rows of a doc_id the last counts, by a column ``at`` if there
-    is one, then by the text. The batch's number is recorded with the version, so a batch
-    that is run again after a failure publishes nothing twice.
+    A batch writes its documents' chunks and the keys of what they replace, nothing else; of several rows of a doc_id the last counts, by a column ``at`` if there
+    is one, then by the text. The batch's number is in the same commit as its rows, so a batch that is run again after a failure publishes nothing twice.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if snapshots.current(spark, root).get("batch") == number:
+        t = Store(spark, root).begin()
+        if t.meta.get("batch") == number:
             return
         order = F.struct(*(["at"] if "at" in batch.columns else []), "text")
         latest = snapshots.kept(batch.groupBy("doc_id").agg(F.max_by("text", order).alias("text")), "ingest")
-        snapshots.upsert(spark, root, chunk_documents(latest, config), "doc_id", changed=latest.select("doc_id"), batch=number)
+        t.upsert("rows", chunk_documents(latest, config), "doc_id", changed=latest.select("doc_id"))
+        t.commit(batch=number)
 
     return documents.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).start()

@@ -99,3 +99,47 @@ def test_builds_in_the_background_and_reports(spark, tmp_path):
     assert failed["ok"] is False and failed["error"].startswith("the index was closed") and kb.log(c).collect()[-1]["level"] == "error"
     tight = KnowledgeBase(spark, str(tmp_path), embed.bigram_embedder, quota=1000)
     assert tight.build(c, CONFIG, True)["mode"] == "refused"
+
+
+def test_an_upload_inside_a_build_stays(spark, tmp_path):
+    """What is uploaded or removed while a build runs is neither lost nor brought back."""
+    made = []
+
+    kb = KnowledgeBase(spark, str(tmp_path), embed.bigram_embedder)
+    c = kb.create("Busy")
+    kb.add(c, files(spark, [("a.md", "# A\n\nAlpha text."), ("b.md", "# B\n\nBeta text.")]))
+    ids = {r["name"]: r["doc_id"] for r in kb.documents(c).collect()}
+    wanted = kb._wanted
+
+    def meanwhile(docs, config):
+        if not made:
+            made.append(1)
+            kb.add(c, files(spark, [("c.md", "# C\n\nGamma text.")]))
+            kb.remove(c, [ids["b.md"]])
+        return wanted(docs, config)
+
+    kb._wanted = meanwhile
+    assert kb.build(c, CONFIG)["mode"] == "full"
+    kb._wanted = wanted
+    assert {r["name"]: r["status"] for r in kb.documents(c).collect()} == {"a.md": "ready", "c.md": "pending"}
+    assert [r["doc_id"] for r in kb.chunks(c).select("doc_id").distinct().collect()] == [ids["a.md"]]
+    assert kb.build(c, CONFIG)["documents"] == 1 and kb.documents(c).where("status = 'ready'").count() == 2
+    assert kb.chunks(c).select("doc_id").distinct().count() == 2
+
+
+def test_files_of_one_name(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path), embed.bigram_embedder)
+    c = kb.create("Twice")
+    got = kb.add(c, files(spark, [("a.md", "first"), ("a.md", "second"), ("d/a.html", "<p>third</p>")])).collect()
+    assert len({r["doc_id"] for r in got}) == 3 and {r["reason"] for r in got} == {None}
+    docs = kb.documents(c).collect()
+    assert sorted(r["text"].strip() for r in docs) == ["first", "second", "third"] and {r["doc_id"] for r in docs} == {r["doc_id"] for r in got}
+
+
+def test_text_over_the_quota_fails_alone(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path), embed.bigram_embedder, quota=2000)
+    c = kb.create("Tight")
+    rows = ",".join(["x"] * 60)
+    kb.add(c, files(spark, [("small.txt", "fits"), ("wide.csv", "\n".join([rows] * 12))]))
+    found = {r["name"]: (r["status"], r["error"]) for r in kb.documents(c).collect()}
+    assert found["small.txt"][0] == "pending" and found["wide.csv"] == ("failed", "its text is over the quota")

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from lorespark.sources import snapshots as S
@@ -101,3 +103,16 @@ def test_broken_log(spark, tmp_path):
     (tmp_path / "torn").write_text('{"a": 1}\n\n{"a": 2}\n{"a')
     rows, torn = S.read_log(spark, str(tmp_path / "torn"), "a int")
     assert [r["a"] for r in rows.collect()] == [1, 2] and torn == 1
+
+
+def test_a_writer_that_stopped(spark, tmp_path):
+    """A writer that stopped between its claim and the pointer holds nobody up; one that comes back late publishes nothing."""
+    root = str(tmp_path / "kb")
+    first = S.publish(spark, root, rows(spark, [(1, "a")]))
+    S.publish(spark, root, rows(spark, [(1, "b")]))
+    S.write_text(spark, f"{root}/CURRENT", json.dumps(first))  # as if the second writer had died before it moved the pointer
+    assert [r["text"] for r in S.read(spark, root).collect()] == ["b"] and S.current(spark, root)["version"] == 2
+    with pytest.raises(S.Conflict):
+        S.publish(spark, root, rows(spark, [(9, "late")]), before=first)
+    S.upsert(spark, root, rows(spark, [(2, "c")]), "doc_id")
+    assert sorted(map(tuple, S.read(spark, root).collect())) == [(1, "b"), (2, "c")]
