@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
-from lorespark.operators import catalog, chunking, convert, embed, evidence, lines, retrieval
+from lorespark.operators import catalog, chunking, convert, embed, evidence, inverted, lines, retrieval
 from lorespark.sources import files as stored_files
 from lorespark.sources import snapshots
-from lorespark.sources.store import Conflict, Store
+from lorespark.sources.store import Conflict, Store, Transaction
 
 TOKENIZER = "words-and-pairs-1"
 DEFAULTS = {"min_score": 0.55, "topk": 8, "candidates": 100, "mode": "hybrid"}
@@ -49,6 +49,11 @@ def validated(settings: dict) -> dict:
     return settings
 
 
+def _indexed(chunks: DataFrame) -> DataFrame:
+    """Chunks as the text index takes them."""
+    return chunks.select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("owner"), "text")
+
+
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str, embedder: embed.EmbedFn = embed.bigram_embedder, dimension: int = embed.DIMENSION, quota: int | None = None):
         self.spark, self.root, self.embedder, self.dimension, self.quota = spark, root.rstrip("/"), embedder, dimension, quota
@@ -210,10 +215,15 @@ class KnowledgeBase:
             "structure", F.when(T.format_of("name") != "verbatim", T.format_of("name")).alias("converter"), "error", "at",
         )
 
-    def remove(self, collection: str, doc_ids: list[str]) -> None:
-        """Takes documents, their uploads and their chunks out together."""
-        gone = self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")
+    def remove(self, collection: str, doc_ids: list[str] | DataFrame) -> None:
+        """Takes documents (their ids, or a frame with doc_id), their uploads and their chunks out together."""
+        listed = not isinstance(doc_ids, DataFrame)
+        gone = self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string") if listed else doc_ids.select("doc_id")
         t = self._store(collection).begin()
+        build = t.meta.get("build")
+        if build:
+            old = t.read("chunks", keys=doc_ids) if listed else t.read("chunks").join(gone.distinct(), "doc_id", "left_semi")
+            inverted.forget(t, _indexed(old), build["version"] + 1)
         for what in ("sources", "documents", "chunks"):
             if what in t.base["tables"]:
                 t.delete(what, gone, "doc_id")
@@ -240,20 +250,24 @@ class KnowledgeBase:
         """
         for _ in range(BUILD_ATTEMPTS):
             try:
-                return self._build(collection, config, full)
+                return self.begin_build(collection, config, full)()
             except Conflict as e:
                 said = e
         raise said
 
-    def _build(self, collection: str, config: chunking.Config, full: bool) -> dict:
+    def begin_build(self, collection: str, config: chunking.Config = chunking.Config(), full: bool = False):
+        """A build of what is uploaded now, to be called later; it gives what ``build`` gives, or raises ``Conflict`` where another build came before it."""
         self._known(collection)
         t = self._store(collection).begin()
+        return lambda: self._build(collection, config, full, t)
+
+    def _build(self, collection: str, config: chunking.Config, full: bool, t: Transaction) -> dict:
         docs, served = t.read("documents"), t.meta.get("build")
         docs = self.spark.createDataFrame([], self._DOCUMENT) if docs is None else docs
         wanted = self._wanted(docs, config)
         viable, reason = (False, "a full build was asked for") if full else snapshots.viability(served, wanted)
         pending = docs.where("status <> 'failed'") if not viable else catalog.pending_documents(docs, True).where("status <> 'failed'")
-        rows = served["rows"] if served else 0
+        rows = inverted.documents(t.store, t.base)
         if viable and pending.isEmpty():
             return {"mode": "none", "reason": "nothing to embed", "documents": 0, "chunks": rows}
         chunks = chunking.chunk_documents(pending.where(~T.is_blank("text")).select("doc_id", "text"), config)
@@ -263,15 +277,20 @@ class KnowledgeBase:
             if used + planned > self.quota:
                 return {"mode": "refused", "reason": f"over the quota by {used + planned - self.quota} bytes", "documents": 0, "chunks": rows}
         fresh = embed.embedded(chunks, self.embedder, self.dimension)
+        version = (served or {}).get("version", 0) + 1
         part = t.upsert("chunks", fresh, "doc_id", pending.select("doc_id")) if viable else t.replace("chunks", fresh, "doc_id")
+        old = t.read("chunks").join(pending.select("doc_id"), "doc_id", "left_semi") if viable else None
+        inverted.update(t, _indexed(t.written("chunks")), version, None if old is None else _indexed(old), pending.select(F.col("doc_id").alias("owner")))
         counts = t.written("chunks").groupBy("doc_id").agg(F.count("*").alias("n"))
         marked = pending.join(counts, "doc_id", "left").withColumns({"chunks": F.coalesce("n", F.lit(0)).cast("long"), "status": F.lit("ready")})
         n = t.upsert("documents", marked.select(docs.columns), "doc_id")["rows"]
-        left = 0
-        if viable:  # chunks of documents that are chunked anew go
-            left = t.read("chunks").join(pending.select("doc_id"), "doc_id", "left_anti").count()
-        version = (served or {}).get("version", 0) + 1
-        t.commit(drop_changed=True, build=wanted | {"rows": left + part["rows"], "version": version}, built_at=self._now())
+        left = rows - old.count() if viable else 0
+
+        def removed(key, keys) -> None:
+            """Documents that were removed while this build ran leave the index again."""
+            inverted.forget(t, _indexed(t.written("chunks").join(keys, key, "left_semi")), version + 1)
+
+        t.commit(drop_changed=removed, unless_changed=("build",), build=wanted | {"version": version}, built_at=self._now())
         out = {"mode": "incremental" if viable else "full", "reason": reason, "documents": n, "chunks": left + part["rows"]}
         self._say(collection, "info", f"{out['mode']} build: {n} documents embedded, {out['chunks']} chunks served")
         return out
@@ -366,7 +385,7 @@ class KnowledgeBase:
         for c in self.ids():
             one = self.documents(c).withColumn("collection", F.lit(c)).withColumn("built_at", F.col("at"))
             docs = one if docs is None else docs.unionByName(one)
-            served.append((c, (self._known(c).get("build") or {}).get("rows", 0), stored_files.measure(self.spark, self._at(c))[0]))
+            served.append((c, inverted.documents(self._store(c)), stored_files.measure(self.spark, self._at(c))[0]))
         if docs is None:
             docs = self.spark.createDataFrame([], f"{self._DOCUMENT}, collection string, built_at string")
         counts = self.spark.createDataFrame(served, "collection string, chunks long, disk_bytes long")
@@ -390,19 +409,29 @@ class KnowledgeBase:
         return r["collection"], reasons[r["status"]]
 
     def hits(self, collection: str, query: str, **asked) -> tuple[DataFrame, DataFrame]:
-        """Hits (with document name, place and line) and the one-row statistics of a search, both lazy."""
+        """Hits (with document name, place and line) and the one-row statistics of a search, both from one run over one version.
+
+        Words are looked up in the stored index; texts are read of the hits alone.
+        """
         s = self.settings(collection, **asked)
         s["topk"] = max(1, min(50, s["topk"]))
-        chunks = self.chunks(collection)
-        rows = chunks.select(F.col("chunk_id").alias("id"), "vector", "text")
+        store = self._store(collection)
+        record = store.record()
+        chunks = store.read("chunks", record)
         vector = [float(x) for x in self.embedder([query])[0]]
         words = query if s["mode"] == "hybrid" else ""
         q = self.spark.createDataFrame([(0, vector, words)], "query_id long, vector array<double>, text string")
-        found = retrieval.hybrid(rows, q, s["topk"], s["min_score"], s["candidates"])
-        docs = self.documents(collection).select("doc_id", "name", F.col("text").alias("_source"))
-        full = found.join(chunks.select(F.col("chunk_id").alias("id"), "doc_id", "ordinal", "text", "char_start", "char_end", "heading"), "id").join(docs, "doc_id", "left")
+        pool = max(s["candidates"], s["topk"])
+        near = retrieval.dense(chunks.select(F.col("chunk_id").alias("id"), "vector"), q, pool)
+        by_words = retrieval.or_none(lambda: inverted.search(store, q, pool, record), q, chunks.select(F.col("chunk_id").alias("id")))
+        found, stats = retrieval.searched(near, by_words, s["topk"], s["min_score"])
+        found = snapshots.kept(found, "hits")
+        owners = [r[0] for r in found.select(F.substring_index("id", "#", 1)).distinct().collect()]  # topk at most
+        full = found.join(store.read("chunks", record, keys=owners).select(F.col("chunk_id").alias("id"), "doc_id", "ordinal", "text", "char_start", "char_end", "heading"), "id")
+        docs = store.read("documents", record, keys=owners).select("doc_id", "name", F.col("text").alias("_source"))
+        full = full.join(docs, "doc_id", "left")
         full = full.withColumn("name", F.coalesce("name", "doc_id")).withColumn("line", T.line_of("_source", F.col("char_start"))).drop("_source")
-        return full.orderBy("rank"), retrieval.search_stats(rows, q, s["min_score"], s["candidates"])
+        return full.orderBy("rank"), stats
 
     def search(self, query: str, collection: str | None = None, topk: int | None = None, **asked) -> dict:
         """What a tool returns: ok, reason, summary, hits, below_floor, fts_only_hits, collections."""

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import logging
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, IllegalArgumentException, SparkRuntimeException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,16 +100,21 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(total, [F.desc("score"), "id"], k)
 
 
-def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``bm25``, or no hits where it fails: a search goes on by vectors alone, and its mode says so."""
+def or_none(search, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What a text search gives, or no hits where its index is missing or can't be read: a search goes on by vectors alone, and its mode says so."""
     try:
-        return bm25(chunks, queries, k)
-    except (PySparkException, Py4JJavaError) as e:
+        return search()
+    except (AnalysisException, SparkRuntimeException, IllegalArgumentException) as e:
         log.warning("text search failed, going on by vectors alone: %s", str(e).split("\n")[0])
         none = chunks.sparkSession.createDataFrame([], "score double, rank long")
         return queries.select("query_id").limit(0).crossJoin(chunks.select("id").limit(0)).crossJoin(none)
 
 
+def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``bm25`` over the chunks themselves, or no hits where it can't be made."""
+    return or_none(lambda: bm25(chunks, queries, k), queries, chunks)
+
+
 def fuse(dense_hits: DataFrame, fts_hits: DataFrame) -> DataFrame:
     """(query_id, id, rrf, dense_rank, fts_rank, score): both lists merged by reciprocal rank.
 
@@ -128,18 +132,13 @@ def floored(hits: DataFrame, min_score: float) -> DataFrame:
     return hits.where(F.col("score") >= min_score)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, topk: int = 8, min_score: float = 0.55, candidates: int = 100) -> DataFrame:
-    """(query_id, id, rank, score, band, dense_rank, fts_rank): floor before cap, in the order of the fusion."""
-    pool = max(candidates, topk)
-    hits = floored(fuse(dense(chunks, queries, pool), text_hits(chunks, queries, pool)), min_score)
+def _capped(fused: DataFrame, topk: int, min_score: float) -> DataFrame:
     order = [F.desc(F.round("rrf", 12)), F.coalesce("dense_rank", F.lit(2**31)), "id"]
-    return ranked(hits, order, topk).select("query_id", "id", "rank", "score", T.confidence_band("score").alias("band"), "dense_rank", "fts_rank")
+    return ranked(floored(fused, min_score), order, topk).select("query_id", "id", "rank", "score", T.confidence_band("score").alias("band"), "dense_rank", "fts_rank")
 
 
-def search_stats(chunks: DataFrame, queries: DataFrame, min_score: float = 0.55, candidates: int = 100) -> DataFrame:
-    """(query_id, mode, below_floor, fts_only_hits) of each query that has candidates; without words to look for, the mode is dense."""
-    d, f = dense(chunks, queries, candidates), text_hits(chunks, queries, candidates)
-    stats = fuse(d, f).groupBy("query_id").agg(
+def _stats(fused: DataFrame, min_score: float) -> DataFrame:
+    stats = fused.groupBy("query_id").agg(
         F.count_if(F.col("score") < min_score).alias("below_floor"),
         F.count_if(F.col("dense_rank").isNull() & (F.col("score") >= min_score)).alias("fts_only_hits"),
         F.count_if(F.col("fts_rank").isNotNull()).alias("_fts"),
@@ -147,6 +146,23 @@ def search_stats(chunks: DataFrame, queries: DataFrame, min_score: float = 0.55,
     return stats.select("query_id", F.when(F.col("_fts") > 0, "hybrid").otherwise("dense").alias("mode"), "below_floor", "fts_only_hits")
 
 
+def searched(dense_hits: DataFrame, fts_hits: DataFrame, topk: int = 8, min_score: float = 0.55) -> tuple[DataFrame, DataFrame]:
+    """Hits (as ``hybrid`` gives them) and statistics (as ``search_stats``) of one run: the candidates are found once and written, then both are read from them."""
+    fused = snapshots.kept(fuse(dense_hits, fts_hits), "fused")
+    return _capped(fused, topk, min_score), _stats(fused, min_score)
+
+
+def hybrid(chunks: DataFrame, queries: DataFrame, topk: int = 8, min_score: float = 0.55, candidates: int = 100) -> DataFrame:
+    """(query_id, id, rank, score, band, dense_rank, fts_rank): floor before cap, in the order of the fusion."""
+    pool = max(candidates, topk)
+    return _capped(fuse(dense(chunks, queries, pool), text_hits(chunks, queries, pool)), topk, min_score)
+
+
+def search_stats(chunks: DataFrame, queries: DataFrame, min_score: float = 0.55, candidates: int = 100) -> DataFrame:
+    """(query_id, mode, below_floor, fts_only_hits) of each query that has candidates; without words to look for, the mode is dense."""
+    return _stats(fuse(dense(chunks, queries, candidates), text_hits(chunks, queries, candidates)), min_score)
+
+
 def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """Hits with their document's name; a missing document keeps the hit under its id."""
     named = documents.select(F.col("doc_id").alias("id"), F.col("name").alias("_name"))

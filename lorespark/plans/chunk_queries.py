@@ -128,12 +128,12 @@ def section_checks(spark, sf_dir):
     return evidence.policy_checks(_sections(spark, sf_dir), 120, 20, 8)
 
 
-@query(f"{_FIXED} SELECT doc_id, ordinal, tokens, char_start, char_end FROM chunks WHERE doc_id < 50")
+@query(f"{_FIXED} SELECT doc_id, ordinal, tokens, char_start, char_end FROM chunks")
 def chunk_lateral(spark, sf_dir):
-    """The chunker as a table function of SQL, for the first documents."""
+    """The chunker as a table function of SQL."""
     chunking.register_chunk_function(spark)
     _docs(spark, sf_dir).createOrReplaceTempView("chunk_lateral_docs")
-    return spark.sql("SELECT d.doc_id, c.ordinal, c.tokens, c.char_start, c.char_end FROM chunk_lateral_docs d, LATERAL chunk(d.text, 'fixed', 512, 64, 1) c WHERE d.doc_id < 50")
+    return spark.sql("SELECT d.doc_id, c.ordinal, c.tokens, c.char_start, c.char_end FROM chunk_lateral_docs d, LATERAL chunk(d.text, 'fixed', 512, 64, 1) c")
 
 
 _TABLE_ROWS = "'| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |'"

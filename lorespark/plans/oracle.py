@@ -18,43 +18,49 @@ summaries AS (
 
 _DENSE = """
 pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS id, greatest(0, least(1, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS score
-  FROM embeddings q JOIN embeddings c ON true WHERE q.vec_id < {n}),
+  FROM embeddings q JOIN embeddings c ON true WHERE q.vec_id % 20 = 0),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM pairs)"""
 
 _BAND = "CASE WHEN score >= 0.85 THEN 'strong' WHEN score >= 0.70 THEN 'relevant' WHEN score >= 0.55 THEN 'fair' ELSE 'low' END"
 
-DENSE_TOPK = f"WITH {_DENSE.format(n=5)} SELECT query_id, rank, id, round(score, 6) AS score, {_BAND} AS band FROM dense WHERE rank <= 8 AND score >= 0.2"
+DENSE_TOPK = f"WITH {_DENSE} SELECT query_id, rank, id, round(score, 6) AS score, {_BAND} AS band FROM dense WHERE rank <= 8 AND score >= 0.2"
 
-DENSE_BELOW_FLOOR = f"""WITH {_DENSE.format(n=5)}
+DENSE_BELOW_FLOOR = f"""WITH {_DENSE}
 SELECT query_id, count(*) FILTER (score < 0.2) AS below_floor, count(*) FILTER (score >= 0.2) AS kept FROM dense WHERE rank <= 100 GROUP BY query_id"""
 
 _TOKENS = r"tok AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)"
 
-_FTS = (
-    _TOKENS
-    + """,
+#: A query's text: the first three words of the document that has the vector's id.
+_ASKED = r"""asked AS (SELECT e.vec_id AS query_id, unnest(list_distinct(coalesce(regexp_extract_all(lower(d.text), '[\p{L}\p{N}]+')[1:3], []))) AS term
+  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 20 = 0)"""
+
+
+def fts(texts: str = "documents", everything: str = "tok", asked: str = _ASKED) -> str:
+    """CTEs up to ``fts`` (query_id, id, bm, rank): the BM25 ranks of every document (doc_id, text) that holds one of a query's terms."""
+    return rf"""tok AS (SELECT doc_id AS id, coalesce(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), []) AS t FROM {texts}), {asked},
 words AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok),
-tf AS (SELECT id, dl, term, count(*) AS tf FROM words WHERE term IN ('the', 'of', 'and', 'tion') GROUP BY 1, 2, 3),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 corpus AS (SELECT n, avgdl FROM (SELECT count(*) AS n, avg(coalesce(len(t), 0)) AS avgdl FROM {everything})),
-bm AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS bm FROM tf JOIN df USING (term), corpus GROUP BY id),
-fts AS (SELECT 0::BIGINT AS query_id, id, bm, row_number() OVER (ORDER BY bm DESC, id) AS rank FROM bm)"""
-)
+bm AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS bm
+  FROM asked JOIN tf USING (term) JOIN df USING (term), corpus GROUP BY 1, 2),
+fts AS (SELECT query_id, id, bm, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, id) AS rank FROM bm)"""
+
 
-FTS_BM25_TOPK = f"WITH {_FTS.replace('{everything}', 'tok')} SELECT query_id, rank, id, round(bm, 6) AS score FROM fts WHERE rank <= 20"
+FTS_BM25_TOPK = f"WITH {fts()} SELECT query_id, rank, id, round(bm, 6) AS score FROM fts WHERE rank <= 20"
 
 POSTINGS = f"""WITH {_TOKENS}, p AS (SELECT unnest(t) AS term, id FROM tok), tf AS (SELECT term, id, count(*) AS tf FROM p GROUP BY 1, 2)
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM tf GROUP BY term"""
 
 _EVERY = "(SELECT t FROM tok FULL OUTER JOIN embeddings e ON e.vec_id = tok.id)"
-_FUSED = f"""WITH {_DENSE.format(n=1)}, {_FTS.replace("{everything}", _EVERY)},
+_FUSED = f"""WITH {_DENSE}, {fts(everything=_EVERY)},
 d AS (SELECT query_id, id, score, rank FROM dense WHERE rank <= 100),
 f AS (SELECT query_id, id, rank FROM fts WHERE rank <= 100),
 fused AS (
   SELECT coalesce(d.query_id, f.query_id) AS query_id, coalesce(d.id, f.id) AS id, coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + f.rank), 0) AS rrf,
     d.rank AS dense_rank, f.rank AS fts_rank, coalesce(d.score, 0.2) AS score
-  FROM d FULL OUTER JOIN f ON d.id = f.id),
-hits AS (SELECT *, row_number() OVER (ORDER BY round(rrf, 12) DESC, coalesce(dense_rank, 2147483648), id) AS rank FROM fused WHERE score >= 0.2)"""
+  FROM d FULL OUTER JOIN f ON d.id = f.id AND d.query_id = f.query_id),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, coalesce(dense_rank, 2147483648), id) AS rank FROM fused WHERE score >= 0.2)"""
 
 HYBRID_RRF_TOPK = f"{_FUSED} SELECT query_id, rank, id, round(score, 6) AS score, {_BAND} AS band, dense_rank, fts_rank FROM hits WHERE rank <= 20"
 
@@ -64,6 +70,31 @@ HYBRID_STATS = f"""{_FUSED} SELECT query_id, CASE WHEN count(fts_rank) > 0 THEN
 HYBRID_WITH_DOCUMENTS = f"""{_FUSED} SELECT query_id, rank, id, coalesce(source || '/' || doc_id, id::VARCHAR) AS name, round(score, 4) AS match_score, {_BAND} AS band
 FROM hits LEFT JOIN documents ON doc_id = id WHERE rank <= 8"""
 
+_STORED = {
+    "INT8": "list_transform(e, lambda x: CASE WHEN s > 0 THEN round(x / (s / 127.0::DOUBLE)) * (s / 127.0::DOUBLE) ELSE 0 END)",
+    "INT4": "list_transform(e, lambda x: CASE WHEN s > 0 THEN round(x / (s / 7.0::DOUBLE)) * (s / 7.0::DOUBLE) ELSE 0 END)",
+    "FP16": "list_transform(e, lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2.0::DOUBLE, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2.0::DOUBLE, greatest(floor(log2(abs(x))), -14) - 10) END)",
+}
+
+
+def rescored(quantizer: str, oversample: int) -> str:
+    """CTEs up to ``best_<quantizer>`` (query_id, id, score, rank): the first k * oversample by what the codes hold, scored again on the vectors; with ``dense``."""
+    n = quantizer.lower()
+    return f"""kept_{n} AS (SELECT vec_id, {_STORED[quantizer]} AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS s FROM embeddings)),
+near_{n} AS (SELECT query_id, id FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY
+  round(greatest(0, least(1, list_cosine_similarity(c.v, q.embedding::DOUBLE[]))), 9) DESC, c.vec_id) AS place FROM embeddings q JOIN kept_{n} c ON true WHERE q.vec_id % 20 = 0) WHERE place <= {8 * oversample}),
+best_{n} AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM near_{n} JOIN pairs USING (query_id, id))"""
+
+
+def _rescored_topk(quantizer: str, oversample: int) -> str:
+    return f"WITH {_DENSE}, {rescored(quantizer, oversample)} SELECT query_id, rank, id, round(score, 6) AS score FROM best_{quantizer.lower()} WHERE rank <= 8"
+
+
+QUANTIZED_TOPK, QUANTIZED_INT4_TOPK, QUANTIZED_FP16_TOPK = _rescored_topk("INT8", 4), _rescored_topk("INT4", 16), _rescored_topk("FP16", 4)
+_RECALL = "SELECT '{q}' AS index, (SELECT count(*) FROM exact) AS exact, (SELECT count(*) FROM exact JOIN best_{n} USING (query_id, id) WHERE best_{n}.rank <= 8) AS found"
+INDEX_RECALLS = f"""WITH {_DENSE}, exact AS (SELECT query_id, id FROM dense WHERE rank <= 8), {rescored("FP16", 4)}, {rescored("INT8", 4)}, {rescored("INT4", 16)}
+{" UNION ALL ".join(_RECALL.format(q=q, n=q.lower()) for q in ("FP16", "INT8", "INT4"))}"""
+
 HASH_EMBED_NORM = """WITH c AS (SELECT doc_id, list_transform(string_split(text, ''), lambda x: unicode(x)::BIGINT) AS c FROM documents WHERE length(text) > 0),
 b AS (SELECT doc_id, unnest(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN i < len(c) THEN (c[i] % 1024 * 31 + c[i + 1]) % 1024 ELSE c[i] % 1024 END)) AS bucket FROM c),
 n AS (SELECT doc_id, bucket, count(*) AS n FROM b GROUP BY 1, 2)
@@ -195,10 +226,9 @@ COLLECTION_IDS = "SELECT DISTINCT source, substring(regexp_replace(lower(source)
 
 CITATION_ADDRESS = "SELECT page_id, 'kb://my%20lib%2F%C3%A4/' || url_encode(url) || '#L' || (page_id + 1) AS address, url AS doc, (page_id + 1)::BIGINT AS line FROM pages"
 
-FORMAT_BYTES = """WITH b AS (SELECT doc_id, (strlen(text) * doc_id)::DOUBLE AS n FROM documents)
-SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.0f B', n) WHEN n < 1048576 THEN CASE WHEN n / 1024 < 10 THEN printf('%.1f KB', n / 1024) ELSE printf('%.0f KB', n / 1024) END
-  WHEN n < 1073741824 THEN CASE WHEN n / 1048576 < 10 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.0f MB', n / 1048576) END
-  ELSE CASE WHEN n / 1073741824 < 10 THEN printf('%.1f GB', n / 1073741824) ELSE printf('%.0f GB', n / 1073741824) END END AS shown FROM b"""
+FORMAT_BYTES = """WITH b AS (SELECT doc_id, (strlen(text) * doc_id)::DOUBLE AS n FROM documents),
+u AS (SELECT doc_id, n / pow(1024, i) AS x, i, ['B', 'KB', 'MB', 'GB', 'TB'][i + 1] AS unit FROM (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS i FROM b))
+SELECT doc_id, CASE WHEN i > 0 AND x < 10 THEN printf('%d.%d %s', floor(x * 10 + 0.5)::BIGINT // 10, floor(x * 10 + 0.5)::BIGINT % 10, unit) ELSE printf('%d %s', floor(x + 0.5)::BIGINT, unit) END AS shown FROM u"""
 
 INCREMENTAL = "SELECT count(*) AS rows, sum(CASE WHEN l.quality = 0 THEN 2 ELSE 1 END * length(text))::BIGINT AS size FROM documents d LEFT JOIN labels l USING (doc_id)"
 
@@ -245,4 +275,4 @@ QUANTIZED_CODES = """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FR
 s AS (SELECT id, v, list_max(list_transform(v, lambda x: abs(x))) AS m FROM v)
 SELECT id, len(v)::INTEGER AS size, list_sum(list_transform(v, lambda x: round(x / (m / 127.0))))::BIGINT AS int8, list_sum(list_transform(v, lambda x: round(x / (m / 7.0))))::BIGINT AS int4 FROM s"""
 
-DENSE_ALL_CELLS = f"WITH {_DENSE.format(n=5)} SELECT query_id, rank, id, round(score, 6) AS score FROM dense WHERE rank <= 8"
+DENSE_ALL_CELLS = f"WITH {_DENSE} SELECT query_id, rank, id, round(score, 6) AS score FROM dense WHERE rank <= 8"

@@ -15,7 +15,6 @@ from lorespark.plans import oracle as O
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-FTS_QUERY = "the of and tion"
 
 
 def query(sql: str | None = None):
@@ -50,18 +49,15 @@ def _chunks(spark, sf_dir):
     return vectors, texts
 
 
-def _probes(spark, sf_dir, n):
-    """The first vectors as queries: what a caller would send along."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-
-
 def _twentieths(spark, sf_dir):
     """Every vector whose id is divisible by 20 as a query."""
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def _asked(spark, sf_dir, n=1):
-    return _probes(spark, sf_dir, n).withColumn("text", F.lit(FTS_QUERY))
+def _asked(spark, sf_dir):
+    """Every 20th vector with the first three words of the document of its id."""
+    words = _docs(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(T.search_tokens("text"), 1, 3), " ").alias("text"))
+    return _twentieths(spark, sf_dir).join(words, "query_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def _records(spark, sf_dir):
@@ -99,14 +95,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(O.DENSE_TOPK)
 def dense_topk(spark, sf_dir):
     vectors, _ = _chunks(spark, sf_dir)
-    hits = retrieval.floored(retrieval.dense(vectors, _probes(spark, sf_dir, 5), 8), 0.2)
+    hits = retrieval.floored(retrieval.dense(vectors, _twentieths(spark, sf_dir), 8), 0.2)
     return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"), T.confidence_band("score").alias("band"))
 
 
 @query(O.DENSE_BELOW_FLOOR)
 def dense_below_floor(spark, sf_dir):
     vectors, _ = _chunks(spark, sf_dir)
-    return retrieval.dense(vectors, _probes(spark, sf_dir, 5), 100).groupBy("query_id").agg(F.count_if(F.col("score") < 0.2).alias("below_floor"), F.count_if(F.col("score") >= 0.2).alias("kept"))
+    return retrieval.dense(vectors, _twentieths(spark, sf_dir), 100).groupBy("query_id").agg(F.count_if(F.col("score") < 0.2).alias("below_floor"), F.count_if(F.col("score") >= 0.2).alias("kept"))
 
 
 @query(O.FTS_BM25_TOPK)
@@ -144,11 +140,11 @@ def hybrid_with_documents(spark, sf_dir):
     return named.select("query_id", "rank", "id", "name", F.round("score", 4).alias("match_score"), "band")
 
 
-@query()
+@query(O.QUANTIZED_TOPK)
 def quantized_topk(spark, sf_dir):
-    """INT8 codes, rescored; recall against exact search is tested."""
+    """INT8 codes, rescored."""
     vectors, _ = _chunks(spark, sf_dir)
-    return vector_index.rescored(vectors, _probes(spark, sf_dir, 5), 8).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    return vector_index.rescored(vectors, _twentieths(spark, sf_dir), 8).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query(O.HASH_EMBED_NORM)
@@ -569,13 +565,13 @@ def quantized_codes(spark, sf_dir):
     return eight.join(whole.select("id", total(F.transform("vector", lambda x: F.round(x / F.col("scale")).cast("long"))).alias("int4")), "id")
 
 
-@query()
+@query(O.QUANTIZED_INT4_TOPK)
 def quantized_int4_topk(spark, sf_dir):
     vectors, _ = _chunks(spark, sf_dir)
     return vector_index.rescored(vectors, _twentieths(spark, sf_dir), 8, "INT4", 16).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(O.QUANTIZED_FP16_TOPK)
 def quantized_fp16_topk(spark, sf_dir):
     vectors, _ = _chunks(spark, sf_dir)
     return vector_index.rescored(vectors, _twentieths(spark, sf_dir), 8, "FP16").select("query_id", "rank", "id", F.round("score", 6).alias("score"))
@@ -586,13 +582,13 @@ def cells_all_topk(spark, sf_dir):
     """Search over k-means cells with every cell probed: the exact answer."""
     vectors, _ = _chunks(spark, sf_dir)
     model = vector_index.fit_cells(vectors, sample=20_000)
-    hits = vector_index.probed(vector_index.celled(vectors, model), model, _probes(spark, sf_dir, 5), 8, vector_index.LISTS)
+    hits = vector_index.probed(vector_index.celled(vectors, model), model, _twentieths(spark, sf_dir), 8, vector_index.LISTS)
     return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query()
 def cells_topk(spark, sf_dir):
-    """Eight of ten cells probed; ``index_recalls`` holds the recall against exact search."""
+    """Eight of ten cells probed; the recall against exact search is tested."""
     vectors, _ = _chunks(spark, sf_dir)
     model = vector_index.fit_cells(vectors, sample=20_000)
     hits = vector_index.probed(vector_index.celled(vectors, model), model, _twentieths(spark, sf_dir), 8)

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
-from lorespark.operators import catalog, chunking, embed, retrieval, vector_index
+from lorespark.operators import catalog, chunking, embed, inverted, retrieval, vector_index
 from lorespark.plans import oracle as O
 from lorespark.plans.chunk_queries import _FIXED
-from lorespark.plans.registry import _chunks, _docs, _hybrid, _records, _twentieths, query, table
+from lorespark.plans.registry import _asked, _chunks, _docs, _hybrid, _records, _twentieths, query, table
 from lorespark.sources import files, snapshots
+from lorespark.sources.store import Store
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -60,9 +61,9 @@ def torn_log(spark, sf_dir):
 # Builds
 
 
-def _first(rows: DataFrame, n: int) -> DataFrame:
-    """Uploads of the first documents: (name, content)."""
-    return rows.where(F.col("doc_id") < n).select(F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("name"), F.col("text").cast("binary").alias("content"))
+def _uploads(rows: DataFrame) -> DataFrame:
+    """Documents as uploads: (name, content)."""
+    return rows.select(F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("name"), F.col("text").cast("binary").alias("content"))
 
 
 def _small_embedder(texts):
@@ -72,7 +73,7 @@ def _small_embedder(texts):
 
 
 @query(f"""{_FIXED} SELECT 'doc_' || doc_id || '.md' AS name, 'ready' AS status, (SELECT count(*) FROM chunks c WHERE c.doc_id = d.doc_id) AS chunks,
-  (SELECT count(*) FROM chunks c WHERE c.doc_id = d.doc_id) AS served FROM documents d WHERE doc_id < 60""")
+  (SELECT count(*) FROM chunks c WHERE c.doc_id = d.doc_id) AS served FROM documents d""")
 def kb_build(spark, sf_dir):
     """Uploads, a full build, more uploads, an incremental build: status, counted and served chunks of each document."""
     from lorespark.engine import KnowledgeBase
@@ -81,18 +82,18 @@ def kb_build(spark, sf_dir):
     name = kb.create("Library")
     config = chunking.Config("fixed", 512, 64, 1)
     docs = _docs(spark, sf_dir)
-    kb.add(name, _first(docs, 40))
+    kb.add(name, _uploads(docs.where("doc_id % 3 <> 0")))
     kb.build(name, config)
-    kb.add(name, _first(docs.where("doc_id >= 40"), 60))
+    kb.add(name, _uploads(docs.where("doc_id % 3 = 0")))
     kb.build(name, config)
     served = kb.chunks(name).groupBy("doc_id").agg(F.count("*").alias("served"))
     return kb.documents(name).join(served, "doc_id", "left").select("name", "status", "chunks", F.coalesce("served", F.lit(0)).alias("served"))
 
 
-@query(f"{_FIXED} SELECT doc_id, ordinal, length(text)::DOUBLE AS first, 2::BIGINT AS size FROM chunks WHERE doc_id < 100")
+@query(f"{_FIXED} SELECT doc_id, ordinal, length(text)::DOUBLE AS first, 2::BIGINT AS size FROM chunks")
 def embedded_chunks(spark, sf_dir):
     """Vectors of chunks from an embedder whose answers are out of order."""
-    chunks = chunking.chunk_documents(_docs(spark, sf_dir).where("doc_id < 100"), chunking.Config("fixed", 512, 64, 1))
+    chunks = chunking.chunk_documents(_docs(spark, sf_dir), chunking.Config("fixed", 512, 64, 1))
     rows = embed.embedded(chunks, _small_embedder, 2)
     return rows.select("doc_id", "ordinal", F.col("vector")[0].cast("double").alias("first"), F.size("vector").cast("long").alias("size"))
 
@@ -105,9 +106,9 @@ def kb_reasons(spark, sf_dir):
     kb = KnowledgeBase(spark, _folder(spark, "kb"), dimension=embed.DIMENSION)
     one, _ = kb.create("Alpha one"), kb.create("Alpha two")
     found = [("unbuilt", kb.search("x", one)["reason"]), ("nothing named", kb.search("x")["reason"])]
-    kb.add(one, _first(_docs(spark, sf_dir), 3))
+    kb.add(one, _uploads(_docs(spark, sf_dir)))
     kb.build(one, chunking.Config("fixed", 512, 64, 1))
-    said = _docs(spark, sf_dir).where("doc_id < 3").orderBy("doc_id").first()["text"][:200]
+    said = _docs(spark, sf_dir).orderBy("doc_id").first()["text"][:200]
     found += [("blank", kb.search("  ", one)["reason"]), ("unknown", kb.search("x", "Beta")["reason"]), ("ambiguous", kb.search("x", "Alpha")["reason"]), ("found", kb.search(said, one, min_score=0.0)["reason"])]
     return spark.createDataFrame(found, "asked string, reason string")
 
@@ -122,24 +123,87 @@ def retrieve_diagnostics(spark, sf_dir):
     return retrieval.hybrid(joined, asked, topk=20, min_score=0.0).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "band", "dense_rank", "fts_rank")
 
 
-@query("SELECT * FROM (VALUES ('FP16', true), ('INT8', true), ('INT4', true), ('cells', true)) t(index, enough)")
+@query(O.INDEX_RECALLS)
 def index_recalls(spark, sf_dir):
-    """Whether searches by codes and by cells find at least nine tenths of what the exact search finds, asked with every 20th vector."""
+    """How many of the exact answers searches by codes find, asked with every 20th vector."""
     vectors, _ = _chunks(spark, sf_dir)
     asked = _twentieths(spark, sf_dir)
     exact = retrieval.dense(vectors, asked, 8).select("query_id", "id")
-    model = vector_index.fit_cells(vectors, sample=20_000)
-    found = [(q, vector_index.rescored(vectors, asked, 8, q, 16 if q == "INT4" else 4)) for q in ("FP16", "INT8", "INT4")]
-    found.append(("cells", vector_index.probed(vector_index.celled(vectors, model), model, asked, 8, vector_index.PROBES)))
-    n = exact.agg(F.count("*").alias("n"))
     rows = None
-    for name, hits in found:
-        one = exact.join(hits.select("query_id", "id"), ["query_id", "id"], "left_semi").agg(F.count("*").alias("hit")).crossJoin(n)
-        one = one.select(F.lit(name).alias("index"), (F.col("hit") >= 0.9 * F.col("n")).alias("enough"))
+    for q, oversample in (("FP16", 4), ("INT8", 4), ("INT4", 16)):
+        hits = vector_index.rescored(vectors, asked, 8, q, oversample).select("query_id", "id", F.lit(1).alias("hit"))
+        one = exact.join(hits, ["query_id", "id"], "left").agg(F.lit(q).alias("index"), F.count("*").alias("exact"), F.count("hit").alias("found"))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
 
+_CHANGED = """docs AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' ' || source WHEN doc_id % 7 = 0 THEN source || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5)"""
+
+
+@query(f"WITH {_CHANGED}, {O.fts('docs')} SELECT query_id, rank, id, round(bm, 6) AS score FROM fts WHERE rank <= 20")
+def fts_index_topk(spark, sf_dir):
+    """Search by the stored index after an update that adds and changes documents, and one that takes some out."""
+    store = Store(spark, _folder(spark, "index"))
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("owner"), "text", "source")
+    first = docs.where("id % 3 <> 0")
+    t = store.begin()
+    inverted.update(t, first, 1)
+    t.commit()
+    changed = F.when(F.col("id") % 3 == 0, F.concat_ws(" ", "text", "source")).otherwise(F.concat_ws(" ", "source", "text"))
+    fresh = docs.where("id % 3 = 0 or id % 7 = 0").withColumn("text", changed)
+    t = store.begin()
+    inverted.update(t, fresh, 2, first.where("id % 7 = 0"), fresh)
+    t.commit()
+    served = first.where("id % 7 <> 0").unionByName(fresh)
+    t = store.begin()
+    inverted.forget(t, served.where("id % 11 = 5"), 3)
+    t.commit()
+    return inverted.search(store, _asked(spark, sf_dir), 20).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT name, status, served FROM (SELECT 'doc_' || doc_id || '.md' AS name, CASE WHEN doc_id % 4 = 3 THEN 'pending' ELSE 'ready' END AS status, doc_id % 4 <> 3 AND regexp_matches(text, '\\S') AS served
+  FROM documents WHERE doc_id % 4 <> 1)""".replace("\\\\", "\\"))
+def upload_inside_build(spark, sf_dir):
+    """A quarter of the documents uploaded and a quarter removed while a build of the rest runs: all states are kept, and the chunks that are served fit them."""
+    from lorespark.engine import KnowledgeBase
+
+    kb = KnowledgeBase(spark, _folder(spark, "kb"), embedder=_small_embedder, dimension=2)
+    name = kb.create("Library")
+    docs = _docs(spark, sf_dir)
+    kb.add(name, _uploads(docs.where("doc_id % 4 <> 3")))
+    gone = kb.documents(name).where(F.regexp_extract("name", "[0-9]+", 0).cast("long") % 4 == 1).select("doc_id")
+    #: The build begins here: what it reads and what it was told is fixed.
+    build = kb.begin_build(name, chunking.Config("fixed", 512, 64, 1))
+    kb.add(name, _uploads(docs.where("doc_id % 4 = 3")))
+    kb.remove(name, gone)
+    build()
+    served = kb.chunks(name).select("doc_id").distinct().withColumn("served", F.lit(True))
+    return kb.documents(name).join(served, "doc_id", "left").select("name", "status", F.coalesce("served", F.lit(False)).alias("served"))
+
+
+@query("""WITH d AS (SELECT doc_id, length(text)::BIGINT AS size FROM documents) SELECT 'rows' AS kind, doc_id, CASE WHEN doc_id % 3 = 2 THEN -size ELSE size END AS size FROM d WHERE doc_id % 5 <> 0
+UNION ALL SELECT 'before', doc_id, size FROM d WHERE doc_id % 3 <> 1 UNION ALL SELECT 'marks', doc_id, 1 FROM d WHERE doc_id % 3 = 2""")
+def store_changes(spark, sf_dir):
+    """Two tables under one log: rows written, changed and deleted by writers that began at the same version; what was served before is still there."""
+    store = Store(spark, _folder(spark, "store"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("size"))
+    t = store.begin()
+    t.append("rows", rows.where("doc_id % 3 <> 1"), "doc_id")
+    first = t.commit()
+    one, other, gone = store.begin(), store.begin(), store.begin()
+    one.append("rows", rows.where("doc_id % 3 = 1"), "doc_id")
+    other.upsert("rows", rows.where("doc_id % 3 = 2").withColumn("size", -F.col("size")), "doc_id")
+    other.append("marks", rows.where("doc_id % 3 = 2").withColumn("size", F.lit(1).cast("long")), "doc_id")
+    one.commit()
+    other.commit()
+    gone.base = store.record()
+    gone.delete("rows", rows.where("doc_id % 5 = 0"), "doc_id")
+    gone.commit()
+    kinds = [("rows", store.read("rows")), ("before", store.read("rows", first)), ("marks", store.read("marks"))]
+    parts = [d.select(F.lit(k).alias("kind"), "doc_id", "size") for k, d in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # Filters and functions
 
 

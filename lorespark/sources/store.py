@@ -161,8 +161,8 @@ class Store:
         part = f"s{uuid.uuid4().hex}"
         at = f"{self.root}/{name}/_segment={part}"
         dealt = rows.withColumn("_bucket", bucket_of(key, self.buckets))
-        #: Buckets meet in as few files as their size asks for; one that is large is split.
-        dealt.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(at)
+        #: Buckets meet in as few files as their size asks for; one that is large is split. Files are in order of the key, so that a look-up skips most of their pages.
+        dealt.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", key).write.partitionBy("_bucket").parquet(at)
         fs, p = _fs(self.spark, at)
         whole = T.StructType([*rows.schema.fields, T.StructField("_bucket", T.IntegerType())])
         return {"id": part, "rows": self.spark.read.schema(whole).parquet(at).count(), "bytes": int(fs.getContentSummary(p).getLength())}
@@ -249,13 +249,14 @@ class Transaction:
             raise KeyError(f"there is no table {name}")
         if schema is not None:  # files may hold nulls whatever a frame says
             schema = json.loads(T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]).json())
-        return self._changes.setdefault(name, {"key": key, "schema": schema or known, "segments": [], "gone": [], "replace": False})
+        return self._changes.setdefault(name, {"key": key, "schema": schema or known, "segments": [], "gone": [], "replace": False, "additive": False})
 
-    def append(self, name: str, rows: DataFrame, key: str) -> dict:
-        """Adds rows of new keys."""
+    def append(self, name: str, rows: DataFrame, key: str, additive: bool = False) -> dict:
+        """Adds rows of new keys. Additive rows (sums, marks) stand beside others of their key, so they never conflict."""
         known = self.base["tables"].get(name)
         rows = rows if known is None else rows.select(*T.StructType.fromJson(known["schema"]).names)
         c = self._change(name, key, rows.schema)
+        c["additive"] |= additive
         c["segments"].append(part := self.store.write(name, rows, key))
         return part
 
@@ -272,11 +273,11 @@ class Transaction:
             self.delete(name, (rows if changed is None else changed).select(key), key)
         return part
 
-    def replace(self, name: str, rows: DataFrame, key: str) -> dict:
-        """Puts rows in place of the whole table."""
+    def replace(self, name: str, rows: DataFrame, key: str, additive: bool = False) -> dict:
+        """Puts rows in place of the whole table; what others add meanwhile stays, but for additive rows, which belong to what is replaced."""
         c = self._change(name, key, rows.schema)
         c["schema"], c["replace"] = json.loads(T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]).json()), True
-        c["segments"], c["gone"] = [part := self.store.write(name, rows, key)], []
+        c["segments"], c["gone"], c["additive"] = [part := self.store.write(name, rows, key)], [], additive
         return part
 
     def written(self, name: str) -> DataFrame:
@@ -295,17 +296,17 @@ class Transaction:
                 found = rows if found is None else found.unionByName(rows)
         return found.distinct()
 
-    def _settle(self, since: int, upto: int, drop_changed: bool) -> None:
+    def _settle(self, since: int, upto: int, drop_changed) -> None:
         """Looks for keys that both this and later versions changed; what others changed of them stays."""
         between = [v for v in self.store.versions() if since < v <= upto]
         if len(between) != upto - since:
             raise Conflict("versions since this writer began are forgotten")
         for v in between:
-            if names := [n for n, t in self.store.record(v)["changed"].items() if t["replace"] and n in self._changes]:
+            if names := [n for n, t in self.store.record(v)["changed"].items() if t["replace"] and n in self._changes and not t["additive"]]:
                 raise Conflict(f"{', '.join(names)} was replaced by another writer")
         met = {}
         for name, c in self._changes.items():
-            theirs = self.store.changes(name, since, upto)
+            theirs = None if c["additive"] else self.store.changes(name, since, upto)
             if theirs is None:
                 continue
             both = theirs if c["replace"] else self._keys(name, c).join(theirs, c["key"], "left_semi")
@@ -319,20 +320,28 @@ class Transaction:
                 if self._changes[n]["key"] == key:
                     keys = both if keys is None else keys.unionByName(both)
             keys = keys.distinct()
+            if callable(drop_changed):
+                drop_changed(key, keys)
             for name, c in self._changes.items():
-                if c["key"] != key:
+                if c["key"] != key or c["additive"]:
                     continue
                 schema = T.StructType.fromJson(c["schema"])
                 for kind, own in (("", "segments"), (".gone", "gone")):
                     kept = lambda p: self.store._files(name + kind, [p | {"seq": 0}], schema if not kind else T.StructType([schema[key]])).drop("_segment", "_bucket", "_seq").join(keys, key, "left_anti")  # noqa: B023, E731
                     c[own] = [self.store.write(name + kind, kept(p), key) for p in c[own]]
 
-    def commit(self, drop_changed: bool = False, **meta) -> dict:
-        """Makes the changes the next version and gives its record."""
+    def commit(self, drop_changed=False, unless_changed: tuple = (), **meta) -> dict:
+        """Makes the changes the next version and gives its record.
+
+        ``drop_changed`` may be a function of a key's name and the keys that others changed, called before these are dropped. Where others changed what the
+        record says of one of ``unless_changed``, this raises ``Conflict``.
+        """
         self.set(**meta)
         settled = self.base["version"]
         for _ in range(ATTEMPTS):
             now = self.store.record()
+            if any(now["meta"].get(k) != self.base["meta"].get(k) for k in unless_changed):
+                raise Conflict(f"another writer changed {', '.join(unless_changed)}")
             if now["version"] > settled:
                 self._settle(settled, now["version"], drop_changed)
                 settled = now["version"]
@@ -342,7 +351,9 @@ class Transaction:
                 t = tables.get(name, {"segments": [], "gone": []})
                 segments, gone = t["segments"], t["gone"]
                 if c["replace"]:  # what others added since stays
-                    known = {s["id"] for s in self.base["tables"].get(name, {"segments": []})["segments"]}
+                    if c["additive"]:
+                        segments = gone = []
+                    known = set() if c["additive"] else {s["id"] for s in self.base["tables"].get(name, {"segments": []})["segments"]}
                     if not known <= {s["id"] for s in segments}:
                         raise Conflict(f"{name} was compacted meanwhile")
                     segments, gone = [s for s in segments if s["id"] not in known], [g for g in gone if g["seq"] > self.base["version"]]
