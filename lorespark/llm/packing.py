@@ -1,9 +1,9 @@
 """Packing: length buckets of least padding, token-budget batches inside each.
 
 A length is the text's count of tokens, by the given vocabulary's encoder, plus one for the end mark. The global histogram of exact lengths goes
-to the driver: n tokens in all have at most sqrt(2 n) distinct lengths (some 7 million at 100 TB), two numbers each. Dynamic
+to the driver: n tokens in all have at most sqrt(2 n) distinct lengths (some 7 million at 100 TB). Dynamic
 programming over the sorted lengths finds the bucket boundaries whose padding is least; since the best start of a bucket never moves
-back as its end moves on, divide and conquer takes each bucket's row in n log n steps. A bucket's batches
+back as its end moves on, divide and conquer takes each bucket's row in n log n steps, in memory of some 100 bytes a length. A bucket's batches
 take ``budget // boundary`` rows each (one, where a single row is longer than the budget); only a bucket's last batch may be short.
 
 Null and empty texts have length 1. Repeated rows are packed as rows; no rows give no batches. Ties between equally good
@@ -24,60 +24,78 @@ BUCKETS = 12
 BUDGET = 16_384
 
 
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The upper ends of at most ``buckets`` buckets of sorted distinct lengths with the least total padding.
 
-    cost(i, j) pads lengths i..j to lengths[j]; least[k][j] = min over i of least[k-1][i-1] + cost(i, j).
+    cost(i, j) pads lengths i..j to lengths[j]; least[k][j] = min over i of least[k-1][i-1] + cost(i, j). No row's starts are kept: each place carries along where the best way
+    to it passes the middle bucket, and both halves are then solved alone, so that memory is that of a few rows whatever the number of buckets.
     """
     n = len(lengths)
     if not n:
         return []
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     rows, tokens = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * lengths)]
-    least = lengths * rows[1:] - tokens[1:]
-    froms = []
-    for _ in range(1, min(buckets, n)):
-        least, source = _next_row(np.r_[0, least[:-1]] + tokens[:-1], lengths, rows, tokens)
-        froms.append(source)
-    ends, j = [], n - 1
-    for source in [*reversed(froms), np.zeros(n, np.int64)]:
-        if j < 0:
-            break
-        ends.append(int(lengths[j]))
-        j = int(source[j]) - 1
-    return ends[::-1]
+    del counts
+    ends, open_ = [], [(0, n, min(buckets, n))]
+    while open_:
+        a, b, k = open_.pop()
+        if b <= a:
+            continue
+        if k == 1:
+            ends.append(int(lengths[b - 1]))
+            continue
+        middle = _middle(lengths[a:b], rows[a : b + 1], tokens[a : b + 1], k, k // 2)
+        open_ += [(a, a + middle, k // 2), (a + middle, b, k - k // 2)]
+    return sorted(ends)
+
+
+def _middle(lengths: np.ndarray, rows: np.ndarray, tokens: np.ndarray, buckets: int, half: int) -> int:
+    """How many lengths lie in the first ``half`` of at most ``buckets`` buckets."""
+    least = lengths * (rows[1:] - rows[0]) - (tokens[1:] - tokens[0])
+    through = None
+    for k in range(2, buckets + 1):
+        base = np.empty(len(lengths), np.int64)
+        base[0], base[1:] = tokens[0], least[:-1] + tokens[1:-1]
+        del least
+        least, source = _next_row(base, lengths, rows, tokens)
+        if k == half + 1:
+            through = source
+        elif k > half + 1:  # starts at 0 had no bucket before
+            through = np.where(source > 0, through[np.maximum(source, 1) - 1], 0).astype(np.int32)
+    return int(through[-1])
 
 
 #: Sums that are compared at once.
-_AT_ONCE = 1 << 22
+_AT_ONCE = 1 << 20
 
 
 def _next_row(base: np.ndarray, lengths: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """min and least argmin over i <= j of base[i] + lengths[j] * (rows[j + 1] - rows[i]) - tokens[j + 1] for each j, level by level:
     the argmins of two places bound those of all places between them."""
     n = len(lengths)
-    value, source = np.empty(n, np.int64), np.zeros(n, np.int64)
-    low, high = np.array([0]), np.array([n])  # open ranges of places
-    first, last = np.array([0]), np.array([n - 1])  # the argmins that they can have
+    value, source = np.empty(n, np.int64), np.zeros(n, np.int32)
+    low, high = np.array([0], np.int32), np.array([n], np.int32)  # open ranges of places
+    first, last = np.array([0], np.int32), np.array([n - 1], np.int32)  # the argmins that they can have
     while len(low):
         mid = (low + high) // 2
         stop = np.minimum(last, mid)
-        sizes = stop - first + 1
-        cuts = np.flatnonzero(np.r_[True, np.diff(np.cumsum(sizes) // _AT_ONCE) > 0, True])
+        upto = np.cumsum(stop - first + 1, dtype=np.int64)
+        cuts = np.flatnonzero(np.r_[True, np.diff(upto // _AT_ONCE) > 0, True])
         for a, b in zip(cuts, cuts[1:]):
-            part, starts = sizes[a:b], np.r_[0, np.cumsum(sizes[a:b])[:-1]]
+            at = mid[a:b]
+            part = (stop[a:b] - first[a:b] + 1).astype(np.int64)
+            starts = np.r_[0, np.cumsum(part)[:-1]]
             i = np.arange(part.sum()) - np.repeat(starts - first[a:b], part)
-            sums = base[i] - np.repeat(lengths[mid[a:b]], part) * rows[i]
+            sums = base[i] - np.repeat(lengths[at], part) * rows[i]
             best = np.minimum.reduceat(sums, starts)
             hits = np.flatnonzero(sums == np.repeat(best, part))
-            source[mid[a:b]] = i[hits[np.searchsorted(hits, starts)]]
-            value[mid[a:b]] = best + lengths[mid[a:b]] * rows[mid[a:b] + 1] - tokens[mid[a:b] + 1]
+            source[at] = i[hits[np.searchsorted(hits, starts)]]
+            value[at] = best + lengths[at] * rows[at + 1] - tokens[at + 1]
+        del upto, stop
         found = source[mid]
-        low, high = np.r_[low, mid + 1], np.r_[mid, high]
-        first, last = np.r_[first, found], np.r_[found, last]
-        open_ = np.flatnonzero(low < high)
-        low, high, first, last = low[open_], high[open_], first[open_], last[open_]
+        left, right = low < mid, mid + 1 < high
+        low, high = np.r_[low[left], mid[right] + 1], np.r_[mid[left], high[right]]
+        first, last = np.r_[first[left], found[right]], np.r_[found[left], last[right]]
     return value, source
 
 
