@@ -27,6 +27,8 @@ DEFAULTS = {"min_score": 0.55, "topk": 8, "candidates": 100, "mode": "hybrid"}
 LIMITS = {"min_score": (0.0, 1.0), "topk": (1, 50), "candidates": (20, 1000)}
 #: Parts that a running sum over documents is taken by.
 PARTS = 1024
+#: What a build does after the other, and the share of its progress that each is taken for.
+PHASES = {"chunks": (0.02, 0.6), "index": (0.6, 0.9), "documents": (0.9, 0.99)}
 #: Times that a build begins again after another one replaced what it worked on.
 BUILD_ATTEMPTS = 3
 ID = re.compile(r"^kb_[a-z][a-z0-9]{0,15}_[0-9a-f]{4}$")
@@ -261,6 +263,13 @@ class KnowledgeBase:
         t = self._store(collection).begin()
         return lambda: self._build(collection, config, full, t)
 
+    def _at_phase(self, collection: str, phase: str, **facts) -> None:
+        """Notes what a background build is at."""
+        job = self._jobs.get(collection)
+        if job and job["running"]:
+            with job["lock"]:
+                job |= {"phase": phase} | facts
+
     def _build(self, collection: str, config: chunking.Config, full: bool, t: Transaction) -> dict:
         docs, served = t.read("documents"), t.meta.get("build")
         docs = self.spark.createDataFrame([], self._DOCUMENT) if docs is None else docs
@@ -276,11 +285,15 @@ class KnowledgeBase:
             used, planned = self.usage(collection).first()["used"], chunks.count() * self.dimension * 4
             if used + planned > self.quota:
                 return {"mode": "refused", "reason": f"over the quota by {used + planned - self.quota} bytes", "documents": 0, "chunks": rows}
-        fresh = embed.embedded(chunks, self.embedder, self.dimension)
+        made = self.spark.sparkContext.accumulator(0)
+        fresh = embed.embedded(chunks, self.embedder, self.dimension, count=made)
+        self._at_phase(collection, "chunks", documents=pending.count(), embedded=made)
         version = (served or {}).get("version", 0) + 1
         part = t.upsert("chunks", fresh, "doc_id", pending.select("doc_id")) if viable else t.replace("chunks", fresh, "doc_id")
+        self._at_phase(collection, "index")
         old = t.read("chunks").join(pending.select("doc_id"), "doc_id", "left_semi") if viable else None
         inverted.update(t, _indexed(t.written("chunks")), version, None if old is None else _indexed(old), pending.select(F.col("doc_id").alias("owner")))
+        self._at_phase(collection, "documents")
         counts = t.written("chunks").groupBy("doc_id").agg(F.count("*").alias("n"))
         marked = pending.join(counts, "doc_id", "left").withColumns({"chunks": F.coalesce("n", F.lit(0)).cast("long"), "status": F.lit("ready")})
         n = t.upsert("documents", marked.select(docs.columns), "doc_id")["rows"]
@@ -332,7 +345,7 @@ class KnowledgeBase:
         self._known(collection)
         if self.build_status(collection).get("running"):
             return False
-        job = {"group": uuid.uuid4().hex, "running": True, "ok": None, "result": None, "error": None, "started_at": self._now(), "settled_at": None, "lock": threading.Lock()}
+        job = {"group": uuid.uuid4().hex, "phase": None, "fraction": 0.0, "documents": 0, "running": True, "ok": None, "result": None, "error": None, "started_at": self._now(), "settled_at": None, "lock": threading.Lock()}
         self._jobs[collection] = job
 
         def work() -> None:
@@ -344,16 +357,37 @@ class KnowledgeBase:
                 shown = self.spark.range(1).select(T.build_error(F.lit(said[-1]))).first()[0] if not job.get("cancelled") else "cancelled"
                 job["error"], job["ok"] = shown, False
                 self._say(collection, "error", shown)
-            job["settled_at"], job["running"] = self._now(), False
+            with job["lock"]:
+                job["fraction"] = 1.0 if job["ok"] else job["fraction"]
+                job["settled_at"], job["running"] = self._now(), False
 
         job["thread"] = InheritableThread(target=work, daemon=True)
         job["thread"].start()
         return True
 
     def build_status(self, collection: str) -> dict:
-        """running, ok, result, error and times of the last background build; empty where there was none."""
+        """running, ok, result, error and times of the last background build, and how far it is: documents to embed, chunks embedded, and a fraction that never falls;
+        empty where there was none."""
         job = self._jobs.get(collection, {})
-        return {k: job[k] for k in ("running", "ok", "result", "error", "started_at", "settled_at")} if job else {}
+        if not job:
+            return {}
+        with job["lock"]:
+            if job["running"]:
+                job["fraction"] = max(job["fraction"], self._fraction(job))
+            out = {k: job[k] for k in ("running", "ok", "result", "error", "started_at", "settled_at", "documents", "fraction")}
+        return out | {"chunks": job["embedded"].value if job.get("embedded") else 0}
+
+    def _fraction(self, job: dict) -> float:
+        """The share of the phases that are over, and of the running phase's tasks that have ended."""
+        if job["phase"] is None:
+            return 0.0
+        start, end = PHASES[job["phase"]]
+        tracker = self.spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for s in tracker.getActiveStageIds()]
+        mine = {s for j in tracker.getJobIdsForGroup(job["group"]) if (i := tracker.getJobInfo(j)) for s in i.stageIds}
+        known = [(s.numCompletedTasks, s.numTasks) for s in stages if s and s.stageId in mine]
+        done, total = sum(a for a, _ in known), sum(b for _, b in known)
+        return start + (end - start) * (done / total if total else 0.0)
 
     def cancel_build(self, collection: str) -> bool:
         """Stops a running build's Spark jobs; what was served stays served."""
@@ -408,22 +442,23 @@ class KnowledgeBase:
         reasons = {"ok": None, "empty": "invalid_argument", "not_found": "collection_not_found", "ambiguous": "collection_ambiguous"}
         return r["collection"], reasons[r["status"]]
 
-    def hits(self, collection: str, query: str, **asked) -> tuple[DataFrame, DataFrame]:
+    def hits(self, collection: str, query: str, doc_ids: list[str] | None = None, **asked) -> tuple[DataFrame, DataFrame]:
         """Hits (with document name, place and line) and the one-row statistics of a search, both from one run over one version.
 
-        Words are looked up in the stored index; texts are read of the hits alone.
+        Words are looked up in the stored index; texts are read of the hits alone. With ``doc_ids`` only these documents' chunks are candidates: the buckets of
+        their ids are opened, no others (words keep their weight in the whole collection).
         """
         s = self.settings(collection, **asked)
         s["topk"] = max(1, min(50, s["topk"]))
         store = self._store(collection)
         record = store.record()
-        chunks = store.read("chunks", record)
+        chunks = store.read("chunks", record, keys=doc_ids)
         vector = [float(x) for x in self.embedder([query])[0]]
         words = query if s["mode"] == "hybrid" else ""
         q = self.spark.createDataFrame([(0, vector, words)], "query_id long, vector array<double>, text string")
         pool = max(s["candidates"], s["topk"])
         near = retrieval.dense(chunks.select(F.col("chunk_id").alias("id"), "vector"), q, pool)
-        by_words = retrieval.or_none(lambda: inverted.search(store, q, pool, record), q, chunks.select(F.col("chunk_id").alias("id")))
+        by_words = retrieval.or_none(lambda: inverted.search(store, q, pool, record, owners=doc_ids), q, chunks.select(F.col("chunk_id").alias("id")))
         found, stats = retrieval.searched(near, by_words, s["topk"], s["min_score"])
         found = snapshots.kept(found, "hits")
         owners = [r[0] for r in found.select(F.substring_index("id", "#", 1)).distinct().collect()]  # topk at most

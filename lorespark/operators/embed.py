@@ -76,8 +76,8 @@ def with_retry(call: Callable, retries: int = RETRIES, base: float = 0.25, most:
             sleep(min(most, base * 2**attempt))
 
 
-def embedded(chunks: DataFrame, embed: EmbedFn, dimension: int, batch: int = BATCH) -> DataFrame:
-    """Chunks with a ``vector`` column; texts go to ``embed`` in batches within each partition, and a wrong width raises."""
+def embedded(chunks: DataFrame, embed: EmbedFn, dimension: int, batch: int = BATCH, count=None) -> DataFrame:
+    """Chunks with a ``vector`` column; texts go to ``embed`` in batches within each partition, and a wrong width raises. An accumulator ``count`` is told how many."""
     schema = T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType(), False))])
 
     def run(batches):
@@ -92,6 +92,8 @@ def embedded(chunks: DataFrame, embed: EmbedFn, dimension: int, batch: int = BAT
                 if len(got) != len(part) or any(len(v) != dimension for v in got):
                     raise ValueError(f"the embedder must give {dimension} components for each text")
                 vectors += [np.asarray(v, np.float32) for v in got]
+            if count is not None:
+                count.add(len(vectors))
             flat = np.concatenate(vectors) if vectors else np.empty(0, np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * dimension, pa.int32()), pa.array(flat, pa.float32()))
             yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, "vector"])

@@ -93,9 +93,11 @@ def documents(store: Store, record: dict | None = None) -> int:
     return 0 if known is None else known.agg(F.sum("df").alias("n")).first()["n"] or 0
 
 
-def _scores(found: DataFrame, marks: DataFrame | None, n: int, avgdl: float) -> DataFrame:
+def _scores(found: DataFrame, marks: DataFrame | None, n: int, avgdl: float, owners: list | None = None) -> DataFrame:
     """(query_id, id, score) from posting blocks that have the weight of the query's term."""
     rows = found.select("query_id", "update", "weight", F.explode("entries").alias("e")).select("query_id", "update", "weight", "e.*")
+    if owners is not None:
+        rows = rows.where(F.col("owner").isin(owners))
     if marks is not None:
         dead = marks.groupBy(F.col("owner").alias("_owner")).agg(F.max("update").alias("_last"))
         rows = rows.join(dead, (F.col("owner").cast("string") == F.col("_owner")) & (F.col("update") < F.col("_last")), "left_anti")
@@ -103,8 +105,8 @@ def _scores(found: DataFrame, marks: DataFrame | None, n: int, avgdl: float) ->
     return rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
-def search(store: Store, queries: DataFrame, k: int, record: dict | None = None, first: int = FIRST) -> DataFrame:
-    """(query_id, id, score, rank): the k documents of the best BM25 score for each query (query_id, text), by the index in a version of the store."""
+def search(store: Store, queries: DataFrame, k: int, record: dict | None = None, first: int = FIRST, owners: list | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k documents of the best BM25 score for each query (query_id, text), by the index in a version of the store; of some ``owners`` only, if given."""
     spark, record = store.spark, record or store.record()
     terms = queries.select("query_id", F.explode(F.array_distinct(T.search_tokens("text"))).alias("term"))
     few = terms.select("term").distinct().limit(MAX_QUERIES + 1).collect()
@@ -125,7 +127,7 @@ def search(store: Store, queries: DataFrame, k: int, record: dict | None = None,
     spans = postings.select("term", "update", "span", "peak", "avgdl").join(weights, "term").groupBy("query_id", "update", "span").agg(F.sum(bound).alias("bound"))
     spans = snapshots.kept(spans, "bounds")
     chosen = ranked(spans, [F.desc("bound"), "update", "span"], max(first, -(-AHEAD * k // SPAN))).select("query_id", "update", "span")
-    blocks_of = lambda some: _scores(postings.join(weights, "term").join(some, ["query_id", "update", "span"], "left_semi"), marks, n, avgdl)
+    blocks_of = lambda some: _scores(postings.join(weights, "term").join(some, ["query_id", "update", "span"], "left_semi"), marks, n, avgdl, owners)
     ahead = snapshots.kept(blocks_of(chosen), "ahead")
     least = ranked(ahead, [F.desc("score"), "id"], k).groupBy("query_id").agg(F.max("rank").alias("_n"), F.min("score").alias("_least")).where(F.col("_n") >= k).select("query_id", "_least")
     rest = spans.join(least, "query_id", "left").where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - 1e-6)).select("query_id", "update", "span")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
-from lorespark.operators import catalog, chunking, embed, inverted, retrieval, vector_index
+from lorespark.operators import catalog, chunking, embed, graph_index, inverted, json_tree, product_codes, retrieval, vector_index
 from lorespark.plans import oracle as O
 from lorespark.plans.chunk_queries import _FIXED
 from lorespark.plans.registry import _asked, _chunks, _docs, _hybrid, _records, _twentieths, query, table
@@ -137,6 +137,39 @@ def index_recalls(spark, sf_dir):
     return rows
 
 
+@query()
+def graph_topk(spark, sf_dir):
+    """Search over a navigable graph; recall and share of rows scored are tested."""
+    vectors, _ = _chunks(spark, sf_dir)
+    hits, _ = graph_index.search(graph_index.build(vectors), _twentieths(spark, sf_dir), 8)
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query()
+def product_codes_topk(spark, sf_dir):
+    """Search over codes of one byte for each four components, scored again on the vectors; recall is tested."""
+    vectors, _ = _chunks(spark, sf_dir)
+    book = product_codes.fit(vectors)
+    hits = product_codes.search(vectors, product_codes.coded(vectors, book), book, _twentieths(spark, sf_dir), 8)
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) - 1 AS i, l_partkey, l_returnflag, l_linestatus FROM lineitem),
+o AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders)
+SELECT o_orderkey, 'customer.key' AS path, 'scalar' AS kind, o_custkey::VARCHAR AS value FROM o UNION ALL SELECT o_orderkey, 'customer.status', 'scalar', o_orderstatus FROM o
+UNION ALL SELECT o_orderkey, 'lines', 'empty_array', NULL FROM o WHERE o_orderkey NOT IN (SELECT l_orderkey FROM l)
+UNION ALL SELECT l_orderkey, 'lines[' || i || '].part', 'scalar', l_partkey::VARCHAR FROM l JOIN o ON o_orderkey = l_orderkey
+UNION ALL SELECT l_orderkey, 'lines[' || i || '].marks[' || j || ']', 'scalar', CASE WHEN j = 0 THEN l_returnflag ELSE l_linestatus END FROM l JOIN o ON o_orderkey = l_orderkey, (VALUES (0), (1)) t(j)""")
+def json_tree_walk(spark, sf_dir):
+    """Orders with their customer and lines as nested JSON, walked to the leaves."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.array("l_returnflag", "l_linestatus").alias("marks")))).alias("lines"))
+    shown = F.transform(F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)), lambda x: F.struct(x["part"].alias("part"), x["marks"].alias("marks")))
+    orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    whole = F.to_json(F.struct(F.struct(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("status")).alias("customer"), shown.alias("lines")))
+    return json_tree.walk(orders.select("o_orderkey", whole.alias("j")), "o_orderkey", "j")
+
+
 _CHANGED = """docs AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' ' || source WHEN doc_id % 7 = 0 THEN source || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5)"""
 
 
