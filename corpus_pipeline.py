@@ -1,7 +1,7 @@
 """Corpus pipeline: quality classifier, near-dedup, PII redaction, packing.
 
 Each stage takes what its predecessor kept. All but the last return the columns of ``documents``; the last returns the batches.
-Rows that repeat a doc_id pass the first stage each; near-dedup keeps one row of each group, so ids are unique from there on.
+Rows that repeat a doc_id pass each stage by themselves: near-dedup keeps one row of each group of near texts, whatever their ids.
 Rows without a doc_id are in no group and stay.
 """
 
@@ -22,16 +22,21 @@ def quality(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays: the one of the smallest doc_id."""
-    kept = near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    """One document of each near-duplicate group stays: the one of the smallest doc_id.
+
+    Where a doc_id repeats, its rows are linked one by one, so that a row goes only if its own text has a near copy that stays.
+    """
     known = docs.where("doc_id is not null")
-    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        #: As JSON, since a column may be of a type that has no order.
-        order = F.struct("text", *[F.to_json(F.struct(F.col(f"`{c}`"))) for c in rest])
-        one = known.groupBy("doc_id").agg(F.min_by(F.struct("text", *rest), order).alias("_row"))
-        known = one.select(*["doc_id" if c == "doc_id" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
-    return known.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id")
+        return known.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = stored(known.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias(row), "component_id")
+    first = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return rows.join(first, row, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pii(spark, docs, sf_dir):
