@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, discard, stored
+from .common import NO_ID, discard, stored, text_batches
 
 PROJECTED = 16
 CONFIDENCE = 0.87
@@ -125,6 +125,30 @@ def gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Distances from leaves that a task holds at once (32 MB).
+ROUTED = 1 << 22
+
+
+def open_places(points: np.ndarray, low: np.ndarray, high: np.ndarray, limit: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, box) of the first-th to last-th box in the order of their distance from each point, as far as squared distances are within the point's limit."""
+    rows, boxes, step = [np.empty(0, np.int64)], [np.empty(0, np.int64)], max(1, ROUTED // max(1, len(low)))
+    for at in range(0, len(points), step):
+        gap, most = gaps(points[at : at + step], low, high), limit[at : at + step]
+        if (first, last) == (0, 1):
+            box = gap.argmin(axis=1)
+            row = np.flatnonzero(gap[np.arange(len(gap)), box] <= most)
+            box = box[row]
+        else:
+            row, box = np.nonzero(gap <= most[:, None])
+            order = np.lexsort((box, gap[row, box], row))
+            row, box = row[order], box[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, box = row[(place >= first) & (place < last)], box[(place >= first) & (place < last)]
+        rows.append(row + at)
+        boxes.append(box)
+    return np.concatenate(rows), np.concatenate(boxes)
+
+
 def _scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore", invalid="ignore"):
         s = v @ q
@@ -180,6 +204,7 @@ def search(rows: DataFrame, every: int, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score, verified) of the k nearest of each row whose vec_id is divisible by ``every``; ``verified`` counts the
     distinct vectors that the query was compared with."""
     spark = rows.sparkSession
+    text_batches(spark)
     kind = rows.schema["embedding"].dataType.simpleString()
     made = []
 
@@ -251,14 +276,11 @@ def search(rows: DataFrame, every: int, k: int) -> DataFrame:
                         continue
                     space, (leaf, _, low, high) = spaces(size), boxes.value[size]
                     v = _matrix(part["v"])
-                    gap = gaps(space.queries(v), low, high)
-                    order = np.argsort(gap, axis=1, kind="stable")[:, first:last]
-                    gap = np.take_along_axis(gap, order, axis=1)
                     with np.errstate(over="ignore"):
                         q2 = ((v / space.scale) ** 2).sum(axis=1)
                     limit = np.array([REACH * space.distance2(a, s) * (1 + 1e-9) if s > -np.inf else np.inf for a, s in zip(q2, part["kth"])])
-                    at, place = np.nonzero(gap <= limit[:, None])
-                    yield part[["q", "own", "v", "kth", "size"]].iloc[at].assign(leaf=leaf[order[at, place]].astype(np.int32))
+                    at, box = open_places(space.queries(v), low, high, limit, first, last)
+                    yield part[["q", "own", "v", "kth", "size"]].iloc[at].assign(leaf=leaf[box].astype(np.int32))
 
         return run
 

@@ -318,3 +318,17 @@ def test_rules_by_brute_force():
         path = rng.choice(["", "/", "/en/", "/de/"]) + rng.choice(["", "7", "8", "es/"])
         fits = [(len(h + p), h + p, v) for v, h, p in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert book.find(host, path) == (max(fits)[1:] if fits else (None, None))
+
+
+def test_open_places_are_those_of_a_full_sort(monkeypatch):
+    rng = np.random.default_rng(2)
+    low = np.round(rng.normal(size=(60, 4)), 0)
+    high, points = low + 1, np.round(rng.normal(size=(37, 4)), 0) * 2
+    gap = A.gaps(points, low, high)
+    order = np.argsort(gap, axis=1, kind="stable")
+    monkeypatch.setattr(A, "ROUTED", 500)
+    for limit in (np.full(37, np.inf), np.quantile(gap, 0.4, axis=1)):
+        for first, last in ((0, 1), (1, 4), (4, 100)):
+            at, place = np.nonzero(np.take_along_axis(gap, order, axis=1)[:, first:last] <= limit[:, None])
+            want = sorted(zip(at.tolist(), order[:, first:last][at, place].tolist()))
+            assert sorted(zip(*(x.tolist() for x in A.open_places(points, low, high, limit, first, last)))) == want
