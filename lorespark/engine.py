@@ -25,8 +25,8 @@ from lorespark.sources.store import Conflict, Store, Transaction
 TOKENIZER = "words-and-pairs-1"
 DEFAULTS = {"min_score": 0.55, "topk": 8, "candidates": 100, "mode": "hybrid"}
 LIMITS = {"min_score": (0.0, 1.0), "topk": (1, 50), "candidates": (20, 1000)}
-#: Parts that a running sum over documents is taken by.
-PARTS = 1024
+#: Classes for each doubling of a size that a running sum over documents is taken by.
+PARTS = 16
 #: What a build does after the other, and the share of its progress that each is taken for.
 PHASES = {"chunks": (0.02, 0.6), "index": (0.6, 0.9), "documents": (0.9, 0.99)}
 #: Times that a build begins again after another one replaced what it worked on.
@@ -187,7 +187,7 @@ class KnowledgeBase:
         return judged
 
     def _admitted(self, parsed: DataFrame, t) -> DataFrame:
-        """Parsed documents; where their texts don't fit beside what is stored, those beyond the quota become failed, in order of the hashes of their ids."""
+        """Parsed documents; where their texts don't fit beside what is stored, the largest become failed, so that as many as can stay."""
         if self.quota is None:
             return parsed
         parsed, known = snapshots.kept(parsed, "parsed"), t.read("documents")
@@ -195,9 +195,9 @@ class KnowledgeBase:
         total = parsed.agg(F.coalesce(F.sum(F.greatest(F.octet_length("text"), F.col("bytes"))), F.lit(0)).alias("n")).first()["n"]
         if used + total <= self.quota:
             return parsed
-        #: The running sum goes over parts by the id's hash: within each part, and over the parts' totals.
-        sizes = parsed.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("_part"), F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "bytes").alias("n"))
-        within = sizes.withColumn("_within", F.sum("n").over(Window.partitionBy("_part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+        #: From the smallest on; the running sum goes over classes of sizes: within each class, and over the classes' totals.
+        sizes = parsed.select("doc_id", F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "bytes").alias("n")).withColumn("_part", F.floor(F.log2(F.col("n") + 1) * PARTS).cast("int"))
+        within = sizes.withColumn("_within", F.sum("n").over(Window.partitionBy("_part").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
         parts = sizes.groupBy("_part").agg(F.sum("n").alias("n"))
         before = parts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
         upto = within.join(F.broadcast(before), "_part").select("doc_id", (F.col("_within") + F.col("_before")).alias("_upto"))
