@@ -18,13 +18,6 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, comp.component_id, d.doc_id = c
 FROM documents d LEFT JOIN n USING (doc_id) JOIN comp ON comp.node = d.doc_id
 """
 
-OP6 = """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
-pair AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
-"""
-
 
 def op11(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
     """Lloyd's rounds one after the other: a table of assignments and one of centroids for each."""
