@@ -12,8 +12,9 @@ from lorespark.operators import catalog, chunking, embed, graph_index, inverted,
 from lorespark.plans import oracle as O
 from lorespark.plans.chunk_queries import _FIXED
 from lorespark.plans.registry import _asked, _chunks, _docs, _hybrid, _records, _twentieths, query, table
-from lorespark.sources import files, snapshots
+from lorespark.sources import datasource, files, snapshots
 from lorespark.sources.store import Store
+from lorespark.streaming import hits, state
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -36,6 +37,65 @@ def snapshot_changes(spark, sf_dir):
     return snapshots.read(spark, root)
 
 
+_SOURCE = """WITH s AS (SELECT doc_id, length(text) AS size FROM documents WHERE doc_id % 3 <> 1)
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN -size ELSE size END::BIGINT AS size FROM s WHERE doc_id % 5 <> 0"""
+
+
+def _source_store(spark, sf_dir) -> str:
+    """A store whose table ``sizes`` was written, partly replaced and partly deleted, in a commit each."""
+    root = _folder(spark, "source")
+    store = Store(spark, root)
+    rows = _docs(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("size")).where("doc_id % 3 <> 1")
+    t = store.begin()
+    t.append("sizes", rows, "doc_id")
+    t.commit()
+    t = store.begin()
+    t.upsert("sizes", rows.where("doc_id % 3 = 2").withColumn("size", -F.col("size")), "doc_id")
+    t.commit()
+    t = store.begin()
+    t.delete("sizes", rows.where("doc_id % 5 = 0").select("doc_id"), "doc_id")
+    t.commit()
+    return root
+
+
+@query(_SOURCE)
+def store_source(spark, sf_dir):
+    """A store's served version read by name and path, as SQL and other tools do."""
+    datasource.register(spark)
+    return spark.read.format(datasource.NAME).option("table", "sizes").load(_source_store(spark, sf_dir))
+
+
+@query(f"SELECT * FROM ({_SOURCE}) WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 8)")
+def store_source_lookup(spark, sf_dir):
+    """Rows of a few keys from the data source, which opens their buckets only."""
+    datasource.register(spark)
+    asked = [r["doc_id"] for r in _docs(spark, sf_dir).orderBy(F.desc("doc_id")).limit(8).collect()]
+    return spark.read.format(datasource.NAME).option("table", "sizes").load(_source_store(spark, sf_dir)).where(F.col("doc_id").isin(*asked))
+
+
+# State of streams
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS given, length(text) + CASE WHEN doc_id % 3 = 0 THEN 8 ELSE 0 END AS size FROM documents""")
+def stream_changed_documents(spark, sf_dir):
+    """All documents uploaded twice, a third of them edited in between: how often each came out of the stream, and its last length."""
+    where = _folder(spark, "changed")
+    rows = _docs(spark, sf_dir).select("doc_id", "text")
+    for text in (F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))):
+        rows.withColumn("text", text).write.mode("append").parquet(f"{where}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{where}/in")
+        found = state.run_to_end(state.changed_documents(stream), where, "append")
+    return found.groupBy("doc_id").agg(F.count("*").alias("given"), F.max_by(F.length("text"), "_batch").cast("long").alias("size"))
+
+
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT event_type AS key, count(*) AS hits FROM events, m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR + INTERVAL 7 DAY > mark GROUP BY event_type""")
+def stream_live_hits(spark, sf_dir):
+    """Hits that a stream still holds at its end, by type: an hour's hits go when the watermark is seven days past it."""
+    events = hits.stream(spark, f"{sf_dir}/events.parquet")
+    return state.current(state.run_to_end(state.live_hits(events, "event_type"), _folder(spark, "live"), "update"))
+
+
 @query("""SELECT event_id AS "at", event_type AS message, 0 AS torn FROM events WHERE event_id % 2 = 0 ORDER BY event_id DESC LIMIT 500""")
 def build_log_tail(spark, sf_dir):
     """Two appends to a log, its last 500 lines."""
