@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
+from lorespark.operators import lexicon
 from lorespark.sources import snapshots
 
 log = logging.getLogger(__name__)
@@ -73,14 +74,15 @@ def postings(chunks: DataFrame) -> DataFrame:
     return tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, words: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k chunks (id, text) of the best BM25 score for each query (query_id, text); any term may match.
 
-    Only the queries' terms are kept of a text, or all where the queries are many. Texts are read when this is called.
+    With ``words`` (``lexicon.learnt``) wide characters are cut into words, otherwise into overlapping pairs. Only the queries' terms are kept of a text, or all where the queries are many. Texts are read when this is called.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.search_tokens("text"))).alias("term"))
+    cut = (lambda rows: rows.withColumn("tokens", T.search_tokens("text"))) if words is None else (lambda rows: lexicon.tokens(rows, words))
+    terms = cut(queries.select("query_id", "text")).select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
     few = _is_few(terms)
-    tokens = chunks.select("id", T.search_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    tokens = cut(chunks.select("id", F.coalesce("text", F.lit("")).alias("text")))
     if few:
         wanted = [r["term"] for r in terms.select("term").distinct().collect()]  # some thousands at most
         hits = F.filter("tokens", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")

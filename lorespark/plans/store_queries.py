@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
-from lorespark.operators import catalog, chunking, embed, graph_index, inverted, json_tree, product_codes, retrieval, vector_index
+from lorespark.operators import catalog, chunking, embed, graph_index, inverted, json_tree, lexicon, product_codes, retrieval, vector_index
 from lorespark.plans import oracle as O
 from lorespark.plans.chunk_queries import _FIXED
 from lorespark.plans.registry import _asked, _chunks, _docs, _hybrid, _records, _twentieths, query, table
@@ -73,6 +73,22 @@ def store_source_lookup(spark, sf_dir):
     return spark.read.format(datasource.NAME).option("table", "sizes").load(_source_store(spark, sf_dir)).where(F.col("doc_id").isin(*asked))
 
 
+@query("""WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z]+', '', 'g') AS run FROM documents), c AS (SELECT doc_id, unnest(string_split(run, '')) AS c, generate_subscripts(string_split(run, ''), 1) AS i FROM d WHERE run <> ''),
+w AS (SELECT lag(c) OVER o AS b, c AS c1, lead(c, 1) OVER o AS c2, lead(c, 2) OVER o AS c3, lead(c, 3) OVER o AS c4 FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT b, c1 AS gram, c2 AS a FROM w UNION ALL SELECT b, c1 || c2, c3 FROM w WHERE c2 IS NOT NULL UNION ALL SELECT b, c1 || c2 || c3, c4 FROM w WHERE c3 IS NOT NULL),
+s AS (SELECT gram, b, a, count(*) AS k FROM g GROUP BY ALL),
+l AS (SELECT gram, sum(k) AS n, ln(sum(k)) - sum(CASE WHEN b IS NULL THEN 0 ELSE k * ln(k) END) / sum(k) AS h FROM (SELECT gram, b, sum(k)::DOUBLE AS k FROM s GROUP BY ALL) GROUP BY gram),
+r AS (SELECT gram, ln(sum(k)) - sum(CASE WHEN a IS NULL THEN 0 ELSE k * ln(k) END) / sum(k) AS h FROM (SELECT gram, a, sum(k)::DOUBLE AS k FROM s GROUP BY ALL) GROUP BY gram),
+x AS (SELECT gram, l.n AS n, least(l.h, r.h) AS freedom FROM l JOIN r USING (gram)), t AS (SELECT sum(n) AS total FROM x WHERE length(gram) = 1),
+m AS (SELECT gram, n, unnest(range(1, length(gram))) AS at FROM x WHERE length(gram) > 1),
+y AS (SELECT m.gram, min(ln(m.n * total / (p.n * q.n))) AS cohesion FROM m, t, x p, x q WHERE p.gram = left(m.gram, m.at) AND q.gram = substring(m.gram, m.at + 1) GROUP BY m.gram)
+SELECT gram, n::BIGINT AS n, round(cohesion, 6) AS cohesion, round(freedom, 6) AS freedom FROM x LEFT JOIN y USING (gram)""")
+def string_statistics(spark, sf_dir):
+    """How strings of up to three letters hold together and vary in what surrounds them, over all texts written without spaces; words are learnt from this."""
+    runs = _docs(spark, sf_dir).select(F.regexp_replace(F.lower("text"), "[^a-z]+", "").alias("run"))
+    return lexicon.grams(runs, 3).select("gram", "n", F.round("cohesion", 6).alias("cohesion"), F.round("freedom", 6).alias("freedom"))
+
+
 # State of streams
 
 
