@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespark.functions.batches import bounded
 from lorespark.functions import text as T
 
 MODES = ("heading", "paragraph", "fixed")
@@ -224,7 +225,7 @@ def chunk_documents(docs: DataFrame, config: Config = Config()) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", *names, "discarded"])
 
     #: As text: pandas would turn whole numbers beside a null into doubles.
-    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, f"doc_id string, {CHUNK}, discarded long")
+    rows = docs.select(F.col("doc_id").cast("string"), "text").transform(bounded).mapInPandas(run, f"doc_id string, {CHUNK}, discarded long")
     return rows.withColumn("doc_id", F.col("doc_id").cast(doc_type)).withColumn("chunk_id", F.concat_ws("#", F.col("doc_id").cast("string"), "ordinal"))
 
 

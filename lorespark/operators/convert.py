@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespark.functions.batches import bounded
 from lorespark.functions import text as T
 
 RESULT = "text string, structure string, truncated boolean, failed boolean, error string"
@@ -429,7 +430,7 @@ def convert_files(files: DataFrame) -> DataFrame:
 
     from lorespark.operators.pdf import convert_pdfs
 
-    other = files.where(~F.coalesce(how.isin("verbatim", "pdf"), F.lit(False))).select("name", "content").mapInPandas(run, f"name string, {RESULT}")
+    other = files.where(~F.coalesce(how.isin("verbatim", "pdf"), F.lit(False))).select("name", "content").transform(bounded).mapInPandas(run, f"name string, {RESULT}")
     return plain.unionByName(other).unionByName(convert_pdfs(files))
 
 
@@ -443,7 +444,7 @@ def convert_html(rows: DataFrame, key: str, column: str) -> DataFrame:
             yield pd.DataFrame({"_key": pdf["_key"], "text": text, "structure": [None if t is None else grade_text(t) for t in text]})
 
     #: Keys go as text: pandas would turn whole numbers beside a null into doubles.
-    out = rows.select(F.col(key).cast("string").alias("_key"), F.col(column).alias("_html")).mapInPandas(run, "_key string, text string, structure string")
+    out = rows.select(F.col(key).cast("string").alias("_key"), F.col(column).alias("_html")).transform(bounded).mapInPandas(run, "_key string, text string, structure string")
     return out.select(F.col("_key").cast(kind).alias(key), "text", "structure")
 
 

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lorespark.functions.batches import bounded
+
 DIMENSION = 1024
 BATCH = 64
 RETRIES = 3
@@ -40,7 +42,7 @@ def bigram_buckets(docs: DataFrame, dimension: int = DIMENSION) -> DataFrame:
                 names=schema.names,
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(bounded).mapInArrow(run, schema)
 
 
 def bigram_vector(text: str, dimension: int = DIMENSION) -> np.ndarray:
@@ -98,4 +100,4 @@ def embedded(chunks: DataFrame, embed: EmbedFn, dimension: int, batch: int = BAT
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * dimension, pa.int32()), pa.array(flat, pa.float32()))
             yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, "vector"])
 
-    return chunks.mapInArrow(run, schema)
+    return chunks.transform(bounded).mapInArrow(run, schema)

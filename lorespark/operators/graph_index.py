@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.functions.batches import bounded
 from lorespark.functions import text as T
 from lorespark.operators.retrieval import ranked
 from lorespark.sources import snapshots
@@ -79,7 +80,7 @@ def _along(nodes: DataFrame, d: int, degree: int, seed: int) -> DataFrame:
                 ids, i = batch.column("node").slice(at, len(own)), np.repeat(np.arange(len(own)), k)
                 yield _pairs(ids.take(_whole(i)), ids.take(_whole(best.ravel())), s[i, best.ravel()])
 
-    return ordered.mapInArrow(run, f"src {kind}, dst {kind}, score float")
+    return ordered.transform(bounded).mapInArrow(run, f"src {kind}, dst {kind}, score float")
 
 
 def _whole(i: np.ndarray):
@@ -113,7 +114,7 @@ def _met(shown: DataFrame, d: int, kind: str) -> DataFrame:
                 i, j = np.concatenate(src), np.concatenate(dst)
                 yield _pairs(ids.take(_whole(i)), ids.take(_whole(j)), np.concatenate(score))
 
-    return shown.select("shown").mapInArrow(run, f"src {kind}, dst {kind}, score float")
+    return shown.select("shown").transform(bounded).mapInArrow(run, f"src {kind}, dst {kind}, score float")
 
 
 def _best(edges: DataFrame, degree: int) -> DataFrame:

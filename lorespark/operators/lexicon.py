@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.functions.batches import bounded
 from lorespark.functions.text import WIDE
 from lorespark.sources import snapshots
 
@@ -110,7 +111,7 @@ def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"run": pdf["run"], "words": [cut(r, {w["word"]: w["n"] for w in (() if o is None else o)}, total) for r, o in zip(pdf["run"], pdf["own"])]})
 
-    return runs.join(own, "run", "left").select("run", "own").mapInPandas(run_cut, "run string, words array<string>")
+    return runs.join(own, "run", "left").select("run", "own").transform(bounded).mapInPandas(run_cut, "run string, words array<string>")
 
 
 def tokens(rows: DataFrame, words: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.functions.batches import bounded
 from lorespark.functions import text as T
 from lorespark.operators.convert import RESULT, TEXT_LIMIT, cap_bytes, grade_text, pipe_table
 
@@ -354,4 +355,4 @@ def convert_pdfs(files: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([(n, *converted_pdf(bytes(c))) for n, c in zip(pdf["name"], pdf["content"])], columns=["name", *names])
 
-    return files.where(F.coalesce(T.format_of("name") == "pdf", F.lit(False))).select("name", "content").mapInPandas(run, f"name string, {RESULT}")
+    return files.where(F.coalesce(T.format_of("name") == "pdf", F.lit(False))).select("name", "content").transform(bounded).mapInPandas(run, f"name string, {RESULT}")

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.functions.batches import bounded
 from lorespark.functions import text as T
 from lorespark.operators import retrieval
 from lorespark.operators.graph_index import _unit
@@ -77,7 +78,7 @@ def coded(chunks: DataFrame, book: np.ndarray) -> DataFrame:
                     out[own, s] = _nearest(pieces[:, s], book[s])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in out], pa.binary())], names=["id", "codes"])
 
-    return rows.mapInArrow(run, f"id {kind}, codes binary")
+    return rows.transform(bounded).mapInArrow(run, f"id {kind}, codes binary")
 
 
 def candidates(codes: DataFrame, book: np.ndarray, queries: DataFrame, n: int) -> DataFrame:
@@ -116,7 +117,7 @@ def _scan(codes: DataFrame, book: np.ndarray, queries, n: int, kinds: str) -> Da
                 rows = np.repeat(np.arange(len(tables)), k)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows + at)), batch.column("id").take(pa.array(best.ravel())), pa.array(near[rows, best.ravel()])], names=["query_id", "id", "near"])
 
-    return codes.mapInArrow(run, kinds)
+    return codes.transform(bounded).mapInArrow(run, kinds)
 
 
 def search(chunks: DataFrame, codes: DataFrame, book: np.ndarray, queries: DataFrame, k: int, oversample: int = OVERSAMPLE) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from lorespark.functions.batches import bounded
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Hits of an hour are counted together and expire together.
@@ -63,7 +65,7 @@ def changed_documents(documents: DataFrame) -> DataFrame:
     at = F.coalesce(F.col("at").cast("double"), F.lit(0.0)) if "at" in documents.columns else F.lit(0.0)
     digest = F.coalesce(F.sha2("text", 256), F.lit(""))
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", at.alias("at"), digest.alias("digest"))
-    return rows.groupBy("doc_id").transformWithStateInPandas(_Changed(), "doc_id long, text string", "Append", "None")
+    return rows.transform(bounded).groupBy("doc_id").transformWithStateInPandas(_Changed(), "doc_id long, text string", "Append", "None")
 
 
 class _Live(StatefulProcessor):

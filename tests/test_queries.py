@@ -41,3 +41,16 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_python_stages_bound_their_batches(spark):
+    """Whatever ran before, a stage of the core bounds its batches, and long texts in one partition come through."""
+    from lorespark.functions.batches import BATCH_BYTES
+    from lorespark.operators.chunking import Config, chunk_documents
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = spark.range(30).selectExpr("id AS doc_id", "repeat('word and more. ', 70000) AS text").coalesce(1)
+    chunks = chunk_documents(docs, Config("fixed", 100_000, 0, 1))
+    assert spark.conf.get(name) == str(BATCH_BYTES)
+    assert chunks.select("doc_id").distinct().count() == 30
