@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lorespark.functions import text as T
 from lorespark.operators.retrieval import B, K1, MAX_QUERIES, ranked
@@ -46,15 +47,20 @@ def tokenized(rows: DataFrame) -> DataFrame:
 def counts(tokens: DataFrame, sign: int = 1) -> DataFrame:
     """(term, df, words) of tokenized documents; the empty term's row has the documents and words of all."""
     terms = tokens.select("dl", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg((sign * F.count("*")).alias("df"), F.lit(0).cast("long").alias("words"))
-    every = tokens.agg((sign * F.count("*")).alias("df"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("words")).select(F.lit("").alias("term"), "df", "words")
-    return terms.unionByName(every)
+    return terms.unionByName(_every(tokens, sign))
+
+
+def _every(tokens: DataFrame, sign: int = 1) -> DataFrame:
+    return tokens.agg((sign * F.count("*")).alias("df"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("words")).select(F.lit("").alias("term"), "df", "words")
 
 
 def blocks(tokens: DataFrame, update: int, span: int = SPAN) -> DataFrame:
     """(term, update, span, n, peak, avgdl, entries): posting blocks of tokenized documents."""
     total = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     spans, avgdl = max(1, -(-total["n"] // span)), max(1.0, total["avgdl"] or 0.0)
-    words = tokens.withColumn("span", F.pmod(F.xxhash64("id"), F.lit(spans)).cast("int")).select("id", "owner", "dl", "span", F.explode("tokens").alias("term"))
+    #: Documents are dealt by span before their words are counted: all that is grouped below lies in one partition already, so texts are shuffled once and words never.
+    dealt = tokens.withColumn("span", F.pmod(F.xxhash64("id"), F.lit(spans)).cast("int")).repartition("span")
+    words = dealt.select("id", "owner", "dl", "span", F.explode("tokens").alias("term"))
     tf = words.groupBy("term", "span", "id", "owner", "dl").agg(F.count("*").alias("tf"))
     #: A block holds a span's documents at most.
     made = tf.groupBy("term", "span").agg(
@@ -63,6 +69,11 @@ def blocks(tokens: DataFrame, update: int, span: int = SPAN) -> DataFrame:
     return made.select("term", F.lit(update).cast("long").alias("update"), "span", "n", "peak", F.lit(avgdl).alias("avgdl"), "entries")
 
 
+def _summed(t: Transaction, tokens: DataFrame, number: int) -> DataFrame:
+    """What ``counts`` gives for the documents whose blocks update ``number`` wrote, from the blocks' sizes."""
+    return t.written(POSTINGS).where(F.col("update") == number).groupBy("term").agg(F.sum("n").alias("df"), F.lit(0).cast("long").alias("words")).unionByName(_every(tokens))
+
+
 def update(t: Transaction, fresh: DataFrame, number: int, removed: DataFrame | None = None, owners: DataFrame | None = None) -> None:
     """Adds documents (id, owner, text) to the index as update ``number``, in place of all of their ``owners``; ``removed`` are the documents that go.
 
@@ -72,11 +83,11 @@ def update(t: Transaction, fresh: DataFrame, number: int, removed: DataFrame | N
     made = blocks(tokens, number)
     if removed is None or POSTINGS not in t.base["tables"]:
         t.replace(POSTINGS, made, "term", additive=True)
-        t.replace(COUNTS, counts(tokens), "term", additive=True)
+        t.replace(COUNTS, _summed(t, tokens, number), "term", additive=True)
         t.replace(MARKS, t.store.spark.createDataFrame([], "owner string, update long"), "owner", additive=True)
         return
     t.append(POSTINGS, made, "term", additive=True)
-    t.append(COUNTS, counts(tokens), "term", additive=True)
+    t.append(COUNTS, _summed(t, tokens, number), "term", additive=True)
     forget(t, removed, number, owners)
 
 
@@ -109,19 +120,23 @@ def search(store: Store, queries: DataFrame, k: int, record: dict | None = None,
     """(query_id, id, score, rank): the k documents of the best BM25 score for each query (query_id, text), by the index in a version of the store; of some ``owners`` only, if given."""
     spark, record = store.spark, record or store.record()
     terms = queries.select("query_id", F.explode(F.array_distinct(T.search_tokens("text"))).alias("term"))
-    few = terms.select("term").distinct().limit(MAX_QUERIES + 1).collect()
-    wanted = [r["term"] for r in few] if len(few) <= MAX_QUERIES else None
-    read = lambda name, keys: store.read(name, record, keys=keys)
-    known = read(COUNTS, None if wanted is None else [*wanted, ""])
-    total = known.where("term = ''").agg(F.sum("df").alias("n"), F.sum("words").alias("words")).first()
-    n = total["n"] or 0
-    if not n or wanted == []:
+    #: Few terms are looked up at once, so that all that follows joins a table of some thousand rows at most.
+    pairs = terms.limit(MAX_QUERIES + 1).collect()
+    few = len(pairs) <= MAX_QUERIES
+    wanted = sorted({r["term"] for r in pairs}) if few else None
+    known = store.read(COUNTS, record, keys=None if wanted is None else [*wanted, ""]).groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+    read = {r["term"]: r for r in (known if few else known.where("term = ''")).collect()}
+    n, words = (read[""]["df"], read[""]["words"]) if "" in read else (0, 0)
+    if not n or not pairs:
         return ranked(spark.createDataFrame([], "score double").crossJoin(queries.select("query_id").limit(0)).crossJoin(_ids(store, record)).select("query_id", "id", "score"), ["id"], k)
-    avgdl = max(total["words"] / n, 1e-9)
-    df = known.where("term <> ''").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    weights = terms.join(df, "term").select("query_id", "term", weight(F.lit(n), F.col("df")).alias("weight"))
-    weights = F.broadcast(weights) if wanted is not None and queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else weights
-    postings, marks = read(POSTINGS, wanted), store.read(MARKS, record)
+    avgdl = max(words / n, 1e-9)
+    if few:
+        rows = [(r["query_id"], r["term"], read[r["term"]]["df"]) for r in pairs if r["term"] in read and read[r["term"]]["df"] > 0]
+        weights = F.broadcast(spark.createDataFrame(rows, StructType([*terms.schema.fields, StructField("df", LongType())])).select("query_id", "term", weight(F.lit(n), F.col("df")).alias("weight")))
+    else:
+        weights = terms.join(known.where("term <> '' and df > 0"), "term").select("query_id", "term", weight(F.lit(n), F.col("df")).alias("weight"))
+    postings = store.read(POSTINGS, record, keys=wanted)
+    marks = store.read(MARKS, record) if any(part["rows"] for part in record["tables"][MARKS]["segments"]) else None
     #: The peak was taken at another mean length; it grows by the lengths' ratio at most.
     bound = F.col("weight") * F.col("peak") * F.greatest(F.lit(1.0), F.lit(avgdl) / F.col("avgdl"))
     spans = postings.select("term", "update", "span", "peak", "avgdl").join(weights, "term").groupBy("query_id", "update", "span").agg(F.sum(bound).alias("bound"))

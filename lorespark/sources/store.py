@@ -27,6 +27,8 @@ BUCKETS = 16
 #: Segments of a table from which small ones are merged after a commit.
 SEGMENTS = 8
 ATTEMPTS = 50
+#: Keys of a look-up that are dealt by expressions; more are dealt by a job.
+FEW_KEYS = 64
 
 
 class Conflict(RuntimeError):
@@ -133,8 +135,13 @@ class Store:
         only = None
         if keys is not None:
             kind = schema[table["key"]].dataType
-            values = [F.lit(k).cast(kind) for k in keys]
-            only = F.col("_bucket").isin(*[bucket_of(v, self.buckets) for v in values]) & F.col(table["key"]).isin(*values) if keys else F.lit(False)
+            values = [F.lit(k).cast(kind) for k in keys] if len(keys) <= FEW_KEYS or not all(isinstance(k, (str, int, type(None))) for k in keys) else None
+            buckets = [bucket_of(v, self.buckets) for v in values or []]
+            if values is None:  # one small job; as expressions each key would take several calls to the JVM
+                asked = self.spark.createDataFrame([(str(k),) for k in keys if k is not None], "k string").select(F.col("k").cast(kind).alias("k"))
+                dealt = asked.withColumn("b", bucket_of("k", self.buckets)).where("k is not null").collect()
+                values, buckets = sorted({r["k"] for r in dealt}), sorted({r["b"] for r in dealt})
+            only = F.col("_bucket").isin(*buckets) & F.col(table["key"]).isin(*values) if values else F.lit(False)
         return self._rows(name, table, table["segments"], only).select(*schema.names)
 
     def changes(self, name: str, since: int, upto: int | None = None) -> DataFrame | None:

@@ -55,6 +55,20 @@ def test_changes_and_versions(spark, tmp_path):
     assert s.vacuum(older_than=-10) > 0 and state(s) == sorted(want.items()) and len(s.versions()) == 1
 
 
+@pytest.mark.parametrize("kind, key", [("long", int), ("string", lambda i: f"k'{i}")])
+def test_many_keys_open_their_buckets(spark, tmp_path, kind, key):
+    s = S.Store(spark, str(tmp_path / "many"), buckets=64)
+    t = s.begin()
+    t.append("docs", spark.createDataFrame([(key(i), str(i)) for i in range(300)] + [(None, "none")], f"doc_id {kind}, text string"), "doc_id")
+    t.commit()
+    asked = [key(i) for i in range(250, 250 + 2 * S.FEW_KEYS)]
+    for keys in (asked, asked[:5], [*asked, None, asked[0]]):
+        assert sorted(r["text"] for r in s.read("docs", keys=keys).collect()) == sorted(str(i) for i in range(300) if key(i) in keys)
+    assert s.read("docs", keys=[None] * 100).count() == 0
+    one = [asked[0]] * (S.FEW_KEYS + 1)
+    assert "_bucket" in s.read("docs", keys=one)._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_bytes_follow_the_change(spark, tmp_path):
     s = S.Store(spark, str(tmp_path / "kb"), buckets=4)
     t = s.begin()
