@@ -172,6 +172,8 @@ class KnowledgeBase:
         place = F.row_number().over(Window.partitionBy("name").orderBy("_row"))
         seed = F.concat(F.lit(now), F.when(F.col("_place") > 1, F.concat(F.lit("#"), F.col("_place").cast("string"))).otherwise(""))
         named = rows.select("_row", "name", "reason", place.alias("_place")).select("_row", "reason", F.when(F.col("reason").isNull(), T.fnv1a_id("name", seed)).alias("doc_id"))
+        t = self._store(collection).begin()
+        named = self._apart(named, t.read("documents"))
         rows = rows.drop("reason").join(named, "_row")
         judged = rows.select("name", "doc_id", "reason")
         if self.quota is not None:
@@ -180,12 +182,25 @@ class KnowledgeBase:
             if used + incoming > self.quota:
                 return judged.select("name", F.lit(None).cast("string").alias("doc_id"), F.coalesce("reason", F.lit(f"over the quota by {used + incoming - self.quota} bytes")).alias("reason"))
         taken = rows.where("reason is null").select("doc_id", "name", "bytes", "content", F.lit(now).alias("at"))
-        t = self._store(collection).begin()
         t.append("sources", taken, "doc_id")
         t.append("documents", self._admitted(self._parsed(taken), t), "doc_id")
         t.commit()
         return judged
 
+    @staticmethod
+    def _apart(named: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Rows (_row, doc_id) whose ids differ from each other and from those of ``known`` documents.
+
+        Ids have 32 bits of a hash, which names share from some 100,000 on: the first document keeps the hash, later ones add ``-2`` and so on.
+        """
+        own = F.coalesce("doc_id", F.col("_row").cast("string"))  # rows that weren't taken have no id
+        place = F.row_number().over(Window.partitionBy(own).orderBy("_row"))
+        rows = named.withColumn("_place", place)
+        if known is not None:
+            there = known.groupBy(F.substring_index("doc_id", "-", 1).alias("doc_id")).agg(F.max(F.coalesce(F.regexp_extract("doc_id", "-([0-9]+)$", 1).try_cast("int"), F.lit(1))).alias("_last"))
+            rows = rows.join(there, "doc_id", "left").withColumn("_place", F.col("_place") + F.coalesce("_last", F.lit(0))).drop("_last")
+        return rows.withColumn("doc_id", F.when(F.col("_place") > 1, F.concat("doc_id", F.lit("-"), F.col("_place").cast("string"))).otherwise(F.col("doc_id"))).drop("_place")
+
     def _admitted(self, parsed: DataFrame, t) -> DataFrame:
         """Parsed documents; where their texts don't fit beside what is stored, the largest become failed, so that as many as can stay."""
         if self.quota is None:

@@ -143,3 +143,20 @@ def test_text_over_the_quota_fails_alone(spark, tmp_path):
     kb.add(c, files(spark, [("small.txt", "fits"), ("wide.csv", "\n".join([rows] * 12))]))
     found = {r["name"]: (r["status"], r["error"]) for r in kb.documents(c).collect()}
     assert found["small.txt"][0] == "pending" and found["wide.csv"] == ("failed", "its text is over the quota")
+
+
+def test_names_that_share_a_hash(spark, tmp_path, monkeypatch):
+    """Names whose hashes meet are documents of their own, in one upload and in later ones; each keeps its text and its chunks."""
+    from lorespark.functions import text as T
+
+    whole = T.fnv1a_id
+    monkeypatch.setattr(T, "fnv1a_id", lambda name, seed: F.concat(F.lit("doc_0000000"), F.right(whole(name, seed), F.lit(1))) if isinstance(name, str) else whole(name, seed))
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    c = kb.create("Shared")
+    for start in (0, 40):
+        kb.add(c, spark.createDataFrame([(f"n{i}.md", f"# T\n\nwords of number {i} for a chunk".encode()) for i in range(start, start + 40)], "name string, content binary"))
+        kb.build(c, Config("fixed", 512, 0, 1))
+    docs = kb.documents(c).collect()
+    assert len(docs) == len({d["doc_id"] for d in docs}) == 80 and all(f"number {d['name'][1:-3]} for" in d["text"] for d in docs)
+    chunks = kb.chunks(c).collect()
+    assert len(chunks) == 80 and {k["doc_id"] for k in chunks} == {d["doc_id"] for d in docs} and len({k["chunk_id"] for k in chunks}) == 80
