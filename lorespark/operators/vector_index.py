@@ -117,10 +117,7 @@ def probed(cells: DataFrame, model: KMeansModel, queries: DataFrame, k: int, pro
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
     asked = q.select("query_id", "q", F.explode(F.concat(F.array(F.lit(-1)), _nearest(F.col("q"), centres, probes))).alias("cell"))
-    rows = cells.select("id", "cell", F.col("vector").cast("array<double>").alias("v")).withColumn("_vn", T.norm("v"))
-    pairs = retrieval.met(rows, asked.withColumn("_qn", T.norm("q")), ["cell"]).where(F.size("v") == F.size("q"))
-    scored = pairs.select("query_id", "id", T.match_score(1 - T.cosine("v", "q", "_vn", "_qn")).alias("score"))
-    return retrieval.ranked(scored, [F.desc(F.round("score", 9)), "id"], k)
+    return retrieval.nearest(cells.select("id", "cell", F.col("vector").cast("array<double>").alias("v")), asked, ["cell"], k)
 
 
 def write_cells(cells: DataFrame, path: str) -> None:

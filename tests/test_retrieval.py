@@ -93,6 +93,30 @@ def test_many_queries_meet_in_blocks(spark, monkeypatch):
     assert {name: rounded(ask()) for name, ask in asked.items()} == few and all(few.values())
 
 
+def test_blocks_give_what_the_jvm_gives(spark, monkeypatch):
+    """Scores by blocks: odd vectors, ties by id, ids that repeat, more blocks than one; no row for each pair is made."""
+    rng = random.Random(6)
+    words = "apple pie plum tart fig cake".split()
+    odd = [None, [], [0.0] * 3, [float("nan"), 1.0, 0.0], [1.0, None, 0.0], [float("inf"), 1.0, 1.0], [1e200, 1e200, 0.0]]
+    vectors = [rng.choice([[1.0, 2.0, 3.0], [rng.gauss(0, 1) for _ in range(3 + i % 2)]]) for i in range(110)] + odd
+    rows = [(f"n{i % 113}", v, None if i % 10 == 9 else " ".join(rng.choice(words) for _ in range(1 + i % 7))) for i, v in enumerate(vectors)]
+    v = spark.createDataFrame(rows, "id string, vector array<double>, text string").repartition(3)
+    q = spark.createDataFrame([(i, x, t) for i, (_, x, t) in enumerate(rows) if i % 2 or i > 100], "query_id int, vector array<double>, text string").fillna("")
+    #: Scores are compared to nine digits: sums may be taken in another order.
+    shown = lambda df: sorted(tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in df.select(sorted(df.columns)).collect())
+    ask = [lambda: retrieval.dense(v, q, 7), lambda: retrieval.dense(v, q, 1000), lambda: retrieval.bm25(v, q, 7), lambda: vector_index.rescored(v.where("exists(vector, x -> x > 0) and forall(vector, x -> x < 9)").dropDuplicates(["id"]), q, 3)]
+    monkeypatch.setattr(retrieval, "FEW", 10_000)
+    few = [shown(a()) for a in ask]
+    for size in (20, 10_000):
+        for name, n in (("FEW", 0), ("ROW_BLOCK", size), ("MAX_QUERIES", size), ("SHARE_BLOCK", 3 * size)):
+            monkeypatch.setattr(retrieval, name, n)
+        for a, want in zip(ask, few):
+            got = shown(a())
+            assert want and not set(got) ^ set(want) and len(got) == len(want), sorted(set(got) ^ set(want))[:12]
+    plan = retrieval.dense(v, q, 7)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan.lower()
+
+
 def test_more_queries_than_are_broadcast(spark):
     v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, vector array<double>")
     q = spark.range(retrieval.MAX_QUERIES + 1).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), (F.col("id") % 5).cast("double")).alias("vector"))
