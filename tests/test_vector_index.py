@@ -56,3 +56,11 @@ def test_cells(spark, chunks, tmp_path):
     assert every == want
     few = {(r["query_id"], r["id"]) for r in V.probed(stored, model, q, 8, 2).collect()}
     assert len(few & {w[:2] for w in want}) >= 0.9 * len(want)
+
+
+def test_recalls_count_codes_and_cells(spark):
+    """The report holds every kind of index, cells too."""
+    from lorespark.plans import registry
+
+    got = {r["index"]: r for r in registry.queries()["index_recalls"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {"FP16", "INT8", "INT4", "cells"} and all(r["enough"] and r["exact"] == got["FP16"]["exact"] for r in got.values())
