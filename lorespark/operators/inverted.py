@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lorespark.functions import text as T
+from lorespark.operators import retrieval
 from lorespark.operators.retrieval import B, K1, MAX_QUERIES, ranked
 from lorespark.sources import snapshots
 from lorespark.sources.store import Store, Transaction
@@ -104,20 +105,28 @@ def documents(store: Store, record: dict | None = None) -> int:
     return 0 if known is None else known.agg(F.sum("df").alias("n")).first()["n"] or 0
 
 
-def _scores(found: DataFrame, marks: DataFrame | None, n: int, avgdl: float, owners: list | None = None) -> DataFrame:
-    """(query_id, id, score) from posting blocks that have the weight of the query's term."""
-    rows = found.select("query_id", "update", "weight", F.explode("entries").alias("e")).select("query_id", "update", "weight", "e.*")
+def _live(found: DataFrame, marks: DataFrame | None, avgdl: float, owners: list | None = None) -> DataFrame:
+    """Posting blocks as a row for each entry that isn't dead, with its ``share`` of a score; beside it the columns of ``found`` but the blocks' own."""
+    rows = found.select(*[c for c in found.columns if c != "entries"], F.explode("entries").alias("e")).select("*", "e.*").drop("e")
     if owners is not None:
         rows = rows.where(F.col("owner").isin(owners))
     if marks is not None:
         dead = marks.groupBy(F.col("owner").alias("_owner")).agg(F.max("update").alias("_last"))
         rows = rows.join(dead, (F.col("owner").cast("string") == F.col("_owner")) & (F.col("update") < F.col("_last")), "left_anti")
-    part = F.col("weight") * impact(F.col("tf"), F.col("dl"), F.lit(avgdl))
-    return rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
+    return rows.withColumn("share", impact(F.col("tf"), F.col("dl"), F.lit(avgdl)))
+
+
+def _scores(found: DataFrame, marks: DataFrame | None, avgdl: float, owners: list | None = None) -> DataFrame:
+    """(query_id, id, score) from posting blocks that have the weight of the query's term."""
+    rows = _live(found.select("query_id", "update", "weight", "entries"), marks, avgdl, owners)
+    return rows.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("share")), 9).alias("score"))
 
 
 def search(store: Store, queries: DataFrame, k: int, record: dict | None = None, first: int = FIRST, owners: list | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the k documents of the best BM25 score for each query (query_id, text), by the index in a version of the store; of some ``owners`` only, if given."""
+    """(query_id, id, score, rank): the k documents of the best BM25 score for each query (query_id, text), by the index in a version of the store; of some ``owners`` only, if given.
+
+    Blocks are left out by their bounds where the queries have some terms (``retrieval.FEW``); queries of more terms are scored together by blocks of documents.
+    """
     spark, record = store.spark, record or store.record()
     terms = queries.select("query_id", F.explode(F.array_distinct(T.search_tokens("text"))).alias("term"))
     #: Few terms are looked up at once, so that all that follows joins a table of some thousand rows at most.
@@ -137,12 +146,17 @@ def search(store: Store, queries: DataFrame, k: int, record: dict | None = None,
         weights = terms.join(known.where("term <> '' and df > 0"), "term").select("query_id", "term", weight(F.lit(n), F.col("df")).alias("weight"))
     postings = store.read(POSTINGS, record, keys=wanted)
     marks = store.read(MARKS, record) if any(part["rows"] for part in record["tables"][MARKS]["segments"]) else None
+    if len(pairs) > retrieval.FEW:
+        #: Many queries together need most blocks of their terms: each is read once for all of them.
+        shares = _live(postings.join(retrieval._few(weights.select("term").distinct()), "term", "left_semi").select("term", "update", "entries"), marks, avgdl, owners)
+        held = postings.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        return retrieval.best_sums(shares.select("term", "id", "share"), weights, k, False, (n, held))
     #: The peak was taken at another mean length; it grows by the lengths' ratio at most.
     bound = F.col("weight") * F.col("peak") * F.greatest(F.lit(1.0), F.lit(avgdl) / F.col("avgdl"))
     spans = postings.select("term", "update", "span", "peak", "avgdl").join(weights, "term").groupBy("query_id", "update", "span").agg(F.sum(bound).alias("bound"))
     spans = snapshots.kept(spans, "bounds")
     chosen = ranked(spans, [F.desc("bound"), "update", "span"], max(first, -(-AHEAD * k // SPAN))).select("query_id", "update", "span")
-    blocks_of = lambda some: _scores(postings.join(weights, "term").join(some, ["query_id", "update", "span"], "left_semi"), marks, n, avgdl, owners)
+    blocks_of = lambda some: _scores(postings.join(weights, "term").join(some, ["query_id", "update", "span"], "left_semi"), marks, avgdl, owners)
     ahead = snapshots.kept(blocks_of(chosen), "ahead")
     least = ranked(ahead, [F.desc("score"), "id"], k).groupBy("query_id").agg(F.max("rank").alias("_n"), F.min("score").alias("_least")).where(F.col("_n") >= k).select("query_id", "_least")
     rest = spans.join(least, "query_id", "left").where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - 1e-6)).select("query_id", "update", "span")

@@ -72,3 +72,23 @@ def test_reads_its_terms_buckets_and_skips_spans(spark, tmp_path):
         inverted._scores = inner
     assert len(got) == 5 and {r["id"] % 500 for r in got} == {0}
     assert sum(x.count() for x in scored) == 16 and read.where("term = 'common'").count() == 63
+
+
+def test_many_queries_read_each_block_once(spark, tmp_path, corpus, monkeypatch):
+    """Queries of many terms are summed up by blocks of documents, after changes and removals: the rows of the scan, without a row for each query and document."""
+    store = Store(spark, str(tmp_path), buckets=4)
+    rng = random.Random(9)
+    queries = spark.createDataFrame([(i, " ".join(rng.choice(["w0", "w1", "w9", "知識庫", "none"]) for _ in range(3))) for i in range(40)], "query_id long, text string")
+    live = {i: x for i, x in corpus.items() if i % 5}
+    fresh = {i: (x or "") + " w1 w9" for i, x in live.items() if i < 150}
+    for number, (rows, gone) in enumerate([(live, None), (fresh, {i: live[i] for i in fresh})], 1):
+        t = store.begin()
+        inverted.update(t, frame(spark, list(rows.items())), number, None if gone is None else frame(spark, list(gone.items())), None if gone is None else frame(spark, list(gone.items())))
+        t.commit()
+    live |= fresh
+    want = listed(retrieval.bm25(frame(spark, list(live.items())).select("id", "text"), queries, 7))
+    for size in (100, 10_000):
+        for name in ("ROW_BLOCK", "SHARE_BLOCK", "MAX_QUERIES"):
+            monkeypatch.setattr(retrieval, name, size)
+        found = inverted.search(store, queries, 7)
+        assert listed(found) == want and "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
