@@ -29,3 +29,18 @@ def test_log(spark, tmp_path):
     assert [r["message"] for r in files.tail_log(spark, path, schema, n=2).collect()] == ["m1", "m2"]
     with pytest.raises(Exception):
         files.read_json_or_none(spark, str(tmp_path / "log" / "part-torn.json"))
+
+
+def test_a_log_of_several_files(spark, tmp_path):
+    """Lines go on from file to file by name; only the last file's end may be torn."""
+    import pytest
+
+    from lorespark.sources import snapshots
+
+    for name, text in (("part-00000", '{"id": 1}\n{"id": 2}\n'), ("part-00001", "\n" * 400 + '{"id": 3}\n{"i')):
+        (tmp_path / name).write_text(text)
+    rows, torn = snapshots.read_log(spark, str(tmp_path), "id long")
+    assert [r["id"] for r in rows.collect()] == [1, 2, 3] and torn == 1
+    (tmp_path / "part-00002").write_text('{"id": 4}\n')
+    with pytest.raises(ValueError):
+        snapshots.read_log(spark, str(tmp_path), "id long")
