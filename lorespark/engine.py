@@ -171,10 +171,12 @@ class KnowledgeBase:
         rows = snapshots.kept(judged.withColumn("_row", F.monotonically_increasing_id()), "upload")
         place = F.row_number().over(Window.partitionBy("name").orderBy("_row"))
         seed = F.concat(F.lit(now), F.when(F.col("_place") > 1, F.concat(F.lit("#"), F.col("_place").cast("string"))).otherwise(""))
-        named = rows.select("_row", "name", "reason", place.alias("_place")).select("_row", "reason", F.when(F.col("reason").isNull(), T.fnv1a_id("name", seed)).alias("doc_id"))
+        usual = F.when(F.col("reason").isNull(), T.fnv1a_id("name", F.lit(now)))
+        named = rows.select("_row", "name", "reason", place.alias("_place")).select("_row", usual.alias("_usual"), F.when(F.col("reason").isNull(), T.fnv1a_id("name", seed)).alias("doc_id"))
         t = self._store(collection).begin()
-        named = self._apart(named, t.read("documents"))
-        rows = rows.drop("reason").join(named, "_row")
+        #: Names repeat and hashes meet seldom: those rows alone are kept, and where they are few no content is shuffled for its id.
+        named = snapshots.kept(self._apart(named, t.read("documents")).where("doc_id <> _usual").select("_row", F.col("doc_id").alias("_other")), "ids")
+        rows = rows.join(named, "_row", "left").withColumn("doc_id", F.coalesce("_other", usual)).drop("_other")
         judged = rows.select("name", "doc_id", "reason")
         if self.quota is not None:
             incoming = rows.where("reason is null").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
@@ -183,7 +185,7 @@ class KnowledgeBase:
                 return judged.select("name", F.lit(None).cast("string").alias("doc_id"), F.coalesce("reason", F.lit(f"over the quota by {used + incoming - self.quota} bytes")).alias("reason"))
         taken = rows.where("reason is null").select("doc_id", "name", "bytes", "content", F.lit(now).alias("at"))
         t.append("sources", taken, "doc_id")
-        t.append("documents", self._admitted(self._parsed(taken), t), "doc_id")
+        t.append("documents", self._admitted(self._parsed(t.written("sources")), t), "doc_id", dealt="ordered")
         t.commit()
         return judged
 
@@ -224,10 +226,14 @@ class KnowledgeBase:
     @staticmethod
     def _parsed(taken: DataFrame) -> DataFrame:
         """Document records of files (doc_id, name, bytes, content, at)."""
-        #: The id goes before the name as its folder, so that files of one name keep apart.
-        text = convert.convert_files(taken.select(F.concat("doc_id", F.lit("/"), F.coalesce("name", F.lit(""))).alias("name"), "content"))
-        text = text.withColumn("doc_id", F.substring_index("name", "/", 1)).drop("name")
-        return taken.drop("content").join(text, "doc_id").select(
+        #: What is known of a file goes before its name as folders, so that files of one name keep apart and texts meet their facts without a shuffle.
+        facts = F.concat_ws("/", "doc_id", F.coalesce(F.col("bytes").cast("string"), F.lit("")), F.coalesce("at", F.lit("")), F.col("name").isNull().cast("string"), F.coalesce("name", F.lit("")))
+        part = F.split("name", "/", 5)
+        text = convert.convert_files(taken.select(facts.alias("name"), "content")).withColumn("_f", part)
+        text = text.withColumns({
+            "doc_id": F.col("_f")[0], "bytes": F.col("_f")[1].try_cast("long"), "at": F.when(F.col("_f")[2] != "", F.col("_f")[2]), "name": F.when(F.col("_f")[3] == "false", F.col("_f")[4]),
+        })
+        return text.select(
             "doc_id", "name", "text", "bytes", F.when(F.col("failed"), "failed").otherwise("pending").alias("status"), F.lit(None).cast("long").alias("chunks"),
             "structure", F.when(T.format_of("name") != "verbatim", T.format_of("name")).alias("converter"), "error", "at",
         )
@@ -304,14 +310,15 @@ class KnowledgeBase:
         fresh = embed.embedded(chunks, self.embedder, self.dimension, count=made)
         self._at_phase(collection, "chunks", documents=pending.count(), embedded=made)
         version = (served or {}).get("version", 0) + 1
-        part = t.upsert("chunks", fresh, "doc_id", pending.select("doc_id")) if viable else t.replace("chunks", fresh, "doc_id")
+        #: Chunks come from the documents' files, which are dealt by the same key: vectors are neither shuffled nor sorted.
+        part = t.upsert("chunks", fresh, "doc_id", pending.select("doc_id"), dealt="ordered") if viable else t.replace("chunks", fresh, "doc_id", dealt="ordered")
         self._at_phase(collection, "index")
         old = t.read("chunks").join(pending.select("doc_id"), "doc_id", "left_semi") if viable else None
         inverted.update(t, _indexed(t.written("chunks")), version, None if old is None else _indexed(old), pending.select(F.col("doc_id").alias("owner")))
         self._at_phase(collection, "documents")
-        counts = t.written("chunks").groupBy("doc_id").agg(F.count("*").alias("n"))
+        counts = snapshots.kept(t.written("chunks").groupBy("doc_id").agg(F.count("*").alias("n")), "counts")
         marked = pending.join(counts, "doc_id", "left").withColumns({"chunks": F.coalesce("n", F.lit(0)).cast("long"), "status": F.lit("ready")})
-        n = t.upsert("documents", marked.select(docs.columns), "doc_id")["rows"]
+        n = t.upsert("documents", marked.select(docs.columns), "doc_id", dealt="ordered")["rows"]
         left = rows - old.count() if viable else 0
 
         def removed(key, keys) -> None:

@@ -11,10 +11,12 @@ marks say that an owner's postings of earlier updates are dead. All three are ad
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from lorespark.functions.batches import bounded
 from lorespark.functions import text as T
 from lorespark.operators import retrieval
 from lorespark.operators.retrieval import B, K1, MAX_QUERIES, ranked
@@ -24,6 +26,8 @@ from lorespark.sources.store import Store, Transaction
 SPAN = 128
 #: Spans of the largest bounds that a query scores first.
 FIRST = 16
+#: Words of a partition that blocks are made in, at most and, where they are few, at least.
+MOST_WORDS, LEAST_WORDS = 4_000_000, 250_000
 #: Documents scored before the others' bounds are compared, as a multiple of k.
 AHEAD = 2
 POSTINGS, COUNTS, MARKS = "text_postings", "text_counts", "text_marks"
@@ -39,56 +43,91 @@ def weight(n, df):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def _tokens():
+    return T.search_tokens(F.coalesce("text", F.lit("")))
+
+
 def tokenized(rows: DataFrame) -> DataFrame:
     """(id, owner, tokens, dl) of documents (id, owner, text), written once: texts are cut into words in one pass."""
-    tokens = rows.select("id", "owner", T.search_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    tokens = rows.select("id", "owner", _tokens().alias("tokens"))
     return snapshots.kept(tokens.withColumn("dl", F.size("tokens").cast("long")), "tokens")
 
 
 def counts(tokens: DataFrame, sign: int = 1) -> DataFrame:
     """(term, df, words) of tokenized documents; the empty term's row has the documents and words of all."""
     terms = tokens.select("dl", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg((sign * F.count("*")).alias("df"), F.lit(0).cast("long").alias("words"))
-    return terms.unionByName(_every(tokens, sign))
+    every = tokens.agg((sign * F.count("*")).alias("df"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("words"))
+    return terms.unionByName(every.select(F.lit("").alias("term"), "df", "words"))
 
 
-def _every(tokens: DataFrame, sign: int = 1) -> DataFrame:
-    return tokens.agg((sign * F.count("*")).alias("df"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("words")).select(F.lit("").alias("term"), "df", "words")
+def _kind(rows: DataFrame) -> str:
+    """The schema of the posting blocks of documents (id, owner)."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "owner")}
+    return f"term string, span int, n long, peak double, entries array<struct<id:{kinds['id']},owner:{kinds['owner']},tf:bigint,dl:bigint>>"
 
 
-def blocks(tokens: DataFrame, update: int, span: int = SPAN) -> DataFrame:
-    """(term, update, span, n, peak, avgdl, entries): posting blocks of tokenized documents."""
-    total = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    spans, avgdl = max(1, -(-total["n"] // span)), max(1.0, total["avgdl"] or 0.0)
-    #: Documents are dealt by span before their words are counted: all that is grouped below lies in one partition already, so texts are shuffled once and words never.
-    dealt = tokens.withColumn("span", F.pmod(F.xxhash64("id"), F.lit(spans)).cast("int")).repartition("span")
-    words = dealt.select("id", "owner", "dl", "span", F.explode("tokens").alias("term"))
-    tf = words.groupBy("term", "span", "id", "owner", "dl").agg(F.count("*").alias("tf"))
-    #: A block holds a span's documents at most.
-    made = tf.groupBy("term", "span").agg(
-        F.count("*").alias("n"), F.max(impact(F.col("tf"), F.col("dl"), F.lit(avgdl))).alias("peak"), F.array_sort(F.collect_list(F.struct("id", "owner", "tf", "dl"))).alias("entries")
-    )
+def blocks(rows: DataFrame, update: int, total: tuple[int, int], span: int = SPAN) -> DataFrame:
+    """(term, update, span, n, peak, avgdl, entries): posting blocks of documents (id, owner, text); ``total``: how many documents and words there are.
+
+    What is shuffled is texts, once, by span; words are cut and counted where a span's documents have met.
+    """
+    n, words = total
+    spans, avgdl = max(1, -(-n // span)), max(1.0, words / n if n else 0.0)
+    few = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // LEAST_WORDS))
+    dealt = rows.select("id", "owner", "text", F.pmod(F.xxhash64("id"), F.lit(spans)).cast("int").alias("span")).repartition(max(1, -(-words // MOST_WORDS), few), "span")
+    kind = _kind(dealt)
+
+    def run(key, docs):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        tokens = docs.column("tokens").combine_chunks()
+        dl = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        #: Rows that repeat an id, owner and length count together, in order of the id.
+        place = {d: None for d in zip(docs.column("id").to_pylist(), docs.column("owner").to_pylist(), dl.tolist())}
+        order = sorted(place, key=lambda d: [(x is not None, x) for x in d])
+        place = {d: i for i, d in enumerate(order)}
+        own = np.array([place[d] for d in zip(docs.column("id").to_pylist(), docs.column("owner").to_pylist(), dl.tolist())], np.int64)
+        known = tokens.flatten().dictionary_encode()
+        pair, tf = np.unique(known.indices.to_numpy().astype(np.int64) * len(order) + np.repeat(own, dl), return_counts=True)
+        term, doc = np.divmod(pair, len(order))
+        length = np.array([d[2] for d in order], np.int64)[doc]
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        share = impact(tf, length, avgdl)
+        ids = [pa.array([d[i] for d in order], docs.schema.field(c).type).take(pa.array(doc)) for i, c in enumerate(("id", "owner"))]
+        entries = pa.StructArray.from_arrays([*ids, pa.array(tf.astype(np.int64)), pa.array(length)], ["id", "owner", "tf", "dl"])
+        ends = np.r_[first, len(term)]
+        peak = np.maximum.reduceat(share, first) if len(first) else np.empty(0)
+        return pa.table({
+            "term": known.dictionary.take(pa.array(term[first])), "span": pa.array(np.full(len(first), key[0].as_py(), np.int32)), "n": pa.array(np.diff(ends)),
+            "peak": pa.array(peak), "entries": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries),
+        })
+
+    cut = dealt.select("id", "owner", "span", _tokens().alias("tokens"))
+    made = cut.transform(bounded).groupBy("span").applyInArrow(run, kind)
     return made.select("term", F.lit(update).cast("long").alias("update"), "span", "n", "peak", F.lit(avgdl).alias("avgdl"), "entries")
 
 
-def _summed(t: Transaction, tokens: DataFrame, number: int) -> DataFrame:
+def _summed(t: Transaction, total: tuple[int, int], number: int) -> DataFrame:
     """What ``counts`` gives for the documents whose blocks update ``number`` wrote, from the blocks' sizes."""
-    return t.written(POSTINGS).where(F.col("update") == number).groupBy("term").agg(F.sum("n").alias("df"), F.lit(0).cast("long").alias("words")).unionByName(_every(tokens))
+    every = t.store.spark.createDataFrame([("", *total)], _COUNTS)
+    return t.written(POSTINGS).where(F.col("update") == number).groupBy("term").agg(F.sum("n").alias("df"), F.lit(0).cast("long").alias("words")).unionByName(every)
 
 
 def update(t: Transaction, fresh: DataFrame, number: int, removed: DataFrame | None = None, owners: DataFrame | None = None) -> None:
     """Adds documents (id, owner, text) to the index as update ``number``, in place of all of their ``owners``; ``removed`` are the documents that go.
 
-    Numbers grow from update to update. Without ``removed`` the index is made anew.
+    Numbers grow from update to update. Without ``removed`` the index is made anew. ``fresh`` is read twice: its words are counted before its blocks are made.
     """
-    tokens = tokenized(fresh)
-    made = blocks(tokens, number)
+    total = tuple(fresh.agg(F.count("*"), F.coalesce(F.sum(F.size(_tokens())), F.lit(0)).cast("long")).first())
+    made = blocks(fresh, number, total)
     if removed is None or POSTINGS not in t.base["tables"]:
-        t.replace(POSTINGS, made, "term", additive=True)
-        t.replace(COUNTS, _summed(t, tokens, number), "term", additive=True)
+        t.replace(POSTINGS, made, "term", additive=True, dealt="sorted")
+        t.replace(COUNTS, _summed(t, total, number), "term", additive=True)
         t.replace(MARKS, t.store.spark.createDataFrame([], "owner string, update long"), "owner", additive=True)
         return
-    t.append(POSTINGS, made, "term", additive=True)
-    t.append(COUNTS, _summed(t, tokens, number), "term", additive=True)
+    t.append(POSTINGS, made, "term", additive=True, dealt="sorted")
+    t.append(COUNTS, _summed(t, total, number), "term", additive=True)
     forget(t, removed, number, owners)
 
 
