@@ -16,12 +16,15 @@ from lorespark.functions.batches import bounded
 from lorespark.functions import text as T
 from lorespark.operators import retrieval
 from lorespark.operators.graph_index import _unit
+from lorespark.sources import snapshots
 
 SUBSPACES, CODES, FIT, ITERATIONS = 16, 256, 16_384, 12
 #: Candidates that are scored again, as a multiple of k.
 OVERSAMPLE = 8
 #: Queries whose tables are made at once.
 AT_ONCE = 128
+#: Codes that are scored at once.
+ROWS = 4_096
 
 
 def _pieces(v: np.ndarray, subspaces: int) -> np.ndarray:
@@ -83,7 +86,9 @@ def coded(chunks: DataFrame, book: np.ndarray) -> DataFrame:
 
 def candidates(codes: DataFrame, book: np.ndarray, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, near) of the n rows of the largest table sums for each query (query_id, vector); queries go out in blocks of a bounded size."""
-    q = _unit(queries, "query_id").select("query_id", "v")
+    q = snapshots.kept(_unit(queries, "query_id").select("query_id", "v"), "asked")
+    #: Read once for each block of queries; coding them goes to Python too, and two stages of it in one task would each hold a worker.
+    codes = snapshots.kept(codes, "codes")
     blocks = max(1, -(-q.count() // retrieval.MAX_QUERIES))
     kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {codes.schema['id'].dataType.simpleString()}, near float"
     out = None
@@ -96,19 +101,21 @@ def candidates(codes: DataFrame, book: np.ndarray, queries: DataFrame, n: int) -
 
 def _scan(codes: DataFrame, book: np.ndarray, queries, n: int, kinds: str) -> DataFrame:
     subspaces, _, width = book.shape
-    ids, vectors = queries.column("query_id").combine_chunks(), [np.asarray(x, np.float32) for x in queries.column("v").to_pylist()]
+    ids, lists = queries.column("query_id").combine_chunks(), queries.column("v").combine_chunks()
+    sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    asked, starts = np.zeros((len(sizes), subspaces * width), np.float32), np.r_[0, np.cumsum(sizes)[:-1]]
+    for d in np.unique(sizes):
+        own, m = np.flatnonzero(sizes == d), min(d, asked.shape[1])
+        asked[own, :m] = flat[starts[own][:, None] + np.arange(m)]
+    asked = asked.reshape(len(sizes), subspaces, width)
 
     def run(batches):
         import pyarrow as pa
 
-        q = np.zeros((len(vectors), subspaces * width), np.float32)
-        for i, x in enumerate(vectors):
-            q[i, : min(len(x), q.shape[1])] = x[: q.shape[1]]
-        q = q.reshape(len(vectors), subspaces, width)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             c = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, subspaces)
-            for at in range(0, len(q), AT_ONCE):
-                tables = np.einsum("qsw,scw->qsc", q[at : at + AT_ONCE], book)
+            for at in range(0, len(asked), AT_ONCE):
+                tables = np.einsum("qsw,scw->qsc", asked[at : at + AT_ONCE], book)
                 near = np.zeros((len(tables), len(c)), np.float32)
                 for s in range(subspaces):
                     near += tables[:, s, c[:, s]]
