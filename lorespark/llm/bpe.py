@@ -3,8 +3,8 @@
 Frequent words of the corpus (at most LEXICON_WORDS of them, a bound on the lexicon's size) are compiled with their
 token ids into a minimal acyclic transducer: states that accept the same suffixes are shared, and the numbers on a
 word's path add up to its index into the table of ids. The driver compiles it once; each Python worker
-memory-maps the image and looks up all new words of a batch at once. Words that it lacks are merged exactly
-by the vocabulary's merge ranks, so the lexicon changes speed, never ids.
+memory-maps the image and looks up all words of a batch at once, each distinct one once. Words that it lacks are merged exactly
+by the vocabulary's merge ranks, side by side, so the lexicon changes speed, never ids.
 
 Texts are normalised and cut into words by Python's Unicode tables. Where these differ from the tokenizers library's, which is of another
 Unicode version (``odd_characters``), a piece of text that holds such a character is normalised and cut by the library.
@@ -24,7 +24,6 @@ import unicodedata
 import uuid
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +31,18 @@ from pyspark.sql import functions as F
 from .common import discard, id_column, stored, text_batches, with_nulls
 
 LEXICON_WORDS = 65_536
-#: Distinct whitespace-delimited pieces whose encodings a worker remembers; beyond it starts anew.
-REMEMBERED = 600_000
+#: Bytes of text that are encoded at once.
+AT_ONCE = 4 << 20
+#: Bytes of words that are merged side by side, by classes of length; longer ones are merged alone.
+TOGETHER = (8, 16, 32, 64)
 _NEVER = 1 << 60
+#: Above any token id.
+_PAIR = 1 << 31
 #: White space of the tokenizers library's \s (Unicode White_Space).
 _SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPLIT = re.compile(f"[{_SPACE}]+")
+#: White space beyond ASCII, as the pattern of Arrow's replacement.
+_WIDE_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _SPACE if c > "\x7f") + "]"
 
 
 def byte_symbols() -> list[str]:
@@ -96,7 +100,7 @@ class WordBpe:
 
     def __init__(self, spec: dict, odd: str = ""):
         self.spec, self.library = spec, None
-        self.odd = re.compile(f"[{odd}]").search if odd else lambda _: None
+        self._odd, self._plain = re.compile(f"[{odd}]").search if odd else lambda _: None, set()
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -113,10 +117,26 @@ class WordBpe:
         symbols = byte_symbols()
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.suffix] for s in symbols]
+        #: The same ranks as arrays: pairs in order with their ranks, and those of two bytes, the second within or at the end of a word.
+        keys, ranks = (np.fromiter(x, np.int64, len(self.merges)) for x in ((a * _PAIR + b for a, b in self.merges), self.merges.values()))
+        order = np.argsort(keys)
+        self._keys, self._ranks, self._made = keys[order], ranks[order], np.array(self.made, np.int64)
+        self._first = np.array([self.inner, self.last], np.int64)
+        self._begin = [self._rank(self._first[0][:, None], x[None]) for x in self._first]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{_SPACE}"))
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def odd(self, piece: str) -> bool:
+        """Whether a piece holds an odd character; characters that were found plain are remembered."""
+        if self._plain.issuperset(piece):
+            return False
+        new = set(piece) - self._plain
+        if self._odd("".join(new)):
+            return True
+        self._plain |= new
+        return False
+
     def words(self, piece: str) -> list[str]:
         """Normalised words of a piece; lower-casing is by character, as the library does it."""
         if not piece.isascii() and self.odd(piece):
@@ -133,7 +153,9 @@ class WordBpe:
 
     def merge(self, word: str) -> list[int]:
         """Token ids of one word by merging the adjacent pair of least rank until none is left."""
-        raw = word.encode("utf-8", "replace")
+        return self._merge_bytes(word.encode("utf-8", "replace"))
+
+    def _merge_bytes(self, raw: bytes) -> list[int]:
         ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         if len(ids) > 512:
             return self._merge_long(ids)
@@ -149,6 +171,67 @@ class WordBpe:
                 ranks[i - 1] = find((ids[i - 1], new), _NEVER)
         return ids
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair of ids; what is no pair (or below 0) has none."""
+        want = a * _PAIR + b
+        if not len(self._keys):
+            return np.full(want.shape, _NEVER)
+        at = np.minimum(np.searchsorted(self._keys, want), len(self._keys) - 1)
+        return np.where((self._keys[at] == want) & (a >= 0) & (b >= 0), self._ranks[at], _NEVER)
+
+    def merge_all(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of each word (at least one byte) in a text: all ids in a row, and how many each word has."""
+        found, counts, order = [], np.zeros(len(starts), np.int64), []
+        for least, most in zip((0, *TOGETHER), TOGETHER):
+            some = np.flatnonzero((sizes > least) & (sizes <= most))
+            for at in range(0, len(some), 1 << 14):
+                part = some[at : at + (1 << 14)]
+                ids = self._merge_some(text, starts[part], sizes[part], most)
+                counts[part] = (ids >= 0).sum(axis=1)
+                found.append(ids[ids >= 0])
+                order.append(part)
+        for i in np.flatnonzero(sizes > TOGETHER[-1]).tolist():
+            ids = self._merge_bytes(text[starts[i] : starts[i] + sizes[i]].tobytes())
+            counts[i] = len(ids)
+            found.append(np.array(ids, np.int64))
+            order.append(np.array([i]))
+        if not order:
+            return np.empty(0, np.int64), counts
+        order = np.concatenate(order)
+        begins = np.empty(len(counts), np.int64)
+        begins[order] = np.cumsum(counts[order]) - counts[order]
+        return gathered(np.concatenate(found), begins, counts)[0], counts
+
+    def _merge_some(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+        """Token ids (-1 behind the last) of words of at most ``width`` bytes: in each step every word merges its leftmost pair of least rank."""
+        column, row = np.arange(width), np.arange(len(starts))
+        text = text[np.minimum(starts[:, None] + column, len(text) - 1)]
+        ids = np.where(column < sizes[:, None], self._first[0][text], -1)
+        ids[row, sizes - 1] = self._first[1][text[row, sizes - 1]]
+        out = ids.copy()
+        ids = np.column_stack([ids, np.full(len(row), -1)])
+        ranks = np.full((len(row), width + 1), _NEVER)
+        ranks[:, : width - 1] = np.where(column[1:] < sizes[:, None] - 1, self._begin[0][text[:, :-1], text[:, 1:]], _NEVER)
+        two = np.flatnonzero(sizes > 1)
+        ranks[two, sizes[two] - 2] = self._begin[1][text[two, sizes[two] - 2], text[two, sizes[two] - 1]]
+        while True:
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(row)), at]
+            live = best < _NEVER
+            if not live.all():
+                out[row[~live]] = ids[~live, :-1]
+                row, ids, ranks, at, best = (x[live] for x in (row, ids, ranks, at, best))
+            if not len(row):
+                return out
+            n, new = np.arange(len(row)), self._made[best]
+            ids[n, at] = new
+            # the second id of the pair goes, and so does the pair's rank; the last column is padding and stays so
+            ids[:, :-1] = np.take_along_axis(ids, column[None] + (column[None] > at[:, None]), 1)
+            ranks[:, :-1] = np.take_along_axis(ranks, column[None] + (column[None] >= at[:, None]), 1)
+            ranks[n, at] = self._rank(new, ids[n, at + 1])
+            inside = np.flatnonzero(at > 0)
+            ranks[inside, at[inside] - 1] = self._rank(ids[inside, at[inside] - 1], new[inside])
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges through a heap, for words of any length in n log n steps."""
         import heapq
@@ -271,15 +354,19 @@ class Lexicon:
         if not words or not len(self.keys):
             return np.full(len(words), -1, np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        text = np.frombuffer(b"".join(words), np.uint8)
-        state, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        accepts, live = np.zeros(len(words), bool), np.flatnonzero(sizes > 0)
+        return self.find_in(np.frombuffer(b"".join(words), np.uint8), np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+
+    def find_in(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The same of words within a text."""
+        if not len(sizes) or not len(self.keys):
+            return np.full(len(sizes), -1, np.int64)
+        state, total = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        accepts, live = np.zeros(len(sizes), bool), np.flatnonzero(sizes > 0)
         for i in range(int(sizes.max())):
             live = live[sizes[live] > i]
             if not len(live):
                 break
-            want = state[live] << 8 | text[starts[live] + i]
+            want = state[live] << 8 | text[starts[live] + i].astype(np.int64)
             at = np.searchsorted(self.keys, want)
             at[at == len(self.keys)] = 0
             hit = self.keys[at] == want
@@ -294,44 +381,124 @@ class Lexicon:
         return self.ids[self.offsets[index] : self.offsets[index + 1]].tolist()
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``values`` one behind the other, and where each begins (and the last ends)."""
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    return values[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
+def _texts(column):
+    """An Arrow array of strings as (bytes, where each begins, and the last ends)."""
+    _, places, text = column.buffers()
+    ends = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if places else np.zeros(1, np.int64)
+    return np.frombuffer(text or b"", np.uint8), ends
+
+
 class Encoder:
-    """Encodes pieces between white space and remembers them."""
+    """Encodes whole columns of texts: Arrow cuts them at white space, and each distinct piece and word of a batch is encoded once."""
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon):
-        self.bpe, self.lexicon, self.known = bpe, lexicon, {}
-        self.shared = {i: i for i in bpe.names}  # one object for each id, however many pieces hold it
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(pieces)
-        split = [self.bpe.words(p) for p in new]
-        words = list({w for s in split for w in s})
-        found = self.lexicon.find([w.encode("utf-8", "replace") for w in words])
-        ids = {w: self.lexicon.of(i) if i >= 0 else self.bpe.merge(w) for w, i in zip(words, found.tolist())}
-        for p, s in zip(new, split):
-            self.known[p] = tuple(self.shared[t] for w in s for t in ids[w])
+        import pyarrow as pa
+
+        self.bpe, self.lexicon = bpe, lexicon
+        ids = range(max(bpe.names, default=-1) + 1)
+        self.numbers, self.names = pa.array(map(str, ids), pa.string()), pa.array([bpe.names.get(i, "") for i in ids], pa.string())
+
+    def word_ids(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin in them, how many it has) of distinct words."""
+        text, ends = _texts(words)
+        starts, sizes = ends[:-1], np.diff(ends)
+        found = self.lexicon.find_in(text, starts, sizes)
+        rest = np.flatnonzero((found < 0) & (sizes > 0))
+        merged, counts = self.bpe.merge_all(text, starts[rest], sizes[rest])
+        at, n = self.lexicon.offsets[found], np.where(found < 0, 0, self.lexicon.offsets[found + 1] - self.lexicon.offsets[found])
+        at[rest], n[rest] = len(self.lexicon.ids) + np.cumsum(counts) - counts, counts
+        return np.concatenate([self.lexicon.ids, merged]), at, n
 
     def pieces(self, text: str) -> list[str]:
-        return _SPLIT.split(text) if _ODD_SPACE.search(text) else text.split()
+        """What stands between white space and special tokens, and those themselves."""
+        return [p for x in self.bpe.special_split.split(text) for p in ([x] if x in self.bpe.special else _SPLIT.split(x))]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts; special tokens in a text are taken as such, as the library does by default."""
-        parts = []
-        for t in texts:
-            cut = self.bpe.special_split.split(t) if self.bpe.special_split and "<|" in t else [t]
-            parts.append([[x] if x in self.bpe.special else self.pieces(x) for x in cut])
-        self.learn({p for part in parts for x in part for p in x} - set(self.bpe.special))
-        known, special = self.known, self.bpe.special
-        return [[i for x in part for p in x for i in (known[p] if p not in special else (special[p],))] for part in parts]
+        import pyarrow as pa
+
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+
+    def encode_column(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's begin, and the last ends) of an Arrow array of strings without nulls."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        marked = pc.match_substring(texts, "<|") if self.bpe.special else pa.array(np.zeros(len(texts), bool))
+        plain = pc.if_else(marked, "", texts)
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, _WIDE_SPACE, " "))
+        ids, ends = self._encode_pieces(lists.flatten(), lists.offsets.to_numpy().astype(np.int64))
+        special = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        if not len(special):
+            return ids, ends
+        cut = [self.pieces(t) for t in texts.take(pa.array(special)).to_pylist()]
+        more, places = self._encode_pieces(pa.array([p for x in cut for p in x], pa.string()), np.r_[0, np.cumsum([len(x) for x in cut])].astype(np.int64))
+        starts, sizes = ends[:-1].copy(), np.diff(ends)
+        starts[special], sizes[special] = len(ids) + places[:-1], np.diff(places)
+        return gathered(np.concatenate([ids, more]), starts, sizes)
+
+    def _encode_pieces(self, pieces, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_column`` of texts whose pieces are given, and where each text's begin."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(pieces):
+            return np.empty(0, np.int64), np.zeros(len(ends), np.int64)
+        coded = pieces.dictionary_encode()
+        distinct, special = coded.dictionary, self.bpe.special
+        letters = pc.ascii_is_alpha(distinct)
+        cut = [[p] if p in special else self.bpe.words(p) for p in distinct.filter(pc.invert(letters)).to_pylist()]
+        words = pa.concat_arrays([pc.ascii_lower(distinct.filter(letters)), pa.array([w for s in cut for w in s], pa.string())]).dictionary_encode()
+        values, at, n = self.word_ids(words.dictionary)
+        for x, i in special.items():  # no other word looks like a special token
+            if (place := pc.index(words.dictionary, x).as_py()) >= 0:
+                at[place], n[place] = len(values), 1
+                values = np.append(values, i)
+        word = words.indices.to_numpy()
+        ids, places = gathered(values, at[word], n[word])
+        is_word = letters.to_numpy(zero_copy_only=False)
+        whole = int(is_word.sum())
+        first, count = np.empty(len(distinct), np.int64), np.ones(len(distinct), np.int64)
+        first[is_word] = np.arange(whole)
+        count[~is_word] = sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        first[~is_word] = whole + np.cumsum(sizes) - sizes
+        begin, end = places[first], places[first + count]
+        piece = coded.indices.to_numpy()
+        ids, places = gathered(ids, begin[piece], (end - begin)[piece])
+        return ids, places[ends]
+
+    def digests(self, ids: np.ndarray, ends: np.ndarray, shown) -> list[str]:
+        """SHA-256 of each text's ids, shown and joined by spaces."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), shown.take(pa.array(ids))), " ")
+        text, places = _texts(joined)
+        return [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+
+
+def slices(texts, most: int):
+    """(first row, rows) of stretches of an Arrow array of strings that hold at most about ``most`` bytes, at least a row each."""
+    _, ends = _texts(texts)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, to - at
+        at = to
 
 
 _encoders: dict = {}
 
 
 def _encoder(key: str, make) -> Encoder:
-    """One encoder for each Python worker and job: what it has learnt serves the worker's next tasks."""
+    """One encoder for each Python worker and job: its tables serve the worker's next tasks."""
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = make()
@@ -375,15 +542,16 @@ def encode_decode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON
             return Encoder(WordBpe(spec, odd), Lexicon(image))
 
         encoder = _encoder(key, make)
-        number, name = {i: str(i) for i in encoder.bpe.names}, encoder.bpe.names
-        for pdf in batches:
-            rows = encoder.encode([t or "" for t in pdf["text"]])
-            sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "n_tokens": np.fromiter(map(len, rows), np.int64, len(rows)),
-                "ids_sha256": [sha(" ".join(map(number.__getitem__, r))) for r in rows],
-                "decoded_sha256": [sha(" ".join(map(name.__getitem__, r))) for r in rows],
-            })
-
-    return with_nulls(docs.select(id_column(), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+        for batch in batches:
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            texts = pc.fill_null(batch.column("text"), "")
+            for at, n in slices(texts, AT_ONCE):
+                ids, ends = encoder.encode_column(texts.slice(at, n))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, n), pa.array(np.diff(ends)), *(pa.array(encoder.digests(ids, ends, x), pa.string()) for x in (encoder.numbers, encoder.names))],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    return with_nulls(docs.select(id_column(), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

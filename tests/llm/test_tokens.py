@@ -55,6 +55,20 @@ def test_every_character():
         assert encoder.encode(some) == [x.ids for x in t.encode_batch(some, add_special_tokens=False)]
 
 
+def test_words_beyond_the_lexicon_are_merged_side_by_side(monkeypatch):
+    """Rare words cost no merging one by one, whatever their length below 65 bytes; longer ones have the same ids too."""
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    rng, b, t = random.Random(5), B.WordBpe(spec, B.odd_characters(spec)), tokenizer(WORD)
+    encoder = B.Encoder(b, B.Lexicon(B.compile_lexicon({b"the": b.merge("the")})))
+    word = lambda n: "".join(rng.choice("etaoinshrdluéß你 '.1") for _ in range(n))
+    texts = [word(n) for n in range(1, 200)] + ["".join(rng.choice("etaoins") for _ in range(n % 64 + 1)) + " the" for n in range(500)]
+    want = [x.ids for x in t.encode_batch([*texts, "tion" * 40, "é" * 600], add_special_tokens=False)]
+    assert encoder.encode([*texts, "tion" * 40, "é" * 600]) == want
+    monkeypatch.setattr(B.WordBpe, "merge", None)
+    assert encoder.encode(texts) == want[:-2]
+
+
 def test_empty(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert B.encode_decode(none, WORD).count() == 0
