@@ -9,8 +9,9 @@ a chi-square law. The projection of the added component, which all distances sha
    into its leaf; leaves of more than BLOCK_ROWS rows are dealt into blocks. The leaves' boxes and counts are a small table, at most a
    row for each LEAF_SAMPLE rows of the sample.
 3. Queries, one for each distinct vector, go in rounds to the leaves nearest to their projected points: to one leaf, then to FURTHER times as
-   many as before. A task has one block of rows and at most about BLOCK_QUERIES queries, verifies rows exactly in order of projected distance, and
-   stops by the chi-square test: a vector nearer than the k-th found would have been seen already with probability CONFIDENCE. What was
+   many as before. A task has one block of rows and at most about BLOCK_QUERIES queries, sees rows in order of projected distance, and
+   stops by the chi-square test: a vector nearer than the k-th found would have been seen already with probability CONFIDENCE. Products of a block
+   are formed together, but only those of seen rows count. What was
    found is written after each round, and a query goes on only to leaves that the same test leaves open.
 
 So each query and row is sent once for each leaf and round in which they meet, which is what the data leaves open, not rows times queries.
@@ -73,9 +74,11 @@ class Space:
     def queries(self, q: np.ndarray) -> np.ndarray:
         return (q / self.scale) @ self.gauss[:-1]
 
-    def distance2(self, q2: float, score: float) -> float:
-        """The true squared distance, after scaling, that a score means for a query of squared length q2."""
-        return max(self.norm2 + q2 - 2 * (score / self.scale / self.scale), 1e-12)
+    def limit(self, q2: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """The projected squared distance within which the stopping test looks, for queries of squared length q2 (after scaling) and their k-th best score."""
+        with np.errstate(over="ignore"):
+            true = np.maximum(self.norm2 + q2 - 2 * (score / self.scale / self.scale), 1e-12)
+        return np.where(score > -np.inf, REACH * true * (1 + 1e-9), np.inf)
 
 
 class Tree:
@@ -149,48 +152,81 @@ def open_places(points: np.ndarray, low: np.ndarray, high: np.ndarray, limit: np
     return np.concatenate(rows), np.concatenate(boxes)
 
 
-def _scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore", invalid="ignore"):
-        s = v @ q
+def _no_number_last(s: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(s), -np.inf, s)
 
 
-def verified(space: Space, v: np.ndarray, points: np.ndarray, q: np.ndarray, spot: np.ndarray, kth: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rows, their rough scores, how many were verified) of one block for one query: all that can be among the best k of those
-    that the stopping test lets be seen. ``kth`` is the k-th best score so far, minus infinity for none."""
-    p = ((points - spot) ** 2).sum(axis=1)
-    with np.errstate(over="ignore", invalid="ignore"):
-        q2 = float(((q / space.scale) ** 2).sum())
-    limit = REACH * space.distance2(q2, kth) if kth > -np.inf else np.inf
-    order = np.flatnonzero(p < limit) if limit < np.inf else np.arange(len(p))
-    order = order[np.argsort(p[order], kind="stable")]
-    ahead = p[order]
-    seen, at, step, end = np.empty(0), 0, max(64, 2 * k), len(order)
-    while at < end:
-        seen = np.concatenate([seen, _scores(v[order[at : at + step]], q)])
-        at = len(seen)
-        step = max(64, at // 8)
-        if at >= k:
-            best = max(kth, np.partition(seen, at - k)[at - k])
-            if best > -np.inf:
-                # copies of one distance lie together: ties are never cut
-                end = int(np.searchsorted(ahead, REACH * space.distance2(q2, best) * (1 + 1e-9), "right"))
-    rows = order[:at]
-    if at > k:
-        least = np.partition(seen, at - k)[at - k]
-        finite = np.abs(seen[np.isfinite(seen)])
-        keep = seen >= least - 1e-9 * (finite.max() if len(finite) else 0.0)
-        rows, seen = rows[keep], seen[keep]
-    return rows, seen, at
-
-
-def best_of(rows: np.ndarray, v: np.ndarray, ids: list, q: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
-    """The first k (vec_id, score) of some rows: the largest score first, then the smaller id; never ``own``."""
+#: The nearest rows of a block by projected distance after which the stopping test is made anew.
+STEPS = (64, 512, 4096)
+#: Pairs of a query and a row that are compared at once (8 MB for each number of a pair).
+PAIRS = 1 << 20
+
+
+def seen(space: Space, score: np.ndarray, p: np.ndarray, q2: np.ndarray, kth: np.ndarray, k: int) -> np.ndarray:
+    """Which rows of a block (columns) the stopping test lets each query see, by their projected squared distances ``p``.
+
+    ``kth`` is the k-th best score so far, minus infinity for none. The nearest rows are looked at in STEPS; each k-th best score draws the limit in, until
+    no row that wasn't looked at lies within it.
+    """
+    n, limit = p.shape[1], space.limit(q2, kth)
+    fit = p < limit[:, None]
+    steps = [m for m in STEPS if k <= m < n]
+    if not steps:
+        return fit
+    order = np.argpartition(p, [m - 1 for m in steps], axis=1)[:, : steps[-1]]
+    near = np.where(np.take_along_axis(fit, order, 1), np.take_along_axis(score, order, 1), -np.inf)
+    within, open_ = fit, np.arange(len(p))
+    for m in steps:
+        best = np.maximum(np.partition(near[open_, :m], m - k, axis=1)[:, m - k], kth[open_])
+        limit[open_] = np.minimum(limit[open_], space.limit(q2[open_], best))
+        now = p[open_] <= limit[open_, None]
+        more = now.sum(axis=1) > m
+        np.put_along_axis(now, order[open_, :m], True, 1)
+        within[open_] &= now
+        open_ = open_[more]
+        if not len(open_):
+            break
+    return within
+
+
+def nearest(space: Space, v: np.ndarray, points: np.ndarray, ids: list, x: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int):
+    """(query, vec_id, score, how many rows each query saw) of the k best that each query (row of ``x``) sees in a block: the largest score first, then the
+    smaller id, never its ``own``, none that is worse than ``kth``. The block's products are one matrix product; only those of seen rows are used."""
+    spot, p2 = space.queries(x), (points**2).sum(axis=1)
     with np.errstate(over="ignore", invalid="ignore"):
-        score = (v[rows] * q).sum(axis=1)  # the same order of additions for every row, so equal vectors tie
-    score = np.where(np.isnan(score), -np.inf, score)
-    each = sorted((-float(s), int(i)) for r, s in zip(rows, score) for i in ids[r] if i != own)
-    return [(i, -s) for s, i in each[:k]]
+        q2 = ((x / space.scale) ** 2).sum(axis=1)
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat, begins = np.concatenate(ids).astype(np.int64), np.cumsum(sizes) - sizes
+    alone = np.minimum.reduceat(flat, begins) == np.maximum.reduceat(flat, begins)
+    out, counts = [], np.zeros(len(x), np.int64)
+    step = max(1, PAIRS // len(v))
+    for at in range(0, len(x), step):
+        q, o, known = x[at : at + step], own[at : at + step], kth[at : at + step]
+        p = np.maximum(p2 + (spot[at : at + step] ** 2).sum(axis=1)[:, None] - 2 * spot[at : at + step] @ points.T, 0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = _no_number_last(q @ v.T)
+        for i in np.flatnonzero(o != NO_ID):
+            p[i, alone & (flat[begins] == o[i])] = np.inf  # rows that hold nothing but the query's own id
+        hit = seen(space, rough, p, q2[at : at + step], known, k) & (p < np.inf)
+        counts[at : at + step] = hit.sum(axis=1)
+        least = known.copy()
+        if len(v) > k:
+            least = np.maximum(least, np.partition(np.where(hit, rough, -np.inf), len(v) - k, axis=1)[:, len(v) - k])
+        most = np.where(np.isfinite(rough), np.abs(rough), 0).max(axis=1)
+        i, row = np.nonzero(hit & (rough >= (least - 1e-9 * most)[:, None]))
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = _no_number_last((v[row] * q[i]).sum(axis=1))  # the same order of additions for every row, so equal vectors tie
+        n = sizes[row]
+        each = np.repeat(np.arange(len(row)), n)
+        found = flat[np.repeat(begins[row] - (np.cumsum(n) - n), n) + np.arange(len(each))]
+        i, score = i[each], score[each]
+        keep = (found != o[i]) | (o[i] == NO_ID)
+        i, found, score = i[keep], found[keep], score[keep]
+        order = np.lexsort((found, -score, i))
+        i, found, score = i[order], found[order], score[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((i[keep] + at, found[keep], score[keep]))
+    return *(np.concatenate(c) for c in zip(*out)), counts
 
 
 REACH = reach()
@@ -278,24 +314,20 @@ def search(rows: DataFrame, every: int, k: int) -> DataFrame:
                     v = _matrix(part["v"])
                     with np.errstate(over="ignore"):
                         q2 = ((v / space.scale) ** 2).sum(axis=1)
-                    limit = np.array([REACH * space.distance2(a, s) * (1 + 1e-9) if s > -np.inf else np.inf for a, s in zip(q2, part["kth"])])
+                    limit = space.limit(q2, part["kth"].to_numpy())
                     at, box = open_places(space.queries(v), low, high, limit, first, last)
                     yield part[["q", "own", "v", "kth", "size"]].iloc[at].assign(leaf=leaf[box].astype(np.int32))
 
         return run
 
     def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            space, v, points, ids = spaces(int(key[0])), _matrix(left["v"]), _matrix(left["p"]), left["ids"].tolist()
-            asked = _matrix(right["v"])
-            for q, own, kth, x, spot in zip(right["q"], right["own"], right["kth"], asked, space.queries(asked)):
-                open_ = np.arange(len(ids)) if own == NO_ID else np.array([r for r, i in enumerate(ids) if (i != own).any()], np.int64)
-                #: One place more than k, for the own id of a query that asks together with others.
-                found, _, n = verified(space, v[open_], points[open_], x, spot, kth, k + 1) if len(open_) else (open_, None, 0)
-                out += [(q, i, s, 0) for i, s in best_of(open_[found], v, ids, x, own, k + 1)]
-                out.append((q, NO_ID, 0.0, n))
-        return pd.DataFrame(out, columns=["q", "vec_id", "score", "verified"]).astype({"q": "int64", "vec_id": "int64", "score": "float64", "verified": "int64"})
+        if not len(left) or not len(right):
+            return pd.DataFrame({"q": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0), "verified": np.empty(0, np.int64)})
+        space, asked = spaces(int(key[0])), right["q"].to_numpy()
+        #: One place more than k, for the own id of a query that asks together with others.
+        i, found, score, n = nearest(space, _matrix(left["v"]), _matrix(left["p"]), left["ids"].tolist(), _matrix(right["v"]), right["own"].to_numpy(), right["kth"].to_numpy(), k + 1)
+        hits = pd.DataFrame({"q": asked[i], "vec_id": found, "score": score, "verified": 0})
+        return pd.concat([hits, pd.DataFrame({"q": asked, "vec_id": NO_ID, "score": 0.0, "verified": n})])
 
     found, first, last = None, 0, 1
     while first < most:

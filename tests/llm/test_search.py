@@ -332,3 +332,25 @@ def test_open_places_are_those_of_a_full_sort(monkeypatch):
             at, place = np.nonzero(np.take_along_axis(gap, order, axis=1)[:, first:last] <= limit[:, None])
             want = sorted(zip(at.tolist(), order[:, first:last][at, place].tolist()))
             assert sorted(zip(*(x.tolist() for x in A.open_places(points, low, high, limit, first, last)))) == want
+
+
+def test_a_block_is_compared_with_all_its_queries_at_once(monkeypatch):
+    """What each query sees holds all that the stopping test leaves open, the best of it are exact, and no call is made for each query."""
+    rng = np.random.default_rng(4)
+    v, x = rng.normal(size=(3000, 8)), rng.normal(size=(600, 8))
+    space = A.Space(8, float(np.abs(v).max()), float(((v / np.abs(v).max()) ** 2).sum(axis=1).max()))
+    points, ids, k = space.rows(v), [np.array([i]) for i in range(3000)], 5
+    score = x @ v.T
+    kth = np.sort(score, axis=1)[:, -40]
+    kth[::2] = -np.inf
+    calls = []
+    monkeypatch.setattr(A, "seen", lambda *a, f=A.seen: calls.append(1) or f(*a))
+    i, found, got, n = A.nearest(space, v, points, ids, x, np.full(600, A.NO_ID), kth, k)
+    assert len(calls) < 10 and (n < 3000).any() and np.allclose(got, score[i, found], atol=1e-12)
+    p = ((points[None] - space.queries(x)[:, None]) ** 2).sum(axis=2)
+    for q in range(600):
+        mine = found[i == q]
+        best = score[q, mine].min() if len(mine) == k else kth[q]
+        open_ = np.flatnonzero(p[q] < space.limit(((x[q] / space.scale) ** 2).sum(), np.float64(max(best, kth[q]))) * (1 - 1e-6))
+        want = open_[np.argsort(-score[q, open_])][:k]
+        assert set(want[score[q, want] > max(best, kth[q])]) <= set(mine.tolist()) and n[q] >= len(mine)
