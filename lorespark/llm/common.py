@@ -33,17 +33,30 @@ def with_nulls(df: DataFrame, name: str = "doc_id") -> DataFrame:
     return df.withColumn(name, F.when(F.col(name) != NO_ID, F.col(name)))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read from there: its lineage ends, and a lost
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder, to ``files`` files at most, and read from there: its lineage ends, and a lost
     executor loses nothing of it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
 
 
+#: Bytes that a file of a table between steps holds at least where there are many, and files for each core otherwise.
+FILE_BYTES, FILES_A_CORE = 32 << 20, 6
+
+
+def files_like(df: DataFrame) -> int:
+    """Files that a table of the size of ``df``, a frame that ``stored`` gave, or smaller is best written to. However many partitions
+    a shuffle has, a step's small tables then don't become as many tasks and files, each of which costs more than its rows."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(FILES_A_CORE * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files behind a frame that ``stored`` gave, once nothing reads them any more."""
     spark = df.sparkSession
@@ -129,27 +142,28 @@ def _distinct_edges(e: DataFrame) -> DataFrame:
     return e.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def _starred(edges: DataFrame) -> bool:
+    """Whether edges (a > b) are stars: each a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg((F.sum("up") + F.max("down")).alias("n")).agg(F.count_if(F.col("n") > 1)).first()[0] == 0
+
+
+def components(edges: DataFrame, name: str = "components", files: int | None = None) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b: long); component is the least node reachable.
 
-    Large star and small star alternate until nothing changes; each round is written to the shared
-    folder. Links of one node are joined, not gathered, and dealt over several tasks, so that a hot one doesn't fill a task.
+    Large star and small star alternate until only stars around least nodes are left; each round is written to the shared
+    folder, to ``files`` files at most. Links of one node are joined, not gathered, and dealt over several tasks, so that a hot one doesn't fill a task.
     """
-    e = stored(_distinct_edges(edges.select("a", "b")), name)
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    last = mark(e)
-    while True:
+    e = stored(_distinct_edges(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), name, files)
+    while not _starred(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = _distinct_edges(_beside(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = _beside(down, least).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        new = stored(_distinct_edges(small), name)
+        new = stored(_distinct_edges(small), name, files)
         discard(e)
-        e, now = new, mark(new)
-        if now == last:
-            break
-        last = now
+        e = new
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from .common import components, discard, id_column, stored, text_batches, with_nulls
+from .common import components, discard, files_like, id_column, stored, text_batches, with_nulls
 from .words import mix, shingles
 
 BANDS, ROWS = 40, 5
@@ -132,20 +132,20 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return with_nulls(docs.select(id_column(), "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>"))
 
 
-def _estimated(pairs: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
+def _estimated(pairs: DataFrame, regs: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Pairs (a, b, na, nb) whose estimated similarity may reach the threshold."""
     left = regs.select(F.col("rep").alias("a"), F.col("regs").alias("ra"))
     right = regs.select(F.col("rep").alias("b"), F.col("regs").alias("rb"))
+    chance = _collisions()
 
     def run(batches):
-        chance = _collisions()
         for pdf in batches:
             if len(pdf):
                 ra, rb = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(len(pdf), -1) for c in ("ra", "rb"))
                 est = estimate(ra, rb, pdf["na"].to_numpy(), pdf["nb"].to_numpy(), chance)
                 yield pdf.loc[est >= percent / 100 - SLACK, ["a", "b"]]
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInPandas(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").coalesce(tasks).mapInPandas(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -174,7 +174,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def _in_common(placed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def _in_common(placed: DataFrame, texts: DataFrame, k: int, files: int) -> DataFrame:
     """(rep, home, s, h): how many shingles of each document (rep, component, home) documents of another component have too,
     and how many of these its home lacks."""
 
@@ -182,11 +182,11 @@ def _in_common(placed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
         for pdf in batches:
             yield pdf.drop(columns="text").assign(g=[shingles(t, k).astype(np.int64) for t in pdf["text"]])
 
-    rows = placed.join(texts, "rep").select("rep", "component", "home", "text").mapInPandas(run, "rep long, component long, home long, g array<long>")
+    rows = placed.join(texts, "rep").select("rep", "component", "home", "text").coalesce(files).mapInPandas(run, "rep long, component long, home long, g array<long>")
     rows = stored(rows, "near-shingles").select("rep", "component", "home", F.explode("g").alias("g"))
     several = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
     homes = placed.select("home").distinct().join(texts.select(F.col("rep").alias("home"), "text"), "home")
-    homes = homes.select(F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("component"), "home", "text").mapInPandas(run, "rep long, component long, home long, g array<long>")
+    homes = homes.select(F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("component"), "home", "text").coalesce(files).mapInPandas(run, "rep long, component long, home long, g array<long>")
     homes = homes.select("home", F.explode("g").alias("g"), F.lit(1).alias("in_home"))
     shared = rows.join(several, "g").join(homes, ["home", "g"], "left")
     return shared.groupBy("rep", "home").agg(F.count("*").alias("s"), F.count_if(F.col("in_home").isNull()).alias("h"))
@@ -204,45 +204,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
         sk = stored(sketches(docs, k), "near-sketches")
+    files = files_like(sk)
+    kept = lambda df, name: stored(df, name, files)
     full = sk.where("n > 0 and doc_id is not null")
     #: Written first, so that the join below has shuffles of its own and Spark can split a large group of copies.
-    groups = stored(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-groups")
-    member = stored(full.select("doc_id", "d1", "d2").join(groups.where("copies > 1"), ["d1", "d2"]).select("doc_id", "rep"), "near-members")
-    reps = stored(full.join(groups.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "n", "regs", "bands"), "near-reps")
+    groups = kept(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-groups")
+    member = kept(full.select("doc_id", "d1", "d2").join(groups.where("copies > 1"), ["d1", "d2"]).select("doc_id", "rep"), "near-members")
+    reps = kept(full.join(groups.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "n", "regs", "bands"), "near-reps")
 
     rows = reps.select(F.posexplode("bands").alias("band", "key"), "rep", "n")
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    buckets = stored(rows.join(shared, "key"), "near-buckets")
+    buckets = kept(rows.join(shared, "key"), "near-buckets")
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
     used = buckets.groupBy("rep").agg(F.sum("c").alias("met"), F.first("n").alias("n"))
-    used = stored(used, "near-used")
-    regs = stored(reps.select("rep", "regs").join(used.select("rep"), "rep"), "near-regs")
-    texts = stored(docs.join(used, docs.doc_id == used.rep).select("rep", "text"), "near-texts")
+    used = kept(used, "near-used")
+    regs = kept(reps.select("rep", "regs").join(used.select("rep"), "rep"), "near-regs")
+    texts = kept(docs.join(used, docs.doc_id == used.rep).select("rep", "text"), "near-texts")
 
     placed = buckets.select("key", "rep", "n").join(used.select("rep", "met"), "rep")
     centres = placed.groupBy("key").agg(F.max(F.struct("met", -F.col("rep"), "n")).alias("m")).select("key", (-F.col("m.col2")).alias("b"), F.col("m.n").alias("nb"), F.col("m.met").alias("met_b"))
     placed = placed.join(centres, "key")
     homes = placed.groupBy("rep").agg(F.max(F.struct("met_b", -F.col("b"))).alias("m")).select("rep", (-F.col("m.col2")).alias("home"))
-    homes = stored(homes, "near-homes")
+    homes = kept(homes, "near-homes")
     star = placed.where("rep <> b").select(F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb").where(near).distinct()
-    links = stored(_confirmed(_estimated(star, regs, percent), texts, k, percent), "near-links")
-    comp = stored(components(links, "near-star"), "near-comp")
+    links = kept(_confirmed(_estimated(star, regs, percent, files), texts, k, percent), "near-links")
+    comp = kept(components(links, "near-star", files), "near-comp")
 
     placed = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    opened = stored(placed.join(open_, "key").select("key", "band", "rep", "n", "component"), "near-open")
-    common = stored(_in_common(opened.select("rep", "component").distinct().join(homes, "rep"), texts, k), "near-common")
+    opened = kept(placed.join(open_, "key").select("key", "band", "rep", "n", "component"), "near-open")
+    common = kept(_in_common(opened.select("rep", "component").distinct().join(homes, "rep"), texts, k, files), "near-common")
     rest = opened.join(common, "rep").where(f"100 * s >= {percent} * n").join(reps.select("rep", "bands"), "rep")
     side = lambda x: rest.select("key", *[F.col(c).alias(c + x) for c in ("rep", "n", "component", "home", "s", "h")], F.slice("bands", F.lit(1), F.col("band")).alias("earlier" + x))
     #: At most so many shingles can be in common: within the home of both, and beside it.
     most = "CASE WHEN homea = homeb THEN least(sa - ha, sb - hb) + least(ha, hb) ELSE least(sa, sb) END"
     reach = f"componenta < componentb AND {near} AND 100 * ({most}) >= {percent} * (na + nb - ({most})) AND NOT arrays_overlap(earliera, earlierb)"
     cross = side("a").join(side("b"), "key").where(reach).select(F.col("repa").alias("a"), F.col("repb").alias("b"), "na", "nb")
-    more = stored(_confirmed(_estimated(cross, regs, percent), texts, k, percent), "near-more")
+    more = kept(_confirmed(_estimated(cross, regs, percent, files), texts, k, percent), "near-more")
 
     #: Copies follow their representative; only representatives have links.
-    final = stored(components(links.unionByName(more), "near-all"), "near-final").withColumnRenamed("node", "rep")
+    linked = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    final = kept(components(linked, "near-all", files), "near-final").withColumnRenamed("node", "rep")
     for done in (groups, reps, buckets, used, homes, regs, texts, links, comp, opened, common, more):
         discard(done)
     out = every_row.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))

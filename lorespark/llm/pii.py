@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, files_like, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds, listed after the others.
@@ -101,7 +101,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     found = rows.groupBy("_row", "doc_id", "_text").agg(
         F.array_sort(F.collect_list(F.when(based, span))).alias("base"), F.array_sort(F.collect_list(F.when(F.col("ok") & ~F.col("kind").isin(*KINDS) & clear, span))).alias("seen")
     )
-    out = stored(found, "pii-spans")
+    out = stored(found, "pii-spans", files_like(matches))
     discard(matches)
     return out
 
@@ -130,13 +130,14 @@ def _shapes(value):
 
 def discovered(spans: DataFrame, secret: str = SECRET_SEED) -> DataFrame:
     """(value, kind) of the keys that are seeds and of the unseen identifiers that sure patterns find."""
+    files = files_like(spans)
     both = [spans.select(F.expr(f"inline({c})")) for c in ("base", "seen")]
     known = F.when(F.col("kind").isin(*KINDS), F.col("kind")).when((F.col("kind") == "key") & F.col("value").rlike(secret), F.lit(ADDED[0]))
     rows = both[0].unionByName(both[1]).select("value", known.alias("known"), _patterns(F.col("left"), F.col("right")).alias("beside"))
     edges = rows.select("value", "known", F.explode_outer("beside").alias("pattern"))
-    edges = stored(edges.groupBy("pattern", "value").agg(F.max("known").alias("known")), "pii-graph")
+    edges = stored(edges.groupBy("pattern", "value").agg(F.max("known").alias("known")), "pii-graph", files)
     seeds = edges.where(F.col("known") == ADDED[0]).select("value", F.col("known").alias("kind")).distinct()
-    seeds, all_edges, edges = stored(seeds, "pii-seeds"), edges, edges.where("pattern is not null")
+    seeds, all_edges, edges = stored(seeds, "pii-seeds", files), edges, edges.where("pattern is not null")
     totals = edges.groupBy("pattern").agg((F.count("known") + UNKNOWN * F.count_if(F.col("known").isNull())).alias("all"))
     unseen = edges.where("known is null").select("pattern", "value", F.explode(_shapes(F.col("value"))).alias("kind"))
     sure = edges.where("known is not null").select("value", F.col("known").alias("kind")).distinct().withColumn("conf", F.lit(1.0))
@@ -148,9 +149,9 @@ def discovered(spans: DataFrame, secret: str = SECRET_SEED) -> DataFrame:
         sides = unseen.join(patterns.select("pattern", "kind", F.least("p", F.lit(0.999)).alias("p")), ["pattern", "kind"]).groupBy("value", "kind", F.regexp_extract("pattern", "^[<>]+", 0)).agg(F.max("p").alias("p"))
         scores = sides.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("conf"))
         best = scores.groupBy("value").agg(F.max(F.struct("conf", "kind")).alias("b")).select("value", "b.kind", "b.conf").where(F.col("conf") >= INSTANCE_SURE)
-        rounds.append(stored(best, f"pii-round{i}"))
+        rounds.append(stored(best, f"pii-round{i}", files))
         sure = base.unionByName(rounds[-1].select("value", "kind", "conf"))
-    out = stored(seeds.unionByName(rounds[-1].select("value", "kind").join(seeds, "value", "left_anti")), "pii-discovered")
+    out = stored(seeds.unionByName(rounds[-1].select("value", "kind").join(seeds, "value", "left_anti")), "pii-discovered", files)
     for done in (all_edges, seeds, *rounds):
         discard(done)
     return out
@@ -166,7 +167,7 @@ def find_spans(docs: DataFrame, secret: str = SECRET_SEED) -> DataFrame:
     found = stored(found, "pii-seen").join(new.select("value", "kind"), "value").groupBy("_row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
     slim = F.expr("transform(base, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))")
     out = spans.join(found, "_row", "left").select("doc_id", "_text", slim.alias("base"), "more")
-    out = stored(out.select("doc_id", "_text", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("spans")), "pii-found")
+    out = stored(out.select("doc_id", "_text", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("spans")), "pii-found", files_like(spans))
     discard(spans)
     discard(new)
     return out
@@ -194,7 +195,7 @@ def redact(docs: DataFrame) -> DataFrame:
     able = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     found = find_spans(docs.where(able))
     spans = found.where("size(spans) > 0").dropDuplicates(["doc_id", "_text"])
-    spans = stored(spans.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "spans"), "pii-redactions")
+    spans = stored(spans.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "spans"), "pii-redactions", files_like(found))
     discard(found)
     rows = docs.where(able).select(F.struct(*docs.columns).alias("_all"), "text", F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_key"))
     rows = rows.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
