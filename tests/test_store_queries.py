@@ -7,7 +7,7 @@ from test_queries import rows
 from lorespark.plans import registry
 
 
-@pytest.mark.parametrize("name", ["kb_build"])
+@pytest.mark.parametrize("name", ["kb_build", "upload_inside_build"])
 def test_documents_without_text(spark, tmp_path, name):
     """Documents whose text is empty, missing or blank are built like any other and have no chunks."""
     texts = {0: "", 1: "", 2: "", 3: "", 4: None, 5: None, 6: None, 7: None, 8: " \n\t", 9: "\n"}
