@@ -30,6 +30,8 @@ FIRST = 16
 MOST_WORDS, LEAST_WORDS = 4_000_000, 250_000
 #: Documents scored before the others' bounds are compared, as a multiple of k.
 AHEAD = 2
+#: Distinct terms of queries, and marks, that may be broadcast, so that postings meet them without a shuffle.
+MAX_TERMS, MAX_MARKS = 500_000, 2_000_000
 POSTINGS, COUNTS, MARKS = "text_postings", "text_counts", "text_marks"
 _COUNTS = "term string, df long, words long"
 
@@ -144,15 +146,24 @@ def documents(store: Store, record: dict | None = None) -> int:
     return 0 if known is None else known.agg(F.sum("df").alias("n")).first()["n"] or 0
 
 
+def _marks(store: Store, record: dict) -> DataFrame | None:
+    """(_owner, _last): the update before which an owner's postings are dead; broadcast up to MAX_MARKS, None where nothing is marked."""
+    marked = sum(part["rows"] for part in record["tables"][MARKS]["segments"])
+    if not marked:
+        return None
+    dead = store.read(MARKS, record).groupBy(F.col("owner").alias("_owner")).agg(F.max("update").alias("_last"))
+    return F.broadcast(dead) if marked <= MAX_MARKS else dead
+
+
 def _live(found: DataFrame, marks: DataFrame | None, avgdl: float, owners: list | None = None) -> DataFrame:
-    """Posting blocks as a row for each entry that isn't dead, with its ``share`` of a score; beside it the columns of ``found`` but the blocks' own."""
-    rows = found.select(*[c for c in found.columns if c != "entries"], F.explode("entries").alias("e")).select("*", "e.*").drop("e")
+    """Posting blocks as a row (id, owner, share of a score) for each entry that isn't dead; beside it the columns of ``found`` but the blocks' own."""
+    rows = found.select(*[c for c in found.columns if c != "entries"], F.explode("entries").alias("e"))
+    rows = rows.select("*", "e.id", "e.owner", impact(F.col("e.tf"), F.col("e.dl"), F.lit(avgdl)).alias("share")).drop("e")
     if owners is not None:
         rows = rows.where(F.col("owner").isin(owners))
     if marks is not None:
-        dead = marks.groupBy(F.col("owner").alias("_owner")).agg(F.max("update").alias("_last"))
-        rows = rows.join(dead, (F.col("owner").cast("string") == F.col("_owner")) & (F.col("update") < F.col("_last")), "left_anti")
-    return rows.withColumn("share", impact(F.col("tf"), F.col("dl"), F.lit(avgdl)))
+        rows = rows.join(marks, (F.col("owner").cast("string") == F.col("_owner")) & (F.col("update") < F.col("_last")), "left_anti")
+    return rows
 
 
 def _scores(found: DataFrame, marks: DataFrame | None, avgdl: float, owners: list | None = None) -> DataFrame:
@@ -172,8 +183,9 @@ def search(store: Store, queries: DataFrame, k: int, record: dict | None = None,
     pairs = terms.limit(MAX_QUERIES + 1).collect()
     few = len(pairs) <= MAX_QUERIES
     wanted = sorted({r["term"] for r in pairs}) if few else None
-    known = store.read(COUNTS, record, keys=None if wanted is None else [*wanted, ""]).groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
-    read = {r["term"]: r for r in (known if few else known.where("term = ''")).collect()}
+    known = lambda keys: store.read(COUNTS, record, keys=keys)
+    summed = lambda some: some.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+    read = {r["term"]: r for r in summed(known([*(wanted or []), ""])).collect()}
     n, words = (read[""]["df"], read[""]["words"]) if "" in read else (0, 0)
     if not n or not pairs:
         return ranked(spark.createDataFrame([], "score double").crossJoin(queries.select("query_id").limit(0)).crossJoin(_ids(store, record)).select("query_id", "id", "score"), ["id"], k)
@@ -182,12 +194,16 @@ def search(store: Store, queries: DataFrame, k: int, record: dict | None = None,
         rows = [(r["query_id"], r["term"], read[r["term"]]["df"]) for r in pairs if r["term"] in read and read[r["term"]]["df"] > 0]
         weights = F.broadcast(spark.createDataFrame(rows, StructType([*terms.schema.fields, StructField("df", LongType())])).select("query_id", "term", weight(F.lit(n), F.col("df")).alias("weight")))
     else:
-        weights = terms.join(known.where("term <> '' and df > 0"), "term").select("query_id", "term", weight(F.lit(n), F.col("df")).alias("weight"))
+        #: Written once: what follows reads them several times, and counts of other terms aren't summed up.
+        terms = snapshots.kept(terms, "terms")
+        held = summed(known(None).join(retrieval._few(terms.select("term").distinct(), MAX_TERMS), "term", "left_semi")).where("df > 0")
+        weights = snapshots.kept(terms.join(held, "term").select("query_id", "term", weight(F.lit(n), F.col("df")).alias("weight")), "weights")
     postings = store.read(POSTINGS, record, keys=wanted)
-    marks = store.read(MARKS, record) if any(part["rows"] for part in record["tables"][MARKS]["segments"]) else None
+    marks = _marks(store, record)
     if len(pairs) > retrieval.FEW:
         #: Many queries together need most blocks of their terms: each is read once for all of them.
-        shares = _live(postings.join(retrieval._few(weights.select("term").distinct()), "term", "left_semi").select("term", "update", "entries"), marks, avgdl, owners)
+        postings = postings.join(retrieval._few(weights.select("term").distinct(), MAX_TERMS), "term", "left_semi")
+        shares = _live(postings.select("term", "update", "entries"), marks, avgdl, owners)
         held = postings.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         return retrieval.best_sums(shares.select("term", "id", "share"), weights, k, False, (n, held))
     #: The peak was taken at another mean length; it grows by the lengths' ratio at most.

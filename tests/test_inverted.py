@@ -92,3 +92,28 @@ def test_many_queries_read_each_block_once(spark, tmp_path, corpus, monkeypatch)
             monkeypatch.setattr(retrieval, name, size)
         found = inverted.search(store, queries, 7)
         assert listed(found) == want and "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_shares_are_dealt_once_for_many_queries(spark, tmp_path, corpus, monkeypatch):
+    """More queries than one block holds don't copy the shares, unless their hits ask for it; the rows are those of the scan."""
+    from lorespark.operators import blocks
+
+    dealt, best = [], blocks.best_sums
+    monkeypatch.setattr(blocks, "best_sums", lambda shares, terms, n, m, k: dealt.append(m) or best(shares, terms, n, m, k))
+    for name, n in (("FEW", 0), ("MAX_QUERIES", 8)):
+        monkeypatch.setattr(retrieval, name, n)
+    monkeypatch.setattr(inverted, "MAX_QUERIES", 8)
+    store, docs = Store(spark, str(tmp_path), buckets=4), frame(spark, list(corpus.items()))
+    t = store.begin()
+    inverted.update(t, docs, 1)
+    t.commit()
+    gone = docs.where("owner < 40")
+    t = store.begin()
+    inverted.forget(t, gone, 2)
+    t.commit()
+    queries = spark.createDataFrame([(i, f"w{i % 60} w{i % 7} none{i}") for i in range(24)], "query_id long, text string")
+    want = listed(retrieval.bm25(docs.where("owner >= 40").select("id", "text"), queries, 5))
+    dealt.clear()
+    assert listed(inverted.search(store, queries, 5)) == want and dealt == [1]
+    monkeypatch.setattr(retrieval, "HIT_BLOCK", 60)
+    assert listed(inverted.search(store, queries, 5)) == want and dealt == [1, 2]
